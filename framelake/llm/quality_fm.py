@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, DIMENSIONS, RANK, THRESHOLD = 20_000, 1 << 13, 8, 0.3
+SAMPLE, DIMENSIONS, RANK, THRESHOLD = 12_000, 1 << 13, 8, 0.3
 #: Structure statistics, after the hashed words.
 STATS = 14
 _SYMBOLS = b"#*$%&|<>"
@@ -69,7 +69,7 @@ class Model:
         return float(1 / (1 + np.exp(-min(max(z, -30.0), 30.0))))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 12, rate: float = 0.08, decay: float = 1e-5, batch: int = 64, seed: int = 1) -> Model:
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 6, rate: float = 0.08, decay: float = 1e-5, batch: int = 64, seed: int = 1) -> Model:
     """Logistic loss, AdaGrad over small batches."""
     rng = np.random.default_rng(seed)
     size = DIMENSIONS + STATS
