@@ -1,4 +1,4 @@
-"""Token ids by a byte-level BPE vocabulary, with a bounded memory of words already encoded."""
+"""Token ids by a byte-level BPE vocabulary."""
 
 from __future__ import annotations
 
@@ -8,8 +8,6 @@ from functools import cache
 
 import numpy as np
 
-#: Words kept by a worker, and the longest word worth keeping.
-WORDS, LONGEST = 300_000, 48
 _IRREGULAR = re.compile(r"\s\s|\A\s|\s\Z")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -21,26 +19,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class _Words(dict):
-    def __init__(self, encode, prefix: str):
-        super().__init__()
-        self.encode, self.prefix = encode, prefix
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.encode(self.prefix + word), "<u4").tobytes()
-        if len(word) <= LONGEST:
-            if len(self) >= WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
-
-
 class Encoder:
     """The ids of `tokenizers` for a byte-level BPE file, as little-endian unsigned 32-bit bytes.
 
-    The pattern of this vocabulary never continues a pre-token over a single space between two characters that
-    aren't white space, so a text is cut there and equal parts are encoded once. The parts are encoded with the
-    same vocabulary as ranks; a text that holds a special token's string goes to `tokenizers` itself.
+    Texts are encoded with the same vocabulary as ranks, which is several times as fast; a text that holds a
+    special token's string goes to `tokenizers` itself.
     """
 
     def __init__(self, tokenizer: str, ranks: str):
@@ -53,19 +36,16 @@ class Encoder:
         self.ordinary = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={}).encode_ordinary
         self.whole = Tokenizer.from_file(tokenizer)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.first, self.later = _Words(self.ordinary, ""), _Words(self.ordinary, " ")
 
     def parts(self, text: str) -> list[str]:
-        """The text cut at such spaces; each part but the first goes with the space before it."""
+        """The text cut at the single spaces between two characters that aren't white space; the pattern of this
+        vocabulary never continues a pre-token over one. Each part but the first goes with the space before it."""
         return _CUT.split(text) if _IRREGULAR.search(text) else text.split(" ")
 
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
         if any(s in text for s in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        parts, later = self.parts(text), self.later
-        return self.first[parts[0]] + b"".join([later[p] for p in parts[1:]])
+        return np.array(self.ordinary(text), "<u4").tobytes()
 
 
 @cache
