@@ -6,6 +6,8 @@ import math
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -182,9 +184,6 @@ def register(name: str):
 
 def register_special(spark: SparkSession) -> None:
     """erf, erfc, lgamma, tgamma and the Bessel functions j0, j1 as SQL functions over Arrow batches."""
-    import numpy as np
-    import pandas as pd
-
     def vector(f):
         return lambda s: pd.Series([float("nan") if x is None or x != x else f(x) for x in s], dtype="float64")
 
@@ -195,10 +194,11 @@ def register_special(spark: SparkSession) -> None:
     def tgamma(x):
         return math.gamma(x) if x > 0 or x != math.floor(x) else float("nan")
 
-    for name, f in (("erf", vector(math.erf)), ("erfc", vector(math.erfc)), ("lgamma", vector(math.lgamma)), ("tgamma", vector(tgamma)), ("j0", bessel(0)), ("j1", bessel(1))):
-
-        def special(s: pd.Series, f=f) -> pd.Series:
+    def udf(f):
+        def special(s: pd.Series) -> pd.Series:
             return f(s)
 
-        special.__annotations__ = {"s": pd.Series, "return": pd.Series}
-        spark.udf.register(name, F.pandas_udf(special, "double"))
+        return F.pandas_udf(special, "double")
+
+    for name, f in (("erf", vector(math.erf)), ("erfc", vector(math.erfc)), ("lgamma", vector(math.lgamma)), ("tgamma", vector(tgamma)), ("j0", bessel(0)), ("j1", bessel(1))):
+        spark.udf.register(name, udf(f))

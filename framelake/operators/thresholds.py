@@ -17,9 +17,9 @@ def _value(at: Column, bins: int, half: bool = False) -> Column:
 
 
 def _sums(hist: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Adds p (share), and running and whole sums of p and of bin * p."""
+    """Adds share, and running and whole sums of shares (P) and of bin * share (M, MT)."""
     w, run = _over(by), _over(by).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    h = hist.withColumn("p", F.col("n") / F.sum("n").over(w))
+    h = hist.withColumn("share", F.col("n") / F.sum("n").over(w))
     ip = F.col("bin") * F.col("n")
     total = F.sum("n").over(w)
     return h.withColumns({"P": F.sum("n").over(run) / total, "M": F.sum(ip).over(run) / total, "MT": F.sum(ip).over(w) / total})
@@ -107,7 +107,7 @@ def huang_threshold(hist: DataFrame, by: Sequence[str] = (), bins: int = 256) ->
 def yen_threshold(hist: DataFrame, by: Sequence[str] = (), bins: int = 256) -> DataFrame:
     w, run = _over(by), _over(by).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     s = _sums(hist, by)
-    s = s.withColumns({"__q": F.sum(F.col("p") * F.col("p")).over(run), "__qt": F.sum(F.col("p") * F.col("p")).over(w)})
+    s = s.withColumns({"__q": F.sum(F.col("share") * F.col("share")).over(run), "__qt": F.sum(F.col("share") * F.col("share")).over(w)})
     rest = F.col("__qt") - F.col("__q")
     ok = (F.col("P") > 0) & (F.col("P") < 1) & (F.col("__q") > 0) & (rest > 1e-15)
     s = s.withColumn("__s", F.when(ok, F.round(2 * F.ln(F.col("P") * (1 - F.col("P"))) - F.ln(F.col("__q") * rest), 9)))

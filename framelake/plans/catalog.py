@@ -24,13 +24,21 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    from framelake.plans import queries_columns, queries_order, queries_stack, queries_stats, queries_streams, queries_tracks  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_oracle)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    from framelake.plans.queries_stack import flagship
+
+    return flagship(spark, sf_dir)

@@ -78,6 +78,8 @@ def with_views(sql: str, *names: str) -> str:
         add(name)
     head = ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in order)
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {head},\n{body[5:]}"
     return f"WITH {head}\n{body}"
