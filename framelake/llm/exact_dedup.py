@@ -65,7 +65,7 @@ class DigestIndex:
 
     def read(self) -> DataFrame:
         """The rows as plain files: a join with a skewed side then goes through an exchange that AQE can split."""
-        return self.spark.read.parquet(self.path)
+        return self.spark.read.schema(self.spark.table(self.name).schema).parquet(self.path)
 
 
 def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
