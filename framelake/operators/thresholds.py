@@ -127,7 +127,8 @@ def minimum_threshold(hist: DataFrame, by: Sequence[str] = ("frame",), bins: int
         pdf = pdf.sort_values("bin")
         h, at = pdf["n"].to_numpy(float), None
         for _ in range(rounds):
-            peaks = np.flatnonzero((h[1:-1] > h[:-2]) & (h[1:-1] > h[2:])) + 1
+            edge = np.pad(h, 1)
+            peaks = np.flatnonzero((h > edge[:-2]) & (h > edge[2:]))
             if len(peaks) < 2:
                 break
             if len(peaks) == 2:

@@ -53,7 +53,7 @@ for _n, _s in {
     "blue": _B, "green": _G, "red": _R, "gray": f"0.114e0 * {_B} + 0.587e0 * {_G} + 0.299e0 * {_R}", "min": f"least({_B}, {_G}, {_R})", "max": f"greatest({_B}, {_G}, {_R})", "avg": f"({_B} + {_G} + {_R}) / 3", "sum": f"{_B} + {_G} + {_R}",
     "sum2": f"{_B} * {_B} + {_G} * {_G} + {_R} * {_R}", "absmax": f"greatest(abs({_B}), abs({_G}), abs({_R}))", "first_nonzero": f"coalesce(nullif({_B}, 0), nullif({_G}, 0), nullif({_R}, 0))", "max_color": f"greatest({_B}, {_G}, {_R}) - least({_B}, {_G}, {_R})",
 }.items():
-    color(f"extract_channel_{_n}", lambda n=_n: px.extract_channel(n), [_s])
+    color(f"extract_channel_{_n}", lambda n=_n: px.extract_channel(n), [_s], 2 if _n == "sum2" else 6)
 color("reduce_channels", lambda: px.reduce_channels("avg"), [f"({_B} + {_G} + {_R}) / 3"])
 color("bgr2gray", lambda: sc.bgr2gray(*(F.col(c).cast("double") for c in ("v0", "v1", "v2"))), [f"0.114e0 * {_B} + 0.587e0 * {_G} + 0.299e0 * {_R}"])
 color("color_diff", lambda: [px.color_diff(k) for k in range(3)], [f"{c} - ({_B} + {_G} + {_R}) / 3" for c in (_B, _G, _R)])
@@ -129,7 +129,7 @@ for _n, _f, _s in [
     ("copysign", sc.copysign, "abs(a) * CASE WHEN b < 0 THEN -1 ELSE 1 END"), ("sinc", lambda a, b: sc.sinc(b), "CASE WHEN b = 0 THEN 1e0 ELSE sin(b) / b END"), ("gexp", lambda a, b: sc.gexp(b), "exp(-b * b / 2)"),
     ("hypot", F.hypot, "sqrt(a * a + b * b)"), ("atan2", F.atan2, "atan2(a, b)"), ("cbrt", lambda a, b: F.cbrt(b), "cbrt(b)"), ("expm1", lambda a, b: F.expm1(b), "exp(b) - 1"), ("log1p", lambda a, b: F.log1p(F.abs(a)), "ln(1 + abs(a))"),
     ("log2", lambda a, b: F.log2(F.abs(a) + 1), "log2(abs(a) + 1)"), ("sinh", lambda a, b: F.sinh(b), "(exp(b) - exp(-b)) / 2"), ("tanh", lambda a, b: F.tanh(b), "(exp(b) - exp(-b)) / (exp(b) + exp(-b))"), ("atanh", lambda a, b: F.atanh(b / 4), "ln((1 + b / 4) / (1 - b / 4)) / 2"),
-    ("logb", lambda a, b: sc.logb(F.abs(a) + 0.3).cast("double"), "floor(log2(abs(a) + 0.3e0))"), ("significand", lambda a, b: sc.significand(F.abs(a) + 0.3), "(abs(a) + 0.3e0) / pow(2e0, floor(log2(abs(a) + 0.3e0)))"),
+    ("logb", lambda a, b: sc.logb(F.abs(a) + 0.3123).cast("double"), "floor(log2(abs(a) + 0.3123e0))"), ("significand", lambda a, b: sc.significand(F.abs(a) + 0.3123), "(abs(a) + 0.3123e0) / pow(2e0, floor(log2(abs(a) + 0.3123e0)))"),
     ("remainder", lambda a, b: sc.remainder(a, F.lit(2.0)), "a - 2 * round_even(a / 2, 0)"), ("wrap_0_2pi", lambda a, b: sc.wrap_0_2pi(a), f"a - {_TAU} * floor(a / {_TAU})"), ("wrap_pi", lambda a, b: sc.wrap_pi(a), f"pi() - ((pi() - a) - {_TAU} * floor((pi() - a) / {_TAU}))"),
     ("short_angle", sc.short_angle, f"pi() - ((pi() - (b - a)) - {_TAU} * floor((pi() - (b - a)) / {_TAU}))"), ("linint", lambda a, b: sc.linint(a, F.lit(0.0), F.lit(2.0), b, F.lit(5.0)), "b + a * (5 - b) / 2"),
     ("bit_and", sc.bit_and, "CAST((CAST(trunc(a) AS BIGINT) & 4294967295) & (CAST(trunc(b) AS BIGINT) & 4294967295) AS DOUBLE)"), ("bit_or", sc.bit_or, "CAST((CAST(trunc(a) AS BIGINT) & 4294967295) | (CAST(trunc(b) AS BIGINT) & 4294967295) AS DOUBLE)"),
