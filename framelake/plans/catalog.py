@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from framelake.plans import queries_columns, queries_order, queries_stack, queries_stats, queries_streams, queries_tracks  # noqa: F401
+    from framelake.plans import queries_columns, queries_files, queries_order, queries_stack, queries_stats, queries_streams, queries_tracks  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
