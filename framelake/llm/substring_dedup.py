@@ -8,10 +8,11 @@ window, so equal windows always meet:
    they are counted with partial aggregation and dropped by a join that AQE may split.
 2. Runs of windows with the same minimizer become segments (the words of the run). Minimizers that very many
    documents have give a segment for each window, dealt out by the window's own hash.
-3. Equal segments are merged, so copies of any number are indexed once, with their smallest doc_id.
+3. Equal segments are merged within each batch of documents and again in their shard, so copies of any number
+   are indexed once, with their smallest doc_id.
 4. Each shard (a bounded number of segments) sorts its suffixes by `width` words, takes the Burrows-Wheeler
-   transform, and stores it as a wavelet matrix of packed bits with rank counts. Backward search extends every
-   window of the shard word by word; a match that has shrunk to one place before the threshold is its own and is
+   transform, and stores it as a wavelet matrix of packed bits with rank counts. Backward search starts from the
+   interval of a window's last words (a table of the intervals of shorter patterns) and extends it word by word; a match that has shrunk to one place before the threshold is its own and is
    given up; for the rest the smallest document of the interval is reported.
 5. The reports are joined back to the segments' documents, and each document drops what is covered.
 
@@ -24,6 +25,7 @@ Rows that repeat a doc_id are the same document: none of them covers the others;
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,9 +37,10 @@ from pyspark.sql import types as T
 from framelake.llm._shared import cut
 
 WIDTH, GROUP = 13, 5
-#: Documents beyond which a minimizer's windows are dealt out one by one, segments of a shard, windows of a segment, bytes worked on at once.
-HOT, SHARD, RUN, BYTES = 20_000, 100_000, 64, 1 << 20
+#: Documents beyond which a minimizer's windows are dealt out one by one, documents to a shard (each gives some dozens of segments), windows of a segment, bytes worked on at once.
+HOT, SHARD, RUN, BYTES = 20_000, 4000, 64, 1 << 20
 
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -80,7 +83,7 @@ class Words:
         self.hash = _mix((sums[self.ends] - sums[self.starts]) * powers[1, self.starts])
 
     def windows(self, width: int, group: int) -> tuple[np.ndarray, np.ndarray]:
-        """Where windows start (within one text), and their minimizers."""
+        """Where windows start (within one text), and their minimizers (48 bits)."""
         n = len(self.hash)
         if n < width:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -93,7 +96,7 @@ class Words:
             h = np.minimum(h[:-step], h[step:])
             have += step
         at = np.flatnonzero(self.of[: n - width + 1] == self.of[width - 1 :])
-        return at, h[at]
+        return at, h[at] >> np.uint64(16)
 
 
 def _chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
@@ -123,12 +126,12 @@ def _runs(of: np.ndarray, at: np.ndarray, least: np.ndarray) -> tuple[np.ndarray
 
 
 def minimizers(rows: DataFrame, width: int, group: int) -> DataFrame:
-    """rows: doc_id, row, text. h, doc_id, row for the distinct minimizers of each row."""
-    schema = T.StructType([T.StructField("h", T.LongType(), False), rows.schema["doc_id"], rows.schema["row"]])
+    """rows: doc_id, text. h, doc_id for the distinct minimizers of each row."""
+    schema = T.StructType([T.StructField("h", T.LongType(), False), rows.schema["doc_id"]])
 
     def run(batches):
         for batch in batches:
-            for k, texts in _chunks(_utf8(batch.column(2))):
+            for k, texts in _chunks(_utf8(batch.column(1))):
                 words = Words(texts)
                 at, least = words.windows(width, group)
                 if not len(at):
@@ -138,57 +141,118 @@ def minimizers(rows: DataFrame, width: int, group: int) -> DataFrame:
                 order = np.lexsort((h, owner))
                 owner, h = owner[order], h[order]
                 new = np.append(True, (owner[1:] != owner[:-1]) | (h[1:] != h[:-1]))
-                which = pa.array(owner[new] + k)
-                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), batch.column(0).take(which), batch.column(1).take(which)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), batch.column(0).take(pa.array(owner[new] + k))], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
-def segments(rows: DataFrame, width: int, group: int) -> DataFrame:
-    """rows: doc_id, row, text, hits (array of h, hot). doc_id, row, start (word of the first window), n (windows), seg (digest), deal, words."""
-    import xxhash
+def packed(docs: DataFrame, text_col: str) -> DataFrame:
+    """docs with the text as a compressed binary column of the same name: what a shuffle writes shrinks to two thirds."""
+    schema = T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == text_col else f for f in docs.schema.fields])
+    place = docs.columns.index(text_col)
 
-    fields = [T.StructField(n, t, False) for n, t in (("start", T.IntegerType()), ("n", T.IntegerType()), ("seg", T.BinaryType()), ("deal", T.LongType()), ("words", T.BinaryType()))]
-    schema = T.StructType([rows.schema["doc_id"], rows.schema["row"], *fields])
+    def run(batches):
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            columns = batch.columns
+            columns[place] = pa.array([None if x is None else pack(x) for x in columns[place].cast(pa.binary()).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _unpack(column: pa.Array) -> list[bytes | None]:
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [None if x is None else unpack(x) for x in column.to_pylist()]
+
+
+def _blob(parts: list[bytes], least: list[int], most: list[int]) -> bytes:
+    """Some segments of a shard, compressed together."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.array([len(parts), *least, *most], "<i8").tobytes() + b"\n".join(parts))
+
+
+def _unblob(blob: bytes) -> Iterator[tuple[bytes, int, int]]:
+    import zstandard
+
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    n = int(np.frombuffer(data, "<i8", 1)[0])
+    numbers = np.frombuffer(data, "<i8", 2 * n, 8).tolist()
+    return zip(data[8 + 16 * n :].split(b"\n"), numbers[:n], numbers[n:], strict=True)
+
+
+def segments(rows: DataFrame, width: int, group: int, shards: int) -> DataFrame:
+    """rows: doc_id, row, text (packed), hits (array of h, hot). Two kinds of rows.
+
+    Where segments are: doc_id, row, start (word of the first window), seg (digest). What they are, each once for a
+    batch of documents and those of a shard together: shard, blob (words, smallest and largest doc_id).
+    """
+    fields = [("doc_id", T.LongType()), ("row", T.LongType()), ("start", T.IntegerType()), ("seg", T.BinaryType()), ("shard", T.LongType()), ("blob", T.BinaryType())]
+    schema = T.StructType([T.StructField(n, t) for n, t in fields])
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary())
 
     def run(batches):
+        import xxhash
+
         for batch in batches:
-            hits = batch.column(3)
+            hits, seen = batch.column(3), {}
+            ids, row = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             keys, hot = hits.values.field(0).to_numpy(zero_copy_only=False), hits.values.field(1).to_numpy(zero_copy_only=False)
             bounds = hits.offsets.to_numpy()
-            for k, texts in _chunks(_utf8(batch.column(2))):
+            for k, texts in _chunks([x or b"" for x in _unpack(batch.column(2))]):
                 words = Words(texts)
                 at, least = words.windows(width, group)
-                if not len(at):
-                    continue
                 here = slice(bounds[k], bounds[k + len(texts)])
-                known, found_hot = keys[here].view(np.uint64), hot[here]
-                owner = np.repeat(np.arange(len(texts)), np.diff(bounds[k : k + len(texts) + 1]))
-                order = np.lexsort((known, owner))
-                pair = _mix(known[order] ^ _mix(owner[order].astype(np.uint64)))
-                by = np.argsort(pair)
-                pair, is_hot = pair[by], found_hot[order][by]
+                if not len(at) or here.start == here.stop:
+                    continue
+                # A pair of document and minimizer is one number; two that fall together only bring a segment too many.
+                owner = np.repeat(np.arange(len(texts)), np.diff(bounds[k : k + len(texts) + 1])).astype(np.uint64)
+                pair = _mix(keys[here].view(np.uint64) ^ _mix(owner))
+                order = np.argsort(pair)
+                pair, is_hot = pair[order], hot[here][order]
                 want = _mix(least ^ _mix(words.of[at].astype(np.uint64)))
-                place = np.minimum(np.searchsorted(pair, want), max(len(pair) - 1, 0))
-                mine = pair[place] == want if len(pair) else np.zeros(len(at), bool)
-                at, least, spread = at[mine], least[mine], is_hot[place[mine]] if len(pair) else mine[:0]
+                place = np.minimum(np.searchsorted(pair, want), len(pair) - 1)
+                mine = pair[place] == want
+                at, least, spread = at[mine], least[mine], is_hot[place[mine]]
                 if not len(at):
                     continue
                 first, end = _runs(words.of, at, least)
-                out = [[], [], [], [], [], []]
-                data, starts, ends = words.data, words.starts.tolist(), words.ends.tolist()
-                base = np.searchsorted(words.of, np.arange(len(texts)))
+                data, starts, ends, of = words.data, words.starts.tolist(), words.ends.tolist(), words.of[at].tolist()
+                base = np.searchsorted(words.of, np.arange(len(texts))).tolist()
+                out = []
                 for a, b in zip(first.tolist(), end.tolist(), strict=True):
-                    s, who, split = int(at[a]), int(words.of[at[a]]), bool(spread[a])
+                    s, who, split = int(at[a]), of[a], bool(spread[a])
+                    doc = ids[who + k]
                     for x, n in [(s + j, 1) for j in range(b - a)] if split else [(s, b - a)]:
                         text = b" ".join(data[starts[x] : ends[x + n + width - 2]].split())
                         seg = xxhash.xxh3_128_digest(text)
-                        deal = int.from_bytes(seg[:8], "little", signed=True) if split else int(least[a].view(np.int64))
-                        for column, value in zip(out, (who + k, x - int(base[who]), n, seg, deal, text), strict=True):
-                            column.append(value)
-                which = pa.array(out[0])
-                kinds = (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), *(pa.array(c, t) for c, t in zip(out[1:], kinds, strict=True))], names=schema.names)
+                        out.append((doc, row[who + k], x - base[who], seg))
+                        known = seen.get(seg)
+                        if known is None:
+                            seen[seg] = [text, int.from_bytes(seg[:8], "little") if split else int(least[a]), doc, doc]
+                        elif doc < known[2]:
+                            known[2] = doc
+                        elif doc > known[3]:
+                            known[3] = doc
+                columns = [*zip(*out, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, kinds, strict=False)), *(pa.nulls(len(out), t) for t in kinds[4:])], names=schema.names)
+            if not seen:
+                continue
+            found = list(seen.values())
+            shard = (_mix(np.array([v[1] for v in found], np.uint64)) % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            cuts = np.flatnonzero(np.append(True, np.diff(shard[order]) != 0)).tolist()
+            out = [[], []]
+            for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+                some = [found[k] for k in order[a:b].tolist()]
+                out[0].append(int(shard[order[a]]))
+                out[1].append(_blob([v[0] for v in some], [v[2] for v in some], [v[3] for v in some]))
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(out[0]), t) for t in kinds[:4]), *(pa.array(c, t) for c, t in zip(out, kinds[4:], strict=True))], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -224,16 +288,19 @@ class FMIndex:
     def __init__(self, text: np.ndarray, owners: np.ndarray, width: int):
         """text: 0 ends each part. owners: of each place."""
         n, rank, have = len(text), text.astype(np.int64), 1
+        order = np.argsort(rank)
+        self.seed, seed_rank = 1, rank
         pad = lambda x, k: np.concatenate([x[k:], np.zeros(min(k, len(x)), x.dtype)])
         while have < width:
+            self.seed, seed_rank = have, rank
             step = min(have, width - have)
             pair = rank * (int(rank.max()) + 1) + pad(rank, step)
-            order = np.argsort(pair, kind="stable")
+            order = np.argsort(pair)
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(np.append(False, pair[order][1:] != pair[order][:-1]))
             have += step
-        if width == 1:
-            order = np.argsort(rank, kind="stable")
+        # Intervals of the patterns of `seed` numbers that occur: what a search starts from.
+        self.seed_rank, self.seed_first = seed_rank, np.concatenate([[0], np.cumsum(np.bincount(seed_rank))])
         self.owners = np.append(owners[order], owners.max(initial=0))
         before = text[order - 1]
         self.levels = max(int(text.max()).bit_length(), 1)
@@ -267,9 +334,9 @@ def least_documents(parts: list[bytes], docs: np.ndarray, width: int) -> list[np
     begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     where = np.repeat(begin - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(int(lengths.sum()))
     found = np.repeat(docs, lengths)
-    live, last = np.arange(len(where)), text[where + width - 1]
-    low, high = index.first[last], index.first[last + 1]
-    for k in range(width - 2, -1, -1):
+    live, tail = np.arange(len(where)), index.seed_rank[where + width - index.seed]
+    low, high = index.seed_first[tail], index.seed_first[tail + 1]
+    for k in range(width - index.seed - 1, -1, -1):
         more = high - low > 1
         live, low, high = live[more], low[more], high[more]
         low, high = index.step(text[where[live] + k], low, high)
@@ -278,40 +345,53 @@ def least_documents(parts: list[bytes], docs: np.ndarray, width: int) -> list[np
     return np.split(found, np.cumsum(lengths)[:-1])
 
 
-def _shards(parts: DataFrame, width: int) -> DataFrame:
-    """parts: seg, words, least, most, dealt out to shards by partition. seg, least_docs for the segments in which some document loses a window."""
+def _shards(blobs: DataFrame, width: int) -> DataFrame:
+    """blobs: shard, blob, those of a shard together in one partition. seg, least_docs for the segments in which some document loses a window."""
     schema = "seg binary, least_docs array<bigint>"
 
-    def run(batches):
-        batches = list(batches)  # one shard
-        if not (n := sum(b.num_rows for b in batches)):
-            return
-        rows = pa.Table.from_batches(batches)
-        seg, words = rows.column(0).to_pylist(), rows.column(1).to_pylist()
-        least, most = (rows.column(k).to_numpy() for k in (2, 3))
-        del batches, rows
-        found = least_documents(words, least, width)
-        loses = [k for k in range(n) if found[k].min() < most[k]]
+    def report(merged: dict[bytes, list[int]]):
+        import xxhash
+
+        words = list(merged)
+        found = least_documents(words, np.array([v[0] for v in merged.values()]), width)
+        loses = [k for k, v in enumerate(merged.values()) if found[k].min() < v[1]]
         for at in range(0, len(loses), 4096):
             some = loses[at : at + 4096]
             offsets = np.cumsum([0, *(len(found[k]) for k in some)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array([seg[k] for k in some], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([found[k] for k in some])))], names=["seg", "least_docs"])
+            segs = [xxhash.xxh3_128_digest(words[k]) for k in some]
+            yield pa.RecordBatch.from_arrays([pa.array(segs, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([found[k] for k in some])))], names=["seg", "least_docs"])
 
-    return parts.mapInArrow(run, schema)
+    def run(batches):
+        now, merged = None, {}
+        for batch in batches:
+            for shard, blob in zip(batch.column(0), batch.column(1), strict=True):
+                if shard.as_py() != now:
+                    if merged:
+                        yield from report(merged)
+                    now, merged = shard.as_py(), {}
+                for text, low, high in _unblob(blob.as_py()):
+                    known = merged.get(text)
+                    if known is None:
+                        merged[text] = [low, high]
+                    else:
+                        known[:] = min(known[0], low), max(known[1], high)
+        if merged:
+            yield from report(merged)
+
+    return blobs.mapInArrow(run, schema)
 
 
 def covered_windows(docs: DataFrame, width: int = WIDTH, group: int = GROUP, hot: int = HOT, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, row (hash of the text), windows: the words at which a row's windows that an earlier document holds begin."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull())
-    least = minimizers(rows, width, group)
-    shared = least.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select("h", (F.col("n") > hot).alias("hot"))
-    hits = least.join(shared, "h").groupBy("doc_id", "row").agg(F.collect_list(F.struct("h", "hot")).alias("hits"))
-    once = rows.join(hits, ["doc_id", "row"]).select("doc_id", "row", "text", "hits")
-    pieces = cut(segments(once, width, group), "segments")
-    merged = pieces.groupBy("seg").agg(F.first("words").alias("words"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("deal").alias("deal"))
-    n = max(1, -(-pieces.count() // shard))
-    reports = _shards(merged.repartition(n, "deal").select("seg", "words", "least", "most"), width)
-    lost = pieces.select("doc_id", "row", "start", "seg").join(reports, "seg")
+    least = minimizers(rows.select("doc_id", "text"), width, group)
+    shared = least.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", (F.col("n") > hot).alias("hot"))
+    hits = least.join(shared, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "hot")).alias("hits"))
+    once = packed(rows, "text").join(hits, "doc_id").select("doc_id", "row", "text", "hits")
+    shards = max(1, -(-rows.count() // shard))
+    pieces = cut(segments(once, width, group, shards), "segments")
+    blobs = pieces.where(F.col("blob").isNotNull()).select("shard", "blob").repartition(shards, "shard").sortWithinPartitions("shard")
+    lost = pieces.where(F.col("doc_id").isNotNull()).select("doc_id", "row", "start", "seg").join(_shards(blobs, width), "seg")
     begins = F.filter(F.transform("least_docs", lambda d, k: F.when(d < F.col("doc_id"), F.col("start") + k)), lambda x: x.isNotNull())
     return lost.select("doc_id", "row", begins.alias("w")).where(F.size("w") > 0).groupBy("doc_id", "row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("w")))).alias("windows"))
 
@@ -325,27 +405,26 @@ def _without(text: bytes, begins: np.ndarray, width: int) -> tuple[int, int, byt
     np.add.at(change, begins, 1)
     np.add.at(change, begins + width, -1)
     keep = np.cumsum(change[:-1]) == 0
-    at = Words([text])
-    follow = np.append(at.starts[1:], len(text))
-    head = text[: at.starts[0]] if keep[0] else b""
-    left = head + b"".join(text[a:b] for a, b in zip(at.starts[keep].tolist(), follow[keep].tolist(), strict=True))
+    starts = [m.start() for m in _WORD.finditer(text)]
+    head = text[: starts[0]] if keep[0] else b""
+    left = head + b"".join(text[a:b] for a, b, k in zip(starts, [*starts[1:], len(text)], keep.tolist(), strict=True) if k)
     return len(words), int(len(words) - keep.sum()), b" ".join(w for w, k in zip(words, keep.tolist(), strict=True) if k), left
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """All columns of docs, the text without what earlier documents hold, and __n_words, __n_removed, __kept_sha256."""
     covered = covered_windows(docs, width, id_col=id_col, text_col=text_col, **options)
-    joined = docs.withColumn("__row", F.xxhash64(text_col)).join(
+    keyed = packed(docs.withColumn("__row", F.xxhash64(text_col)), text_col)
+    joined = keyed.join(
         covered.select(F.col("doc_id").alias("__doc"), F.col("row").alias("__hash"), F.col("windows").alias("__windows")), (F.col(id_col) == F.col("__doc")) & (F.col("__row") == F.col("__hash")), "left"
-    ).select(*[docs[c] for c in docs.columns], "__windows")
+    ).select(*docs.columns, "__windows")
     fields = [T.StructField(n, t, False) for n, t in (("__n_words", T.LongType()), ("__n_removed", T.LongType()), ("__kept_sha256", T.StringType()))]
     schema, place = T.StructType([*docs.schema.fields, *fields]), docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
             n, gone, digests, texts = [], [], [], []
-            for text, begins in zip(batch.column(place).cast(pa.binary()), batch.column(batch.num_columns - 1), strict=True):
-                text = text.as_py()
+            for text, begins in zip(_unpack(batch.column(place)), batch.column(batch.num_columns - 1), strict=True):
                 a, b, kept, left = _without(text or b"", begins.values.to_numpy(zero_copy_only=False).astype(np.int64) if begins.is_valid else np.zeros(0, np.int64), width)
                 n.append(a)
                 gone.append(b)
