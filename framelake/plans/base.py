@@ -18,8 +18,12 @@ def reg(name: str, views: str | Sequence[str], f: Callable[[Views], DataFrame],
 
 
 def r(x: Column | str, digits: int = 6) -> Column:
-    """Rounded: the last digit of a transcendental differs between engines."""
-    return F.round(F.col(x) if isinstance(x, str) else x, digits)
+    """Rounded, as the last digit of a transcendental differs between engines: half away from zero in doubles, which
+    both engines compute alike where F.round goes by the decimal expansion."""
+    x = (F.col(x) if isinstance(x, str) else x).cast("double")
+    y = F.abs(x) * 10.0**digits
+    whole = F.when(y >= 2.0**52, y).otherwise(F.floor(y + 0.5).cast("double"))
+    return F.when(x < 0, -1.0).otherwise(1.0) * whole / 10.0**digits
 
 
 def rounded(df: DataFrame, digits: int = 6, *names: str) -> DataFrame:

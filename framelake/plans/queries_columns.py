@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from framelake.functions import geometry as geo
 from framelake.functions import pixels as px
 from framelake.functions import scalar as sc
+from framelake.functions.formula import formula
 from framelake.operators import joins, lidar, select
 from framelake.plans.base import r, reg, rounded
 
@@ -53,7 +54,7 @@ for _n, _s in {
     "blue": _B, "green": _G, "red": _R, "gray": f"0.114e0 * {_B} + 0.587e0 * {_G} + 0.299e0 * {_R}", "min": f"least({_B}, {_G}, {_R})", "max": f"greatest({_B}, {_G}, {_R})", "avg": f"({_B} + {_G} + {_R}) / 3", "sum": f"{_B} + {_G} + {_R}",
     "sum2": f"{_B} * {_B} + {_G} * {_G} + {_R} * {_R}", "absmax": f"greatest(abs({_B}), abs({_G}), abs({_R}))", "first_nonzero": f"coalesce(nullif({_B}, 0), nullif({_G}, 0), nullif({_R}, 0))", "max_color": f"greatest({_B}, {_G}, {_R}) - least({_B}, {_G}, {_R})",
 }.items():
-    color(f"extract_channel_{_n}", lambda n=_n: px.extract_channel(n), [_s], 2 if _n == "sum2" else 6)
+    color(f"extract_channel_{_n}", lambda n=_n: px.extract_channel(n), [_s], 1 if _n == "sum2" else 6)
 color("reduce_channels", lambda: px.reduce_channels("avg"), [f"({_B} + {_G} + {_R}) / 3"])
 color("bgr2gray", lambda: sc.bgr2gray(*(F.col(c).cast("double") for c in ("v0", "v1", "v2"))), [f"0.114e0 * {_B} + 0.587e0 * {_G} + 0.299e0 * {_R}"])
 color("color_diff", lambda: [px.color_diff(k) for k in range(3)], [f"{c} - ({_B} + {_G} + {_R}) / 3" for c in (_B, _G, _R)])
@@ -235,3 +236,7 @@ reg("project_to_points", "lidar_points", lambda v: lidar.project_to_points(geo.r
     f"WITH b AS (SELECT *, {_BIN.replace('720', '90')} AS r FROM lidar_points), n AS (SELECT frame, r, laser_ring, count(*) AS n FROM b WHERE distance > 0 GROUP BY ALL) SELECT pid, n FROM b LEFT JOIN n USING (frame, r, laser_ring)")
 reg("laser_corrections", "lidar_points", lambda v: rounded(lidar.laser_corrections(v("lidar_points").withColumnRenamed("laser_ring", "laser_id"), v("lidar_points").select(F.col("laser_ring").alias("laser_id")).distinct().select("laser_id", F.col("laser_id").alias("ring"), (F.col("laser_id") / 100.0).alias("rot_corr"), (F.col("laser_id") / 50.0 - 0.15).alias("vert_corr"))).select("pid", "ring", "azimuth", "elevation")),
     "SELECT pid, laser_ring AS ring, round(a - 2 * pi() * floor(a / (2 * pi())), 6) AS azimuth, round(laser_ring / 50e0 - 0.15e0, 6) AS elevation FROM (SELECT *, azimuth - laser_ring / 100e0 AS a FROM lidar_points)")
+reg("formula_functions", "signal", lambda v: formula(v("signal").selectExpr("id", "(CAST(v AS DOUBLE) - 50) / 7 AS a", "CAST(id % 23 - 11 AS DOUBLE) / 3 AS b"), "sinc(b) + gexp(b) * lwrap(a) - shortdist(a, b) + fdim(a, b) + fma(a, b, 2) + choose(b, copysign(a, b), exp2(b)) + bgr2gray(a, b, 1)", "out").select("id", r("out").alias("out")),
+    """WITH s AS (SELECT id, (CAST(v AS DOUBLE) - 50) / 7 AS a, CAST(id % 23 - 11 AS DOUBLE) / 3 AS b FROM signal)
+       SELECT id, round(CASE WHEN b = 0 THEN 1 ELSE sin(b) / b END + exp(-b * b / 2) * (a - 2 * pi() * floor(a / (2 * pi()))) - (pi() - ((pi() - (b - a)) - 2 * pi() * floor((pi() - (b - a)) / (2 * pi())))) + greatest(a - b, 0e0) + (a * b + 2)
+       + CASE WHEN b <> 0 THEN abs(a) * CASE WHEN b < 0 THEN -1 ELSE 1 END ELSE pow(2e0, b) END + (0.114e0 * a + 0.587e0 * b + 0.299e0), 6) AS out FROM s""")

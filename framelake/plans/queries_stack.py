@@ -64,11 +64,11 @@ reg("canvas_average", "pixels", lambda v: rounded(stack.canvas_average(v("pixels
     f"WITH {_OFFSETS} SELECT y + dy + 10 AS cy, x + dx + 12 AS cx, round({_MEAN}, 6) AS mean, count(*) AS n FROM pixels JOIN offsets USING (frame) WHERE y + dy + 10 BETWEEN 0 AND 59 AND x + dx + 12 BETWEEN 0 AND 74 GROUP BY 1, 2")
 _COLOR = "CASE (y % 2) * 2 + x % 2 WHEN 0 THEN 'R' WHEN 1 THEN 'G' WHEN 2 THEN 'G' ELSE 'B' END"
 reg("bayer_average", "pixels", lambda v: rounded(stack.bayer_average(v("pixels"))), f"SELECT y, x, {_COLOR} AS color, round({_MEAN}, 6) AS mean, count(v) AS n FROM pixels GROUP BY y, x, color")
-reg("bayer_drizzle", "pixels", lambda v: rounded(stack.bayer_drizzle(v("pixels"), v("pixels").select("frame", (F.col("frame") % 4 / F.lit(4.0)).alias("dx"), (F.col("frame") % 2 / F.lit(2.0)).alias("dy")).distinct()), 7),
-    f"""WITH m AS (SELECT {_COLOR} AS color, v, x + (frame % 4) / 4e0 AS fx, y + (frame % 2) / 2e0 AS fy FROM pixels),
+reg("bayer_drizzle", "pixels", lambda v: rounded(stack.bayer_drizzle(v("pixels").withColumn("v", F.col("v").cast("double") / 7), v("pixels").select("frame", (F.col("frame") % 4 / F.lit(4.0)).alias("dx"), (F.col("frame") % 2 / F.lit(2.0)).alias("dy")).distinct()), 6),
+    f"""WITH m AS (SELECT {_COLOR} AS color, CAST(v AS DOUBLE) / 7 AS v, x + (frame % 4) / 4e0 AS fx, y + (frame % 2) / 2e0 AS fy FROM pixels),
         s AS (SELECT color, CAST(v AS DOUBLE) AS v, CAST(floor(fy) AS BIGINT) + a AS y, CAST(floor(fx) AS BIGINT) + b AS x, (CASE a WHEN 1 THEN fy - floor(fy) ELSE 1 - (fy - floor(fy)) END) * (CASE b WHEN 1 THEN fx - floor(fx) ELSE 1 - (fx - floor(fx)) END) AS w
               FROM m, (VALUES (0), (1)) p(a), (VALUES (0), (1)) q(b))
-        SELECT y, x, color, round(sum(v * w) / sum(w), 7) AS mean, round(sum(w), 7) AS weight FROM s WHERE w > 0 GROUP BY y, x, color""")
+        SELECT y, x, color, round(sum(v * w) / sum(w), 6) AS mean, round(sum(w), 6) AS weight FROM s WHERE w > 0 GROUP BY y, x, color""")
 _DETAIL = "d AS (SELECT *, CAST(v AS DOUBLE) - CAST(sum(v) OVER b AS DOUBLE) / count(v) OVER b AS detail FROM pixels WINDOW b AS (PARTITION BY frame, y // 4, x // 4))"
 reg("focus_stack_max_energy", "pixels", lambda v: rounded(stack.focus_stack_max_energy(stack.detail(v("pixels")).withColumn("detail", F.round("detail", 6)))),
     f"WITH {_DETAIL} SELECT y, x, CAST(arg_max(v, (abs(round(detail, 6)), -frame)) AS DOUBLE) AS v, arg_max(frame, (abs(round(detail, 6)), -frame)) AS frame FROM d GROUP BY y, x")
