@@ -25,8 +25,8 @@ reg("exclude_bad_frames", "samples badframes", lambda v: src.exclude_bad_frames(
 reg("frame_slice", "samples", lambda v: src.frame_slice(v("samples"), 5, 10).groupBy("frame").agg(F.count(F.lit(1)).alias("n")),
     "SELECT frame, count(*) AS n FROM samples WHERE frame BETWEEN 5 AND 14 GROUP BY frame")
 _SUFFIX = "['ser', 'AVI', 'fits', 'tif', 'pcap', 'gpx', 'bin', 'nef', 'txt', 'parquet']"
-_NAMES = F.concat_ws("", F.lit("/data/"), F.col("source"), F.lit("/f"), F.col("doc_id").cast("string"), F.lit("."), F.element_at(F.array(*map(F.lit, ("ser", "AVI", "fits", "tif", "pcap", "gpx", "bin", "nef", "txt", "parquet"))), (F.col("doc_id") % 10 + 1).cast("int")))
-reg("source_kind", "sources", lambda v: v("documents").select("doc_id", _NAMES.alias("path")).withColumn("kind", src.source_kind("path")),
+_NAMES = lambda: F.concat_ws("", F.lit("/data/"), F.col("source"), F.lit("/f"), F.col("doc_id").cast("string"), F.lit("."), F.element_at(F.array(*map(F.lit, ("ser", "AVI", "fits", "tif", "pcap", "gpx", "bin", "nef", "txt", "parquet"))), (F.col("doc_id") % 10 + 1).cast("int")))
+reg("source_kind", "sources", lambda v: v("documents").select("doc_id", _NAMES().alias("path")).withColumn("kind", src.source_kind("path")),
     f"""SELECT doc_id, '/data/' || source || '/f' || doc_id || '.' || {_SUFFIX}[CAST(doc_id % 10 AS INT) + 1] AS path,
         ['ser', 'video', 'fits', 'image', 'lidar', 'track', 'cloud', 'raw', 'unknown', 'table'][CAST(doc_id % 10 AS INT) + 1] AS kind FROM documents""")
 reg("timestamp_from_filename", "sources", lambda v: v("events").select("event_id", F.concat_ws("", F.lit("/cap/x-"), F.date_format("ts", "yyyyMMdd_HHmmss"), F.lit("_GMT.ser")).alias("path")).select("event_id", F.unix_timestamp(src.timestamp_from_filename("path")).alias("t")),
