@@ -26,7 +26,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from array import array
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,8 @@ from pyspark.sql import types as T
 from framelake.llm._shared import cut
 
 WIDTH, GROUP = 13, 5
-#: Documents beyond which a minimizer's windows are dealt out one by one, documents to a shard (each gives some dozens of segments), windows of a segment, bytes worked on at once.
-HOT, SHARD, RUN, BYTES = 20_000, 4000, 64, 1 << 20
+#: Documents beyond which a minimizer's windows are dealt out one by one, documents to a shard (each gives some dozens of segments), windows of a segment, bytes worked on at once, tasks over all shards (beyond that, a task takes its shards one after another).
+HOT, SHARD, RUN, BYTES, TASKS = 20_000, 4000, 64, 1 << 20, 20_000
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _SPACE = np.zeros(256, bool)
@@ -99,20 +101,21 @@ class Words:
         return at, h[at] >> np.uint64(16)
 
 
-def _chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """Neighbouring texts of about BYTES together, and the index of the first."""
-    first, size = 0, 0
+def _chunks(texts: Iterable[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """Neighbouring texts of about BYTES together, and the index of the first. Of a batch, no more than that is held at once."""
+    first, some, size = 0, [], 0
     for k, t in enumerate(texts):
         if size and size + len(t) > BYTES:
-            yield first, texts[first:k]
-            first, size = k, 0
+            yield first, some
+            first, some, size = k, [], 0
+        some.append(t)
         size += len(t) + 1
-    if size:
-        yield first, texts[first:]
+    if some:
+        yield first, some
 
 
-def _utf8(column: pa.Array) -> list[bytes]:
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+def _utf8(column: pa.Array) -> Iterator[bytes]:
+    return (x.as_py() or b"" for x in column.cast(pa.binary()))
 
 
 def _runs(of: np.ndarray, at: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,17 +160,17 @@ def packed(docs: DataFrame, text_col: str) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             columns = batch.columns
-            columns[place] = pa.array([None if x is None else pack(x) for x in columns[place].cast(pa.binary()).to_pylist()], pa.binary())
+            columns[place] = pa.array((pack(x.as_py()) if x.is_valid else None for x in columns[place].cast(pa.binary())), pa.binary())
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
-def _unpack(column: pa.Array) -> list[bytes | None]:
+def _unpack(column: pa.Array) -> Iterator[bytes | None]:
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
-    return [None if x is None else unpack(x) for x in column.to_pylist()]
+    return (unpack(x.as_py()) if x.is_valid else None for x in column)
 
 
 def _blob(parts: list[bytes], least: list[int], most: list[int]) -> bytes:
@@ -204,7 +207,7 @@ def segments(rows: DataFrame, width: int, group: int, shards: int) -> DataFrame:
             ids, row = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             keys, hot = hits.values.field(0).to_numpy(zero_copy_only=False), hits.values.field(1).to_numpy(zero_copy_only=False)
             bounds = hits.offsets.to_numpy()
-            for k, texts in _chunks([x or b"" for x in _unpack(batch.column(2))]):
+            for k, texts in _chunks(x or b"" for x in _unpack(batch.column(2))):
                 words = Words(texts)
                 at, least = words.windows(width, group)
                 here = slice(bounds[k], bounds[k + len(texts)])
@@ -324,10 +327,14 @@ class FMIndex:
 
 def least_documents(parts: list[bytes], docs: np.ndarray, width: int) -> list[np.ndarray]:
     """For each window of each part (words joined by spaces), the least document whose parts hold it."""
-    numbers: dict[bytes, int] = {}
-    split = [p.split() for p in parts]
-    sizes = np.array([len(w) for w in split])
-    text = np.fromiter((x for w in split for x in (*(numbers.setdefault(v, len(numbers) + 1) for v in w), 0)), np.int64, int(sizes.sum()) + len(parts))
+    numbers: dict[bytes, int] = defaultdict(lambda: len(numbers) + 1)
+    numbered, ends = array("q"), []
+    for part in parts:
+        numbered.extend(map(numbers.__getitem__, part.split()))
+        numbered.append(0)
+        ends.append(len(numbered))
+    del numbers
+    text, sizes = np.frombuffer(numbered, np.int64), np.diff(ends, prepend=0) - 1
     owner = np.repeat(docs, sizes + 1)
     index = FMIndex(text, owner, width)
     lengths = sizes - width + 1
@@ -390,7 +397,7 @@ def covered_windows(docs: DataFrame, width: int = WIDTH, group: int = GROUP, hot
     once = packed(rows, "text").join(hits, "doc_id").select("doc_id", "row", "text", "hits")
     shards = max(1, -(-rows.count() // shard))
     pieces = cut(segments(once, width, group, shards), "segments")
-    blobs = pieces.where(F.col("blob").isNotNull()).select("shard", "blob").repartition(shards, "shard").sortWithinPartitions("shard")
+    blobs = pieces.where(F.col("blob").isNotNull()).select("shard", "blob").repartition(min(shards, TASKS), "shard").sortWithinPartitions("shard")
     lost = pieces.where(F.col("doc_id").isNotNull()).select("doc_id", "row", "start", "seg").join(_shards(blobs, width), "seg")
     begins = F.filter(F.transform("least_docs", lambda d, k: F.when(d < F.col("doc_id"), F.col("start") + k)), lambda x: x.isNotNull())
     return lost.select("doc_id", "row", begins.alias("w")).where(F.size("w") > 0).groupBy("doc_id", "row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("w")))).alias("windows"))
