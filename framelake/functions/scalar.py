@@ -182,14 +182,45 @@ def register(name: str):
     return add
 
 
+def bessel(n: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bessel functions of the first and second kind of order n (0 or 1): their integrals up to 25, Hankel's expansion beyond.
+
+    The second kind is -infinity at 0 and NaN below.
+    """
+    size, first, second = np.abs(x), np.full(len(x), np.nan), np.full(len(x), np.nan)
+    nodes, weights = np.polynomial.legendre.leggauss(200)
+    nodes, weights = (nodes + 1) / 2, weights / 2
+    t = np.pi * nodes
+    for k in np.flatnonzero(size < 25):
+        z = size[k]
+        first[k] = np.cos(n * t - z * np.sin(t)) @ weights
+        if not z:
+            second[k] = -np.inf
+            continue
+        top = np.arcsinh(745 / z)
+        u = top * nodes
+        tail = (np.exp(n * u) + (-1) ** n * np.exp(-n * u)) * np.exp(-z * np.sinh(u))
+        second[k] = np.sin(z * np.sin(t) - n * t) @ weights - top / np.pi * (tail @ weights)
+    far = (size >= 25) & np.isfinite(size)
+    z, term, even, odd = size[far], np.ones(far.sum()), np.zeros(far.sum()), np.zeros(far.sum())
+    for k in range(30):
+        part = even if k % 2 == 0 else odd
+        part += (-1) ** (k // 2) * term
+        term = term * (4 * n * n - (2 * k + 1) ** 2) / ((k + 1) * 8 * z)
+    phase, scale = z - n * np.pi / 2 - np.pi / 4, np.sqrt(2 / (np.pi * z))
+    first[far] = scale * (even * np.cos(phase) - odd * np.sin(phase))
+    second[far] = scale * (even * np.sin(phase) + odd * np.cos(phase))
+    first[np.isinf(size)] = second[np.isinf(size)] = 0.0
+    return np.where((x < 0) & (n == 1), -first, first), np.where(x < 0, np.nan, second)
+
+
 def register_special(spark: SparkSession) -> None:
-    """erf, erfc, lgamma, tgamma and the Bessel functions j0, j1 as SQL functions over Arrow batches."""
+    """erf, erfc, lgamma, tgamma, nextafter and the Bessel functions j0, j1, y0, y1 as SQL functions over Arrow batches."""
     def vector(f):
         return lambda s: pd.Series([float("nan") if x is None or x != x else f(x) for x in s], dtype="float64")
 
-    def bessel(n):
-        t = (np.arange(200) + 0.5) * np.pi / 200
-        return lambda s: pd.Series([float(np.cos(n * t - x * np.sin(t)).mean()) for x in s.fillna(float("nan"))], dtype="float64")
+    def of_kind(n, kind):
+        return lambda s: pd.Series(bessel(n, s.fillna(float("nan")).to_numpy(float))[kind])
 
     def tgamma(x):
         return math.gamma(x) if x > 0 or x != math.floor(x) else float("nan")
@@ -200,5 +231,11 @@ def register_special(spark: SparkSession) -> None:
 
         return F.pandas_udf(special, "double")
 
-    for name, f in (("erf", vector(math.erf)), ("erfc", vector(math.erfc)), ("lgamma", vector(math.lgamma)), ("tgamma", vector(tgamma)), ("j0", bessel(0)), ("j1", bessel(1))):
+    @F.pandas_udf("double")
+    def nextafter(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(np.nextafter(x.to_numpy(float), y.to_numpy(float)))
+
+    spark.udf.register("nextafter", nextafter)
+    kinds = {f"{name}{n}": of_kind(n, kind) for n in (0, 1) for kind, name in enumerate("jy")}
+    for name, f in {"erf": vector(math.erf), "erfc": vector(math.erfc), "lgamma": vector(math.lgamma), "tgamma": vector(tgamma), **kinds}.items():
         spark.udf.register(name, udf(f))

@@ -146,7 +146,7 @@ reg("fn_fractional_year", "track", lambda v: v("events").select("event_id", r(sc
 
 def special(v):
     sc.register_special(v.spark)
-    return v("signal").select("id", *(F.expr(f"round({n}(CAST(v AS DOUBLE) / 20 + 0.1), 6)").alias(n) for n in ("erf", "erfc", "lgamma", "tgamma", "j0", "j1")))
+    return v("signal").select("id", *(F.expr(f"round({n}(CAST(v AS DOUBLE) / 20 + 0.1), 6)").alias(n) for n in ("erf", "erfc", "lgamma", "tgamma", "j0", "j1", "y0", "y1")))
 
 
 reg("fn_special", "signal", special)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,3 +211,22 @@ def test_annotations_keep_old_labels(spark):
     labels = spark.createDataFrame([(1, "k", 2), (2, "k", 0)], "pid long, cmap string, label int")
     assert rows(joins.annotate_points(points, boxes, labels), "pid") == [(1, "k", 2), (2, "k", 0)]
     assert rows(joins.annotate_points(points, boxes, labels, overwrite=True), "pid") == [(1, "k", 4), (2, "k", 0)]
+
+
+def test_bessel_functions():
+    x = np.array([1e-3, 0.5, 1.0, 7.0, 24.9, 25.1, 300.0, 5000.0])
+    (j0, y0), (j1, y1) = sc.bessel(0, x), sc.bessel(1, x)
+    np.testing.assert_allclose(j1 * y0 - j0 * y1, 2 / (np.pi * x), rtol=1e-9)
+    np.testing.assert_allclose([j0[2], j1[2], y0[2], y1[2]], [0.7651976865579666, 0.4400505857449335, 0.08825696421567698, -0.7812128213002887], rtol=1e-12)
+    np.testing.assert_array_equal(sc.bessel(1, np.array([0.0, -2.0, np.nan]))[1], [-np.inf, np.nan, np.nan])
+    assert sc.bessel(1, np.array([-2.0]))[0][0] == -sc.bessel(1, np.array([2.0]))[0][0]
+    assert sc.bessel(0, np.array([np.inf]))[0][0] == 0.0 and len(sc.bessel(0, np.zeros(0))[0]) == 0
+
+
+def test_special_functions(spark):
+    sc.register_special(spark)
+    df = spark.createDataFrame([(1.0, 2.0), (0.0, -1.0), (None, 1.0)], "x double, y double").coalesce(1)
+    got = df.selectExpr("nextafter(x, y) AS n", "erf(x) AS e", "j0(x) AS j", "y0(x) AS k").collect()
+    assert (got[0].n, got[1].n) == (math.nextafter(1.0, 2.0), math.nextafter(0.0, -1.0))
+    assert got[0].e == math.erf(1.0) and got[1].j == pytest.approx(1.0) and got[1].k == -math.inf
+    assert all(v is None or v != v for v in got[2])
