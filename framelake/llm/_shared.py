@@ -26,7 +26,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":  # local-cluster has executors of its own
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = _local.setdefault("base", tempfile.mkdtemp(prefix="spark-framelake-"))
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
