@@ -21,6 +21,16 @@ def _frames(v: Views) -> DataFrame:
 reg("write_frames", "samples", _frames, "SELECT CAST(dense_rank() OVER (ORDER BY frame) - 1 AS BIGINT) AS frmidx, frame, count(*) AS n, CAST(sum(v) AS DOUBLE) AS total FROM samples WHERE frame % 3 = 1 GROUP BY frame")
 
 
+def _all_frames(v: Views) -> DataFrame:
+    path = scratch(v.spark, "frames")
+    src.write_frames(v("samples").withColumn("frame", F.col("frame") * 7), path)
+    return v.spark.read.parquet(f"{path}/frames").groupBy(F.col("frmidx").cast("long").alias("frmidx")).agg(F.min("frame").alias("frame"), F.count(F.lit(1)).alias("n"), F.sum("v").cast("double").alias("total"))
+
+
+# Every sample; the frame numbers are spread so that the mapping has gaps to close.
+reg("write_all_frames", "samples", _all_frames, "SELECT CAST(dense_rank() OVER (ORDER BY frame) - 1 AS BIGINT) AS frmidx, frame * 7 AS frame, count(*) AS n, CAST(sum(v) AS DOUBLE) AS total FROM samples GROUP BY frame")
+
+
 def _matches(v: Views) -> DataFrame:
     path = scratch(v.spark, "matches")
     m = v("keypoints").select(F.col("kp").alias("q"), (F.col("kp") + 1).alias("t"))

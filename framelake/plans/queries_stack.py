@@ -48,6 +48,18 @@ reg("export_track", "track", lambda v: rounded(src.export_rows(v("track")), 6),
 reg("concat_sequences", "pixels", lambda v: v("pixels").where("frame < 4").select("frame", "y", "x", "v").unionByName(v("pixels").where("frame < 2").select((F.col("frame") + 4).alias("frame"), "y", "x", "v")).groupBy("frame").agg(F.count(F.lit(1)).alias("n"), F.sum("v").cast("double").alias("total")),
     "SELECT frame, count(*) AS n, CAST(sum(v) AS DOUBLE) AS total FROM (SELECT frame, v FROM pixels WHERE frame < 4 UNION ALL SELECT frame + 4, v FROM pixels WHERE frame < 2) GROUP BY frame")
 
+
+def _two_sequences(v: Views) -> DataFrame:
+    """The pixels, and the pixels again behind them, by positions of the catalog."""
+    frames = v("pixels").select(F.col("frame").alias("local"), "v")
+    files = frames.agg((F.max("local") + 1).alias("n_frames")).select(F.explode(F.array(*(F.struct(F.lit(s).alias("src"), F.lit(k).alias("ord")) for k, s in enumerate(("first", "second"))))).alias("s"), "n_frames").select("s.*", "n_frames")
+    both = frames.withColumn("src", F.lit("first")).unionByName(frames.withColumn("src", F.lit("second")))
+    return src.global_frame_index(both, src.sequence_catalog(files)).groupBy(F.col("pos").alias("frame")).agg(F.count(F.lit(1)).alias("n"), F.sum("v").cast("double").alias("total"))
+
+
+reg("concat_whole_sequences", "pixels", _two_sequences,
+    "SELECT frame, count(*) AS n, CAST(sum(v) AS DOUBLE) AS total FROM (SELECT frame, v FROM pixels UNION ALL SELECT frame + (SELECT max(frame) + 1 FROM pixels), v FROM pixels) GROUP BY frame")
+
 # Stacking
 
 _MEAN = "CAST(sum(v) AS DOUBLE) / count(v)"
