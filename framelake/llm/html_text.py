@@ -5,8 +5,14 @@ Each text node has a root-to-leaf tag path. Per page the text length and the pun
 by its number of nodes; the two ratios of a node's path are fused by their product, smoothed over the page's
 nodes in order, and compared with a share of their deviation. Nodes above the threshold are content nodes. The
 article is the smallest container that holds nearly all of their text, and all of its text is returned, short
-paragraphs and headings included. Text below elements that are no article by their meaning (menus, page headers
-and footers, sidebars, forms, scripts, notices, adverts, reader comments) never counts and is never returned.
+paragraphs and headings included; unless that is an article or main element, blocks around it with content nodes are
+returned too. Text below elements that are no article by their meaning (menus, page headers and footers, sidebars,
+forms, scripts, notices, adverts, reader comments) never counts and is never returned.
+
+Names (class, id, role) say that an element is no article by words of a list. They don't count on an element that
+holds the main article (the article or main element with most content), nor on one that holds much of the content:
+nearly all of it, or a fair share if the name only contains such a word (has-sidebar, comments-open) and the main
+article isn't elsewhere.
 
 Defined cases: null or empty html, and pages without text, give an empty text. Elements left open are closed by
 the end of their parent, of the page, or by the next block as HTML defines it. Repeated pages are extracted one
@@ -25,6 +31,8 @@ from pyspark.sql import types as T
 
 #: Share of the deviation that a content node exceeds, smoothing over neighbours, and share of the content text that a container must hold.
 LAMBDA, KERNEL, HOLD = 0.5, (0.25, 0.5, 0.25), 0.9
+#: Share of the content text with which an element is kept though its name contains a word of the list.
+FAIR = 0.3
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -36,12 +44,14 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 BOUND = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 ENDS_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li dt dd".split())
 #: Words of class, id and role that say an element is not the article.
-_NOT_ARTICLE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|adverts?|advertisements?|advertising|adslot|adbox|banner|sponsor(?:ed)?|promo(?:tion)?s?|menu|navigation|nav|navbar|breadcrumbs?|sidebar|side|aside|footer|header|masthead|topbar|"
+_WORDS = (
+    r"(?:ads?|adv|adverts?|advertisements?|advertising|adslot|adbox|banner|sponsor(?:ed)?|promo(?:tion)?s?|menu|navigation|nav|navbar|breadcrumbs?|sidebar|side|aside|footer|header|masthead|topbar|"
     r"cookies?|consent|notices?|alert|gdpr|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search|share|sharing|social|related|recommended|recommendations|comments?|disqus|replies|respond|"
-    r"widget|toolbar|pagination|pager|copyright|legal|skip|complementary|contentinfo)(?:$|[\s_-])",
-    re.IGNORECASE,
+    r"widget|toolbar|pagination|pager|copyright|legal|skip|complementary|contentinfo)"
 )
+_NOT_ARTICLE = re.compile(rf"(?:^|[\s_-]){_WORDS}(?:$|[\s_-])", re.IGNORECASE)
+#: A name of such words only.
+_WHOLLY = re.compile(rf"(?:^|\s){_WORDS}(?:[_-]+{_WORDS})*(?:$|\s)", re.IGNORECASE)
 _NEVER_HINTED = frozenset(("html", "body", "main", "article"))
 _PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？]")
 
@@ -55,10 +65,10 @@ _TELLING = re.compile("class|id|role|hidden", re.IGNORECASE)
 
 
 class _Page:
-    """Elements (tag, parent, whether it is no article) and text nodes (element, block, text) of a page."""
+    """Elements (tag, parent, whether it is no article, what its name says) and text nodes (element, block, text) of a page."""
 
     def __init__(self, html: str):
-        self.tags, self.parents, self.paths, self.out = ["#root"], [-1], [""], [False]
+        self.tags, self.parents, self.paths, self.out, self.named = ["#root"], [-1], [""], [False], [0]
         self.open, self.nodes, self.block = [0], [], 0
         at = 0
         while found := _TOKEN.search(html, at):
@@ -92,10 +102,12 @@ class _Page:
             named = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(rest)}
             hints, hidden = " ".join(filter(None, map(named.get, ("class", "id", "role")))), "hidden" in named
         within = tag == "header" and any(self.tags[e] in ("article", "main") for e in self.open)
-        out = self.out[top] or tag in SKIPPED or hidden or (tag == "header" and not within) or bool(hints and tag not in _NEVER_HINTED and not within and _NOT_ARTICLE.search(hints))
+        out = self.out[top] or tag in SKIPPED or hidden or (tag == "header" and not within)
+        says = hints and tag not in _NEVER_HINTED and not within and _NOT_ARTICLE.search(hints)
         self.tags.append(tag)
         self.parents.append(top)
         self.out.append(out)
+        self.named.append((2 if _WHOLLY.search(hints) else 1) if says else 0)
         self.paths.append(f"{self.paths[top]}/{tag}.{hints}" if hints else f"{self.paths[top]}/{tag}")
         self.open.append(len(self.tags) - 1)
 
@@ -133,39 +145,85 @@ def _content(page: _Page, nodes: list[tuple[int, int, str]]) -> np.ndarray:
     return smooth >= LAMBDA * smooth.std()
 
 
+def _weights(page: _Page, values: dict[int, float]) -> np.ndarray:
+    """The sums of the elements' values over their subtrees."""
+    sums = np.zeros(len(page.tags))
+    for e, x in values.items():
+        sums[e] = x
+    for e in range(len(page.tags) - 1, 0, -1):  # parents come before their children
+        sums[page.parents[e]] += sums[e]
+    return sums
+
+
+def _drop_named(page: _Page) -> None:
+    """Marks elements as no article by their names: first names of listed words only, then those that contain one."""
+    for level in (2, 1):
+        if level not in page.named:
+            continue
+        nodes = [x for x in page.nodes if not page.out[x[0]] and not x[2].isspace()]
+        if not nodes:
+            return
+        values: dict[int, float] = {}
+        for (e, _, text), content in zip(nodes, _content(page, nodes), strict=True):
+            values[e] = values.get(e, 0) + len(text) * content
+        weight = _weights(page, values)
+        below = [False] * len(page.tags)  # a name of listed words only
+        for e in range(1, len(page.tags)):
+            below[e] = below[page.parents[e]] or page.named[e] == 2
+        articles = [e for e, tag in enumerate(page.tags) if tag in ("article", "main") and not page.out[e] and weight[e]]
+        best = max(articles, key=lambda e: (not below[e], weight[e]), default=0)
+        holders, e = set(), best
+        while e > 0:
+            holders.add(e)
+            e = page.parents[e]
+        inside = [False] * len(page.tags)
+        for e in range(1, len(page.tags)):
+            top = page.parents[e]
+            inside[e] = inside[top] or e == best
+            share = FAIR if level == 1 and (inside[e] or not best) else HOLD
+            whole = weight[best] if inside[e] else weight[0]
+            page.out[e] = page.out[e] or page.out[top] or (page.named[e] == level and e not in holders and not weight[e] >= share * max(whole, 1))
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks in page order, joined by one space."""
     if not html:
         return ""
     page = _Page(html)
+    _drop_named(page)
+    page.nodes = [x for x in page.nodes if not page.out[x[0]]]
     nodes = [x for x in page.nodes if not x[2].isspace()]
     if not nodes:
         return ""
-    weight, plain = np.zeros(len(page.tags)), np.zeros(len(page.tags))
-    for (e, _, text), content in zip(nodes, _content(page, nodes), strict=True):
-        weight[e] += len(text) * content
+    contents, texts, told = {}, {}, set()
+    for (e, block, text), content in zip(nodes, _content(page, nodes), strict=True):
+        contents[e] = contents.get(e, 0) + len(text) * content
+        if content:
+            told.add(block)
         heading = e
         while heading and page.tags[heading] not in HEADINGS:
             heading = page.parents[heading]
-        plain[e] += len(text) * (not heading)
+        texts[e] = texts.get(e, 0) + len(text) * (not heading)
+    weight, plain = _weights(page, contents), _weights(page, texts)
     children: dict[int, list[int]] = {}
-    for e in range(len(page.tags) - 1, 0, -1):  # parents come before their children
-        weight[page.parents[e]] += weight[e]
-        plain[page.parents[e]] += plain[e]
+    for e in range(1, len(page.tags)):
         children.setdefault(page.parents[e], []).append(e)
-    at = 0
+    at, beside = 0, set()
     while True:
         down = next((c for c in children.get(at, ()) if page.tags[c] in CONTAINERS and weight[c] >= HOLD * weight[at]), None)
         if down is None or page.tags[at] in ("article", "main") or (plain[at] == plain[down] and page.tags[at] not in ("#root", "html", "body")):
             break
+        beside.update(c for c in children[at] if c != down and weight[c] and page.tags[c] not in INLINE)
         at = down
-    inside = {at}
-    for e in range(at + 1, len(page.tags)):
+    if page.tags[at] in ("article", "main"):
+        beside, told = set(), set()
+    inside = {at} | beside
+    for e in range(1, len(page.tags)):
         if page.parents[e] in inside:
             inside.add(e)
     blocks: dict[int, list[str]] = {}
     for e, block, text in page.nodes:
-        if e in inside:
+        if e in inside or block in told:
             blocks.setdefault(block, []).append(text)
     return " ".join(t for x in blocks.values() if (t := " ".join("".join(x).split())))
 
