@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framelake.operators.stack import mean
 
@@ -19,31 +20,54 @@ def along(axis: str = "x") -> WindowSpec:
     return Window.partitionBy(*by).orderBy(order)
 
 
-def running_average(df: DataFrame, n: int = 5, by: Sequence[str] = ("series",), order: str = "ord", value: str = "v", out: str = "avg") -> DataFrame:
-    """The mean of all values up to n, then (avg * n + v) / (n + 1)."""
-    step = lambda a, x: F.struct(F.when(a["k"] < n, (a["m"] * a["k"] + x) / (a["k"] + 1)).otherwise((a["m"] * n + x) / (n + 1)).alias("m"), (a["k"] + 1).alias("k"))
-    series = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))).alias("s"))
-    # A scan keeps each state; the state after k values needs the one before only.
-    states = F.aggregate("s", F.array().cast("array<struct<m:double,k:int>>"), lambda acc, x: F.array_append(acc, F.coalesce(F.when(F.size(acc) > 0, step(F.element_at(acc, -1), x["v"])), F.struct(x["v"].alias("m"), F.lit(1).alias("k")))))
-    each = series.select(*by, F.explode(F.arrays_zip(F.col("s").alias("s"), states.alias("t"))).alias("z"))
-    return each.select(*by, F.col("z.s.o").alias(order), F.col("z.s.v").alias(value), F.col("z.t.m").alias(out))
+def _same(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Joined by keys that may be null."""
+    b = b.withColumnsRenamed({k: f"{k}__b" for k in keys})
+    return a.join(b, [F.col(k).eqNullSafe(F.col(f"{k}__b")) for k in keys], how).drop(*(f"{k}__b" for k in keys))
+
+
+def _means(maps: DataFrame, by: Sequence[str], start: Column | None = None) -> DataFrame:
+    """maps: by, s: an array of pos, w, x, rest in order. A row for each of s with m, the means m -> (a * m + x) / w from start on."""
+    step = lambda m, z: (z["a"] * m + z["x"]) / z["w"]
+    first = F.lit(0.0) if start is None else start
+    states = F.aggregate("s", F.array().cast("array<double>"), lambda acc, z: F.array_append(acc, step(F.when(F.size(acc) > 0, F.element_at(acc, -1)).otherwise(first), z)))
+    return maps.select(*by, F.explode(F.arrays_zip(F.col("s").alias("s"), states.alias("m"))).alias("z")).select(*by, "z.s.*", "z.m")
+
+
+def _mean_scan(maps: DataFrame, by: Sequence[str], chunk: int, levels: int) -> DataFrame:
+    """maps: by, pos (0, 1, ...), a, x, w, rest. Adds m, the value of all maps m -> (a * m + x) / w up to pos. No array is longer than chunk,
+    but for those of the last level, a row for chunk ** levels rows."""
+    packed = F.array_sort(F.collect_list(F.struct("pos", "a", "x", "w", "rest"))).alias("s")
+    if not levels:
+        return _means(maps.groupBy(*by).agg(packed), by)
+    parts = maps.groupBy(*by, F.floor(F.col("pos") / chunk).alias("__p")).agg(packed)
+    # The cast makes the fields nullable: a value that is missing leaves no mean after it.
+    whole = F.aggregate("s", F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("x")).cast("struct<a:double,x:double>"), lambda m, z: F.struct((z["a"] * m["a"] / z["w"]).alias("a"), ((z["a"] * m["x"] + z["x"]) / z["w"]).alias("x")))
+    totals = parts.select(*by, F.col("__p").alias("pos"), whole.alias("t")).select(*by, "pos", "t.a", "t.x", F.lit(1.0).alias("w"), F.lit(None).cast("int").alias("rest"))
+    before = _mean_scan(totals, by, chunk, levels - 1).select(*by, (F.col("pos") + 1).alias("__p"), F.col("m").alias("__m"))
+    return _means(_same(parts, before, [*by, "__p"], "left"), by, F.when(F.col("__p") == 0, 0.0).otherwise(F.col("__m")))
+
+
+def running_average(df: DataFrame, n: int = 5, by: Sequence[str] = ("series",), order: str = "ord", value: str = "v", out: str = "avg", chunk: int = 512) -> DataFrame:
+    """The mean of all values up to n, then (avg * n + v) / (n + 1). Series of any length: each is cut into chunks of its order, a chunk is
+    reduced to its map avg -> a * avg + b, and the means at the ends of chunks are carried over one row per chunk."""
+    by, kind = list(by), df.schema[order].dataType
+    d = df.select(*by, order, F.col(value).cast("double").alias(value))
+    place = F.col(order) if isinstance(kind, T.NumericType) else F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1
+    d = d.withColumn("__c", place).withColumn("__c", F.coalesce(F.floor(F.col("__c") / chunk).cast("long"), F.lit(-(2**62))))
+    before = Window.partitionBy(*by).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+    base = d.groupBy(*by, "__c").agg(F.count(F.lit(1)).alias("__n")).select(*by, "__c", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    k = F.row_number().over(Window.partitionBy(*by, "__c").orderBy(order, value)) - 1
+    d = _same(d.withColumn("__k", k), base, [*by, "__c"]).withColumn("pos", F.col("__base") + F.col("__k"))
+    w = F.least("pos", F.lit(n)).cast("double")
+    maps = d.select(*(F.col(c).alias(f"__by{i}") for i, c in enumerate(by)), "pos", w.alias("a"), F.col(value).alias("x"), (w + 1).alias("w"), F.struct(F.col(order).alias("o")).alias("rest"))
+    done = _mean_scan(maps, [f"__by{i}" for i in range(len(by))], chunk, 2)
+    return done.select(*(F.col(f"__by{i}").alias(c) for i, c in enumerate(by)), F.col("rest.o").alias(order), F.col("x").alias(value), F.col("m").alias(out))
 
 
 def running_average_series(df: DataFrame, n: int = 5, by: Sequence[str] = ("series",), order: str = "ord", value: str = "v", out: str = "avg") -> DataFrame:
-    """running_average for long series, a group at a time over Arrow."""
-    import pandas as pd
-
-    types = {f.name: f.dataType.simpleString() for f in df.schema}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, m, out_values = pdf.sort_values(order), 0.0, []
-        for k, x in enumerate(pdf[value].astype(float)):
-            m = (m * k + x) / (k + 1) if k < n else (m * n + x) / (n + 1)
-            out_values.append(m)
-        return pdf[[*by, order]].assign(**{value: pdf[value].astype(float), out: out_values})
-
-    schema = ", ".join([*(f"{c} {types[c]}" for c in (*by, order)), f"{value} double", f"{out} double"])
-    return df.select(*by, order, value).groupBy(*by).applyInPandas(run, schema)
+    """running_average for long series, in longer chunks."""
+    return running_average(df, n, by, order, value, out, 2048)
 
 
 def neighbourhood_average(df: DataFrame, r: int, w: WindowSpec | None = None, value: str = "v", out: str = "avg") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from framelake.plans.base import r, reg, rounded
 from framelake.plans.chains import run_chain
 from framelake.sources.adapters import Views
 from framelake.streaming import live
-from framelake.streaming.run import finish, replay, table_stream, view_stream
+from framelake.streaming.run import finish, replay, replay_in_order, table_stream, view_stream
 
 _MEAN = "CAST(sum(v) AS DOUBLE) / count(v)"
 
@@ -60,11 +61,18 @@ reg("windowed_rate_sliding", "firings", lambda v: _rate(v, kind="sliding", size=
 reg("windowed_rate_session", "firings", lambda v: _rate(v, kind="session", size="6 hours", by=("user_id",)),
     """WITH o AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 6 HOURS THEN 0 ELSE 1 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM o)
        SELECT CAST(epoch(date_trunc('second', min(ts))) AS BIGINT) AS start, CAST(epoch(date_trunc('second', max(ts) + INTERVAL 6 HOURS)) AS BIGINT) AS "end", user_id, count(*) AS n FROM s GROUP BY user_id, s""")
-reg("live_running_average", "signal", lambda v: rounded(finish(live.live_running_average(replay(v.spark, v.sf_dir, "signal", lambda d: d.select("series", "ord", F.col("v").cast("double").alias("v")))))),
+
+
+def _in_order(v: Views, view: str, order: str, f: Callable[[DataFrame], DataFrame], change: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+    stream, feed = replay_in_order(v.spark, v.sf_dir, view, order, change)
+    return finish(f(stream), feed=feed)
+
+
+reg("live_running_average", "signal", lambda v: rounded(_in_order(v, "signal", "ord", live.live_running_average, lambda d: d.select("series", "ord", F.col("v").cast("double").alias("v")))),
     """WITH RECURSIVE a AS (SELECT series, ord, CAST(v AS DOUBLE) AS avg FROM signal WHERE ord = 0 UNION ALL
        SELECT s.series, s.ord, CASE WHEN s.ord < 5 THEN (a.avg * s.ord + CAST(s.v AS DOUBLE)) / (s.ord + 1) ELSE (a.avg * 5 + CAST(s.v AS DOUBLE)) / 6 END FROM a JOIN signal s ON s.series = a.series AND s.ord = a.ord + 1)
        SELECT series, ord, round(avg, 6) AS avg FROM a""")
-reg("live_rotation_frames", "firings", lambda v: finish(live.live_rotation_frames(replay(v.spark, v.sf_dir, "firings"), 9000)),
+reg("live_rotation_frames", "firings", lambda v: _in_order(v, "firings", "pkt", lambda d: live.live_rotation_frames(d, 9000)),
     """WITH a AS (SELECT sensor, pkt, (azimuth + 27000) % 36000 AS a FROM firings), b AS (SELECT sensor, pkt, CASE WHEN a < lag(a) OVER (PARTITION BY sensor ORDER BY pkt) THEN 1 ELSE 0 END AS n FROM a)
        SELECT sensor, pkt, CAST(sum(n) OVER (PARTITION BY sensor ORDER BY pkt ROWS UNBOUNDED PRECEDING) AS BIGINT) AS frame FROM b""")
 reg("live_motion_filter", "lidar_points", lambda v: finish(live.live_motion_filter(replay(v.spark, v.sf_dir, "lidar_points", lambda d: lidar.range_image(geo.range_bin(d, 2 * math.pi / 90), ("depth",))))))

@@ -67,7 +67,7 @@ def _stateful(stream: DataFrame, key: str | list[str], f, output: str, state: st
 
 
 def live_running_average(stream: DataFrame, n: int = 5, key: str = "series", order: str = "ord", value: str = "v") -> DataFrame:
-    """running_average with the mean and count of every series as state; rows of a batch in order."""
+    """running_average with the mean and count of every series as state; rows of a batch in order. A batch should hold a bounded part of a series (replay_in_order)."""
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         m, count = state.get if state.exists else (0.0, 0)
@@ -102,7 +102,7 @@ def live_motion_filter(stream: DataFrame, depth: str = "depth", **options) -> Da
 
 
 def live_rotation_frames(stream: DataFrame, seam: int = 0) -> DataFrame:
-    """packet_frames by rotation, with the last azimuth and the frame of every sensor as state."""
+    """packet_frames by rotation, with the last azimuth and the frame of every sensor as state. A batch should hold a bounded part of a sensor's packets (replay_in_order)."""
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, frame = state.get if state.exists else (-1, 0)

@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from framelake.sources.adapters import VIEWS, Views
 
@@ -45,8 +46,29 @@ def replay(spark: SparkSession, sf_dir: str, view: str, change: Callable[[DataFr
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
 
 
-def finish(stream: DataFrame, mode: str = "append", pick: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
-    """Run a stream over all there is and return what it has put out; in complete mode what it put out last."""
+def replay_in_order(spark: SparkSession, sf_dir: str, view: str, order: str, change: Callable[[DataFrame], DataFrame] = lambda d: d, width: int = 250_000) -> tuple[DataFrame, Iterator[int]]:
+    """As replay, in parts of `width` of the order, so that a batch holds at most that many rows of a key. The files of a part come into the
+    stream's folder when the iterator is asked for it: the order of the parts doesn't hang on the times of files."""
+    path = scratch(spark, view)
+    d = change(Views(spark, sf_dir)(view))
+    d.withColumn("__part", F.floor(F.col(order) / width).cast("long")).write.partitionBy("__part").parquet(f"{path}/parts")
+    jvm = spark.sparkContext._jvm
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(at(f"{path}/in"))
+
+    def feed() -> Iterator[int]:
+        for k in sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(at(f"{path}/parts")) if s.isDirectory()):
+            for i, s in enumerate(fs.listStatus(at(f"{path}/parts/__part={k}"))):
+                if s.getPath().getName().endswith(".parquet") and not fs.rename(s.getPath(), at(f"{path}/in/{k}-{i}.parquet")):
+                    raise OSError(f"{s.getPath()} can't be moved")
+            yield k
+
+    return spark.readStream.schema(d.schema).parquet(f"{path}/in"), feed()
+
+
+def finish(stream: DataFrame, mode: str = "append", pick: Callable[[DataFrame], DataFrame] = lambda d: d, feed: Iterator[int] | None = None) -> DataFrame:
+    """Run a stream over all there is and return what it has put out; in complete mode what it put out last. With feed, once for each of its parts, with the state kept between."""
     spark = stream.sparkSession
     path = scratch(spark, "stream")
     if mode == "append":
@@ -56,5 +78,8 @@ def finish(stream: DataFrame, mode: str = "append", pick: Callable[[DataFrame],
         def put(df: DataFrame, k: int) -> None:
             pick(df).write.mode("overwrite").parquet(f"{path}/out")
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/out")
+    ran = False
+    for _ in (0,) if feed is None else feed:
+        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+        ran = True
+    return spark.read.parquet(f"{path}/out") if ran else pick(spark.createDataFrame([], stream.schema))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
+from framelake.operators import lidar, ordered
 from framelake.plans import catalog
 from framelake.sources.adapters import Views
+from framelake.streaming import live, run
 
 
 def test_frames_and_sequences_are_whole(spark, data):
@@ -16,3 +19,39 @@ def test_frames_and_sequences_are_whole(spark, data):
     assert tuple(written) == (samples, frames, frames - 1)
     joined = catalog.queries()["concat_whole_sequences"](spark, d).agg(F.sum("n"), F.count("frame")).first()
     assert tuple(joined) == (2 * pixels, 2 * frames)
+
+
+def _steps(values, n):
+    m, out = 0.0, []
+    for k, x in enumerate(values):
+        m = (m * k + x) / (k + 1) if k < n else (m * n + x) / (n + 1)
+        out.append(m)
+    return out
+
+
+def test_long_series_are_cut(spark):
+    values = [float(k * 7919 % 101) for k in range(70)]
+    d = spark.createDataFrame([(s, 3 * k, x) for s in (1, None) for k, x in enumerate(values)], "series long, ord long, v double")
+    got = ordered.running_average(d, 2, chunk=4).collect()
+    for s in (1, None):
+        mine = sorted((r.ord, r.v, r.avg) for r in got if r.series == s)
+        assert [r[:2] for r in mine] == [(3 * k, x) for k, x in enumerate(values)]
+        assert [r[2] for r in mine] == pytest.approx(_steps(values, 2))
+    days = d.where("series = 1").select("series", F.timestamp_seconds("ord").alias("ord"), "v")
+    assert [r.avg for r in sorted(ordered.running_average(days, 2, chunk=4).collect(), key=lambda r: r.ord)] == pytest.approx(_steps(values, 2))
+    gap = d.where("series = 1").withColumn("v", F.when(F.col("ord") != 60, F.col("v")))
+    assert [r.avg is None for r in sorted(ordered.running_average(gap, 2, chunk=4).collect(), key=lambda r: r.ord)] == [k >= 20 for k in range(70)]
+
+
+def test_streams_come_in_bounded_parts(spark, data):
+    d, sizes = f"{data}/sf0.001", []
+    stream, feed = run.replay_in_order(spark, d, "firings", "pkt", width=100)
+
+    def pick(df):
+        sizes.append(df.groupBy("sensor").count().agg(F.max("count")).first()[0])
+        return df
+
+    got = run.finish(live.live_rotation_frames(stream, 9000), pick=pick, feed=feed)
+    want = lidar.packet_frames(Views(spark, d)("firings"), seam=9000).select("sensor", "pkt", "frame")
+    assert len(sizes) > 1 and max(sizes) <= 100
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
