@@ -13,6 +13,7 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _local: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,12 +33,35 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write df once to the shared folder and go on from the files: lost executors cost no recomputation
-    of what lies before, and what is used more than once is computed once."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    of what lies before, and what is used more than once is computed once. The shuffle files of what was
+    written are removed at once."""
+    spark = df.sparkSession
+    path, before = path or shared_path(spark, name), spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables in the shared folder between the steps of an operator; those that no later step reads are removed."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.base = spark, shared_path(spark, name)
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        return cut(df, name, f"{self.base}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Nothing that is still to be computed may read these tables."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+            path.getFileSystem(conf).delete(path, True)
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -4,27 +4,31 @@ A window is `width` consecutive words. A word is removed if a window that covers
 with a smaller doc_id. Windows reach their shard by their minimizer, the least hash among the word groups in the
 window, so equal windows always meet:
 
-1. Every document gives its distinct minimizers. Those of one document only can't belong to a repeated window;
-   they are counted with partial aggregation and dropped by a join that AQE may split.
+1. Every row gives its distinct minimizers, written once. Those of one row only can't belong to a repeated
+   window; they are counted with partial aggregation and dropped by a join that AQE may split.
 2. Runs of windows with the same minimizer become segments (the words of the run). Minimizers that very many
-   documents have give a segment for each window, dealt out by the window's own hash.
-3. Equal segments are merged within each batch of documents and again in their shard, so copies of any number
-   are indexed once, with their smallest doc_id.
-4. Each shard (a bounded number of segments) sorts its suffixes by `width` words, takes the Burrows-Wheeler
-   transform, and stores it as a wavelet matrix of packed bits with rank counts. Backward search starts from the
-   interval of a window's last words (a table of the intervals of shorter patterns) and extends it word by word; a match that has shrunk to one place before the threshold is its own and is
-   given up; for the rest the smallest document of the interval is reported.
-5. The reports are joined back to the segments' documents, and each document drops what is covered.
+   rows have give a segment for each window, dealt out by the window's own hash. Equal segments of a batch are one,
+   with references to the rows that hold it: a piece is what a batch has for one shard.
+3. Each shard (a bounded number of minimizer hits) becomes an FM-index, written once and kept: the suffixes of its
+   distinct segments are sorted by `width` words, their Burrows-Wheeler transform is stored as a wavelet matrix of
+   packed bits, with the lengths that neighbours share and the least document of each repeated window.
+4. The pieces are streamed against their shard's index. Backward search computes matching statistics from the
+   right: a match grows by one word to the left; where it can't, it's shortened on the right to the interval that
+   encloses it, and goes on. Places whose match has `width` words are reported with the interval's least document.
+5. Reports and references meet by piece, never by content, so the many holders of a segment don't meet in a task.
+   Each row drops the intervals that are reported for a smaller document.
 
 Hash collisions can only bring windows together that needn't meet: windows are compared by their words.
 
 Defined cases: null and empty texts have no words. Rows with a null doc_id stay whole and count for nobody.
 Rows that repeat a doc_id are the same document: none of them covers the others; equal texts get equal results.
+A text of any length is worked on in slices; what is held at once for a row are 16 bytes a word.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
 import re
 from array import array
 from collections import defaultdict
@@ -36,11 +40,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framelake.llm._shared import cut
+from framelake.llm._shared import Scratch
 
 WIDTH, GROUP = 13, 5
-#: Documents beyond which a minimizer's windows are dealt out one by one, documents to a shard (each gives some dozens of segments), windows of a segment, bytes worked on at once, tasks over all shards (beyond that, a task takes its shards one after another).
-HOT, SHARD, RUN, BYTES, TASKS = 20_000, 4000, 64, 1 << 20, 20_000
+#: Rows beyond which a minimizer's windows are dealt out one by one, minimizer hits of a shard (each gives some 17 words, before equal segments become one), windows of a segment, bytes worked on at once, tasks over all shards (beyond that, a task takes its shards one after another).
+HOT, SHARD, RUN, BYTES, TASKS = 20_000, 30_000, 64, 1 << 20, 20_000
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _SPACE = np.zeros(256, bool)
@@ -65,24 +69,37 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _slices(data: bytes, most: int) -> Iterator[tuple[int, bytes]]:
+    """Where parts of about `most` bytes begin, and the parts; cut between words."""
+    at = 0
+    while at < len(data):
+        end = min(at + most, len(data))
+        if end < len(data):
+            found = _WORD.match(data, end)
+            end = found.end() if found else end
+        yield at, data[at:end]
+        at = end
+
+
 class Words:
     """The words of some texts: where each starts and ends in `data`, its text and its hash."""
 
     def __init__(self, texts: list[bytes]):
         self.data = b"\n".join(texts)
-        raw = np.frombuffer(self.data, np.uint8)
-        n = len(raw)
-        solid = ~_SPACE[raw]
-        edge = np.diff(np.concatenate([[0], solid.view(np.int8), [0]]))
-        self.starts, self.ends = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
+        starts, ends, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for at, part in _slices(self.data, 2 * BYTES):
+            raw = np.frombuffer(part, np.uint8)
+            solid = ~_SPACE[raw]
+            edge = np.diff(np.concatenate([[0], solid.view(np.int8), [0]]))
+            start, end = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
+            powers = _power_tables(len(raw) + 1)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[0, : len(raw)], dtype=np.uint64)])
+            hashes.append(_mix((sums[end] - sums[start]) * powers[1, start]))
+            starts.append(start + at)
+            ends.append(end + at)
+        self.starts, self.ends, self.hash = np.concatenate(starts), np.concatenate(ends), np.concatenate(hashes)
         first = np.cumsum([0, *(len(t) + 1 for t in texts)])
         self.of = np.searchsorted(first, self.starts, side="right") - 1
-        if not len(self.starts):
-            self.hash = np.zeros(0, np.uint64)
-            return
-        powers = _power_tables(n)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[0, :n], dtype=np.uint64)])
-        self.hash = _mix((sums[self.ends] - sums[self.starts]) * powers[1, self.starts])
 
     def windows(self, width: int, group: int) -> tuple[np.ndarray, np.ndarray]:
         """Where windows start (within one text), and their minimizers (48 bits)."""
@@ -129,8 +146,7 @@ def _runs(of: np.ndarray, at: np.ndarray, least: np.ndarray) -> tuple[np.ndarray
 
 
 def minimizers(rows: DataFrame, width: int, group: int) -> DataFrame:
-    """rows: doc_id, text. h, doc_id for the distinct minimizers of each row."""
-    schema = T.StructType([T.StructField("h", T.LongType(), False), rows.schema["doc_id"]])
+    """rows: row, text. h, row for the distinct minimizers of each row."""
 
     def run(batches):
         for batch in batches:
@@ -144,9 +160,9 @@ def minimizers(rows: DataFrame, width: int, group: int) -> DataFrame:
                 order = np.lexsort((h, owner))
                 owner, h = owner[order], h[order]
                 new = np.append(True, (owner[1:] != owner[:-1]) | (h[1:] != h[:-1]))
-                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), batch.column(0).take(pa.array(owner[new] + k))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), batch.column(0).take(pa.array(owner[new] + k))], names=["h", "row"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, "h long, row long")
 
 
 def packed(docs: DataFrame, text_col: str) -> DataFrame:
@@ -173,111 +189,122 @@ def _unpack(column: pa.Array) -> Iterator[bytes | None]:
     return (unpack(x.as_py()) if x.is_valid else None for x in column)
 
 
-def _blob(parts: list[bytes], least: list[int], most: list[int]) -> bytes:
-    """Some segments of a shard, compressed together."""
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(np.array([len(parts), *least, *most], "<i8").tobytes() + b"\n".join(parts))
-
-
-def _unblob(blob: bytes) -> Iterator[tuple[bytes, int, int]]:
-    import zstandard
-
-    data = zstandard.ZstdDecompressor().decompress(blob)
-    n = int(np.frombuffer(data, "<i8", 1)[0])
-    numbers = np.frombuffer(data, "<i8", 2 * n, 8).tolist()
-    return zip(data[8 + 16 * n :].split(b"\n"), numbers[:n], numbers[n:], strict=True)
-
-
-def segments(rows: DataFrame, width: int, group: int, shards: int) -> DataFrame:
-    """rows: doc_id, row, text (packed), hits (array of h, hot). Two kinds of rows.
-
-    Where segments are: doc_id, row, start (word of the first window), seg (digest). What they are, each once for a
-    batch of documents and those of a shard together: shard, blob (words, smallest and largest doc_id).
-    """
-    fields = [("doc_id", T.LongType()), ("row", T.LongType()), ("start", T.IntegerType()), ("seg", T.BinaryType()), ("shard", T.LongType()), ("blob", T.BinaryType())]
-    schema = T.StructType([T.StructField(n, t) for n, t in fields])
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary())
+class _Pieces:
+    """The segments of a batch, equal ones once, with their shards and the rows that hold them."""
+
+    def __init__(self, shards: int):
+        self.shards, self.known, self.keys = shards, {}, array("Q")
+        self.of, self.doc, self.row, self.start = array("i"), array("q"), array("q"), array("i")
+
+    def add(self, text: bytes, key: int, doc: int, row: int, start: int) -> None:
+        """key: what the segment's shard depends on."""
+        of = self.known.setdefault(text, len(self.known))
+        if of == len(self.keys):
+            self.keys.append(key)
+        self.of.append(of)
+        self.doc.append(doc)
+        self.row.append(row)
+        self.start.append(start)
+
+    def batch(self) -> pa.RecordBatch:
+        """A row for each shard: words (segments joined by line ends), least and most (documents of each segment), and of, doc, row, start of the references."""
+        of, doc, row, start = (np.frombuffer(x, x.typecode) for x in (self.of, self.doc, self.row, self.start))
+        low, high = np.full(len(self.keys), np.iinfo(np.int64).max), np.full(len(self.keys), np.iinfo(np.int64).min)
+        np.minimum.at(low, of, doc)
+        np.maximum.at(high, of, doc)
+        shard = (_mix(np.frombuffer(self.keys, np.uint64)) % np.uint64(self.shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(shard[order]) != 0))
+        size = np.diff(np.append(first, len(order)))
+        place = np.empty(len(order), np.int32)  # of a segment in its piece
+        place[order] = np.arange(len(order)) - np.repeat(first, size)
+        texts = list(self.known)
+        words = [b"\n".join([texts[k] for k in order[a : a + n].tolist()]) for a, n in zip(first.tolist(), size.tolist(), strict=True)]
+        ref = np.argsort(shard[of], kind="stable")
+        held = np.diff(np.searchsorted(shard[of][ref], np.append(shard[order][first], self.shards)))
+        lists = lambda x, n: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(x))
+        columns = [pa.array(shard[order][first]), pa.array(words, pa.binary()), lists(low[order], size), lists(high[order], size),
+                   lists(place[of][ref], held), lists(doc[ref], held), lists(row[ref], held), lists(start[ref], held)]
+        return pa.RecordBatch.from_arrays(columns, names=["shard", "words", "least", "most", "of", "doc", "row", "start"])
+
+
+PIECES = "shard long, words binary, least array<bigint>, most array<bigint>, of array<int>, doc array<bigint>, row array<bigint>, start array<int>"
+
+
+def pieces(rows: DataFrame, width: int, group: int, shards: int) -> DataFrame:
+    """rows: doc, row, text (packed), hits (array of h, hot; null: every window). PIECES: what each batch of rows has for each shard."""
 
     def run(batches):
-        import xxhash
-
         for batch in batches:
-            hits, seen = batch.column(3), {}
+            hits, found = batch.column(3), _Pieces(shards)
             ids, row = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keys, hot = hits.values.field(0).to_numpy(zero_copy_only=False), hits.values.field(1).to_numpy(zero_copy_only=False)
-            bounds = hits.offsets.to_numpy()
+            keys, hot = (hits.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            bounds, chosen = hits.offsets.to_numpy(), hits.is_valid().to_numpy(zero_copy_only=False)
             for k, texts in _chunks(x or b"" for x in _unpack(batch.column(2))):
                 words = Words(texts)
                 at, least = words.windows(width, group)
-                here = slice(bounds[k], bounds[k + len(texts)])
-                if not len(at) or here.start == here.stop:
+                if not len(at):
                     continue
-                # A pair of document and minimizer is one number; two that fall together only bring a segment too many.
-                owner = np.repeat(np.arange(len(texts)), np.diff(bounds[k : k + len(texts) + 1])).astype(np.uint64)
-                pair = _mix(keys[here].view(np.uint64) ^ _mix(owner))
-                order = np.argsort(pair)
-                pair, is_hot = pair[order], hot[here][order]
-                want = _mix(least ^ _mix(words.of[at].astype(np.uint64)))
-                place = np.minimum(np.searchsorted(pair, want), len(pair) - 1)
-                mine = pair[place] == want
-                at, least, spread = at[mine], least[mine], is_hot[place[mine]]
+                spread = np.zeros(len(at), bool)
+                mine = ~chosen[words.of[at] + k]
+                here = slice(bounds[k], bounds[k + len(texts)])
+                if here.start < here.stop:
+                    # A pair of row and minimizer is one number; two that fall together only bring a segment too many.
+                    owner = np.repeat(np.arange(len(texts)), np.diff(bounds[k : k + len(texts) + 1])).astype(np.uint64)
+                    pair = _mix(keys[here].view(np.uint64) ^ _mix(owner))
+                    order = np.argsort(pair)
+                    pair, is_hot = pair[order], hot[here][order]
+                    want = _mix(least ^ _mix(words.of[at].astype(np.uint64)))
+                    place = np.minimum(np.searchsorted(pair, want), len(pair) - 1)
+                    same = pair[place] == want
+                    spread, mine = same & is_hot[place], mine | same
+                at, least, spread = at[mine], least[mine], spread[mine]
                 if not len(at):
                     continue
                 first, end = _runs(words.of, at, least)
                 data, starts, ends, of = words.data, words.starts.tolist(), words.ends.tolist(), words.of[at].tolist()
                 base = np.searchsorted(words.of, np.arange(len(texts))).tolist()
-                out = []
                 for a, b in zip(first.tolist(), end.tolist(), strict=True):
                     s, who, split = int(at[a]), of[a], bool(spread[a])
-                    doc = ids[who + k]
                     for x, n in [(s + j, 1) for j in range(b - a)] if split else [(s, b - a)]:
                         text = b" ".join(data[starts[x] : ends[x + n + width - 2]].split())
-                        seg = xxhash.xxh3_128_digest(text)
-                        out.append((doc, row[who + k], x - base[who], seg))
-                        known = seen.get(seg)
-                        if known is None:
-                            seen[seg] = [text, int.from_bytes(seg[:8], "little") if split else int(least[a]), doc, doc]
-                        elif doc < known[2]:
-                            known[2] = doc
-                        elif doc > known[3]:
-                            known[3] = doc
-                columns = [*zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, kinds, strict=False)), *(pa.nulls(len(out), t) for t in kinds[4:])], names=schema.names)
-            if not seen:
-                continue
-            found = list(seen.values())
-            shard = (_mix(np.array([v[1] for v in found], np.uint64)) % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            cuts = np.flatnonzero(np.append(True, np.diff(shard[order]) != 0)).tolist()
-            out = [[], []]
-            for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
-                some = [found[k] for k in order[a:b].tolist()]
-                out[0].append(int(shard[order[a]]))
-                out[1].append(_blob([v[0] for v in some], [v[2] for v in some], [v[3] for v in some]))
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(out[0]), t) for t in kinds[:4]), *(pa.array(c, t) for c, t in zip(out, kinds[4:], strict=True))], names=schema.names)
-
-    return rows.mapInArrow(run, schema)
+                        found.add(text, _own_key(text) if split else int(least[a]), ids[who + k], row[who + k], x - base[who])
+            if found.known:
+                yield found.batch()
+
+    return rows.mapInArrow(run, PIECES)
+
+
+def _own_key(text: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(text)
 
 
 class WaveletMatrix:
     """Rank of a symbol in a sequence, from packed bits and counts per 64 of them."""
 
-    def __init__(self, symbols: np.ndarray, levels: int):
-        self.levels, self.bits, self.counts, self.zeros = levels, [], [], []
-        n = len(symbols)
-        for level in reversed(range(levels)):
-            bit = (symbols >> level) & 1
-            packed = np.packbits(bit.astype(np.uint8), bitorder="little")
-            packed = np.concatenate([packed, np.zeros(16 - len(packed) % 8, np.uint8)]).view("<u8")
-            self.bits.append(packed)
-            self.counts.append(np.concatenate([[0], np.cumsum(np.bitwise_count(packed))]).astype(np.int64))
-            self.zeros.append(n - int(bit.sum()))
+    def __init__(self, bits: np.ndarray, zeros: np.ndarray):
+        """bits: a row of 64-bit words for each level, the highest bit of the symbols first. zeros: of each level."""
+        self.bits, self.zeros = bits, zeros
+        self.counts = np.zeros((bits.shape[0], bits.shape[1] + 1), np.int64)
+        np.cumsum(np.bitwise_count(bits), axis=1, out=self.counts[:, 1:])
+
+    @classmethod
+    def of(cls, symbols: np.ndarray, levels: int) -> WaveletMatrix:
+        bits, zeros = np.zeros((levels, len(symbols) // 64 + 1), np.uint64), np.zeros(levels, np.int64)
+        for k, level in enumerate(reversed(range(levels))):
+            bit = ((symbols >> level) & 1).astype(np.uint8)
+            some = np.packbits(bit, bitorder="little")
+            bits[k].view(np.uint8)[: len(some)] = some
+            zeros[k] = len(symbols) - int(bit.sum())
             symbols = np.concatenate([symbols[bit == 0], symbols[bit == 1]])
+        return cls(bits, zeros)
 
     def rank(self, symbols: np.ndarray, places: np.ndarray) -> np.ndarray:
         """How often each symbol occurs before its place; counted from where the symbol's part of the last level starts."""
-        for k, level in enumerate(reversed(range(self.levels))):
+        levels = len(self.zeros)
+        for k, level in enumerate(reversed(range(levels))):
             word = places >> 6
             below = (np.uint64(1) << (places & 63).astype(np.uint64)) - np.uint64(1)
             ones = self.counts[k][word] + np.bitwise_count(self.bits[k][word] & below)
@@ -286,131 +313,240 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Backward search over texts of numbers above 0, for patterns of up to `width`, and the least owner of a pattern's places."""
+    """Backward search over texts of numbers above 0 and matching statistics up to `width`, with the least owner of each window's places."""
 
-    def __init__(self, text: np.ndarray, owners: np.ndarray, width: int):
+    def __init__(self, tree: WaveletMatrix, first: np.ndarray, shared: np.ndarray, least: np.ndarray, width: int):
+        """first: where the suffixes that begin with a symbol begin. shared: how many symbols a suffix has in common with the one before, up to `width`; 0 at both ends. least: of the blocks that share `width`."""
+        self.tree, self.first, self.shared, self.least, self.width, self.n = tree, first, shared, least, width, len(shared) - 1
+        symbols = np.arange(len(first) - 1)
+        # rank() counts from the place to which the start of the sequence is mapped.
+        self.shift = first[:-1] - tree.rank(symbols, np.zeros(len(symbols), np.int64))
+        edge = shared.copy()
+        edge[[0, -1]] = -1
+        self.edges = np.concatenate([np.flatnonzero(edge < d) + d * (self.n + 1) for d in range(1, width + 1)])
+        self.blocks = np.flatnonzero(edge < width)
+
+    @classmethod
+    def build(cls, text: np.ndarray, owners: np.ndarray, width: int) -> FMIndex:
         """text: 0 ends each part. owners: of each place."""
         n, rank, have = len(text), text.astype(np.int64), 1
         order = np.argsort(rank)
-        self.seed, seed_rank = 1, rank
         pad = lambda x, k: np.concatenate([x[k:], np.zeros(min(k, len(x)), x.dtype)])
-        while have < width:
-            self.seed, seed_rank = have, rank
+        while have < width:  # prefix doubling
             step = min(have, width - have)
             pair = rank * (int(rank.max()) + 1) + pad(rank, step)
             order = np.argsort(pair)
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(np.append(False, pair[order][1:] != pair[order][:-1]))
             have += step
-        # Intervals of the patterns of `seed` numbers that occur: what a search starts from.
-        self.seed_rank, self.seed_first = seed_rank, np.concatenate([[0], np.cumsum(np.bincount(seed_rank))])
-        self.owners = np.append(owners[order], owners.max(initial=0))
-        before = text[order - 1]
-        self.levels = max(int(text.max()).bit_length(), 1)
-        self.tree = WaveletMatrix(before, self.levels)
-        symbols = np.arange(int(text.max()) + 2)
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(symbols)))])
-        # rank() counts from the place to which the start of the sequence is mapped.
-        self.shift = self.first[:-1] - self.tree.rank(symbols, np.zeros(len(symbols), np.int64))
+        shared, equal, padded = np.zeros(n + 1, np.int8), np.ones(n - 1, bool), np.append(text, np.zeros(width, text.dtype))
+        for k in range(width):
+            equal &= padded[order[1:] + k] == padded[order[:-1] + k]
+            shared[1:n] += equal
+        levels = max(int(text.max()).bit_length(), 1)
+        first = np.append(0, np.cumsum(np.bincount(text, minlength=int(text.max()) + 1)))
+        least = np.minimum.reduceat(owners[order], np.append(0, np.flatnonzero(shared[1:n] < width) + 1))
+        return cls(WaveletMatrix.of(text[order - 1], levels), first, shared, least, width)
+
+    def dump(self, words: Iterable[bytes]) -> bytes:
+        """The index and the words that its symbols 1, 2, ... stand for."""
+        import zstandard
 
-    def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The intervals of the patterns with one more symbol in front."""
-        move = self.shift[symbol]
-        return move + self.tree.rank(symbol, low), move + self.tree.rank(symbol, high)
+        out = io.BytesIO()
+        np.savez(out, words=np.frombuffer(b"\n".join(words), np.uint8), bits=self.tree.bits, zeros=self.tree.zeros, first=self.first, shared=self.shared, least=self.least, width=self.width)
+        return zstandard.ZstdCompressor(level=1).compress(out.getvalue())
 
-    def least_owner(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        places, back = np.unique(np.stack([low, high], axis=1), axis=0, return_inverse=True)
-        if not len(places):
-            return low[:0]
-        return np.minimum.reduceat(self.owners, places.ravel())[::2][back.ravel()]
+    @classmethod
+    def load(cls, data: bytes) -> tuple[dict[bytes, int], FMIndex]:
+        import zstandard
 
+        x = np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(data)))
+        numbers = {w: k for k, w in enumerate(x["words"].tobytes().split(b"\n"), 1)}
+        return numbers, cls(WaveletMatrix(x["bits"], x["zeros"]), x["first"], x["shared"], x["least"], int(x["width"]))
 
-def least_documents(parts: list[bytes], docs: np.ndarray, width: int) -> list[np.ndarray]:
-    """For each window of each part (words joined by spaces), the least document whose parts hold it."""
-    numbers: dict[bytes, int] = defaultdict(lambda: len(numbers) + 1)
-    numbered, ends = array("q"), []
+    def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals of the patterns with one more symbol in front."""
+        n, both = len(symbol), np.concatenate([symbol, symbol])
+        moved = self.shift[both] + self.tree.rank(both, np.concatenate([low, high]))
+        return moved[:n], moved[n:]
+
+    def enclosing(self, low: np.ndarray, high: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals of the first `length` symbols of the patterns with these intervals."""
+        base = length * (self.n + 1)
+        some = length > 0
+        left = np.searchsorted(self.edges, base + low, side="right") - 1
+        right = np.minimum(np.searchsorted(self.edges, base + high), len(self.edges) - 1)
+        return np.where(some, self.edges[left] - base, 0), np.where(some, self.edges[right] - base, self.n)
+
+    def matching_statistics(self, text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each place of the parts of text from begin to end: symbols (up to `width`) from there on that the index holds in a row, and where the interval of this match starts.
+
+        Numbers that no symbol of the index has are 0. All parts advance together, from right to left.
+        """
+        length, start = np.zeros(len(text), np.int8), np.zeros(len(text), np.int64)
+        order = np.argsort(begin - end, kind="stable")
+        end, size = end[order], (end - begin)[order]
+        low, high, have = np.zeros(len(end), np.int64), np.full(len(end), self.n), np.zeros(len(end), np.int64)
+        for t in range(int(size[0]) if len(size) else 0):
+            k = int(np.searchsorted(-size, -t))  # parts with more than t symbols come first
+            at = end[:k] - 1 - t
+            symbol = text[at]
+            todo = np.flatnonzero(have[:k] == self.width)
+            low[todo], high[todo] = self.enclosing(low[todo], high[todo], np.full(len(todo), self.width - 1))
+            have[todo] = self.width - 1
+            gone = np.flatnonzero(symbol == 0)
+            low[gone], high[gone], have[gone] = 0, self.n, 0
+            todo = np.flatnonzero(symbol)
+            while len(todo):
+                a, b = self.step(symbol[todo], low[todo], high[todo])
+                grown = a < b
+                done = todo[grown]
+                low[done], high[done] = a[grown], b[grown]
+                have[done] += 1
+                todo = todo[~grown]
+                todo = todo[have[todo] > 0]
+                less = np.maximum(self.shared[low[todo]], self.shared[high[todo]]).astype(np.int64)
+                low[todo], high[todo] = self.enclosing(low[todo], high[todo], less)
+                have[todo] = less
+            length[at], start[at] = have[:k], low[:k]
+        return length, start
+
+    def least_owner(self, start: np.ndarray) -> np.ndarray:
+        """Of matches of `width` symbols, by where their intervals start."""
+        return self.least[np.searchsorted(self.blocks, start, side="right") - 1]
+
+
+def _numbered(parts: Iterable[bytes], number) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the words of parts, a 0 after each part, and where the parts end."""
+    numbered, ends = array("i"), array("q")
     for part in parts:
-        numbered.extend(map(numbers.__getitem__, part.split()))
-        numbered.append(0)
+        numbered.extend(map(number, part.split()))
         ends.append(len(numbered))
-    del numbers
-    text, sizes = np.frombuffer(numbered, np.int64), np.diff(ends, prepend=0) - 1
-    owner = np.repeat(docs, sizes + 1)
-    index = FMIndex(text, owner, width)
-    lengths = sizes - width + 1
-    begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-    where = np.repeat(begin - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(int(lengths.sum()))
-    found = np.repeat(docs, lengths)
-    live, tail = np.arange(len(where)), index.seed_rank[where + width - index.seed]
-    low, high = index.seed_first[tail], index.seed_first[tail + 1]
-    for k in range(width - index.seed - 1, -1, -1):
-        more = high - low > 1
-        live, low, high = live[more], low[more], high[more]
-        low, high = index.step(text[where[live] + k], low, high)
-    more = high - low > 1
-    found[live[more]] = index.least_owner(low[more], high[more])
-    return np.split(found, np.cumsum(lengths)[:-1])
-
-
-def _shards(blobs: DataFrame, width: int) -> DataFrame:
-    """blobs: shard, blob, those of a shard together in one partition. seg, least_docs for the segments in which some document loses a window."""
-    schema = "seg binary, least_docs array<bigint>"
-
-    def report(merged: dict[bytes, list[int]]):
-        import xxhash
-
-        words = list(merged)
-        found = least_documents(words, np.array([v[0] for v in merged.values()]), width)
-        loses = [k for k, v in enumerate(merged.values()) if found[k].min() < v[1]]
-        for at in range(0, len(loses), 4096):
-            some = loses[at : at + 4096]
-            offsets = np.cumsum([0, *(len(found[k]) for k in some)]).astype(np.int32)
-            segs = [xxhash.xxh3_128_digest(words[k]) for k in some]
-            yield pa.RecordBatch.from_arrays([pa.array(segs, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([found[k] for k in some])))], names=["seg", "least_docs"])
+        numbered.append(0)
+    return np.frombuffer(numbered, np.int32), np.frombuffer(ends, np.int64)
+
+
+def build_index(found: DataFrame, width: int, shards: int) -> DataFrame:
+    """found: pieces(). shard, index: the FM-index over the distinct segments of each shard."""
+
+    def report(shard: int, merged: dict[bytes, int]):
+        numbers: dict[bytes, int] = defaultdict(lambda: len(numbers) + 1)
+        text, ends = _numbered(merged, numbers.__getitem__)
+        owners = np.repeat(np.fromiter(merged.values(), np.int64, len(merged)), np.diff(ends, prepend=-1))
+        return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([FMIndex.build(text, owners, width).dump(numbers)], pa.binary())], names=["shard", "index"])
 
     def run(batches):
         now, merged = None, {}
         for batch in batches:
-            for shard, blob in zip(batch.column(0), batch.column(1), strict=True):
-                if shard.as_py() != now:
+            for shard, words, least in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if shard != now:
                     if merged:
-                        yield from report(merged)
-                    now, merged = shard.as_py(), {}
-                for text, low, high in _unblob(blob.as_py()):
-                    known = merged.get(text)
-                    if known is None:
-                        merged[text] = [low, high]
-                    else:
-                        known[:] = min(known[0], low), max(known[1], high)
+                        yield report(now, merged)
+                    now, merged = shard, {}
+                for text, doc in zip(words.as_py().split(b"\n"), least.values.to_pylist(), strict=True):
+                    merged[text] = min(merged.get(text, doc), doc)
         if merged:
-            yield from report(merged)
+            yield report(now, merged)
 
-    return blobs.mapInArrow(run, schema)
+    return found.select("shard", "words", "least").repartition(min(shards, TASKS), "shard").sortWithinPartitions("shard").mapInArrow(run, "shard long, index binary")
 
 
-def covered_windows(docs: DataFrame, width: int = WIDTH, group: int = GROUP, hot: int = HOT, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row (hash of the text), windows: the words at which a row's windows that an earlier document holds begin."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull())
-    least = minimizers(rows.select("doc_id", "text"), width, group)
-    shared = least.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", (F.col("n") > hot).alias("hot"))
-    hits = least.join(shared, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "hot")).alias("hits"))
-    once = packed(rows, "text").join(hits, "doc_id").select("doc_id", "row", "text", "hits")
-    shards = max(1, -(-rows.count() // shard))
-    pieces = cut(segments(once, width, group, shards), "segments")
-    blobs = pieces.where(F.col("blob").isNotNull()).select("shard", "blob").repartition(min(shards, TASKS), "shard").sortWithinPartitions("shard")
-    lost = pieces.where(F.col("doc_id").isNotNull()).select("doc_id", "row", "start", "seg").join(_shards(blobs, width), "seg")
-    begins = F.filter(F.transform("least_docs", lambda d, k: F.when(d < F.col("doc_id"), F.col("start") + k)), lambda x: x.isNotNull())
-    return lost.select("doc_id", "row", begins.alias("w")).where(F.size("w") > 0).groupBy("doc_id", "row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("w")))).alias("windows"))
+def streamed(found: DataFrame, index: DataFrame, width: int, shards: int) -> DataFrame:
+    """found: pieces() with a column piece; index: build_index(). piece, of, sizes, docs: for segments in which some row may lose a window, the least document of each window (or the largest number)."""
+    never = np.iinfo(np.int64).max
+    schema = "piece long, of array<int>, sizes array<int>, docs array<bigint>"
 
+    def run(batches):
+        now, numbers, fm = None, {}, None
+        for batch in batches:
+            for shard, data, piece, words, most in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
+                if data.is_valid:
+                    now, (numbers, fm) = shard, FMIndex.load(data.as_py())
+                    continue
+                if shard != now:  # a shard that the index doesn't have
+                    continue
+                get = numbers.get
+                text, ends = _numbered(words.as_py().split(b"\n"), lambda w: get(w, 0))
+                begin = np.append(0, ends[:-1] + 1)
+                length, start = fm.matching_statistics(text, begin, ends)
+                docs, whole = np.full(len(text), never), np.flatnonzero(length == width)
+                docs[whole] = fm.least_owner(start[whole])
+                n = ends - begin - width + 1
+                loses = np.flatnonzero(np.minimum.reduceat(docs, begin) < most.values.to_numpy())
+                if not len(loses):
+                    continue
+                n, first = n[loses], begin[loses]
+                at = np.repeat(first - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(int(n.sum()))
+                lists = [pa.array([x], pa.list_(t)) for x, t in ((loses.astype(np.int32), pa.int32()), (n.astype(np.int32), pa.int32()), (docs[at], pa.int64()))]
+                yield pa.RecordBatch.from_arrays([pa.array([piece]), *lists], names=["piece", "of", "sizes", "docs"])
 
-def _without(text: bytes, begins: np.ndarray, width: int) -> tuple[int, int, bytes, bytes]:
+    nothing = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    stored = index.select("shard", F.lit(0).alias("kind"), "index", nothing("long", "piece"), nothing("binary", "words"), nothing("array<bigint>", "most"))
+    asked = found.select("shard", F.lit(1).alias("kind"), nothing("binary", "index"), "piece", "words", "most")
+    # A shard's index comes first in its partition, then all pieces stream by.
+    return stored.union(asked).repartition(min(shards, TASKS), "shard").sortWithinPartitions("shard", "kind").mapInArrow(run, schema)
+
+
+def reports(found: DataFrame, answers: DataFrame, width: int) -> DataFrame:
+    """found: pieces() with a column piece; answers: streamed(). doc_id, row, first, end: words of a row that an earlier document holds."""
+
+    def run(batches):
+        for batch in batches:
+            for named, sizes, docs, of, doc, row, start in zip(*(batch.column(k) for k in range(1, 8)), strict=True):
+                named, sizes, docs, of, doc, row, start = (x.values.to_numpy() for x in (named, sizes, docs, of, doc, row, start))
+                place = np.minimum(np.searchsorted(named, of), len(named) - 1)
+                mine = np.flatnonzero(named[place] == of)
+                n = sizes[place[mine]].astype(np.int64)
+                who = np.repeat(mine, n)
+                offset = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
+                lost = np.flatnonzero(docs[np.repeat((np.cumsum(sizes) - sizes)[place[mine]], n) + offset] < doc[who])
+                if not len(lost):
+                    continue
+                who, offset = who[lost], offset[lost]
+                new = np.append(True, (who[1:] != who[:-1]) | (offset[1:] != offset[:-1] + 1))
+                last = np.append(np.flatnonzero(new)[1:], len(who)) - 1
+                first, end = start[who[new]] + offset[new], start[who[last]] + offset[last] + width
+                yield pa.RecordBatch.from_arrays([pa.array(doc[who[new]]), pa.array(row[who[new]]), pa.array(first.astype(np.int32)), pa.array(end.astype(np.int32))], names=["doc_id", "row", "first", "end"])
+
+    both = answers.select("piece", F.col("of").alias("named"), "sizes", "docs").join(found.select("piece", "of", "doc", "row", "start"), "piece")
+    return both.select("piece", "named", "sizes", "docs", "of", "doc", "row", "start").mapInArrow(run, "doc_id long, row long, first int, end int")
+
+
+def shared_minimizers(least: DataFrame, hot: int) -> DataFrame:
+    """least: minimizers(). row, hits (h and whether very many rows have it) of the minimizers of two rows or more."""
+    shared = least.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", (F.col("n") > hot).alias("hot"))
+    return least.join(shared, "h").groupBy("row").agg(F.collect_list(F.struct("h", "hot")).alias("hits"))
+
+
+def covered_words(docs: DataFrame, width: int = WIDTH, group: int = GROUP, hot: int = HOT, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, row (hash of id and text), intervals: the words of a row (first, end) that windows cover which an earlier document holds."""
+    doc = F.col(id_col).cast("long")
+    rows = docs.where(doc.isNotNull()).select(doc.alias("doc"), F.xxhash64(doc, text_col).alias("row"), F.col(text_col).alias("text"))
+    scratch = Scratch(docs.sparkSession, "substrings")
+    least = scratch.cut(minimizers(rows.select("row", "text"), width, group), "minimizers")
+    hits = scratch.cut(shared_minimizers(least, hot), "hits")
+    scratch.drop("minimizers")
+    shards = -(-(hits.agg(F.sum(F.size("hits"))).first()[0] or 1) // shard)
+    chosen = packed(rows, "text").join(hits, "row").select("doc", "row", "text", "hits")
+    found = scratch.cut(pieces(chosen, width, group, shards).withColumn("piece", F.monotonically_increasing_id()), "pieces")
+    scratch.drop("hits")
+    index = scratch.cut(build_index(found, width, shards), "index")
+    answers = scratch.cut(streamed(found, index, width, shards), "answers")
+    scratch.drop("index")
+    intervals = reports(found, answers, width).groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.struct("first", "end"))).alias("intervals"))
+    out = scratch.cut(intervals, "intervals")
+    scratch.drop("pieces", "answers")
+    return out
+
+
+def _without(text: bytes, first: np.ndarray, end: np.ndarray) -> tuple[int, int, bytes, bytes]:
     """Words, words removed, the words kept joined by one space, and the text without what is removed."""
     words = text.split()
-    if not len(begins):
+    if not len(first):
         return len(words), 0, b" ".join(words), text
     change = np.zeros(len(words) + 1, np.int32)
-    np.add.at(change, begins, 1)
-    np.add.at(change, begins + width, -1)
+    np.add.at(change, first, 1)
+    np.add.at(change, end, -1)
     keep = np.cumsum(change[:-1]) == 0
     starts = [m.start() for m in _WORD.finditer(text)]
     head = text[: starts[0]] if keep[0] else b""
@@ -420,30 +556,42 @@ def _without(text: bytes, begins: np.ndarray, width: int) -> tuple[int, int, byt
 
 def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """All columns of docs, the text without what earlier documents hold, and __n_words, __n_removed, __kept_sha256."""
-    covered = covered_windows(docs, width, id_col=id_col, text_col=text_col, **options)
-    keyed = packed(docs.withColumn("__row", F.xxhash64(text_col)), text_col)
-    joined = keyed.join(
-        covered.select(F.col("doc_id").alias("__doc"), F.col("row").alias("__hash"), F.col("windows").alias("__windows")), (F.col(id_col) == F.col("__doc")) & (F.col("__row") == F.col("__hash")), "left"
-    ).select(*docs.columns, "__windows")
+    covered = covered_words(docs, width, id_col=id_col, text_col=text_col, **options)
+    keyed = packed(docs.withColumn("__row", F.xxhash64(F.col(id_col).cast("long"), text_col)), text_col)
+    spans = covered.select(F.col("doc_id").alias("__doc"), F.col("row").alias("__hash"), F.col("intervals.first").alias("__first"), F.col("intervals.end").alias("__end"))
+    joined = keyed.join(spans, (F.col("__row") == F.col("__hash")) & (F.col(id_col) == F.col("__doc")), "left").select(*docs.columns, "__first", "__end")
     fields = [T.StructField(n, t, False) for n, t in (("__n_words", T.LongType()), ("__n_removed", T.LongType()), ("__kept_sha256", T.StringType()))]
     schema, place = T.StructType([*docs.schema.fields, *fields]), docs.columns.index(text_col)
+    numbers = lambda x: x.values.to_numpy().astype(np.int64) if x.is_valid else np.zeros(0, np.int64)
 
     def run(batches):
         for batch in batches:
             n, gone, digests, texts = [], [], [], []
-            for text, begins in zip(_unpack(batch.column(place)), batch.column(batch.num_columns - 1), strict=True):
-                a, b, kept, left = _without(text or b"", begins.values.to_numpy(zero_copy_only=False).astype(np.int64) if begins.is_valid else np.zeros(0, np.int64), width)
+            for text, first, end in zip(_unpack(batch.column(place)), *batch.columns[-2:], strict=True):
+                a, b, kept, left = _without(text or b"", numbers(first), numbers(end))
                 n.append(a)
                 gone.append(b)
                 digests.append(hashlib.sha256(kept).hexdigest())
                 texts.append(None if text is None else left.decode())
-            columns = batch.columns[:-1]
+            columns = batch.columns[:-2]
             columns[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests, pa.string())], names=schema.names)
 
     return joined.mapInArrow(run, schema)
 
 
+def matches(docs: DataFrame, known: DataFrame, width: int = WIDTH, group: int = GROUP, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, row, first, end: the words of docs (streamed) that documents of `known` (indexed) with smaller ids hold in windows."""
+    doc = F.col(id_col).cast("long")
+    scratch = Scratch(docs.sparkSession, "matches")
+    every = F.lit(None).cast("array<struct<h: bigint, hot: boolean>>")
+    rows = lambda x: x.where(doc.isNotNull()).select(doc.alias("doc"), F.xxhash64(doc, text_col).alias("row"), F.col(text_col).alias("text"))
+    shards = -(-max(known.agg(F.sum(F.size(F.split(text_col, " ")))).first()[0] or 1, 1) // (4 * shard))
+    index = scratch.cut(build_index(pieces(packed(rows(known), "text").withColumn("hits", every), width, group, shards), width, shards), "index")
+    found = scratch.cut(pieces(packed(rows(docs), "text").withColumn("hits", every), width, group, shards).withColumn("piece", F.monotonically_increasing_id()), "pieces")
+    return reports(found, scratch.cut(streamed(found, index, width, shards), "answers"), width)
+
+
 def removed_words(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row of docs."""
     return without_repeats(docs.select("doc_id", "text")).select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.col("__kept_sha256").alias("kept_sha256"))

@@ -182,7 +182,7 @@ def test_fm_index_counts():
     parts = [[rng.randint(1, 3) for _ in range(rng.randint(4, 30))] for _ in range(20)]
     text = np.array([x for p in parts for x in (*p, 0)])
     owner = np.array([k for k, p in enumerate(parts) for _ in range(len(p) + 1)])
-    index = substring_dedup.FMIndex(text, owner, 4)
+    index = substring_dedup.FMIndex.build(text, owner, 4)
     for _ in range(100):
         pattern = [rng.randint(1, 3) for _ in range(4)]
         low, high = (np.array([x]) for x in (index.first[pattern[-1]], index.first[pattern[-1] + 1]))
@@ -191,7 +191,63 @@ def test_fm_index_counts():
         found = [k for k, p in enumerate(parts) for i in range(len(p) - 3) if p[i : i + 4] == pattern]
         assert int(high[0] - low[0]) == len(found)
         if found:
-            assert index.least_owner(low, high)[0] == min(found)
+            assert index.least_owner(low)[0] == min(found)
+
+
+@pytest.mark.parametrize(("symbols", "width"), [(2, 2), (2, 13), (3, 5), (6, 4), (40, 5)])
+def test_matching_statistics(symbols, width):
+    """Of streamed parts against a stored index, with words that the index doesn't have."""
+    rng = random.Random(symbols * width)
+    for _ in range(25):
+        parts = [[rng.randint(1, symbols) for _ in range(rng.randint(width, 30))] for _ in range(rng.randint(1, 12))]
+        text = np.array([x for p in parts for x in (*p, 0)], np.int32)
+        owner = np.array([k * 7 % 11 for k, p in enumerate(parts) for _ in range(len(p) + 1)])
+        _, index = substring_dedup.FMIndex.load(substring_dedup.FMIndex.build(text, owner, width).dump([b"x"] * symbols))
+        asked = [[rng.randint(0, max(text)) for _ in range(rng.randint(0, 40))] for _ in range(5)]
+        asked.append(parts[0] + [0] + parts[-1] * 2)
+        ends = np.cumsum([len(q) + 1 for q in asked]) - 1
+        begin = np.append(0, ends[:-1] + 1)
+        length, start = index.matching_statistics(np.array([x for q in asked for x in (*q, 0)], np.int32), begin, ends)
+        for q, b in zip(asked, begin.tolist(), strict=True):
+            for i in range(len(q)):
+                held = lambda n, q=q, i=i: [k * 7 % 11 for k, p in enumerate(parts) if any(p[j : j + n] == q[i : i + n] for j in range(len(p) - n + 1))]
+                want = max((n for n in range(1, width + 1) if i + n <= len(q) and held(n)), default=0)
+                assert length[b + i] == want
+                if want == width:
+                    assert index.least_owner(start[b + i : b + i + 1])[0] == min(held(width))
+
+
+def test_stream_against_an_index(spark, texts):
+    """Other documents than those of the index; of a longer text only the words that it holds."""
+    known = [(i, t) for i, t in texts if i % 2 == 0]
+    asked = [(i + 1_000_000, t) for i, t in texts if i % 3 == 0] + [(-1, texts[0][1])]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for r in substring_dedup.matches(frame(asked), frame(known), shard=500).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.first, r.end))
+    windows = {tuple(w[k : k + 13]) for _, t in known for w in [t.encode().split()] for k in range(len(w) - 12)}
+    for i, t in asked:
+        w = t.encode().split()
+        want = {x for k in range(len(w) - 12) if i > 0 and tuple(w[k : k + 13]) in windows for x in range(k, k + 13)}
+        assert got.get(i, set()) == want
+
+
+def test_words_of_long_texts(monkeypatch):
+    """Slices give the same words and hashes as the whole."""
+    texts = [b"a bc " * 5000, b"x" * 40_000 + b" y", b" " * 30_000, b"", b"z\tq"]
+    whole = substring_dedup.Words(texts)
+    monkeypatch.setattr(substring_dedup, "BYTES", 500)
+    sliced = substring_dedup.Words(texts)
+    assert [whole.data[a:b] for a, b in zip(whole.starts, whole.ends, strict=True)] == b" ".join(texts).split()
+    for name in ("starts", "ends", "hash", "of"):
+        assert (getattr(whole, name) == getattr(sliced, name)).all()
+
+
+def test_ids_that_repeat_with_other_texts(spark):
+    base = " ".join(f"w{k}" for k in range(20))
+    rows = [(1, base), (1, base + " more"), (2, "x y " + base), (2, "other"), (None, base)]
+    got = sorted((tuple(r) for r in substring_dedup.removed_words(make(spark, rows)).collect()), key=str)
+    assert got == kept_by_brute_force(rows)
 
 
 # 4
