@@ -165,24 +165,27 @@ def minimizers(rows: DataFrame, width: int, group: int) -> DataFrame:
     return rows.mapInArrow(run, "h long, row long")
 
 
+def _pack(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
 def packed(docs: DataFrame, text_col: str) -> DataFrame:
     """docs with the text as a compressed binary column of the same name: what a shuffle writes shrinks to two thirds."""
     schema = T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == text_col else f for f in docs.schema.fields])
     place = docs.columns.index(text_col)
 
     def run(batches):
-        import zstandard
-
-        pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             columns = batch.columns
-            columns[place] = pa.array((pack(x.as_py()) if x.is_valid else None for x in columns[place].cast(pa.binary())), pa.binary())
+            columns[place] = pa.array((_pack(x.as_py()) if x.is_valid else None for x in columns[place].cast(pa.binary())), pa.binary())
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
-def _unpack(column: pa.Array) -> Iterator[bytes | None]:
+def _unpack(column: Iterable[pa.Scalar]) -> Iterator[bytes | None]:
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
@@ -207,7 +210,7 @@ class _Pieces:
         self.start.append(start)
 
     def batch(self) -> pa.RecordBatch:
-        """A row for each shard: words (segments joined by line ends), least and most (documents of each segment), and of, doc, row, start of the references."""
+        """A row for each shard: words (segments joined by line ends, compressed), least and most (documents of each segment), and of, doc, row, start of the references."""
         of, doc, row, start = (np.frombuffer(x, x.typecode) for x in (self.of, self.doc, self.row, self.start))
         low, high = np.full(len(self.keys), np.iinfo(np.int64).max), np.full(len(self.keys), np.iinfo(np.int64).min)
         np.minimum.at(low, of, doc)
@@ -219,7 +222,7 @@ class _Pieces:
         place = np.empty(len(order), np.int32)  # of a segment in its piece
         place[order] = np.arange(len(order)) - np.repeat(first, size)
         texts = list(self.known)
-        words = [b"\n".join([texts[k] for k in order[a : a + n].tolist()]) for a, n in zip(first.tolist(), size.tolist(), strict=True)]
+        words = [_pack(b"\n".join([texts[k] for k in order[a : a + n].tolist()])) for a, n in zip(first.tolist(), size.tolist(), strict=True)]
         ref = np.argsort(shard[of], kind="stable")
         held = np.diff(np.searchsorted(shard[of][ref], np.append(shard[order][first], self.shards)))
         lists = lambda x, n: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(x))
@@ -281,6 +284,9 @@ def _own_key(text: bytes) -> int:
     return xxhash.xxh3_64_intdigest(text)
 
 
+_BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
+
 class WaveletMatrix:
     """Rank of a symbol in a sequence, from packed bits and counts per 64 of them."""
 
@@ -306,8 +312,7 @@ class WaveletMatrix:
         levels = len(self.zeros)
         for k, level in enumerate(reversed(range(levels))):
             word = places >> 6
-            below = (np.uint64(1) << (places & 63).astype(np.uint64)) - np.uint64(1)
-            ones = self.counts[k][word] + np.bitwise_count(self.bits[k][word] & below)
+            ones = self.counts[k][word] + np.bitwise_count(self.bits[k][word] & _BELOW[places & 63])
             places = np.where((symbols >> level) & 1, self.zeros[k] + ones, places - ones)
         return places
 
@@ -350,11 +355,9 @@ class FMIndex:
 
     def dump(self, words: Iterable[bytes]) -> bytes:
         """The index and the words that its symbols 1, 2, ... stand for."""
-        import zstandard
-
         out = io.BytesIO()
         np.savez(out, words=np.frombuffer(b"\n".join(words), np.uint8), bits=self.tree.bits, zeros=self.tree.zeros, first=self.first, shared=self.shared, least=self.least, width=self.width)
-        return zstandard.ZstdCompressor(level=1).compress(out.getvalue())
+        return _pack(out.getvalue())
 
     @classmethod
     def load(cls, data: bytes) -> tuple[dict[bytes, int], FMIndex]:
@@ -438,12 +441,12 @@ def build_index(found: DataFrame, width: int, shards: int) -> DataFrame:
     def run(batches):
         now, merged = None, {}
         for batch in batches:
-            for shard, words, least in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for shard, words, least in zip(batch.column(0).to_pylist(), _unpack(batch.column(1)), batch.column(2), strict=True):
                 if shard != now:
                     if merged:
                         yield report(now, merged)
                     now, merged = shard, {}
-                for text, doc in zip(words.as_py().split(b"\n"), least.values.to_pylist(), strict=True):
+                for text, doc in zip(words.split(b"\n"), least.values.to_pylist(), strict=True):
                     merged[text] = min(merged.get(text, doc), doc)
         if merged:
             yield report(now, merged)
@@ -454,37 +457,50 @@ def build_index(found: DataFrame, width: int, shards: int) -> DataFrame:
 def streamed(found: DataFrame, index: DataFrame, width: int, shards: int) -> DataFrame:
     """found: pieces() with a column piece; index: build_index(). piece, of, sizes, docs: for segments in which some row may lose a window, the least document of each window (or the largest number)."""
     never = np.iinfo(np.int64).max
-    schema = "piece long, of array<int>, sizes array<int>, docs array<bigint>"
+
+    def answer(numbers: dict[bytes, int], fm: FMIndex, asked: list[tuple[int, list[bytes], np.ndarray]]):
+        """A row for each piece (number, segments, largest document of each) that has such segments. All are matched together, equal ones once."""
+        places: dict[bytes, int] = {}
+        of = [np.fromiter((places.setdefault(w, len(places)) for w in words), np.int64, len(words)) for _, words, _ in asked]
+        get = numbers.get
+        text, ends = _numbered(places, lambda w: get(w, 0))
+        begin = np.append(0, ends[:-1] + 1)
+        length, start = fm.matching_statistics(text, begin, ends)
+        docs, whole = np.full(len(text), never), np.flatnonzero(length == width)
+        docs[whole] = fm.least_owner(start[whole])
+        least, windows = np.minimum.reduceat(docs, begin), ends - begin - width + 1
+        out = [[], [], [], []]
+        for (piece, _, most), mine in zip(asked, of, strict=True):
+            loses = np.flatnonzero(least[mine] < most)
+            if len(loses):
+                n, first = windows[mine[loses]], begin[mine[loses]]
+                at = np.repeat(first - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(int(n.sum()))
+                for column, x in zip(out, (piece, loses.astype(np.int32), n.astype(np.int32), docs[at]), strict=True):
+                    column.append(x)
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(out[0]), *(pa.array(x, pa.list_(t)) for x, t in zip(out[1:], (pa.int32(), pa.int32(), pa.int64()), strict=True))], names=["piece", "of", "sizes", "docs"])
 
     def run(batches):
-        now, numbers, fm = None, {}, None
+        now, index, asked, size = None, (), [], 0
         for batch in batches:
-            for shard, data, piece, words, most in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
+            for shard, data, piece, words, most in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3).to_pylist(), _unpack(batch.column(4)), batch.column(5), strict=True):
+                if data.is_valid or size > 16 * BYTES:
+                    if asked:
+                        yield from answer(*index, asked)
+                    asked, size = [], 0
                 if data.is_valid:
-                    now, (numbers, fm) = shard, FMIndex.load(data.as_py())
-                    continue
-                if shard != now:  # a shard that the index doesn't have
-                    continue
-                get = numbers.get
-                text, ends = _numbered(words.as_py().split(b"\n"), lambda w: get(w, 0))
-                begin = np.append(0, ends[:-1] + 1)
-                length, start = fm.matching_statistics(text, begin, ends)
-                docs, whole = np.full(len(text), never), np.flatnonzero(length == width)
-                docs[whole] = fm.least_owner(start[whole])
-                n = ends - begin - width + 1
-                loses = np.flatnonzero(np.minimum.reduceat(docs, begin) < most.values.to_numpy())
-                if not len(loses):
-                    continue
-                n, first = n[loses], begin[loses]
-                at = np.repeat(first - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(int(n.sum()))
-                lists = [pa.array([x], pa.list_(t)) for x, t in ((loses.astype(np.int32), pa.int32()), (n.astype(np.int32), pa.int32()), (docs[at], pa.int64()))]
-                yield pa.RecordBatch.from_arrays([pa.array([piece]), *lists], names=["piece", "of", "sizes", "docs"])
+                    now, index = shard, FMIndex.load(data.as_py())
+                elif shard == now:  # else a shard that the index doesn't have
+                    asked.append((piece, words.split(b"\n"), most.values.to_numpy()))
+                    size += len(words)
+        if asked:
+            yield from answer(*index, asked)
 
     nothing = lambda kind, name: F.lit(None).cast(kind).alias(name)
     stored = index.select("shard", F.lit(0).alias("kind"), "index", nothing("long", "piece"), nothing("binary", "words"), nothing("array<bigint>", "most"))
     asked = found.select("shard", F.lit(1).alias("kind"), nothing("binary", "index"), "piece", "words", "most")
     # A shard's index comes first in its partition, then all pieces stream by.
-    return stored.union(asked).repartition(min(shards, TASKS), "shard").sortWithinPartitions("shard", "kind").mapInArrow(run, schema)
+    return stored.union(asked).repartition(min(shards, TASKS), "shard").sortWithinPartitions("shard", "kind").mapInArrow(run, "piece long, of array<int>, sizes array<int>, docs array<bigint>")
 
 
 def reports(found: DataFrame, answers: DataFrame, width: int) -> DataFrame:
