@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm._shared import cut
+from framelake.llm._shared import Scratch
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -27,9 +27,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Every round is written to the shared folder; the driver sees a count and a checksum of it.
     """
-    state, seen = cut(edges.select("u", "v").where("u <> v").distinct(), "edges"), None
+    scratch, round_, seen = Scratch(edges.sparkSession, "components"), 0, None
+    state = scratch.cut(edges.select("u", "v").where("u <> v").distinct(), "0")
     while True:
         now = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now[0] == 0 or now == seen:
             return state.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        state, seen = cut(_small(_large(state)), "edges"), now
+        round_ += 1
+        state, seen = scratch.cut(_small(_large(state)), str(round_)), now
+        scratch.drop(str(round_ - 1))

@@ -13,7 +13,7 @@ most 65 to a value. That needs t <= 2, which is checked.
 
 Defined cases: a null or empty text, or one without words, has fingerprint zero and links like any other. One
 or two words are one shingle. Equal doc_ids are one document if their fingerprints agree; rows with a null
-doc_id get a component_id if a linked document has one. Other columns are ignored.
+doc_id link like any other and get a component_id if a linked document has one. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm._shared import cut, drop_ids
+from framelake.llm._shared import cut, row_hash, text_or_empty
 from framelake.llm.components import connected_components
 
 BITS = 64
@@ -48,15 +48,15 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = rows.select("doc_id", F.lit(0).cast("long").alias("fp")).schema
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long), and the columns to keep."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *keep)
+    schema = rows.select("doc_id", F.lit(0).cast("long").alias("fp"), *keep).schema
 
     def run(batches):
         for batch in batches:
             fps = [fingerprint(x.as_py(), width) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), *batch.columns[2:]], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -100,17 +100,33 @@ def links(fps: DataFrame, distance: int = 2, segments: int = 8, bucket: int = 51
     return pairs.union(near)
 
 
+def components_of(rows: DataFrame, distance: int, segments: int, bucket: int) -> DataFrame:
+    """rows: doc_id, fp. fp, group (the smallest fingerprint that links reach) and component_id (the smallest doc_id) for each fingerprint."""
+    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    merged = connected_components(links(distinct.select("fp", F.col("fp").alias("node")), distance, segments, bucket)).select(F.col("node").alias("fp"), F.col("component").alias("group"))
+    members = distinct.join(merged, "fp")
+    linked = members.select("fp", "group").join(members.groupBy("group").agg(F.min("least").alias("component_id")), "group")
+    alone = distinct.join(merged.select("fp"), "fp", "left_anti")
+    return linked.select("fp", "group", "component_id").unionByName(alone.select("fp", F.col("fp").alias("group"), F.col("least").alias("component_id")))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, segments: int = 8, bucket: int = 512, width: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that links reach) for every row of docs."""
     rows = cut(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct-fingerprints")
-    known = distinct.where("node IS NOT NULL")
-    merged = connected_components(links(known, distance, segments, bucket))
-    by_fp = distinct.join(merged, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    by_fp = components_of(rows, distance, segments, bucket).select("fp", "component_id")
     return rows.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group, that with the smallest doc_id; rows with a null doc_id stay."""
-    gone = simhash_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return drop_ids(docs, gone)
+    """One row of each group: of those with the smallest doc_id the longest text, then the smallest hash.
+
+    Decided by row: rows that share a doc_id with another text stay or go with their own group, and a group without
+    any doc_id keeps one row as well.
+    """
+    rows = fingerprints(docs.withColumns({"__row": row_hash(docs), "__n": F.length(text_or_empty()).cast("long")}), keep=("__row", "__n"))
+    rows = cut(rows, "fingerprints")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("u"), F.col("doc_id").alias("i"), (-F.col("__n")).alias("n"), F.col("__row").alias("row")))
+    # A row per fingerprint first: only those of a group meet.
+    leaders = rows.groupBy("fp").agg(best.alias("b")).join(components_of(rows, 2, 8, 512), "fp").groupBy("group").agg(F.min("b").alias("b"))
+    stays = leaders.select(F.col("b.row").alias("__row"))
+    return docs.withColumn("__row", row_hash(docs)).join(stays, "__row", "left_semi").dropDuplicates(["__row", "doc_id"]).select(*docs.columns)

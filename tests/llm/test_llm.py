@@ -263,6 +263,43 @@ def test_exact_odd(odd, empty):
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id) == [3, 4, 5, 6, 8, 9]
 
 
+IDS = [(0, "same text here"), (1, "same text here"), (1, "only this row says this"), (2, "a b c d"), (2, "zz yy xx ww"), (2, "a b c d"), (None, "same  text here!"), (None, "of no id"), (None, "of no id"), (None, "a b c d")]
+
+
+def test_rows_of_equal_ids_are_told_apart(spark):
+    """Both stages go by row: a text without a copy stays, whatever its doc_id."""
+    want = {(0, "same text here"), (1, "only this row says this"), (2, "a b c d"), (2, "zz yy xx ww"), (None, "same  text here!"), (None, "of no id")}
+    for stage in (exact_dedup.keep_first, simhash.keep_one):
+        kept = [(r.doc_id, r.text) for r in stage(make(spark, IDS)).collect()]
+        assert len(kept) == len(want) and set(kept) == want, stage
+
+
+@pytest.mark.parametrize(("batches", "hot"), [(1, 1000), (2, 1000), (5, 3), (3, 10**9)])
+def test_batches_give_the_same_rows(spark, docs, texts, monkeypatch, batches, hot):
+    monkeypatch.setattr(exact_dedup, "HOT_SHARE", hot)
+    groups = collections.defaultdict(list)
+    for i, t in texts:
+        groups["".join(WORD.findall(t))].append((-len(t), i))
+    want = sorted((i, min(g)[1], len(g), i == min(g)[1], hashlib.sha256(k.encode()).hexdigest()) for k, g in groups.items() for _, i in g)
+    assert sorted(map(tuple, exact_dedup.exact_dedup(docs, batches=batches).collect())) == want
+
+
+def test_plan_of_append(spark):
+    """The anti-join sorts and merges, and reads the index by buckets: only the batch is shuffled."""
+    index = exact_dedup.DigestIndex(spark, shared_path(spark, "index"), 4).attach()
+    index.append(exact_dedup.leaders(exact_dedup.digests(make(spark, [(1, "a"), (2, "b")]))), 0, 0)
+    batch = exact_dedup.leaders(exact_dedup.digests(make(spark, [(3, "a"), (4, "c")])))
+    held = spark.table(index.name).where("new").select("digest").hint("merge")
+    plan = batch.join(held, "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan
+    known = plan[plan.index("SortMergeJoin") :].split("FileScan")[0]
+    assert "Bucketed: true" in plan and known.count("Exchange hashpartitioning") <= 1
+    for _ in range(2):  # the second time is a retry
+        index.append(batch, 1, 0)
+    assert sorted((r.keep_id, r.group_size) for r in index.read().collect()) == [(1, 2), (2, 1), (4, 1)]
+    index.detach()
+
+
 def test_index_is_kept(spark):
     path = shared_path(spark, "index")
     first = exact_dedup.DigestIndex(spark, path, 4)
