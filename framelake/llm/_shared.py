@@ -41,7 +41,7 @@ def cut(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     path, before = path or shared_path(spark, name), spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -10,6 +10,8 @@ import numpy as np
 
 _IRREGULAR = re.compile(r"\s\s|\A\s|\s\Z")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: White space as the vocabulary's pattern has it, in runs too long for its regular expression.
+_LONG = re.compile(r"(?<![\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000])[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 
 
 def vocabulary(name: str) -> str:
@@ -33,10 +35,26 @@ class Encoder:
 
         with open(ranks, "rb") as f:
             merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.ordinary = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={}).encode_ordinary
+        self.by_ranks = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={}).encode_ordinary
         self.whole = Tokenizer.from_file(tokenizer)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
 
+    def ordinary(self, text: str) -> list[int]:
+        """The ids, special tokens' strings taken as text.
+
+        A run of white space is a pre-token, but for its last character if something follows. Very long runs go to
+        `tokenizers` by themselves; what stands before and after is encoded as it would be in place.
+        """
+        if len(text) < 10_000 or not _LONG.search(text):
+            return self.by_ranks(text)
+        ids, at = [], 0
+        for run in _LONG.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            ids += self.by_ranks(text[at : run.start()])
+            ids += self.whole.encode(text[run.start() : end], add_special_tokens=False).ids
+            at = end
+        return ids + self.by_ranks(text[at:])
+
     def parts(self, text: str) -> list[str]:
         """The text cut at the single spaces between two characters that aren't white space; the pattern of this
         vocabulary never continues a pre-token over one. Each part but the first goes with the space before it."""

@@ -1,12 +1,12 @@
 """Main text of web pages by tag-path ratios
 (after Wu et al., "Web news extraction via tag path feature fusion", 2013-2016).
 
-Each text node has a root-to-leaf tag path. Per page the text length and the punctuation of a path are divided
-by its number of nodes; the two ratios of a node's path are fused by their product, smoothed over the page's
-nodes in order, and compared with a share of their deviation. Nodes above the threshold are content nodes. The
-article is the smallest container that holds nearly all of their text, and all of its text is returned, short
-paragraphs and headings included; unless that is an article or main element, blocks around it with content nodes are
-returned too. Text below elements that are no article by their meaning (menus, page headers and footers, sidebars,
+Each block of text has a root-to-leaf tag path (inline elements left out). Per page the text length and the punctuation
+of a path are divided by its number of blocks; both ratios are smoothed over the page's blocks in order, fused by their
+product, and a path whose mean exceeds a share of the deviation from zero is content. The article is the smallest container that holds nearly all of
+the content paths' text. Of the container the text of content paths is returned, and what stands beside it in the same
+wrapper (headings, lists, short paragraphs); wrappers within it that hold no content of their own are left out. Unless
+it is an article or main element, blocks around it with content nodes are returned too. Text below elements that are no article by their meaning (menus, page headers and footers, sidebars,
 forms, scripts, notices, adverts, reader comments) never counts and is never returned.
 
 Names (class, id, role) say that an element is no article by words of a list. They don't count on an element that
@@ -16,7 +16,7 @@ article isn't elsewhere.
 
 Defined cases: null or empty html, and pages without text, give an empty text. Elements left open are closed by
 the end of their parent, of the page, or by the next block as HTML defines it. Repeated pages are extracted one
-by one; other columns are ignored.
+by one; other columns are ignored. Time and memory grow with the length of a page, however its tags are nested or cut.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Share of the deviation that a content node exceeds, smoothing over neighbours, and share of the content text that a container must hold.
-LAMBDA, KERNEL, HOLD = 0.5, (0.25, 0.5, 0.25), 0.9
+#: Share of the deviation that a content path exceeds, smoothing over neighbours, and share of the content text that a container must hold.
+LAMBDA, KERNEL, HOLD = 0.45, (0.25, 0.5, 0.25), 0.9
 #: Share of the content text with which an element is kept though its name contains a word of the list.
 FAIR = 0.3
 
@@ -39,6 +39,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 SKIPPED = frozenset("script style noscript template head title nav footer aside form button select option textarea iframe object svg canvas audio video menu dialog datalist map".split())
 CONTAINERS = frozenset("html body div section main article center table tbody tr td".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that lay a page out. Text that a wrapper holds itself belongs together.
+WRAPPERS = frozenset("html body div section main article center".split())
 #: A start tag of the key ends open elements of the value, up to the nearest of BOUND.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOUND = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -65,17 +67,25 @@ _TELLING = re.compile("class|id|role|hidden", re.IGNORECASE)
 
 
 class _Page:
-    """Elements (tag, parent, whether it is no article, what its name says) and text nodes (element, block, text) of a page."""
+    """Elements (tag, parent, path, wrapper, whether it is no article, what its name says) and text nodes (element, block, text) of a page.
+
+    A path is a number: that of (the parent's path, tag and name). Open elements are also listed by tag, so what an
+    end tag closes is found without a walk through all that is open.
+    """
 
     def __init__(self, html: str):
-        self.tags, self.parents, self.paths, self.out, self.named = ["#root"], [-1], [""], [False], [0]
-        self.open, self.nodes, self.block = [0], [], 0
-        at = 0
-        while found := _TOKEN.search(html, at):
+        self.tags, self.parents, self.paths, self.out, self.named = ["#root"], [-1], [0], [False], [0]
+        self.wrappers, self.holders, self.headed, self.cells = [0], [0], [False], set()
+        self.numbers: dict[tuple[int, str], int] = {}
+        self.open, self.by_tag, self.nodes, self.block = [0], {}, [], 0
+        at, last = 0, html.rfind(">") + 1  # beyond it no tag ends
+        while found := _TOKEN.search(html, at, last):
             if found.start() > at:
                 self._text(html[at : found.start()])
             at = found.end()
             if not (tag := found[2]):
+                if found[0].startswith("<!--") and not found[0].endswith("-->"):
+                    at = len(html)
                 continue
             tag = tag.lower()
             if found[1]:
@@ -94,55 +104,78 @@ class _Page:
         if tag in VOID:
             return
         if tag in ENDS_P:
-            self._end({"p"}, {"table", "td", "th", "button", "object"})
+            self._end(("p",), ("table", "td", "th", "button", "object"))
         if tag in CLOSES:
             self._end(CLOSES[tag], BOUND[tag])
         top, hints, hidden = self.open[-1], "", False
         if rest and _TELLING.search(rest):
             named = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(rest)}
             hints, hidden = " ".join(filter(None, map(named.get, ("class", "id", "role")))), "hidden" in named
-        within = tag == "header" and any(self.tags[e] in ("article", "main") for e in self.open)
+        within = tag == "header" and any(self.by_tag.get(t) for t in ("article", "main"))
         out = self.out[top] or tag in SKIPPED or hidden or (tag == "header" and not within)
         says = hints and tag not in _NEVER_HINTED and not within and _NOT_ARTICLE.search(hints)
+        element, label = len(self.tags), f"{tag}.{hints}" if hints else tag
         self.tags.append(tag)
         self.parents.append(top)
         self.out.append(out)
         self.named.append((2 if _WHOLLY.search(hints) else 1) if says else 0)
-        self.paths.append(f"{self.paths[top]}/{tag}.{hints}" if hints else f"{self.paths[top]}/{tag}")
-        self.open.append(len(self.tags) - 1)
+        self.paths.append(self.numbers.setdefault((self.paths[top], label), len(self.numbers) + 1))
+        self.wrappers.append(element if tag in WRAPPERS else self.wrappers[top])
+        self.holders.append(self.holders[top] if tag in INLINE else element)
+        self.headed.append(self.headed[top] or tag in HEADINGS)
+        if tag in ENDS_P and self.by_tag.get("td"):
+            self.cells.add(self.open[self.by_tag["td"][-1]])
+        self.by_tag.setdefault(tag, []).append(len(self.open))
+        self.open.append(element)
 
     def _end_tag(self, tag: str) -> None:
         if tag not in INLINE:
             self.block += 1
         if tag not in VOID:
-            self._end({tag}, {"table"} if tag in INLINE or tag == "p" else ())
+            self._end((tag,), ("table",) if tag in INLINE or tag == "p" else ())
 
     def _text(self, text: str) -> None:
         if not self.out[self.open[-1]]:
             self.nodes.append((self.open[-1], self.block, unescape(text) if "&" in text else text))
 
     def _end(self, tags, bound):
-        for k in range(len(self.open) - 1, 0, -1):
-            name = self.tags[self.open[k]]
-            if name in tags:
-                del self.open[k:]
-                return
-            if name in bound:
-                return
+        """Closes the innermost open element of tags, unless one of bound is within it."""
+        place = max((self.by_tag[t][-1] for t in tags if self.by_tag.get(t)), default=0)
+        if not place or any(self.by_tag[t][-1] > place for t in bound if self.by_tag.get(t)):
+            return
+        for e in self.open[place:]:
+            self.by_tag[self.tags[e]].pop()
+        del self.open[place:]
+
+    def path(self, e: int) -> int:
+        """The path of the block around e: inline elements don't count."""
+        return self.paths[self.holders[e]]
+
+    def wrapper(self, e: int) -> int:
+        """The element that lays out the blocks around e: a cell of a table only if it holds blocks of its own."""
+        cell = e
+        while self.cells and cell != self.wrappers[e]:
+            if cell in self.cells:
+                return cell
+            cell = self.parents[cell]
+        return self.wrappers[e]
+
+
+def _smooth(x: np.ndarray) -> np.ndarray:
+    return np.convolve(np.pad(x, 1, mode="edge"), KERNEL, mode="valid")
 
 
 def _content(page: _Page, nodes: list[tuple[int, int, str]]) -> np.ndarray:
-    """Which nodes are content, by the ratios of their tag paths."""
-    paths: dict[str, list[float]] = {}
-    for e, _, text in nodes:
-        sums = paths.setdefault(page.paths[e], [0, 0, 0])
-        sums[0] += 1
-        sums[1] += len(text)
-        sums[2] += len(_PUNCTUATION.findall(text))
-    fused = {p: (length / n) * (1 + marks / n) for p, (n, length, marks) in paths.items()}
-    ratios = np.array([fused[page.paths[e]] for e, _, _ in nodes])
-    smooth = np.convolve(np.pad(ratios, 1, mode="edge"), KERNEL, mode="valid")
-    return smooth >= LAMBDA * smooth.std()
+    """Which nodes are content, by the tag paths of their blocks: length and punctuation per block of a path, each smoothed over the
+    page's blocks in order, fused by their product, averaged over the path's blocks and compared with a share of the root mean square."""
+    _, block = np.unique([k for _, k, _ in nodes], return_inverse=True)
+    place = np.unique(block, return_index=True)[1]
+    _, path = np.unique([page.path(nodes[k][0]) for k in place.tolist()], return_inverse=True)
+    n = np.bincount(path)
+    each = lambda values: (np.bincount(path, np.bincount(block, values)) / n)[path]
+    length, marks = each([len(t) for _, _, t in nodes]), each([len(_PUNCTUATION.findall(t)) for _, _, t in nodes])
+    score = np.bincount(path, _smooth(length) * (1 + _smooth(marks))) / n
+    return (score[path] >= LAMBDA * np.sqrt(np.mean(score[path] ** 2)))[block]
 
 
 def _weights(page: _Page, values: dict[int, float]) -> np.ndarray:
@@ -195,15 +228,14 @@ def main_text(html: str | None) -> str:
     nodes = [x for x in page.nodes if not x[2].isspace()]
     if not nodes:
         return ""
-    contents, texts, told = {}, {}, set()
+    contents, texts, told, owners, told_paths = {}, {}, set(), set(), set()
     for (e, block, text), content in zip(nodes, _content(page, nodes), strict=True):
         contents[e] = contents.get(e, 0) + len(text) * content
         if content:
             told.add(block)
-        heading = e
-        while heading and page.tags[heading] not in HEADINGS:
-            heading = page.parents[heading]
-        texts[e] = texts.get(e, 0) + len(text) * (not heading)
+            owners.add(page.wrapper(e))
+            told_paths.add(page.path(e))
+        texts[e] = texts.get(e, 0) + len(text) * (not page.headed[e])
     weight, plain = _weights(page, contents), _weights(page, texts)
     children: dict[int, list[int]] = {}
     for e in range(1, len(page.tags)):
@@ -221,9 +253,11 @@ def main_text(html: str | None) -> str:
     for e in range(1, len(page.tags)):
         if page.parents[e] in inside:
             inside.add(e)
+    # Within the container: what the ratios have chosen, and what its wrapper holds beside that.
+    chosen = lambda e: page.path(e) in told_paths or page.wrapper(e) in owners
     blocks: dict[int, list[str]] = {}
     for e, block, text in page.nodes:
-        if e in inside or block in told:
+        if (e in inside and chosen(e)) or block in told:
             blocks.setdefault(block, []).append(text)
     return " ".join(t for x in blocks.values() if (t := " ".join("".join(x).split())))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+
+import numpy as np
 import pytest
 
 from framelake.llm import html_text
@@ -33,3 +36,46 @@ def test_lead_in_a_block_of_its_own():
 
 def test_blocks_beside_an_article_are_left_out():
     assert html_text.main_text(f"<body><div><p>Teaser, of another.</p></div><article>{STORY}</article></body>") == TEXT
+
+
+LINKS = "".join(f"<li><a href='/{k}'>Topic {k}</a></li>" for k in range(8))
+#: Pages without article, main or telling names: only the ratios of their paths tell what is content.
+PLAIN = {
+    "divs": (f"<body><div><ul>{LINKS}</ul></div><div><h2>Head line</h2>{STORY}<ul><li>one</li><li>two</li></ul></div><div><span>Site map</span></div></body>", f"Head line {TEXT} one two"),
+    "cells": (f"<body><table><tr><td><div><a href=x>Home</a></div><div><a href=y>Shop</a></div></td><td>{STORY}</td></tr></table></body>", TEXT),
+    "box": (f"<body><div><p>Start of it, long enough to count, with marks, and more.</p><div><a href=z>Buy now</a></div>{STORY}<div><a href=z>Next</a></div></div></body>", f"Start of it, long enough to count, with marks, and more. {TEXT}"),
+    "article": (f"<body><article><h1>Head</h1>{STORY}<div><a href=q>More of this</a></div><p>End.</p></article></body>", f"Head {TEXT} End."),
+}
+
+
+@pytest.mark.parametrize("name", PLAIN)
+def test_ratios_choose_the_content(name):
+    page, want = PLAIN[name]
+    assert html_text.main_text(page) == want
+
+
+@pytest.mark.parametrize("answer", [lambda page, nodes: np.ones(len(nodes), bool), lambda page, nodes: np.zeros(len(nodes), bool)])
+def test_nothing_else_would(answer, monkeypatch):
+    """With a constant choice of content nodes every one of these pages comes out wrong."""
+    monkeypatch.setattr(html_text, "_content", answer)
+    assert all(html_text.main_text(page) != want for page, want in PLAIN.values())
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_nor_a_random_choice(seed, monkeypatch):
+    rng = np.random.default_rng(seed)
+    monkeypatch.setattr(html_text, "_content", lambda page, nodes: rng.random(len(nodes)) < 0.5)
+    assert sum(html_text.main_text(page) != want for page, want in PLAIN.values()) >= 2
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<div>" * 100_000 + "x", "x"), ("<p><table><td>" + "<div>" * 50_000 + "x", "x"), ("<a " * 100_000, ""), ("a" + "</" * 100_000, "a"), ("<div>" * 50_000 + "</span>" * 50_000 + "x", "x"),
+        ("<!--" * 50_000, ""), ("<p>" + "word " * 500_000, ("word " * 500_000).strip()), ("<p><b>x<br>" * 20_000, ("x " * 20_000).strip()),
+    ],
+)
+def test_long_and_deep_pages(page, want):
+    began = time.perf_counter()
+    assert html_text.main_text(page) == want
+    assert time.perf_counter() - began < 20

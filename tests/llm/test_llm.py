@@ -7,6 +7,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -369,6 +370,37 @@ def test_trees_follow_edits(encoder, texts):
         assert text == after and new.tokens[1] == len(encoder.ordinary(text)) and new.chars[1] == len(text) and 1 <= n <= len(edits)
 
 
+LONG = [" " * 1_500_000, "a" + " " * 1_500_000 + "b c", "x y" + "\n \t" * 200_000, "a" * 1_000_000, "ab" + "\u3000" * 20_000 + "\x1c" * 3 + " z", ("word" + " " * 10_050) * 5 + "!", " " * 9_999 + "q"]
+
+
+def test_long_runs(spark, encoder):
+    """Ids are those of the library, and both operators get through."""
+    for t in LONG:
+        assert encoder.ordinary(t) == encoder.whole.encode(t, add_special_tokens=False).ids
+    df = make(spark, list(enumerate(LONG)))
+    want = {i: len(encoder.ordinary(t)) for i, t in enumerate(LONG)}
+    assert {r.doc_id: r.n_tokens_before for r in token_trees.count_redacted(df).collect()} == want
+    assert {r.doc_id: r.doc_tokens for r in packing.pack_documents(df).collect()} == {i: n + 1 for i, n in want.items()}
+
+
+def test_many_edits_in_linear_time(encoder):
+    text = "mail a@b.cc now " * 20_000
+    edits = token_trees.redactions(text)
+    began = time.perf_counter()
+    tree, after, n, _ = token_trees.apply_edits(token_trees.TokenTree.build(text, encoder), text, edits, encoder)
+    assert n == len(edits) == 20_000 and after == text.replace("a@b.cc", "<email>")
+    assert tree.tokens[1] == len(encoder.ordinary(after)) and tree.chars[1] == len(after)
+    assert token_trees.redactions("x" * 1_000_000) == [] and token_trees.redactions("1" * 1_000_000) == [(0, 1_000_000, "<number>")]
+    assert time.perf_counter() - began < 20
+
+
+def test_few_edits_touch_little(encoder):
+    text = "some plain words to count here. " * 3000
+    tree = token_trees.TokenTree.build(text, encoder)
+    new, after, n, parts = token_trees.apply_edits(tree, text, [(5, 10, "x"), (50_000, 50_000, " y"), (50_010, 50_020, "")], encoder)
+    assert n == 3 and parts < 200 and new.tokens[1] == len(encoder.ordinary(after))
+
+
 def test_counts_after_redaction(spark, docs, texts, odd, empty, encoder):
     got = {r.doc_id: r for r in token_trees.count_redacted(docs).collect()}
     for i, t in texts:
