@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm._shared import shared_path
+from framelake.llm._shared import Scratch, shared_path
 
-SEGMENT, CHUNK, PER_FILE, END = 65_536, 4096, 2048, "\r\n\r\n"
-_PARSED = "origin string, type string, page_id long, refers_to long, digest string, number int, total long, block binary, payload binary, payload_bytes long, found string"
+SEGMENT, CHUNK, FILE, END = 8192, 4096, 16 << 20, "\r\n\r\n"
+_PARSED = "origin string, type string, page_id long, refers_to long, digest string, number int, total long, block binary, payload binary, payload_bytes long"
 
 
 def digest(payload: bytes) -> str:
@@ -91,21 +91,51 @@ def records(page: int | None, url: str | None, payload: bytes, payload_digest: s
         yield _record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"<{name}:{k}>"), *common[:-1], ("WARC-Segment-Origin-ID", f"<{name}>"), ("WARC-Segment-Number", str(k)), *total], part)
 
 
-def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", min_revisit: int = 0, segment: int = SEGMENT, chunk: int = CHUNK, per_file: int = PER_FILE) -> None:
+def _hashed(pages: DataFrame) -> DataFrame:
+    """page, url, digest, size and the compressed payload of every row of pages."""
+    rows = pages.select(F.col("page_id").cast("long").alias("page"), "url", "html")
+
+    def run(batches):
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            payloads = [x.as_py() or b"" for x in batch.column(2).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(map(digest, payloads), pa.string()), pa.array(map(len, payloads), pa.int64()), pa.array(map(pack, payloads), pa.binary())],
+                names=["page", "url", "digest", "size", "packed"],
+            )
+
+    return rows.mapInArrow(run, "page long, url string, digest string, size long, packed binary")
+
+
+def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", min_revisit: int = 0, segment: int = SEGMENT, chunk: int = CHUNK, per_file: int | None = None) -> None:
     """pages: page_id, url, html. Writes the archives below path."""
-    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select(F.col("page_id").alias("page"), "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
-    last = rows.where(F.length("payload") >= min_revisit).groupBy("digest").agg(F.max("page").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "last")
+    scratch = Scratch(pages.sparkSession, "warc-payloads")
+    rows = scratch.cut(_hashed(pages), "rows")
+    last = rows.where(F.col("size") >= min_revisit).groupBy("digest").agg(F.max("page").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "last")
     # Only groups of two or more meet here; the many copies of a group are on the side that AQE splits.
-    known = rows.join(last, "digest", "left").select("page", "url", "payload", "digest", F.when(~F.col("page").eqNullSafe(F.col("last")), F.col("last")).cast("string").alias("refers"))
+    known = rows.join(last, "digest", "left").select("page", "url", "digest", "packed", F.when(~F.col("page").eqNullSafe(F.col("last")), F.col("last")).cast("string").alias("refers"))
 
     def run(batches):
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            out = [r for p in batch.to_pylist() for r in records(p["page"], p["url"], p["payload"], base64.b32encode(bytes.fromhex(p["digest"])).decode(), p["refers"], date, segment, chunk)]
-            for at in range(0, len(out), 1024):
-                yield pa.RecordBatch.from_arrays([pa.array(out[at : at + 1024], pa.binary())], names=["record"])
+            out, size = [], 0
+            for page, url, name, packed, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for r in records(page, url, unpack(packed), name, refers, date, segment, chunk):
+                    out.append(r)
+                    size += len(r)
+                    if size > FILE:
+                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+                        out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    known.mapInArrow(run, "record binary").select(F.col("record").cast("string")).write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
+    lines = known.mapInArrow(run, "record binary").select(F.col("record").cast("string"))
+    lines.write.option("lineSep", END).option("maxRecordsPerFile", per_file or max(1, FILE // segment)).option("compression", "gzip").text(path)
+    scratch.drop("rows")
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -152,38 +182,39 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
                     whole = payload_of(block) if kind == "response" and not number else None
                     total = fields.get("warc-segment-total-length")
                     said = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-                    out.append((origin or own, kind, _page(own), _page(_name(fields.get("warc-refers-to"))), said, number, int(total) if total else None, block if number else None, whole if with_payload else None, None if whole is None else len(whole), None if whole is None else digest(whole)))
+                    if whole is not None and said != digest(whole):
+                        raise ValueError(f"the payload of {own} has another digest")
+                    out.append((origin or own, kind, _page(own), _page(_name(fields.get("warc-refers-to"))), said, number, int(total) if total else None, block if number else None, whole if with_payload else None, None if whole is None else len(whole)))
                 for at in range(0, len(out), 512):
                     yield _batch(_PARSED, list(zip(*out[at : at + 512], strict=True)))
 
+    scratch = Scratch(spark, "warc-records")
+    parsed = scratch.cut(files.mapInArrow(run, _PARSED), "parsed")
     first = F.col("type") != "continuation"
-    part = F.when(F.col("number") > 0, F.struct("number", "block"))
-    joined = files.mapInArrow(run, _PARSED).groupBy("origin").agg(
-        F.max(F.when(first, F.col("type"))).alias("type"), F.max(F.when(first, F.col("page_id"))).alias("page_id"), F.max("refers_to").alias("refers_to"), F.max("digest").alias("digest"),
-        F.sort_array(F.collect_list(part)).alias("parts"), F.max("total").alias("total"), F.max("payload").alias("payload"), F.max("payload_bytes").alias("payload_bytes"), F.max("found").alias("found"),
+    joined = parsed.where("number > 0").groupBy("origin").agg(
+        F.max(F.when(first, F.col("type"))).alias("type"), F.max(F.when(first, F.col("page_id"))).alias("page_id"), F.max("digest").alias("digest"),
+        F.sort_array(F.collect_list(F.struct("number", "block"))).alias("parts"), F.max("total").alias("total"),
     )
     schema = "page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
 
     def assemble(batches):
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                payload, n, found = r["payload"], r["payload_bytes"], r["found"]
-                if r["parts"]:
-                    message = b"".join(p["block"] for p in r["parts"])
-                    if [p["number"] for p in r["parts"]] != list(range(1, len(r["parts"]) + 1)) or len(message) != r["total"]:
-                        raise ValueError(f"segments of {r['origin']} are missing, repeated or of another length")
-                    payload = payload_of(message)
-                    n, found = len(payload), digest(payload)
-                if found is not None and r["digest"] != found:
+            for r in (x for k in range(batch.num_rows) for x in batch.slice(k, 1).to_pylist()):
+                parts = r["parts"]
+                message = b"".join(p["block"] for p in parts)
+                if r["type"] is None or [p["number"] for p in parts] != list(range(1, len(parts) + 1)) or len(message) != r["total"]:
+                    raise ValueError(f"segments of {r['origin']} are missing, repeated or of another length")
+                payload = payload_of(message)
+                if r["digest"] != digest(payload):
                     raise ValueError(f"the payload of {r['origin']} has another digest")
-                out.append((r["page_id"], r["type"], r["refers_to"], r["digest"], n, payload if with_payload else None))
-            if out:
-                yield _batch(schema, list(zip(*out, strict=True)))
-
-    rows = joined.mapInArrow(assemble, schema)
-    answered = rows.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("__n"))
-    return rows.join(answered, "payload_digest", "left").select("page_id", "record_type", "refers_to", "payload_digest", F.coalesce("payload_bytes", "__n").alias("payload_bytes"), "payload")
+                yield _batch(schema, [(x,) for x in (r["page_id"], r["type"], None, r["digest"], len(payload), payload if with_payload else None)])
+
+    whole = parsed.where("number = 0")
+    plain = whole.where("type = 'response'").select("page_id", F.col("type").alias("record_type"), "refers_to", F.col("digest").alias("payload_digest"), "payload_bytes", "payload")
+    responses = scratch.cut(plain.unionByName(joined.mapInArrow(assemble, schema)), "responses")
+    answered = responses.groupBy("payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"))
+    revisits = whole.where("type = 'revisit'").select("page_id", F.col("type").alias("record_type"), "refers_to", F.col("digest").alias("payload_digest")).join(answered, "payload_digest", "left")
+    return responses.unionByName(revisits.withColumn("payload", F.lit(None).cast("binary")))
 
 
 def _batch(schema: str, columns: list[tuple]) -> pa.RecordBatch:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import collections
+import gzip
 import hashlib
 import random
 import re
@@ -494,6 +495,21 @@ def test_warc(spark, data):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_most_pages_are_segmented(spark, data):
+    """The query's archives hold continuation records; bytes of a file are bounded, and only segments are grouped."""
+    path = shared_path(spark, "warc")
+    pages = spark.read.parquet(f"{data}/sf0.01/pages.parquet")
+    warc.write_warc(pages, path)
+    files = spark.read.format("binaryFile").load(path).select("content").collect()
+    kinds = collections.Counter(fields["warc-type"] for f in files for fields, _ in warc.parse(f.content))
+    assert kinds["continuation"] > 10 and kinds["response"] + kinds["revisit"] == pages.count()
+    monster = spark.createDataFrame([(1, "u", "z" * 40_000_000), (2, "u", "q")], pages.schema)
+    rows = warc.round_trip(monster).orderBy("page_id").collect()
+    assert [(r.page_id, r.payload_bytes, r.record_type) for r in rows] == [(1, 40_000_000, "response"), (2, 1, "response")]
+    warc.write_warc(monster, path + "-big")
+    assert max(len(gzip.decompress(r.content)) for r in spark.read.format("binaryFile").load(path + "-big").select("content").collect()) < 20 << 20
+
+
 def test_small_payloads_are_all_responses(spark):
     df = spark.createDataFrame([(1, "u", "aa"), (2, "u", "aa"), (3, "u", "aaaa"), (4, "u", "aaaa")], "page_id long, url string, html string")
     assert [tuple(r)[3:] for r in warc.round_trip(df, min_revisit=3).orderBy("page_id").collect()] == [("response", None), ("response", None), ("revisit", 4), ("response", None)]
