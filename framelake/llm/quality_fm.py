@@ -7,7 +7,7 @@ rows, those with the smallest hash of their doc_id, and has a fixed size, so it
 
 Defined cases: null and empty texts get the score of their (empty) inputs. A null n_chars counts as 0. Rows of
 labels with a null or another value than 0 and 1 are ignored; a doc_id labelled twice counts as 0 if one label
-is 0. Without labels of both kinds every score is the share of label 1 (0.5 without any).
+is 0, a labelled doc_id that repeats is learnt from once (the row with the smallest hash). Without labels of both kinds every score is the share of label 1 (0.5 without any).
 """
 
 from __future__ import annotations
@@ -46,6 +46,8 @@ def inputs(text: str | None, n_chars: float | None) -> tuple[np.ndarray, np.ndar
     values = np.log1p(np.fromiter(counts.values(), np.float32, len(counts)))
     if len(counts):
         values *= 1 / np.sqrt(values @ values)
+    slots, back = np.unique(slots, return_inverse=True)  # words that share a slot are one input
+    values = np.bincount(back, values, len(slots)).astype(np.float32)
     solid = max(1, len(data) - data.count(b" ") - data.count(b"\n"))
     share = lambda some: (len(data) - len(data.translate(None, some))) / solid
     lines = [x for x in data.split(b"\n") if x.split()]
@@ -122,7 +124,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         got = [inputs(t, c) for t, c in zip(text, n_chars, strict=True)]
         return pd.DataFrame({"at": [a.tobytes() for a, _ in got], "x": [x.astype(np.float32).tobytes() for _, x in got]}, columns=["at", "x"])
 
-    found = rows.select("doc_id", "y", packed("text", F.col("n_chars").cast("double")).alias("p")).select("doc_id", "y", "p.at", "p.x").limit(2 * sample).collect()
+    # A doc_id that repeats is one example, so at most `sample` rows of at most DIMENSIONS + STATS values come to the driver.
+    once = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text", "n_chars"), "text", "n_chars", "y")).alias("r")).select("doc_id", "r.text", "r.n_chars", "r.y")
+    found = once.select("doc_id", "y", packed("text", F.col("n_chars").cast("double")).alias("p")).select("doc_id", "y", "p.at", "p.x").collect()
     found.sort(key=lambda r: (r["doc_id"], r["at"], r["x"]))
     return fit([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["x"], np.float32), r["y"]) for r in found])
 

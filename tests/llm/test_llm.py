@@ -336,6 +336,19 @@ def test_classifier_odd(spark, odd, empty):
     assert quality_fm.keep_good(odd, labels).columns == odd.columns
 
 
+def test_inputs_are_bounded():
+    at, x = quality_fm.inputs(" ".join(f"w{k}" for k in range(60_000)), 5)
+    assert len(at) == len(set(at.tolist())) == len(x) <= quality_fm.DIMENSIONS + quality_fm.STATS
+
+
+def test_repeated_ids_are_one_example(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality_fm, "fit", lambda rows: seen.append(len(rows)))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(100)], "doc_id long, quality int")
+    quality_fm.train(make(spark, [(k % 100, f"a b {k}") for k in range(500)]), labels, sample=30)
+    assert seen == [30]
+
+
 def test_pairs_in_linear_time():
     rng = np.random.default_rng(2)
     m = quality_fm.Model(0.3, rng.normal(size=20), rng.normal(size=(20, 3)))
