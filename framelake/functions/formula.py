@@ -20,6 +20,8 @@ FUNCTIONS: dict[str, tuple[tuple[str, ...], str]] = {
     "copysign": (("x", "y"), "abs(x) * CASE WHEN y < 0 THEN -1 ELSE 1 END"),
     "exp2": (("x",), "pow(2D, x)"),
     "bgr2gray": (("b", "g", "r"), "0.114D * b + 0.587D * g + 0.299D * r"),
+    "rand": (("lo", "hi"), "lo + (hi - lo) * rand()"),
+    "noise": (("m", "s"), "m + s * randn()"),
     "choose": (("c", "a", "b"), "CASE WHEN c <> 0 THEN a ELSE b END"),
 }
 _NAME = re.compile(r"[a-z_]\w*", re.IGNORECASE)

@@ -3,29 +3,31 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.functions.geometry import lidar_depth, lidar_height, lidar_to_cartesian
+from framelake.operators.ordered import previous, running_total
 
 
-def packet_frames(firings: DataFrame, mode: str = "rotation", seam: int = 0, by: tuple[str, ...] = ("sensor",)) -> DataFrame:
-    """Adds frame: a rotation ends where the azimuth (0.01 degree) passes the seam; or every packet or data block is one."""
+def packet_frames(firings: DataFrame, mode: str = "rotation", seam: int = 0, by: tuple[str, ...] = ("sensor",), chunk: int = 100_000) -> DataFrame:
+    """Adds frame: a rotation ends where the azimuth (0.01 degree) passes the seam; or every packet or data block is one. A sensor's packets are cut into chunks."""
     if mode in ("packet", "block"):
         return firings.withColumn("frame", F.col("pkt" if mode == "packet" else "block").cast("long"))
-    w = Window.partitionBy(*by).orderBy("pkt")
-    turned = F.pmod(F.col("azimuth") - seam, F.lit(36000))
-    d = firings.withColumn("__a", turned)
-    d = d.withColumn("__n", F.coalesce((F.col("__a") < F.lag("__a").over(w)).cast("long"), F.lit(0)))
-    return d.withColumn("frame", F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__a", "__n")
+    part = F.floor(F.col("pkt") / chunk)
+    d = previous(firings.withColumn("__a", F.pmod(F.col("azimuth") - seam, F.lit(36000))), by, ["pkt"], ["__a"], part)
+    fell = F.coalesce((F.col("__a") < F.col("__before.__a")).cast("long"), F.lit(0))
+    return running_total(d, by, ["pkt"], fell, part, "frame").drop("__a", "__before")
 
 
-def toh_unwrap(firings: DataFrame, by: tuple[str, ...] = ("sensor",)) -> DataFrame:
+def toh_unwrap(firings: DataFrame, by: tuple[str, ...] = ("sensor",), chunk: int = 100_000) -> DataFrame:
     """Adds t (seconds): the top-of-hour stamp, an hour more after each time it falls."""
-    w = Window.partitionBy(*by).orderBy("pkt")
-    d = firings.withColumn("__h", F.coalesce((F.col("toh") < F.lag("toh").over(w)).cast("long"), F.lit(0)))
-    return d.withColumn("t", F.col("toh") / 1e6 + 3600 * F.sum("__h").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__h")
+    part = F.floor(F.col("pkt") / chunk)
+    fell = F.coalesce((F.col("toh") < F.col("__before.toh")).cast("long"), F.lit(0))
+    d = running_total(previous(firings, by, ["pkt"], ["toh"], part), by, ["pkt"], fell, part, "__h")
+    return d.withColumn("t", F.col("toh") / 1e6 + 3600 * F.col("__h")).drop("__h", "__before")
 
 
 def split_streams(packets: DataFrame, address: str = "address") -> DataFrame:
@@ -69,34 +71,36 @@ def laser_corrections(points: DataFrame, lasers: DataFrame, key: str = "laser_id
     return j.withColumns({"azimuth": F.pmod(F.col("azimuth") - F.col("rot_corr"), F.lit(2 * math.pi)), "elevation": F.col("vert_corr")}).drop("rot_corr", "vert_corr")
 
 
-def ground_scan(image: DataFrame, h0: float = 2.0, zroof: float = -1.0, gtol: float = 0.1, z: str = "z") -> DataFrame:
-    """image: frame, r, c, z (null without a return). Adds ground.
+def ground_scan(image: DataFrame, h0: float = 2.0, zroof: float = -1.0, gtol: float = 0.1, z: str = "z", rings: int | None = None) -> DataFrame:
+    """image: frame, r, c, z (null or no row without a return). Adds ground to the rows of image.
 
-    Along the rings of one azimuth: wait for a point below the roof, then for one within 0.25 of -h0, then follow
-    while the height changes by more than -2 gtol and less than gtol; after more than 4 points that don't follow,
-    wait again. A line has as many points as the sensor has rings.
+    Along the rings of one azimuth: wait for a point below the roof (by more than 0.1), then for one within 0.25 of -h0, then follow
+    while the height changes by more than -2 gtol and less than gtol; after more than 4 cells that don't follow, cells without a return
+    among them, wait again. A line has `rings` cells, or those that it has rows for.
     """
-    lines = image.groupBy("frame", "r").agg(F.array_sort(F.collect_list(F.struct(F.col("c").alias("c"), F.col(z).alias("z")))).alias("__s"))
+    held = F.map_from_entries(F.collect_list(F.struct(F.col("c").cast("int").alias("c"), F.struct(F.col(z).cast("double").alias("z")).alias("z"))))
+    lines = image.groupBy("frame", "r").agg(held.alias("__m"))
+    places = F.array_sort(F.map_keys("__m")) if rings is None else F.sequence(F.lit(0), F.lit(rings - 1))
+    lines = lines.withColumn("__s", F.transform(places, lambda c: F.struct(c.alias("c"), F.try_element_at("__m", c)["z"].alias("z"))))
     start = F.struct(F.lit(0).alias("state"), F.lit(None).cast("double").alias("last"), F.lit(0).alias("gaps"), F.array().cast("array<boolean>").alias("out"))
 
     def step(a: Column, p: Column) -> Column:
         v = p["z"]
-        near = F.abs(v + h0) < 0.25
-        follows = (v - a["last"] > -2 * gtol) & (v - a["last"] < gtol)
+        below = F.coalesce(v < zroof - 0.1, F.lit(False))
+        near = F.coalesce(F.abs(v + h0) < 0.25, F.lit(False))
+        follows = F.coalesce((v - a["last"] > -2 * gtol) & (v - a["last"] < gtol), F.lit(False))
         row = lambda state, last, gaps, ground: F.struct(F.lit(state).alias("state"), last.cast("double").alias("last"), gaps.alias("gaps"), F.array_append(a["out"], F.lit(ground)).alias("out"))
-        keep = a["last"]
         return (
-            F.when(v.isNull(), F.struct(a["state"].alias("state"), keep.alias("last"), a["gaps"].alias("gaps"), F.array_append(a["out"], F.lit(False)).alias("out")))
-            .when((a["state"] == 0) & (v >= zroof), row(0, keep, F.lit(0), False))
-            .when((a["state"] < 2) & near, row(2, v, F.lit(0), True))
-            .when(a["state"] < 2, row(1, keep, F.lit(0), False))
+            F.when((a["state"] == 0) & ~below, row(0, a["last"], a["gaps"], False))
+            .when((a["state"] < 2) & near, row(2, v, a["gaps"], True))
+            .when(a["state"] < 2, row(1, a["last"], a["gaps"], False))
             .when(follows, row(2, v, F.lit(0), True))
-            .when(a["gaps"] >= 4, row(1, keep, F.lit(0), False))
-            .otherwise(row(2, keep, a["gaps"] + 1, False))
+            .when(a["gaps"] >= 4, row(1, a["last"], F.lit(0), False))
+            .otherwise(row(2, a["last"], a["gaps"] + 1, False))
         )
 
     flags = F.aggregate("__s", start, step, lambda a: a["out"])
-    each = lines.select("frame", "r", F.explode(F.arrays_zip(F.col("__s").alias("s"), flags.alias("g"))).alias("z"))
+    each = lines.select("frame", "r", "__m", F.explode(F.arrays_zip(F.col("__s").alias("s"), flags.alias("g"))).alias("z")).where(F.map_contains_key("__m", F.col("z.s.c")))
     return each.select("frame", "r", F.col("z.s.c").alias("c"), F.col("z.s.z").alias("z"), F.col("z.g").alias("ground"))
 
 
@@ -115,67 +119,132 @@ def surface_slope(image: DataFrame, rows: int, depth: str = "depth", height: str
     return both.select("frame", "r", "c", F.atan2(dh, dd).alias("slope"))
 
 
-# Motion: a mixture of at most `modes` normal distributions of depth per cell.
-
-MAX_MODES = 4
-
-
-def mixture_step(state: list[list[float]], depth: float, n: int, threshold: float = 9.0, sigma0: float = 0.04, background: float = 0.7, history: int = 200) -> tuple[list[list[float]], bool]:
-    """The modes [weight, mean, variance] after a depth in frame n, and whether it is foreground.
-
-    The nearest mode within threshold variances takes the depth with rate 1 / (n + 1); the others lose weight. A
-    depth that fits none makes a mode, or takes the place of the weakest. Modes that overlap become one of weight
-    (w1^2 + w2^2) / (w1 + w2). Foreground: the mode is not among the heaviest that make up `background`.
+# Motion: a mixture of at most MAX_MODES normal distributions of depth per cell, the most distant first.
+
+#: Modes of a cell, frames of history, deviations within which a depth fits, first and least deviation, weight below which a mode is motion, variances within which neighbours fuse.
+MAX_MODES, HISTORY, FITS, SIGMA0, SIGMA_MIN, MOTION, FUSES = 4, 200, 5.0, 0.2, 0.1, 0.2, 25.0
+
+
+class Mixtures:
+    """The modes of many cells: w (weight), m (mean), s (variance), each cells x MAX_MODES, and how many of them a cell has."""
+
+    def __init__(self, cells: int):
+        import numpy as np
+
+        self.n = np.zeros(cells, np.int64)
+        self.w, self.m, self.s = (np.zeros((cells, MAX_MODES)) for _ in range(3))
+
+    def remove(self, cells, places) -> None:
+        for x in (self.w, self.m, self.s):
+            for k in range(MAX_MODES - 1):
+                later = cells[places <= k]
+                x[later, k] = x[later, k + 1]
+        self.n[cells] -= 1
+
+    def insert(self, cells, places) -> None:
+        for x in (self.w, self.m, self.s):
+            for k in range(MAX_MODES - 1, 0, -1):
+                later = cells[places < k]
+                x[later, k] = x[later, k - 1]
+        self.n[cells] += 1
+
+    def _age(self, cells, updated, frames: int) -> None:
+        """Modes behind the updated one lose weight; those below 1 / frames go. Then neighbours that overlap become one."""
+        keep = frames / (1.0 + frames)
+        for k in range(MAX_MODES - 1, -1, -1):
+            older = cells[(self.n[cells] > k) & (updated < k)]
+            self.w[older, k] *= keep
+            gone = older[self.w[older, k] < 1.0 / frames]
+            self.remove(gone, gone * 0 + k)
+        for k in range(MAX_MODES - 1, 0, -1):
+            c = cells[self.n[cells] > k]
+            c = c[(self.m[c, k] - self.m[c, k - 1]) ** 2 <= FUSES * (self.s[c, k] + self.s[c, k - 1])]
+            w1, w2 = self.w[c, k], self.w[c, k - 1]
+            for x in (self.m, self.s):
+                x[c, k - 1] = (x[c, k] * w1 + x[c, k - 1] * w2) / (w1 + w2)
+            self.w[c, k - 1] = (w1 * w1 + w2 * w2) / (w1 + w2)
+            self.remove(c, c * 0 + k)
+
+    def pass_by(self, cells, n: int, history: int = HISTORY) -> None:
+        """Frame n (1, 2, ...) has no return in these cells."""
+        self._age(cells, cells * 0 - 1, min(n, history))
+
+    def update(self, cells, depth, n: int, history: int = HISTORY):
+        """Frame n has these depths in these cells. Which are foreground: new modes and those of little weight. Depths within 1 are passed over."""
+        import numpy as np
+
+        found = np.zeros(len(cells), bool)
+        empty = cells[~(depth > 0)]
+        self.pass_by(empty, n, history)
+        frames = min(n, history)
+        rate = 1.0 / (frames + 1)
+        here = np.flatnonzero(depth >= 1)
+        c, d = cells[here], depth[here]
+        nearest, least, search = np.zeros(len(c), np.int64), np.full(len(c), np.inf), np.ones(len(c), bool)
+        for k in range(MAX_MODES):  # as far as they come closer
+            search &= self.n[c] > k
+            off = (d - self.m[c, k]) ** 2
+            search &= off <= least
+            nearest[search], least[search] = k, off[search]
+        fits = (self.n[c] > 0) & (least < FITS**2 * self.s[c, nearest])
+        f, k = c[fits], nearest[fits]
+        self.m[f, k] = (1 - rate) * self.m[f, k] + rate * d[fits]
+        self.s[f, k] = np.maximum((1 - rate) * self.s[f, k] + rate * least[fits], SIGMA_MIN**2)
+        self.w[f, k] = (1 - rate) * self.w[f, k] + rate
+        new, place = ~fits, nearest.copy()
+        found[here[fits]] = self.w[f, k] < MOTION
+        found[here[new]] = True
+        full = np.flatnonzero(new & (self.n[c] == MAX_MODES))
+        oldest = self.w[c[full]].argmin(axis=1)
+        self.remove(c[full], oldest)
+        nearest[full] -= nearest[full] > oldest
+        b = np.flatnonzero(new)
+        behind = nearest[b] + ~(d[b] > self.m[c[b], nearest[b]])
+        place[b] = np.where(self.n[c[b]] == 0, 0, np.minimum(self.n[c[b]], behind))
+        self.insert(c[b], place[b])
+        self.w[c[b], place[b]], self.m[c[b], place[b]], self.s[c[b], place[b]] = 2 * rate, d[b], SIGMA0**2
+        self._age(c, place, frames)
+        return found
+
+
+def motion_filter(image: DataFrame, depth: str = "depth", history: int = HISTORY) -> DataFrame:
+    """image: frame, r, c, depth (0, null or no row without a return). Adds foreground to the rows of image.
+
+    A task holds the modes of its cells and walks through its rows by frame, all cells of a frame at once; a cell's frames without a row
+    age its modes. The count of frames is that of the image.
     """
-    rate = 1.0 / (min(n, history) + 1)
-    fits = [(abs(depth - m) / v**0.5, k) for k, (_, m, v) in enumerate(state) if (depth - m) ** 2 <= threshold * v]
-    hit = min(fits)[1] if fits else -1
-    state = [[w * (1 - rate), m, v] for w, m, v in state]
-    if hit >= 0:
-        w, m, v = state[hit]
-        m2 = m + rate * (depth - m)
-        state[hit] = mode = [w + rate, m2, max((1 - rate) * v + rate * (depth - m2) ** 2, 1e-4)]
-    elif len(state) < MAX_MODES:
-        state.append(mode := [rate, depth, sigma0])
-    else:
-        weakest = min(range(len(state)), key=lambda k: (state[k][0], k))
-        state[weakest] = mode = [rate, depth, sigma0]
-    state.sort(key=lambda x: -x[0])
-    total, above = sum(x[0] for x in state), 0.0
-    foreground = True
-    for x in state:
-        if x is mode:
-            foreground = above > background * total
-            break
-        above += x[0]
-    k = 0
-    while k + 1 < len(state):
-        (w1, m1, v1), (w2, m2, v2) = state[k], state[k + 1]
-        if (m1 - m2) ** 2 < min(v1, v2):
-            state[k : k + 2] = [[(w1 * w1 + w2 * w2) / (w1 + w2), (w1 * m1 + w2 * m2) / (w1 + w2), (w1 * v1 + w2 * v2) / (w1 + w2)]]
-        else:
-            k += 1
-    return state, foreground
-
-
-def motion_filter(image: DataFrame, depth: str = "depth", **options) -> DataFrame:
-    """image: frame, r, c, depth. Adds foreground. A cell's frames in order are one group: bounded by the number of frames."""
     import pandas as pd
 
-    types = {f.name: f.dataType.simpleString() for f in image.schema}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, state, out = pdf.sort_values("frame"), [], []
-        for frame, d in zip(pdf["frame"], pdf[depth], strict=True):
-            if not d > 0:
-                out.append(False)
-                continue
-            state, foreground = mixture_step(state, float(d), int(frame), **options)
-            out.append(foreground)
-        return pdf.assign(foreground=out)
-
-    schema = ", ".join(f"{n} {types[n]}" for n in ("frame", "r", "c")) + f", {depth} {types[depth]}, foreground boolean"
-    return image.select("frame", "r", "c", depth).groupBy("r", "c").applyInPandas(run, schema)
+    kinds = {f.name: f.dataType.simpleString() for f in image.schema}
+    frames = image.select("frame").distinct()  # a row per frame
+    numbered = frames.withColumn("__n", F.row_number().over(Window.orderBy("frame")))
+    rows = image.select("frame", "r", "c", F.col(depth).alias("__d")).join(numbered, "frame").repartition("r", "c").sortWithinPartitions("__n", "r", "c")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        cells: dict[tuple[int, int], int] = {}
+        state, seen = Mixtures(0), np.zeros(0, np.int64)
+        for pdf in batches:
+            at = np.array([cells.setdefault(k, len(cells)) for k in zip(pdf["r"], pdf["c"], strict=True)], np.int64)
+            more = len(cells) - len(seen)
+            if more:
+                grown = Mixtures(len(cells))
+                for name in ("n", "w", "m", "s"):
+                    getattr(grown, name)[: len(seen)] = getattr(state, name)
+                state, seen = grown, np.concatenate([seen, np.full(more, np.iinfo(np.int64).max)])
+            n, d, out = pdf["__n"].to_numpy(), pdf["__d"].to_numpy(float, na_value=0.0), np.zeros(len(pdf), bool)
+            cuts = np.flatnonzero(np.append(True, n[1:] != n[:-1])).tolist()
+            for a, b in zip(cuts, [*cuts[1:], len(n)], strict=True):
+                now, c = int(n[a]), at[a:b]
+                late = c[(seen[c] < now - 1) & (state.n[c] > 0)]
+                for k in range(int(seen[late].min()) + 1, now) if len(late) else ():
+                    state.pass_by(late[seen[late] < k], k, history)
+                out[a:b] = state.update(c, d[a:b], now, history)
+                seen[c] = now
+            yield pd.DataFrame({"frame": pdf["frame"], "r": pdf["r"], "c": pdf["c"], depth: pdf["__d"], "foreground": out})
+
+    return rows.mapInPandas(run, ", ".join(f"{n} {kinds[n]}" for n in ("frame", "r", "c", depth)) + ", foreground boolean")
 
 
 def motion_denoise(cells: DataFrame, radius: int = 1, tolerance: float = 0.5, threshold: int = 2, depth: str = "depth") -> DataFrame:

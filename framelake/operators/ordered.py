@@ -261,6 +261,33 @@ def prefix_sum(df: DataFrame, by: Sequence[str], order: str, value: str, out: st
     return d.withColumn("__in", within).join(base, [*by, "__chunk"]).withColumn(out, F.col("__base") + F.col("__in")).drop("__in", "__base", "__chunk")
 
 
+def previous(df: DataFrame, by: Sequence[str], order: Sequence[str], values: Sequence[str], part: Column, out: str = "__before") -> DataFrame:
+    """Adds out: the values (a struct) of the row before in order, null for the first. part rises with the order and cuts a series into parts; a part's
+    first row gets the last of the parts before, found on one row per part."""
+    by, row = list(by), F.struct(*(F.col(c).alias(c) for c in values))
+    d = df.withColumn("__part", part)
+    ends = d.groupBy(*by, "__part").agg(F.max_by(row, F.struct(*order)).alias("__end"))
+    over = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # a row per part
+    carried = ends.select(*by, "__part", F.lag("__end").over(over.orderBy("__part")).alias("__carry"))
+    within = F.lag(row).over(Window.partitionBy(*by, "__part").orderBy(*order))
+    return _same(d, carried, [*by, "__part"]).withColumn(out, F.coalesce(within, "__carry")).drop("__part", "__carry")
+
+
+def running_total(df: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, part: Column, out: str) -> DataFrame:
+    """Adds out: the sum of value up to each row, within parts (see previous) and over the sums of the parts before."""
+    by = list(by)
+    d = df.withColumns({"__part": part, "__x": value})
+    over = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per part
+    base = d.groupBy(*by, "__part").agg(F.sum("__x").alias("__s")).select(*by, "__part", F.coalesce(F.sum("__s").over(over), F.lit(0)).alias("__base"))
+    within = F.sum("__x").over(Window.partitionBy(*by, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return _same(d.withColumn("__in", within), base, [*by, "__part"]).withColumn(out, F.col("__base") + F.col("__in")).drop("__in", "__base", "__x", "__part")
+
+
+def number_rows(df: DataFrame, by: Sequence[str], order: Sequence[str], part: Column, out: str = "__i") -> DataFrame:
+    """Adds out: 0, 1, ... in order."""
+    return running_total(df, by, order, F.lit(1).cast("long"), part, out).withColumn(out, F.col(out) - 1)
+
+
 def frame_interval(df: DataFrame, by: Sequence[str], ts: str, out: str = "interval") -> DataFrame:
     return df.withColumn(out, F.col(ts) - F.lag(ts).over(Window.partitionBy(*by).orderBy(ts)))
 

@@ -134,7 +134,8 @@ def minimum_threshold(hist: DataFrame, by: Sequence[str] = ("frame",), bins: int
             if len(peaks) == 2:
                 at = int(peaks[0] + h[peaks[0] : peaks[1] + 1].argmin())
                 break
-            h = np.convolve(np.pad(h, 1, mode="edge"), [1 / 3] * 3, mode="valid")
+            near = np.pad(h, 1, mode="edge")
+            h = (near[:-2] + h + near[2:]) / 3
         first = pdf.iloc[0]
         t = None if at is None else first["minv"] + at * (first["maxv"] - first["minv"]) / bins
         return pd.DataFrame({**{k: [first[k]] for k in by}, "bin": pd.array([at], dtype="Int32"), "threshold": pd.array([t], dtype="Float64")})

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from framelake.functions.geometry import ecef_to_vehicle, geodesic_meters, vehicle_axes, vehicle_to_ecef
 from framelake.functions.scalar import angle_between, wrap_0_2pi, wrap_pi
+from framelake.operators.ordered import previous, running_total
 
 ANGLES = ("lon", "roll", "pitch", "yaw")
 
@@ -119,25 +120,28 @@ def ego_motion_compensate(points: DataFrame, track: DataFrame, target: DataFrame
     return j.select("frame", "pid", v[0].alias("x"), v[1].alias("y"), v[2].alias("z"), "t")
 
 
-def integrate_velocity(track: DataFrame, by: Sequence[str] = (), ts: str = "ts", order: Sequence[str] = ("ts", "id")) -> DataFrame:
-    """track: vf, vl, vu (forward, left, up), roll, pitch, yaw. px, py, pz: the way since the start, by trapezoids, in the axes of the start."""
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(*order)
-    m = vehicle_axes("roll", "pitch", "yaw")
+def integrate_velocity(track: DataFrame, by: Sequence[str] = (), ts: str = "ts", order: Sequence[str] = ("ts", "id"), bucket: float = 86400.0) -> DataFrame:
+    """track: vf, vl, vu (forward, left, up), roll, pitch, yaw. px, py, pz: the way since the start, by trapezoids, in the axes of the start.
+    Steps and sums go by buckets of time (see previous and running_total)."""
+    part, angles = F.floor(F.col(ts) / bucket), ("roll", "pitch", "yaw")
+    m = vehicle_axes(*angles)
     v = [row[0] * F.col("vf") + row[1] * F.col("vl") + row[2] * F.col("vu") for row in m]
-    d = track.withColumns({f"__e{k}": x for k, x in enumerate(v)})
-    dt = F.col(ts) - F.lag(ts).over(w)
-    d = d.withColumns({f"__s{k}": F.coalesce((F.col(f"__e{k}") + F.lag(f"__e{k}").over(w)) / 2 * dt, F.lit(0.0)) for k in range(3)})
-    d = d.withColumns({f"__w{k}": F.sum(f"__s{k}").over(w.rowsBetween(Window.unboundedPreceding, 0)) for k in range(3)})
-    d = d.withColumns({f"__{a}0": F.first(a).over(w) for a in ("roll", "pitch", "yaw")})
-    m0 = vehicle_axes("__roll0", "__pitch0", "__yaw0")
+    d = track.withColumns({f"__e{k}": x for k, x in enumerate(v)}).withColumn("__t", F.col(ts))
+    d = previous(d, by, order, ["__t", "__e0", "__e1", "__e2"], part)
+    dt = F.col("__t") - F.col("__before.__t")
+    for k in range(3):
+        d = running_total(d, by, order, F.coalesce((F.col(f"__e{k}") + F.col(f"__before.__e{k}")) / 2 * dt, F.lit(0.0)), part, f"__w{k}")
+    start = track.groupBy(*by).agg(F.min_by(F.struct(*angles), F.struct(*order)).alias("__start"))
+    d = d.join(start, list(by)) if by else d.crossJoin(F.broadcast(start))  # one row
+    m0 = vehicle_axes(*(F.col(f"__start.{a}") for a in angles))
     back = [m0[0][k] * F.col("__w0") + m0[1][k] * F.col("__w1") + m0[2][k] * F.col("__w2") for k in range(3)]
     return d.select(*track.columns, *(b.alias(n) for b, n in zip(back, ("px", "py", "pz"), strict=True)))
 
 
-def track_summary(track: DataFrame, by: Sequence[str] = (), order: Sequence[str] = ("ts", "id")) -> DataFrame:
-    """points, duration and length (m)."""
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(*order)
-    d = track.withColumn("__d", geodesic_meters(F.lag("lat").over(w), F.lag("lon").over(w), "lat", "lon"))
+def track_summary(track: DataFrame, by: Sequence[str] = (), order: Sequence[str] = ("ts", "id"), bucket: float = 86400.0) -> DataFrame:
+    """points, duration and length (m). Steps are taken within buckets of time, and from the last row of the buckets before."""
+    d = previous(track, by, order, ["lat", "lon"], F.floor(F.col("ts") / bucket))
+    d = d.withColumn("__d", geodesic_meters(F.col("__before.lat"), F.col("__before.lon"), "lat", "lon"))
     return d.groupBy(*by).agg(F.count(F.lit(1)).alias("points"), (F.max("ts") - F.min("ts")).alias("duration"), F.coalesce(F.sum("__d"), F.lit(0.0)).alias("length"))
 
 

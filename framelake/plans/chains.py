@@ -1,11 +1,13 @@
-"""Chains of operators from a JSON list, by name. A step that fails stops the chain."""
+"""Chains of operators from a JSON list, by name. A step that fails is logged and left out; a name that no step has is an error."""
 
 from __future__ import annotations
 
 import functools
 import json
+import logging
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,14 @@ def run_chain(df: DataFrame, spec: str | list[dict], frames: dict[str, DataFrame
     frames = {} if frames is None else frames
 
     def apply(d: DataFrame, s: dict) -> DataFrame:
-        return STEPS[s["step"].lower()](d, frames, **{k: v for k, v in s.items() if k not in ("step", "enabled")})
+        run = STEPS[s["step"].lower()]
+        try:
+            out = run(d, frames, **{k: v for k, v in s.items() if k not in ("step", "enabled")})
+            out.schema  # noqa: B018 - what a step's expressions lack shows here
+        except (PySparkException, KeyError, TypeError, ValueError) as e:
+            logging.getLogger(__name__).warning("step %s is left out: %s", s["step"], e)
+            return d
+        return out
 
     return functools.reduce(apply, (s for s in steps if s.get("enabled", True)), df)
 

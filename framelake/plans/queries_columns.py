@@ -151,6 +151,29 @@ def special(v):
 
 reg("fn_special", "signal", special)
 
+
+def special_one(name: str, call: str, sql: str) -> None:
+    """A special function of x (0.1 to 3.8 by steps of a third), against its series or integral."""
+
+    def run(v):
+        sc.register_special(v.spark)
+        return v("signal").select("id", (F.abs(F.col("id") % 23 - 11).cast("double") / 3 + 0.1).alias("x"), ((F.col("v").cast("double") - 50) / 7 + 0.0123).alias("a")).select("id", r(F.expr(call)).alias("out"))
+
+    reg(f"fn_{name}", "signal", run, f"SELECT id, round({sql}, 6) AS out FROM (SELECT id, CAST(abs(id % 23 - 11) AS DOUBLE) / 3 + 0.1e0 AS x, (CAST(v AS DOUBLE) - 50) / 7 + 0.0123e0 AS a FROM signal)")
+
+
+_ERF = "exp(-x * x) * list_sum(list_transform(range(0, 100), lambda k: exp((2 * k + 1) * ln(x) - lgamma(k + 1.5e0))))"
+_J = "list_sum(list_transform(range(0, 64), lambda k: cos({0} * pi() * (k + 0.5e0) / 64 - x * sin(pi() * (k + 0.5e0) / 64)))) / 64"
+_EULER, _HARMONIC = "0.57721566490153286e0", "coalesce(list_sum(list_transform(range(1, {0} + 1), lambda j: 1e0 / j)), 0)"
+for _n, _c, _s in [
+    ("erf", "erf(x)", _ERF), ("erfc", "erfc(x)", f"1 - {_ERF}"), ("lgamma", "lgamma(x)", "lgamma(x)"), ("tgamma", "tgamma(x)", "gamma(x)"), ("j0", "j0(x)", _J.format(0)), ("j1", "j1(x)", _J.format(1)),
+    ("y0", "y0(x)", f"2 / pi() * ((ln(x / 2) + {_EULER}) * {_J.format(0)} + list_sum(list_transform(range(1, 30), lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * {_HARMONIC.format('k')} * exp(2 * k * ln(x / 2) - 2 * lgamma(k + 1.0)))))"),
+    ("y1", "y1(x)", f"-2 / (pi() * x) + 2 / pi() * ln(x / 2) * {_J.format(1)} - 1 / pi() * list_sum(list_transform(range(0, 30), lambda k: (CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END) * ({_HARMONIC.format('k')} + {_HARMONIC.format('(k + 1)')} - 2 * {_EULER}) * exp((2 * k + 1) * ln(x / 2) - lgamma(k + 1.0) - lgamma(k + 2.0))))"),
+    # One unit in the last place towards x.
+    ("nextafter", "(nextafter(a, x) - a) * pow(2D, 52 - floor(log2(abs(a))))", "sign(x - a)"),
+]:
+    special_one(_n, _c, _s)
+
 # Geometry
 
 reg("crop", "pixels", lambda v: geo.crop(v("pixels"), 10, 5, 20, 15).select(*_KEYS, F.col("v").cast("double").alias("v")), f"SELECT frame, y - 5 AS y, x - 10 AS x, {_V} AS v FROM pixels WHERE x BETWEEN 10 AND 29 AND y BETWEEN 5 AND 19")

@@ -14,11 +14,12 @@ from framelake.streaming.run import scratch
 
 def _frames(v: Views) -> DataFrame:
     path = scratch(v.spark, "frames")
-    src.write_frames(v("samples").where("frame % 3 = 1"), path)
+    src.write_frames(src.exclude_bad_frames(v("samples"), v("badframes")), path)
     return v.spark.read.parquet(f"{path}/frames").groupBy(F.col("frmidx").cast("long").alias("frmidx")).agg(F.min("frame").alias("frame"), F.count(F.lit(1)).alias("n"), F.sum("v").cast("double").alias("total"))
 
 
-reg("write_frames", "samples", _frames, "SELECT CAST(dense_rank() OVER (ORDER BY frame) - 1 AS BIGINT) AS frmidx, frame, count(*) AS n, CAST(sum(v) AS DOUBLE) AS total FROM samples WHERE frame % 3 = 1 GROUP BY frame")
+reg("write_frames", "samples badframes", _frames,
+    "SELECT CAST(dense_rank() OVER (ORDER BY frame) - 1 AS BIGINT) AS frmidx, frame, count(*) AS n, CAST(sum(v) AS DOUBLE) AS total FROM samples WHERE frame NOT IN (SELECT frame FROM badframes) GROUP BY frame")
 
 
 def _all_frames(v: Views) -> DataFrame:

@@ -24,11 +24,11 @@ def pixel(name: str, f, sql: str, digits: int = 5, out: str = "out") -> None:
     reg(name, "pixels", lambda v: f(v("pixels")).select(*_K, r(F.col(out).cast("double"), digits).alias("out")), f"{sql.split('|')[0]}SELECT frame, y, x, round(CAST({sql.split('|')[1]} AS DOUBLE), {digits}) AS out FROM {sql.split('|')[2]}")
 
 
-reg("running_average", "signal", lambda v: ordered.running_average(v("signal")).select("series", "ord", r("avg", 6).alias("avg")),
-    f"""WITH RECURSIVE a AS (SELECT series, ord, {_V} AS avg FROM signal WHERE ord = 0 UNION ALL
+_RUNNING = f"""WITH RECURSIVE a AS (SELECT series, ord, {_V} AS avg FROM signal WHERE ord = 0 UNION ALL
         SELECT s.series, s.ord, CASE WHEN s.ord < 5 THEN (a.avg * s.ord + CAST(s.v AS DOUBLE)) / (s.ord + 1) ELSE (a.avg * 5 + CAST(s.v AS DOUBLE)) / 6 END FROM a JOIN signal s ON s.series = a.series AND s.ord = a.ord + 1)
-        SELECT series, ord, round(avg, 6) AS avg FROM a""")
-reg("running_average_series", "signal", lambda v: ordered.running_average_series(v("signal")).select("series", "ord", r("avg", 6).alias("avg")))
+        SELECT series, ord, round(avg, 6) AS avg FROM a"""
+reg("running_average", "signal", lambda v: ordered.running_average(v("signal")).select("series", "ord", r("avg", 6).alias("avg")), _RUNNING)
+reg("running_average_series", "signal", lambda v: ordered.running_average_series(v("signal")).select("series", "ord", r("avg", 6).alias("avg")), _RUNNING)
 pixel("neighbourhood_average", lambda d: ordered.neighbourhood_average(d, 2, out="out"), f"|CAST(sum(v) OVER w - v AS DOUBLE) / nullif(count(v) OVER w - 1, 0)|pixels WINDOW w AS {near(2)}", 6)
 pixel("gradient", lambda d: ordered.gradient(d, out="out"), f"|CAST(lead(v) OVER w - lag(v) OVER w AS DOUBLE) / 2|pixels WINDOW w AS {_A}")
 pixel("laplacian", lambda d: ordered.laplacian(d, out="out"), f"|lag(v) OVER a - 2 * v + lead(v) OVER a + lag(v) OVER b - 2 * v + lead(v) OVER b|pixels WINDOW a AS {_A}, b AS {_B}")
@@ -139,7 +139,16 @@ def _image(v):
     return lidar.range_image(_binned(v), ("depth", "height", "z"))
 
 
-reg("ground_scan", "lidar_points", lambda v: lidar.ground_scan(lidar.range_image(_binned(v), ("z",))).select("frame", "r", "c", "ground"))
+#: A cell's rows of ground_scan by recursion over the rings of a line; v is the height of the next cell or null.
+_GROUND = f"""WITH RECURSIVE {_CELLS}, img AS (SELECT frame, r, c, arg_min(z, (distance, pid)) AS z FROM cells WHERE distance > 0 GROUP BY frame, r, c), ln AS (SELECT DISTINCT frame, r FROM img),
+ sc AS (SELECT frame, r, -1 AS c, 0 AS state, CAST(NULL AS DOUBLE) AS last, 0 AS gaps, false AS ground FROM ln
+   UNION ALL SELECT frame, r, c, CASE move WHEN 'wait' THEN 0 WHEN 'look' THEN 1 WHEN 'lose' THEN 1 ELSE 2 END, CASE WHEN move IN ('find', 'follow') THEN v ELSE last END,
+     CASE move WHEN 'follow' THEN 0 WHEN 'lose' THEN 0 WHEN 'skip' THEN gaps + 1 ELSE gaps END, move IN ('find', 'follow')
+   FROM (SELECT frame, r, c, v, last, gaps, CASE WHEN state = 0 AND NOT coalesce(v < -1.1e0, false) THEN 'wait' WHEN state < 2 AND coalesce(abs(v + 2e0) < 0.25e0, false) THEN 'find' WHEN state < 2 THEN 'look'
+       WHEN coalesce(v - last > -0.2e0 AND v - last < 0.1e0, false) THEN 'follow' WHEN gaps >= 4 THEN 'lose' ELSE 'skip' END AS move
+     FROM (SELECT sc.frame, sc.r, sc.c + 1 AS c, sc.state, sc.last, sc.gaps, img.z AS v FROM sc LEFT JOIN img ON img.frame = sc.frame AND img.r = sc.r AND img.c = sc.c + 1 WHERE sc.c < 15)))
+ SELECT frame, r, c, ground FROM sc JOIN img USING (frame, r, c)"""
+reg("ground_scan", "lidar_points", lambda v: lidar.ground_scan(lidar.range_image(_binned(v), ("z",)), rings=16).select("frame", "r", "c", "ground"), _GROUND)
 reg("surface_slope", "lidar_points", lambda v: rounded(lidar.surface_slope(_image(v), 90)),
     f"""WITH {_CELLS}, img AS (SELECT frame, r, c, arg_min(depth, (distance, pid)) AS d, arg_min(height, (distance, pid)) AS h FROM cells WHERE distance > 0 GROUP BY frame, r, c),
         bo AS (SELECT *, true AS own FROM img UNION ALL SELECT frame, CASE WHEN r < 8 THEN r + 90 ELSE r - 90 END, c, d, h, false FROM img WHERE r < 8 OR r >= 82),
@@ -147,7 +156,27 @@ reg("surface_slope", "lidar_points", lambda v: rounded(lidar.surface_slope(_imag
         n2 AS (SELECT *, lag(d) OVER w AS cpd, lag(h) OVER w AS cph, lead(d) OVER w AS cnd, lead(h) OVER w AS cnh FROM n1 WHERE own WINDOW w AS (PARTITION BY frame, r ORDER BY c)),
         n3 AS (SELECT *, coalesce(rnh - rph, 0) AS a, coalesce(cnh - cph, 0) AS b, coalesce(rnd - rpd, 0) AS e, coalesce(cnd - cpd, 0) AS f FROM n2)
         SELECT frame, r, c, round(atan2(sqrt(a * a + b * b), sqrt(e * e + f * f)), 6) AS slope FROM n3""")
-reg("motion_filter", "lidar_points", lambda v: lidar.motion_filter(lidar.range_image(_binned(v), ("depth",))).select("frame", "r", "c", "foreground"))
+#: The modes of every cell (a list, the most distant first) by recursion over the frames: the change by the depth, then weights behind the updated mode, then overlapping neighbours.
+_MIXTURES = f"""WITH RECURSIVE {_CELLS}, img AS (SELECT frame, r, c, arg_min(depth, (distance, pid)) AS d FROM cells WHERE distance > 0 GROUP BY frame, r, c),
+ fr AS (SELECT frame, CAST(row_number() OVER (ORDER BY frame) AS INT) AS n FROM (SELECT DISTINCT frame FROM img)), cl AS (SELECT DISTINCT r, c FROM img),
+ gr AS (SELECT cl.r, cl.c, fr.n, coalesce(img.d, 0e0) AS d FROM cl CROSS JOIN fr LEFT JOIN img ON img.frame = fr.frame AND img.r = cl.r AND img.c = cl.c),
+ st AS (SELECT r, c, 0 AS n, CAST([] AS STRUCT(w DOUBLE, m DOUBLE, s DOUBLE)[]) AS modes, false AS foreground FROM cl
+   UNION ALL SELECT r, c, n, CASE WHEN kind = 'noise' OR len(aged) = 0 THEN aged ELSE list_reverse(list_reduce(list_transform(list_reverse(aged), lambda x: [x]),
+       lambda a, x: CASE WHEN (a[-1].m - x[1].m) * (a[-1].m - x[1].m) <= 25 * (a[-1].s + x[1].s)
+         THEN a[:-2] || [{{'w': (a[-1].w * a[-1].w + x[1].w * x[1].w) / (a[-1].w + x[1].w), 'm': (a[-1].m * a[-1].w + x[1].m * x[1].w) / (a[-1].w + x[1].w), 's': (a[-1].s * a[-1].w + x[1].s * x[1].w) / (a[-1].w + x[1].w)}}]
+         ELSE a || x END)) END AS modes, foreground
+   FROM (SELECT *, CASE WHEN kind = 'noise' THEN changed ELSE list_filter(list_transform(changed, lambda x, i: CASE WHEN i > place THEN {{'w': x.w * (h / (1e0 + h)), 'm': x.m, 's': x.s}} ELSE x END), lambda x, i: i <= place OR x.w >= 1e0 / h) END AS aged
+   FROM (SELECT *, CASE kind WHEN 'fit' THEN k WHEN 'new' THEN ins + 1 ELSE 0 END AS place, kind = 'new' OR (kind = 'fit' AND (1 - e) * modes[k].w + e < 0.2e0) AS foreground,
+       CASE kind WHEN 'fit' THEN list_transform(modes, lambda x, i: CASE WHEN i = k THEN {{'w': (1 - e) * x.w + e, 'm': (1 - e) * x.m + e * d, 's': greatest((1 - e) * x.s + e * near, 0.1e0 * 0.1e0)}} ELSE x END)
+         WHEN 'new' THEN base[:ins] || [{{'w': 2 * e, 'm': d, 's': 0.2e0 * 0.2e0}}] || base[ins + 1:] ELSE modes END AS changed
+   FROM (SELECT *, CASE WHEN len(base) = 0 THEN 0 ELSE least(len(base), CASE WHEN d > (CASE WHEN kb > len(base) THEN modes[k].m ELSE base[kb].m END) THEN kb - 1 ELSE kb END) END AS ins
+   FROM (SELECT *, CASE WHEN old > 0 THEN modes[:old - 1] || modes[old + 1:] ELSE modes END AS base, k - CASE WHEN old > 0 AND k > old THEN 1 ELSE 0 END AS kb
+   FROM (SELECT *, CASE WHEN kind = 'new' AND len(modes) = 4 THEN list_position(list_transform(modes, lambda x: x.w), list_min(list_transform(modes, lambda x: x.w))) ELSE 0 END AS old
+   FROM (SELECT *, CASE WHEN d > 0 AND d < 1 THEN 'noise' WHEN NOT d > 0 THEN 'none' WHEN len(modes) > 0 AND near < 25e0 * modes[k].s THEN 'fit' ELSE 'new' END AS kind
+   FROM (SELECT *, list_min(off) AS near, len(off) - coalesce(list_position(list_reverse(off), list_min(off)), 1) + 1 AS k, 1e0 / (h + 1) AS e
+   FROM (SELECT st.r, st.c, st.n + 1 AS n, st.modes, gr.d, least(st.n + 1, 200) AS h, list_transform(st.modes, lambda x: (gr.d - x.m) * (gr.d - x.m)) AS off FROM st JOIN gr ON gr.r = st.r AND gr.c = st.c AND gr.n = st.n + 1)))))))))
+ SELECT img.frame, img.r, img.c, foreground FROM st JOIN fr USING (n) JOIN img ON img.frame = fr.frame AND img.r = st.r AND img.c = st.c"""
+reg("motion_filter", "lidar_points", lambda v: lidar.motion_filter(lidar.range_image(_binned(v), ("depth",))).select("frame", "r", "c", "foreground"), _MIXTURES)
 reg("motion_denoise", "lidar_points", lambda v: lidar.motion_denoise(lidar.range_image(_binned(v), ("depth",)).withColumn("foreground", F.col("depth") < 60), 2, 10.0, 2),
     f"""WITH {_CELLS}, img AS (SELECT frame, r, c, arg_min(depth, (distance, pid)) AS d FROM cells WHERE distance > 0 GROUP BY frame, r, c), fg AS (SELECT * FROM img WHERE d < 60)
         SELECT a.frame, a.r, a.c, count(*) AS n FROM fg a JOIN fg b ON a.frame = b.frame AND abs(a.r - b.r) <= 2 AND abs(a.c - b.c) <= 2 AND (a.r <> b.r OR a.c <> b.c) AND abs(a.d - b.d) <= 10 GROUP BY 1, 2, 3 HAVING count(*) >= 2""")

@@ -45,8 +45,9 @@ reg("frame_mapping", "samples badframes", lambda v: src.frame_mapping(src.exclud
     "SELECT frame AS seqidx, CAST(row_number() OVER (ORDER BY frame) - 1 AS BIGINT) AS frmidx FROM (SELECT DISTINCT frame FROM samples WHERE frame NOT IN (SELECT frame FROM badframes))")
 reg("export_track", "track", lambda v: rounded(src.export_rows(v("track")), 6),
     "SELECT CAST(row_number() OVER (ORDER BY ts, id) - 1 AS BIGINT) AS I, ts AS TS, ts - min(ts) OVER () AS DTS, round(degrees(lat), 6) AS LAT, round(degrees(lon), 6) AS LON, round(alt, 6) AS ALT FROM track")
-reg("concat_sequences", "pixels", lambda v: v("pixels").where("frame < 4").select("frame", "y", "x", "v").unionByName(v("pixels").where("frame < 2").select((F.col("frame") + 4).alias("frame"), "y", "x", "v")).groupBy("frame").agg(F.count(F.lit(1)).alias("n"), F.sum("v").cast("double").alias("total")),
-    "SELECT frame, count(*) AS n, CAST(sum(v) AS DOUBLE) AS total FROM (SELECT frame, v FROM pixels WHERE frame < 4 UNION ALL SELECT frame + 4, v FROM pixels WHERE frame < 2) GROUP BY frame")
+reg("concat_sequences", "pixels samples",
+    lambda v: src.concat_sequences([v("pixels").select("frame", F.col("v").cast("double").alias("v")), v("samples").select("frame", F.col("v").cast("double").alias("v"))]).groupBy("frame").agg(F.count(F.lit(1)).alias("n"), r(F.sum("v"), 2).alias("total")),
+    "SELECT frame, count(*) AS n, round(sum(v), 2) AS total FROM (SELECT frame, CAST(v AS DOUBLE) AS v FROM pixels UNION ALL SELECT frame + (SELECT max(frame) + 1 FROM pixels), CAST(v AS DOUBLE) FROM samples) GROUP BY frame")
 
 
 def _two_sequences(v: Views) -> DataFrame:

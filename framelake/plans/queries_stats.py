@@ -116,7 +116,13 @@ reg("isodata_threshold", "pixels", lambda v: rounded(rounded(thresholds.isodata_
     f"""WITH RECURSIVE {_H}, it AS (SELECT 0 AS k, frame, (min(bin) + max(bin)) / 2e0 AS t FROM h WHERE n > 0 GROUP BY frame
         UNION ALL SELECT k + 1, it.frame, (coalesce((SELECT sum(bin * n) / CAST(nullif(sum(n), 0) AS DOUBLE) FROM h WHERE h.frame = it.frame AND bin <= t), t) + coalesce((SELECT sum(bin * n) / CAST(nullif(sum(n), 0) AS DOUBLE) FROM h WHERE h.frame = it.frame AND bin > t), t)) / 2 FROM it WHERE k < 64)
         SELECT frame, round(t, 6) AS bin, round(minv + t * (maxv - minv) / 64, 4) AS threshold FROM it JOIN rng USING (frame) WHERE k = 64""".strip())
-reg("minimum_threshold", "pixels", lambda v: rounded(thresholds.minimum_threshold(_hist(v), ("frame",), 64), 4))
+_PEAKS = "list_filter(range(1, len({0}) + 1), lambda i: {0}[i] > coalesce({0}[i - 1], 0) AND {0}[i] > coalesce({0}[i + 1], 0))"
+reg("minimum_threshold", "pixels", lambda v: rounded(thresholds.minimum_threshold(_hist(v), ("frame",), 64), 4),
+    f"""WITH RECURSIVE {_H}, l AS (SELECT frame, list(CAST(n AS DOUBLE) ORDER BY bin) AS l, any_value(minv) AS minv, any_value(maxv) AS maxv FROM h GROUP BY frame),
+        it AS (SELECT frame, 0 AS k, l, {_PEAKS.format('l')} AS pk FROM l
+          UNION ALL SELECT frame, k + 1, m, {_PEAKS.format('m')} FROM (SELECT frame, k, list_transform(range(1, len(l) + 1), lambda i: (l[greatest(i - 1, 1)] + l[i] + l[least(i + 1, len(l))]) / 3) AS m FROM it WHERE len(pk) > 2 AND k < 10000)),
+        last AS (SELECT frame, CASE WHEN len(pk) = 2 THEN CAST(pk[1] + list_position(l[pk[1]:pk[2]], list_min(l[pk[1]:pk[2]])) - 2 AS INT) END AS bin FROM it QUALIFY row_number() OVER (PARTITION BY frame ORDER BY k DESC) = 1)
+        SELECT frame, bin, round(minv + bin * (maxv - minv) / 64, 4) AS threshold FROM last JOIN rng USING (frame)""")
 reg("mean_threshold", "pixels", lambda v: rounded(thresholds.mean_threshold(v("pixels"))), f"SELECT frame, round({_MEAN}, 6) AS threshold FROM pixels GROUP BY frame")
 reg("mean_stdev_threshold", "pixels", lambda v: rounded(thresholds.mean_stdev_threshold(v("pixels"), 2.0), 4), f"SELECT frame, round({_MEAN} + 2 * stddev_pop({_V}), 4) AS threshold FROM pixels GROUP BY frame")
 reg("mean_mad_threshold", "pixels", lambda v: rounded(thresholds.mean_mad_threshold(v("pixels"), 2.0), 4), f"WITH m AS (SELECT frame, {_MEAN} AS m FROM pixels GROUP BY frame) SELECT frame, round(any_value(m) + 2 * avg(abs({_V} - m)), 4) AS threshold FROM pixels JOIN m USING (frame) GROUP BY frame")

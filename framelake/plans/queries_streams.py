@@ -5,16 +5,17 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.functions import geometry as geo
 from framelake.operators import lidar, stack
 from framelake.plans.base import r, reg, rounded
 from framelake.plans.chains import run_chain
+from framelake.plans.queries_order import _MIXTURES
 from framelake.sources.adapters import Views
 from framelake.streaming import live
-from framelake.streaming.run import finish, replay, replay_in_order, table_stream, view_stream
+from framelake.streaming.run import finish, replay_in_order, table_stream, view_stream
 
 _MEAN = "CAST(sum(v) AS DOUBLE) / count(v)"
 
@@ -63,8 +64,8 @@ reg("windowed_rate_session", "firings", lambda v: _rate(v, kind="session", size=
        SELECT CAST(epoch(date_trunc('second', min(ts))) AS BIGINT) AS start, CAST(epoch(date_trunc('second', max(ts) + INTERVAL 6 HOURS)) AS BIGINT) AS "end", user_id, count(*) AS n FROM s GROUP BY user_id, s""")
 
 
-def _in_order(v: Views, view: str, order: str, f: Callable[[DataFrame], DataFrame], change: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
-    stream, feed = replay_in_order(v.spark, v.sf_dir, view, order, change)
+def _in_order(v: Views, view: str, order: str, f: Callable[[DataFrame], DataFrame], change: Callable[[DataFrame], DataFrame] = lambda d: d, width: int = 250_000) -> DataFrame:
+    stream, feed = replay_in_order(v.spark, v.sf_dir, view, order, change, width)
     return finish(f(stream), feed=feed)
 
 
@@ -75,7 +76,15 @@ reg("live_running_average", "signal", lambda v: rounded(_in_order(v, "signal", "
 reg("live_rotation_frames", "firings", lambda v: _in_order(v, "firings", "pkt", lambda d: live.live_rotation_frames(d, 9000)),
     """WITH a AS (SELECT sensor, pkt, (azimuth + 27000) % 36000 AS a FROM firings), b AS (SELECT sensor, pkt, CASE WHEN a < lag(a) OVER (PARTITION BY sensor ORDER BY pkt) THEN 1 ELSE 0 END AS n FROM a)
        SELECT sensor, pkt, CAST(sum(n) OVER (PARTITION BY sensor ORDER BY pkt ROWS UNBOUNDED PRECEDING) AS BIGINT) AS frame FROM b""")
-reg("live_motion_filter", "lidar_points", lambda v: finish(live.live_motion_filter(replay(v.spark, v.sf_dir, "lidar_points", lambda d: lidar.range_image(geo.range_bin(d, 2 * math.pi / 90), ("depth",))))))
+
+
+def _numbered_image(d: DataFrame) -> DataFrame:
+    image = lidar.range_image(geo.range_bin(d, 2 * math.pi / 90), ("depth",))
+    frames = image.select("frame").distinct()  # a row per frame
+    return image.join(frames.withColumn("n", F.row_number().over(Window.orderBy("frame")).cast("long")), "frame")
+
+
+reg("live_motion_filter", "lidar_points", lambda v: _in_order(v, "lidar_points", "n", live.live_motion_filter, _numbered_image, 8), _MIXTURES)
 
 # Chains
 

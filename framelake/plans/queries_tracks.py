@@ -46,7 +46,9 @@ _TIMES = """ln AS (SELECT frame, time, lag(frame) OVER o AS pf, lag(time) OVER o
  ends AS (SELECT frame, CASE WHEN f1 IS NULL THEN f2 WHEN f2 IS NULL THEN coalesce(f0, f1) ELSE f1 END AS fa, CASE WHEN f1 IS NULL THEN t2 WHEN f2 IS NULL THEN coalesce(t0, t1) ELSE t1 END AS ta, CASE WHEN f1 IS NULL THEN coalesce(f3, f2) WHEN f2 IS NULL THEN f1 ELSE f2 END AS fb, CASE WHEN f1 IS NULL THEN coalesce(t3, t2) WHEN f2 IS NULL THEN t1 ELSE t2 END AS tb FROM b2),
  times AS (SELECT frame, ta + (frame - fa) * CASE WHEN fb > fa THEN (tb - ta) / CAST(fb - fa AS DOUBLE) ELSE 0 END AS ts FROM ends)"""
 reg("frame_times", "track track_queries", lambda v: rounded(tracks.frame_times(v("track_queries").select(F.col("id").alias("frame")), _landmarks(v)), 5), f"WITH {_LAND}, {_TIMES} SELECT frame, round(ts, 5) AS ts FROM times")
-reg("gpx_for_frame", "track track_queries", lambda v: rounded(tracks.gpx_for_frame(v("track_queries").select(F.col("id").alias("frame")), _landmarks(v), v("track")).select("frame", "lat", "lon", "alt"), 5))
+reg("gpx_for_frame", "track track_queries", lambda v: rounded(tracks.gpx_for_frame(v("track_queries").select(F.col("id").alias("frame")), _landmarks(v), v("track")).select("frame", "lat", "lon", "alt"), 5),
+    f"""WITH {_LAND}, {_TIMES}, tq AS (SELECT frame AS id, least(greatest(ts, t0), t1) AS ts FROM times, (SELECT min(ts) AS t0, max(ts) AS t1 FROM track)), {_ONE}, {_ORDERED.replace('track_queries q', 'tq q')}
+        SELECT id AS frame, {', '.join(_lerp(k, n, 5) for k, n in enumerate(('lat', 'lon', 'alt'), 1))} FROM sh""")
 reg("track_summary", "track", lambda v: rounded(tracks.track_summary(v("track")), 2),
     "SELECT count(*) AS points, max(ts) - min(ts) AS duration, round(coalesce(sum(2 * 6378137e0 * asin(sqrt(least(pow(sin((lat - a) / 2), 2) + cos(a) * cos(lat) * pow(sin((lon - o) / 2), 2), 1)))), 0), 2) AS length FROM (SELECT *, lag(lat) OVER w AS a, lag(lon) OVER w AS o FROM track WINDOW w AS (ORDER BY ts, id))")
 
@@ -74,7 +76,20 @@ def _ego(v):
     return tracks.ego_motion_compensate(points, v("track"), target, step=60.0)
 
 
-reg("ego_motion_compensate", "lidar_points track", lambda v: rounded(_ego(v), 2))
+_E2 = "(1 - (6356752.314245e0 / 6378137e0) * (6356752.314245e0 / 6378137e0))"
+_N = f"6378137e0 / sqrt(1 - {_E2} * sin({{0}}lat) * sin({{0}}lat))"
+_ECEF = [f"({_N} + {{0}}alt) * cos({{0}}lat) * cos({{0}}lon)", f"({_N} + {{0}}alt) * cos({{0}}lat) * sin({{0}}lon)", f"({_N} * (1 - {_E2}) + {{0}}alt) * sin({{0}}lat)"]
+_ENU = (("-sin({0}lon)", "cos({0}lon)", "0e0"), ("-sin({0}lat) * cos({0}lon)", "-sin({0}lat) * sin({0}lon)", "cos({0}lat)"), ("cos({0}lat) * cos({0}lon)", "cos({0}lat) * sin({0}lon)", "sin({0}lat)"))
+_OF_TARGET = [[e.replace("yaw", "g.yaw").replace("pitch", "g.pitch").replace("roll", "g.roll") for e in row] for row in _ROT]
+# Points of a step of 60 s share its middle pose; vehicle axes to east, north, up, to the earth's axes, and back in the target's.
+_EGO = f"""WITH pt AS (SELECT frame, pid, distance * cos(elevation) * sin(azimuth) AS x, distance * cos(elevation) * cos(azimuth) AS y, distance * sin(elevation) AS z, CAST(frame * 86400 + t AS DOUBLE) AS t FROM lidar_points WHERE distance > 0),
+ tq AS (SELECT DISTINCT floor(t / 60) AS id, (floor(t / 60) + 0.5e0) * 60 AS ts FROM pt), {_ONE}, {_ORDERED.replace('track_queries q', 'tq q')}, ps AS (SELECT id, {', '.join(_lerp(k, n, 13) for k, n in enumerate(_FIELDS, 1))} FROM sh),
+ g AS (SELECT * FROM track ORDER BY ts, id LIMIT 1),
+ a AS (SELECT pt.frame, pt.pid, pt.t, ps.*, {', '.join(f'({r0}) * x + ({r1}) * y + ({r2}) * z AS e{k}' for k, (r0, r1, r2) in enumerate(_ROT))} FROM pt JOIN ps ON ps.id = floor(pt.t / 60)),
+ b AS (SELECT frame, pid, t, {', '.join(f"{_ECEF[j].format('a.')} + ({_ENU[0][j].format('a.')}) * e0 + ({_ENU[1][j].format('a.')}) * e1 + ({_ENU[2][j].format('a.')}) * e2 AS c{j}" for j in range(3))} FROM a),
+ c AS (SELECT b.frame, b.pid, b.t, {', '.join(' + '.join(f"({_ENU[k][j].format('g.')}) * (c{j} - {_ECEF[j].format('g.')})" for j in range(3)) + f' AS n{k}' for k in range(3))} FROM b, g)
+ SELECT frame, pid, {', '.join('round(' + ' + '.join(f'({_OF_TARGET[j][k]}) * n{j}' for j in range(3)) + f', 2) AS {n}' for k, n in enumerate('xyz'))}, t FROM c, g"""
+reg("ego_motion_compensate", "lidar_points track", lambda v: rounded(_ego(v), 2), _EGO)
 
 # Matching
 
@@ -141,12 +156,12 @@ reg("nearest_point", "keypoints", lambda v: rounded(match.nearest_point(v("keypo
 
 def _annotated(v):
     points = v("keypoints").select("frame", F.col("kp").alias("pid"), "x", "y", F.col("response").alias("depth"))
-    boxes = v("keypoints").where("kp % 100 = 0").select("frame", (F.col("x") - 60).alias("x0"), (F.col("y") - 60).alias("y0"), (F.col("x") + 60).alias("x1"), (F.col("y") + 60).alias("y1"), (F.col("response") - 300).alias("depth0"), (F.col("response") + 300).alias("depth1"), F.lit("quality").alias("cmap"), (F.col("kp") % 7 + 1).cast("int").alias("label"))
+    boxes = v("keypoints").where("kp % 50 = 0").select("frame", (F.col("x") - 60).alias("x0"), (F.col("y") - 60).alias("y0"), (F.col("x") + 60).alias("x1"), (F.col("y") + 60).alias("y1"), (F.col("response") - 300).alias("depth0"), (F.col("response") + 300).alias("depth1"), F.lit("quality").alias("cmap"), (F.col("kp") % 7 + 1).cast("int").alias("label"))
     return joins.annotate_points(points, boxes, v("point_labels"))
 
 
 reg("annotate_points", "keypoints point_labels", _annotated,
-    """WITH b AS (SELECT frame, x - 60 AS x0, y - 60 AS y0, x + 60 AS x1, y + 60 AS y1, response - 300 AS d0, response + 300 AS d1, CAST(kp % 7 + 1 AS INT) AS label FROM keypoints WHERE kp % 100 = 0),
+    """WITH b AS (SELECT frame, x - 60 AS x0, y - 60 AS y0, x + 60 AS x1, y + 60 AS y1, response - 300 AS d0, response + 300 AS d1, CAST(kp % 7 + 1 AS INT) AS label FROM keypoints WHERE kp % 50 = 0),
        hit AS (SELECT kp AS pid, 'quality' AS cmap, max(label) AS new FROM keypoints k JOIN b ON b.frame = k.frame AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AND response BETWEEN d0 AND d1 GROUP BY kp)
        SELECT coalesce(h.pid, l.pid) AS pid, coalesce(h.cmap, l.cmap) AS cmap, CAST(coalesce(nullif(l.label, 0), new, 0) AS INT) AS label FROM hit h FULL JOIN point_labels l ON h.pid = l.pid AND h.cmap = l.cmap""")
 reg("label_names", "point_labels", lambda v: joins.label_names(v("point_labels"), v("point_labels").select("cmap", "label").distinct().withColumn("name", F.concat_ws("-", "cmap", F.col("label").cast("string")))), "SELECT pid, cmap, label, cmap || '-' || label AS name FROM point_labels")

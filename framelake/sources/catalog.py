@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from framelake.operators.ordered import number_rows
+
 
 def sequence_catalog(sources: DataFrame, enabled: str | None = None) -> DataFrame:
     """sources: src, ord, n_frames: a row per file. Adds global_pos, the frames of the enabled sources before."""
@@ -21,6 +24,14 @@ def global_frame_index(frames: DataFrame, catalog: DataFrame) -> DataFrame:
     return j.where((F.col("local") >= 0) & (F.col("local") < F.col("n_frames"))).withColumn("pos", F.col("global_pos") + F.col("local")).drop("n_frames", "global_pos")
 
 
+def concat_sequences(sequences: Sequence[DataFrame], frame: str = "frame") -> DataFrame:
+    """The sequences one after another: pos, the place of a frame in the whole, takes the place of frame. A sequence is as long as its last frame says."""
+    parts = [d.withColumns({"src": F.lit(k), "local": F.col(frame).cast("long")}).drop(frame) for k, d in enumerate(sequences)]
+    lengths = [d.agg((F.max("local") + 1).alias("n_frames")).select(F.lit(k).alias("src"), F.lit(k).alias("ord"), F.coalesce("n_frames", F.lit(0)).alias("n_frames")) for k, d in enumerate(parts)]
+    both, files = (functools.reduce(DataFrame.unionByName, x) for x in (parts, lengths))
+    return global_frame_index(both, sequence_catalog(files)).withColumnRenamed("pos", frame).drop("src", "local")
+
+
 def seek(positions: DataFrame, catalog: DataFrame, bucket: int = 1024) -> DataFrame:
     """positions: pos. Adds src and local. Sources meet positions by buckets of positions, so nothing is compared with everything."""
     last = F.col("global_pos") + F.col("n_frames") - 1
@@ -130,12 +141,11 @@ def write_matches_csv(matches: DataFrame, path: str) -> None:
     matches.select("q", "t", "x0", "y0", "x1", "y1").write.option("header", True).csv(path)
 
 
-def export_rows(track: DataFrame) -> DataFrame:
-    """I, TS, DTS (since the start), LAT, LON (degrees), ALT of a track in order."""
+def export_rows(track: DataFrame, bucket: float = 86400.0) -> DataFrame:
+    """I, TS, DTS (since the start), LAT, LON (degrees), ALT of a track in order; numbered within buckets of time, with the counts of those before."""
     start = track.agg(F.min("ts").alias("__t0"))
-    rows = track.crossJoin(F.broadcast(start))  # one row
-    w = Window.orderBy("ts", "id")
-    return rows.select((F.row_number().over(w) - 1).cast("long").alias("I"), F.col("ts").alias("TS"), (F.col("ts") - F.col("__t0")).alias("DTS"), F.degrees("lat").alias("LAT"), F.degrees("lon").alias("LON"), F.col("alt").alias("ALT"))
+    rows = number_rows(track, [], ["ts", "id"], F.floor(F.col("ts") / bucket)).crossJoin(F.broadcast(start))  # one row
+    return rows.select(F.col("__i").alias("I"), F.col("ts").alias("TS"), (F.col("ts") - F.col("__t0")).alias("DTS"), F.degrees("lat").alias("LAT"), F.degrees("lon").alias("LON"), F.col("alt").alias("ALT"))
 
 
 def export_track(track: DataFrame, path: str) -> None:

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from framelake.operators.joins import calibrate
-from framelake.operators.lidar import mixture_step
+from framelake.operators.lidar import HISTORY, Mixtures
 from framelake.operators.stack import stack_average
 
 
@@ -83,22 +84,27 @@ def live_running_average(stream: DataFrame, n: int = 5, key: str = "series", ord
     return _stateful(stream, key, run, f"{key} long, {order} long, avg double", "m double, n long")
 
 
-def live_motion_filter(stream: DataFrame, depth: str = "depth", **options) -> DataFrame:
-    """motion_filter with the modes of every cell as state."""
+def live_motion_filter(stream: DataFrame, depth: str = "depth", count: str = "n", history: int = HISTORY) -> DataFrame:
+    """motion_filter with the modes of every cell as state. count: the number of the frame among those processed (1, 2, ...); a cell's frames
+    without a row age its modes when its next row comes."""
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        flat = list(state.get[0]) if state.exists else []
-        modes = [flat[i : i + 3] for i in range(0, len(flat), 3)]
-        rows, out = pd.concat(list(batches)).sort_values("frame"), []
-        for frame, d in zip(rows["frame"], rows[depth], strict=True):
-            found = False
-            if d > 0:
-                modes, found = mixture_step(modes, float(d), int(frame), **options)
-            out.append(found)
-        state.update(([x for mode in modes for x in mode],))
+        modes, seen, here = Mixtures(1), 0, np.zeros(1, np.int64)
+        if state.exists:
+            flat, seen = state.get
+            modes.n[0] = len(flat) // 3
+            for j in range(len(flat) // 3):
+                modes.w[0, j], modes.m[0, j], modes.s[0, j] = flat[3 * j : 3 * j + 3]
+        rows, out = pd.concat(list(batches)).sort_values(count), []
+        for n, d in zip(rows[count].astype(int), rows[depth].fillna(0.0).astype(float), strict=True):
+            for missed in range(seen + 1, n) if modes.n[0] else ():
+                modes.pass_by(here, missed, history)
+            out.append(bool(modes.update(here, np.array([d]), n, history)[0]))
+            seen = n
+        state.update(([float(x[0, j]) for j in range(modes.n[0]) for x in (modes.w, modes.m, modes.s)], seen))
         yield pd.DataFrame({"frame": rows["frame"], "r": k[0], "c": k[1], "foreground": out})
 
-    return _stateful(stream, ["r", "c"], run, "frame long, r int, c int, foreground boolean", "modes array<double>")
+    return _stateful(stream, ["r", "c"], run, "frame long, r int, c int, foreground boolean", "modes array<double>, seen long")
 
 
 def live_rotation_frames(stream: DataFrame, seam: int = 0) -> DataFrame:

@@ -7,8 +7,10 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from framelake.functions import formula
 from framelake.functions import geometry as geo
 from framelake.functions import pixels as px
 from framelake.functions import scalar as sc
@@ -70,12 +72,122 @@ def test_ground_scan(spark):
     assert [r[4] for r in rows(lidar.ground_scan(d), "c")] == [False, False, True, True, False, False, False, False, False, False, True]
 
 
-def test_mixture_learns_a_background():
-    state, seen = [], []
-    for n in range(40):
-        state, foreground = lidar.mixture_step(state, 10.0 if n != 30 else 4.0, n)
-        seen.append(foreground)
-    assert not any(seen[:30]) and seen[30] and not any(seen[31:])
+def plain_mixture(depths):
+    """The rules of the mixture for one cell, mode by mode; depths[n - 1] is 0 without a return."""
+    modes, out = [], []
+    for n, d in enumerate(depths, 1):
+        frames = min(n, 200)
+        e, updated, found = 1 / (frames + 1), -1, False
+        if 0 < d < 1:
+            out.append(False)
+            continue
+        if d > 0:
+            near = 0
+            for k in range(1, len(modes)):
+                if abs(d - modes[k][1]) > abs(d - modes[near][1]):
+                    break
+                near = k
+            if modes and (d - modes[near][1]) ** 2 < 25 * modes[near][2]:
+                w, m, s = modes[near]
+                modes[near] = [(1 - e) * w + e, (1 - e) * m + e * d, max((1 - e) * s + e * (d - m) ** 2, 0.01)]
+                updated, found = near, modes[near][0] < 0.2
+            else:
+                found, before = True, modes[near][1] if modes else 0
+                if len(modes) == 4:
+                    oldest = min(range(4), key=lambda k: (modes[k][0], k))
+                    del modes[oldest]
+                    near -= near > oldest
+                    before = modes[near][1] if near < len(modes) else before
+                updated = min(len(modes), near if d > before else near + 1)
+                modes.insert(updated, [2 * e, d, 0.04])
+        for k in range(len(modes) - 1, updated, -1):
+            modes[k][0] *= frames / (1 + frames)
+            if modes[k][0] < 1 / frames:
+                del modes[k]
+        for k in range(len(modes) - 1, 0, -1):
+            (w1, m1, s1), (w2, m2, s2) = modes[k], modes[k - 1]
+            if (m1 - m2) ** 2 <= 25 * (s1 + s2):
+                modes[k - 1 : k + 1] = [[(w1 * w1 + w2 * w2) / (w1 + w2), (m1 * w1 + m2 * w2) / (w1 + w2), (s1 * w1 + s2 * w2) / (w1 + w2)]]
+        out.append(found)
+    return out, modes
+
+
+def test_mixture_by_hand():
+    """Insert in front and behind, decay, removal, replacement, fusion."""
+    m, one = lidar.Mixtures(1), np.zeros(1, np.int64)
+    assert m.update(one, np.array([10.0]), 1)[0] and m.n[0] == 1 and m.w[0, 0] == 1.0  # 2 / (1 + 1)
+    assert not m.update(one, np.array([10.2]), 2)[0] and m.m[0, 0] == pytest.approx(10 + 0.2 / 3)  # fits, heavy
+    assert m.update(one, np.array([40.0]), 3)[0] and m.m[0, :2].tolist() == pytest.approx([40.0, 10 + 0.2 / 3])  # more distant: in front
+    w = m.w[0, :2].copy()
+    m.pass_by(one, 4)
+    assert m.w[0, :2].tolist() == pytest.approx((w * 0.8).tolist())
+    m.update(one, np.array([0.5]), 5)
+    assert m.w[0, :2].tolist() == pytest.approx((w * 0.8).tolist())  # nearer than 1: nothing happens
+    for n in range(6, 700):
+        m.update(one, np.array([40.0]), n)
+    assert m.n[0] == 1 and m.w[0, 0] > 0.8  # what lies behind is seen no more and goes
+    m = lidar.Mixtures(1)
+    for n, d in enumerate((90.0, 70.0, 50.0, 30.0, 10.0), 200):
+        assert m.update(one, np.array([d]), n)[0]
+    assert m.n[0] == 4 and 10.0 in m.m[0]  # the weakest made room
+    m = lidar.Mixtures(1)
+    m.update(one, np.array([10.0]), 200)
+    m.update(one, np.array([11.3]), 201)  # beyond 5 deviations of 0.2, within 25 (s1 + s2)
+    assert m.n[0] == 1 and m.m[0, 0] == pytest.approx(10.65, abs=0.01)
+
+
+def test_mixtures_of_many_cells(spark):
+    rng = np.random.default_rng(4)
+    depth = np.where(rng.random((60, 80)) < 0.15, 0.0, rng.choice([0.5, 5.0, 20.0, 35.0, 60.0, 90.0], (60, 80), p=[0.02, 0.08, 0.5, 0.1, 0.1, 0.2]) + rng.normal(0, 0.3, (60, 80)))
+    want = [plain_mixture(depth[:, c].tolist())[0] for c in range(80)]
+    state, got = lidar.Mixtures(80), []
+    for n in range(60):
+        got.append(state.update(np.arange(80), depth[n], n + 1))
+    assert np.array(got).T.tolist() == want and 0.05 < np.mean(want) < 0.95
+    # As a table, cells without a return having no row; frames count by their order.
+    d = spark.createDataFrame([(n * 3, 0, c, float(depth[n, c])) for n in range(60) for c in range(80) if depth[n, c] > 0 or c == 0], "frame long, r int, c int, depth double")
+    for r in lidar.motion_filter(d).collect():
+        assert r["foreground"] == want[r["c"]][r["frame"] // 3]
+
+
+def test_ground_scan_counts_missing_cells(spark):
+    """5 cells without a return end the ground, whether they have rows or not; the roof line is 0.1 below zroof."""
+    z = [-1.05, -2.0, -2.05, None, None, None, None, None, -2.0, -0.5, -2.1]
+    want = [False, True, True, False, False, False, False, False, True, False, True]
+    d = spark.createDataFrame([(0, 0, c, v) for c, v in enumerate(z)], "frame long, r int, c int, z double")
+    assert [r[4] for r in rows(lidar.ground_scan(d), "c")] == want
+    assert [r[4] for r in rows(lidar.ground_scan(d.where("z IS NOT NULL"), rings=11), "c")] == [w for w, v in zip(want, z, strict=True) if v is not None]
+    line = spark.createDataFrame([(0, 0, c, v) for c, v in enumerate([-1.05, -1.9])], "frame long, r int, c int, z double")
+    assert [r[4] for r in rows(lidar.ground_scan(line, h0=1.05), "c")] == [False, False]  # not below the roof, then not near
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 1000])
+def test_parts_of_an_order(spark, chunk):
+    """Cut into parts of any size, the same as one window."""
+    rng = np.random.default_rng(7)
+    f = spark.createDataFrame([(s, p, int(rng.integers(0, 36000)), int(rng.integers(0, 3600)) * 1_000_000) for s in range(2) for p in range(40)], "sensor long, pkt long, azimuth long, toh long")
+    w = Window.partitionBy("sensor").orderBy("pkt")
+    sums = lambda c: F.sum(F.coalesce((F.col(c) < F.col(f"last_{c}")).cast("long"), F.lit(0))).over(w)
+    plain = f.withColumns({"last_azimuth": F.lag("azimuth").over(w), "last_toh": F.lag("toh").over(w)}).select("sensor", "pkt", sums("azimuth").alias("frame"), (F.col("toh") / 1e6 + 3600 * sums("toh")).alias("t"))
+    got = lidar.toh_unwrap(lidar.packet_frames(f, chunk=chunk), chunk=chunk).select("sensor", "pkt", "frame", "t")
+    assert rows(got, "sensor", "pkt") == rows(plain, "sensor", "pkt")
+    t = spark.createDataFrame([(k, int(rng.integers(0, 50)), float(rng.random()), float(rng.random())) for k in range(60)], "id long, ts long, lat double, lon double")
+    one = tracks.track_summary(t, bucket=1e9).first()
+    assert tuple(tracks.track_summary(t, bucket=float(chunk)).first()) == (one[0], one[1], pytest.approx(one[2]))
+    track = t.withColumn("alt", F.lit(1.0))
+    assert rows(src.export_rows(track, float(chunk)), "I") == rows(src.export_rows(track, 1e9), "I")
+    assert [r[0] for r in rows(src.export_rows(track, float(chunk)), "I")] == list(range(60))
+
+
+def test_random_functions(spark):
+    d = formula.formula(formula.formula(spark.range(20_000), "rand(2, 5)", "u"), "noise(10, 3)", "g")
+    r = d.agg(F.min("u"), F.max("u"), F.avg("u"), F.avg("g"), F.stddev("g")).first()
+    assert 2 <= r[0] < 2.01 and 4.99 < r[1] < 5 and r[2] == pytest.approx(3.5, abs=0.05) and r[3] == pytest.approx(10, abs=0.15) and r[4] == pytest.approx(3, abs=0.15)
+
+
+def test_chain_goes_on_after_a_failing_step(spark, two_frames):
+    got = run_chain(two_frames, [{"step": "filter", "expr": "no_such_column > 1"}, {"step": "column", "name": "k", "expr": "v * 2"}, {"step": "pop", "name": "nothing"}])
+    assert got.columns[-1] == "k" and got.count() == two_frames.count()
 
 
 def test_histogram_and_thresholds(spark):

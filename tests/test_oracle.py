@@ -30,12 +30,16 @@ def duck(data):
     return con
 
 
+#: Queries that no SQL states; each function of fn_special has a query with SQL of its own.
+BY_HAND = {"fn_special"}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_same_rows(spark, duck, data, name):
     df = QUERIES[name](spark, f"{data}/sf0.001")
     got = sorted((tuple(map(plain, r)) for r in df.collect()), key=str)
     if name not in SQL:
-        assert got
+        assert got and name in BY_HAND
         return
     want = duck.sql(SQL[name])
     assert sorted(want.columns) == sorted(df.columns)
