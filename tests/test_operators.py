@@ -179,6 +179,31 @@ def test_parts_of_an_order(spark, chunk):
     assert [r[0] for r in rows(src.export_rows(track, float(chunk)), "I")] == list(range(60))
 
 
+@pytest.mark.parametrize(("block", "part"), [(4096, 50_000), (3, 7)])
+def test_matching_in_blocks(spark, monkeypatch, block, part):
+    monkeypatch.setattr(match._in_blocks, "__defaults__", (block, part))
+    rng = np.random.default_rng(11)
+    vec, octave, size = rng.integers(0, 4, (40, 3)), rng.integers(0, 3, 40), rng.integers(0, 5, 40)
+    d = spark.createDataFrame([(i, [float(x) for x in vec[i]], int(vec[i] @ (1, 8, 64)), int(octave[i]), int(size[i])) for i in range(40)], "id long, desc_vec array<double>, bits long, octave int, size int")
+    q = d.where("id % 4 = 0")
+    l1 = np.abs(vec[:, None] - vec[None]).sum(-1).astype(float)
+    np.fill_diagonal(l1, np.inf)
+    assert set(rows(match.match_l1(q, d, 2.0))) == {(i, j, l1[i, j]) for i in range(0, 40, 4) for j in range(40) if l1[i, j] == l1[i].min() <= 2}
+    bits = vec @ (1, 8, 64)
+    want = []
+    for i in range(0, 40, 4):
+        found = [(int(bits[i] ^ bits[j]).bit_count(), abs(int(size[i] - size[j])), j) for j in range(40) if i != j and abs(octave[i] - octave[j]) <= 1]
+        if (best := min(found))[0] <= 3:
+            want.append((i, best[2], best[0]))
+    assert rows(match.match_hamming(q, d, 3, tie=("size",), max_octaves=1), "q") == want
+    l2 = ((vec[:, None] - vec[None]) ** 2).sum(-1).astype(float)
+    np.fill_diagonal(l2, np.inf)
+    order = [sorted((l2[i, j], j) for j in range(40)) for i in range(0, 40, 4)]
+    assert rows(match.match_knn_ratio(q, d, None), "q") == [(4 * k, o[0][1], pytest.approx(math.sqrt(o[0][0]))) for k, o in enumerate(order)]
+    assert [r[0] for r in rows(match.match_knn_ratio(q, d, 0.8), "q")] == [4 * k for k, o in enumerate(order) if math.sqrt(o[0][0]) < 0.8 * math.sqrt(o[1][0])]
+    assert match.match_l1(q.limit(0), d).count() == 0 and match.match_knn_ratio(q, d.limit(0)).count() == 0
+
+
 def test_random_functions(spark):
     d = formula.formula(formula.formula(spark.range(20_000), "rand(2, 5)", "u"), "noise(10, 3)", "g")
     r = d.agg(F.min("u"), F.max("u"), F.avg("u"), F.avg("g"), F.stddev("g")).first()
