@@ -33,11 +33,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on a batch that Spark hands to Python holds at most 8 MB, however long its texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def cut(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write df once to the shared folder and go on from the files: lost executors cost no recomputation
     of what lies before, and what is used more than once is computed once. The shuffle files of what was
     written are removed at once."""
     spark = df.sparkSession
+    small_batches(spark)
     path, before = path or shared_path(spark, name), spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framelake.llm._shared import small_batches
+
 SAMPLE, DIMENSIONS, RANK, THRESHOLD = 12_000, 1 << 13, 8, 0.3
 #: Structure statistics, after the hashed words.
 STATS = 14
@@ -133,6 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def score(docs: DataFrame, model: Model) -> Column:
     """The score of a row of docs (0 to 1)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

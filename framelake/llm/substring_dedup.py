@@ -44,7 +44,7 @@ from framelake.llm._shared import Scratch
 
 WIDTH, GROUP = 13, 5
 #: Rows beyond which a minimizer's windows are dealt out one by one, minimizer hits of a shard (each gives some 17 words, before equal segments become one), windows of a segment, bytes worked on at once, tasks over all shards (beyond that, a task takes its shards one after another).
-HOT, SHARD, RUN, BYTES, TASKS = 20_000, 30_000, 64, 1 << 20, 20_000
+HOT, SHARD, RUN, BYTES, TASKS = 20_000, 15_000, 64, 1 << 20, 20_000
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _SPACE = np.zeros(256, bool)
@@ -484,7 +484,7 @@ def streamed(found: DataFrame, index: DataFrame, width: int, shards: int) -> Dat
         now, index, asked, size = None, (), [], 0
         for batch in batches:
             for shard, data, piece, words, most in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3).to_pylist(), _unpack(batch.column(4)), batch.column(5), strict=True):
-                if data.is_valid or size > 16 * BYTES:
+                if data.is_valid or size > 8 * BYTES:
                     if asked:
                         yield from answer(*index, asked)
                     asked, size = [], 0
