@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import decision_list, exact_dedup, hard_negatives, html_text, packing, pieces, quality_fm, simhash, substring_dedup, token_trees, topk_search, warc
+from framelake.llm import decision_list, exact_dedup, hard_negatives, html_text, packing, pieces, prefix_trie, quality_fm, simhash, substring_dedup, token_trees, topk_search, warc
 from framelake.llm._shared import table
 from framelake.llm.bpe import vocabulary
 
@@ -57,6 +57,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), label)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pieces": op9_pieces,
     "op10_simhash": op10_simhash,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_top_k": op13_top_k,
 }
 
@@ -104,6 +109,36 @@ ORACLE_SQL: dict[str, str] = {
         WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)
         QUALIFY row_number() OVER w <= 3
     """,
+    "op12_prefix_trie": r"""
+        WITH RECURSIVE crc AS (
+            SELECT conv_id AS c, conv_id::VARCHAR AS s, 4294967295::BIGINT AS x, 0 AS n FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)
+            UNION ALL
+            SELECT c, s, xor(t >> 1, CASE WHEN t % 2 = 1 THEN 3988292384 ELSE 0 END), n + 1
+            FROM (SELECT c, s, n, CASE WHEN n % 8 = 0 THEN xor(x, ascii(s[n // 8 + 1])) ELSE x END AS t FROM crc WHERE n < 8 * length(s))),
+        convs AS (SELECT c, c - c % 20 AS base, xor(x, 4294967295) % 4 AS h FROM crc WHERE n = 8 * length(s)),
+        turns AS (
+            SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p
+            FROM conversations WHERE conv_id IS NOT NULL),
+        whole AS (
+            SELECT v.c, 0 AS source, t.p, t.role, t.text FROM convs v JOIN turns t ON t.c = v.base AND t.p <= v.h
+            UNION ALL SELECT v.c, 1, t.p, t.role, t.text FROM convs v JOIN turns t ON t.c = v.c AND t.p > v.h),
+        prefixes AS (
+            SELECT c, row_number() OVER w AS depth, string_agg(md5(role) || md5(text), ',') OVER w AS key, len(regexp_extract_all(text, '[^ 	-]+')) AS words
+            FROM whole WINDOW w AS (PARTITION BY c ORDER BY source, p ROWS UNBOUNDED PRECEDING)
+            UNION ALL SELECT c, 0, '', 0 FROM convs),
+        sized AS (SELECT *, max(depth) OVER (PARTITION BY c) AS size, lag(key) OVER (PARTITION BY c ORDER BY depth) AS above FROM prefixes),
+        nodes AS (
+            SELECT key, depth, min(c) AS conv_id, count(*) AS n_convs, any_value(above) AS above, any_value(words) AS words, max(size) = depth AS leaf,
+                   sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE size = depth), '')) AS ends_sha256
+            FROM sized GROUP BY key, depth),
+        below AS (SELECT DISTINCT a.key, b.key AS under FROM sized a JOIN sized b ON a.c = b.c AND a.depth <= b.depth),
+        sums AS (
+            SELECT b.key, count(*) FILTER (WHERE n.leaf) AS n_leaves, sum((n.n_convs - 1) * n.words)::BIGINT AS saved_tokens
+            FROM below b JOIN nodes n ON n.key = b.under GROUP BY b.key),
+        kids AS (SELECT above AS key, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY above)
+        SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+        FROM nodes n JOIN sums s ON s.key = n.key LEFT JOIN nodes u ON n.depth > 0 AND u.key = n.above LEFT JOIN kids k ON k.key = n.key
+    """,
     "op13_top_k": """
         WITH v AS (
             SELECT vec_id, [floor(1024 * x::DOUBLE) for x in embedding] AS v
