@@ -136,7 +136,7 @@ def search(trees: list[CoverTree], block: dict, k: int, same: bool, count: list[
         inner = np.flatnonzero(below >= 0)
         if len(inner):
             push(tree, at, below[inner], score[:, inner])
-        if len(best.lists[0]) > 256:
+        if best.size > k * len(q) or len(best.lists[0]) > 256:  # floors rise
             best.settle()
     return best
 

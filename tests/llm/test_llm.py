@@ -658,7 +658,8 @@ def test_components_of_a_chain(spark):
 
 def test_oracle_sql(spark, data):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/sf0.001/documents.parquet'")
+    for t in ("documents", "embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/sf0.001/{t}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         df = queries.QUERIES[name](spark, f"{data}/sf0.001")
         want = con.sql(sql)
