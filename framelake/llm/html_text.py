@@ -3,11 +3,13 @@
 
 Each block of text has a root-to-leaf tag path (inline elements left out). Per page the text length and the punctuation
 of a path are divided by its number of blocks; both ratios are smoothed over the page's blocks in order, fused by their
-product, and a path whose mean exceeds a share of the deviation from zero is content. The article is the smallest container that holds nearly all of
-the content paths' text. Of the container the text of content paths is returned, and what stands beside it in the same
-wrapper (headings, lists, short paragraphs); wrappers within it that hold no content of their own are left out. Unless
-it is an article or main element, blocks around it with content nodes are returned too. Text below elements that are no article by their meaning (menus, page headers and footers, sidebars,
-forms, scripts, notices, adverts, reader comments) never counts and is never returned.
+product, and a path whose mean exceeds a share of the deviation from zero is content. The article is the smallest
+container that holds nearly all of the content paths' text. All of it is returned, short blocks too, but for subtrees
+that the ratios score as boilerplate: no content path, no punctuation, and text that is mostly links. Links within
+headings, and the one or two links between the heading and the first content block (who wrote it), are no boilerplate.
+Unless the container is an article or main element, blocks around it with content nodes are returned too. Text below
+elements that are no article by their meaning (menus, page headers and footers, sidebars, scripts, notices, adverts,
+reader comments) never counts and is never returned. A form is one of these unless it wraps nearly all content.
 
 Names (class, id, role) say that an element is no article by words of a list. They don't count on an element that
 holds the main article (the article or main element with most content), nor on one that holds much of the content:
@@ -24,7 +26,6 @@ from __future__ import annotations
 import re
 from html import unescape
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -36,11 +37,13 @@ FAIR = 0.3
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-SKIPPED = frozenset("script style noscript template head title nav footer aside form button select option textarea iframe object svg canvas audio video menu dialog datalist map".split())
+SKIPPED = frozenset("script style noscript template head title nav footer aside button select option textarea iframe object svg canvas audio video menu dialog datalist map".split())
 CONTAINERS = frozenset("html body div section main article center table tbody tr td".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Elements that lay a page out. Text that a wrapper holds itself belongs together.
-WRAPPERS = frozenset("html body div section main article center".split())
+#: Elements that are left out as a whole if they are boilerplate; items and cells stay with their list or table.
+UNITS = frozenset("div section center header ul ol dl table p blockquote figure details".split())
+#: Share of links in the text of boilerplate: of a few, and of a list of LINKS or more.
+FEW_LINKED, LIST_LINKED, LINKS = 0.9, 0.5, 3
 #: A start tag of the key ends open elements of the value, up to the nearest of BOUND.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOUND = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -67,7 +70,7 @@ _TELLING = re.compile("class|id|role|hidden", re.IGNORECASE)
 
 
 class _Page:
-    """Elements (tag, parent, path, wrapper, whether it is no article, what its name says) and text nodes (element, block, text) of a page.
+    """Elements (tag, parent, path, whether it is no article, what its name says) and text nodes (element, block, text, punctuation) of a page.
 
     A path is a number: that of (the parent's path, tag and name). Open elements are also listed by tag, so what an
     end tag closes is found without a walk through all that is open.
@@ -75,7 +78,7 @@ class _Page:
 
     def __init__(self, html: str):
         self.tags, self.parents, self.paths, self.out, self.named = ["#root"], [-1], [0], [False], [0]
-        self.wrappers, self.holders, self.headed, self.cells = [0], [0], [False], set()
+        self.holders, self.headed, self.linked = [0], [False], [False]
         self.numbers: dict[tuple[int, str], int] = {}
         self.open, self.by_tag, self.nodes, self.block = [0], {}, [], 0
         at, last = 0, html.rfind(">") + 1  # beyond it no tag ends
@@ -118,13 +121,11 @@ class _Page:
         self.tags.append(tag)
         self.parents.append(top)
         self.out.append(out)
-        self.named.append((2 if _WHOLLY.search(hints) else 1) if says else 0)
+        self.named.append(2 if tag == "form" else (2 if _WHOLLY.search(hints) else 1) if says else 0)
         self.paths.append(self.numbers.setdefault((self.paths[top], label), len(self.numbers) + 1))
-        self.wrappers.append(element if tag in WRAPPERS else self.wrappers[top])
         self.holders.append(self.holders[top] if tag in INLINE else element)
         self.headed.append(self.headed[top] or tag in HEADINGS)
-        if tag in ENDS_P and self.by_tag.get("td"):
-            self.cells.add(self.open[self.by_tag["td"][-1]])
+        self.linked.append(self.linked[top] or tag == "a")
         self.by_tag.setdefault(tag, []).append(len(self.open))
         self.open.append(element)
 
@@ -136,7 +137,8 @@ class _Page:
 
     def _text(self, text: str) -> None:
         if not self.out[self.open[-1]]:
-            self.nodes.append((self.open[-1], self.block, unescape(text) if "&" in text else text))
+            text = unescape(text) if "&" in text else text
+            self.nodes.append((self.open[-1], self.block, text, len(_PUNCTUATION.findall(text))))
 
     def _end(self, tags, bound):
         """Closes the innermost open element of tags, unless one of bound is within it."""
@@ -151,58 +153,60 @@ class _Page:
         """The path of the block around e: inline elements don't count."""
         return self.paths[self.holders[e]]
 
-    def wrapper(self, e: int) -> int:
-        """The element that lays out the blocks around e: a cell of a table only if it holds blocks of its own."""
-        cell = e
-        while self.cells and cell != self.wrappers[e]:
-            if cell in self.cells:
-                return cell
-            cell = self.parents[cell]
-        return self.wrappers[e]
 
-
-def _smooth(x: np.ndarray) -> np.ndarray:
-    return np.convolve(np.pad(x, 1, mode="edge"), KERNEL, mode="valid")
-
-
-def _content(page: _Page, nodes: list[tuple[int, int, str]]) -> np.ndarray:
+def _content(page: _Page, nodes: list[tuple[int, int, str, int]]) -> list[bool]:
     """Which nodes are content, by the tag paths of their blocks: length and punctuation per block of a path, each smoothed over the
     page's blocks in order, fused by their product, averaged over the path's blocks and compared with a share of the root mean square."""
-    _, block = np.unique([k for _, k, _ in nodes], return_inverse=True)
-    place = np.unique(block, return_index=True)[1]
-    _, path = np.unique([page.path(nodes[k][0]) for k in place.tolist()], return_inverse=True)
-    n = np.bincount(path)
-    each = lambda values: (np.bincount(path, np.bincount(block, values)) / n)[path]
-    length, marks = each([len(t) for _, _, t in nodes]), each([len(_PUNCTUATION.findall(t)) for _, _, t in nodes])
-    score = np.bincount(path, _smooth(length) * (1 + _smooth(marks))) / n
-    return (score[path] >= LAMBDA * np.sqrt(np.mean(score[path] ** 2)))[block]
-
-
-def _weights(page: _Page, values: dict[int, float]) -> np.ndarray:
-    """The sums of the elements' values over their subtrees."""
-    sums = np.zeros(len(page.tags))
-    for e, x in values.items():
-        sums[e] = x
-    for e in range(len(page.tags) - 1, 0, -1):  # parents come before their children
-        sums[page.parents[e]] += sums[e]
-    return sums
+    block, last, path, length, marks = [], None, [], [], []
+    for e, k, text, n in nodes:
+        if k != last:
+            last = k
+            path.append(page.path(e))
+            length.append(0)
+            marks.append(0)
+        block.append(len(path) - 1)
+        length[-1] += len(text)
+        marks[-1] += n
+    sums: dict[int, list[float]] = {}
+    for p, x, y in zip(path, length, marks, strict=True):
+        s = sums.setdefault(p, [0, 0, 0, 0])
+        s[0] += 1
+        s[1] += x
+        s[2] += y
+    each = [(s[1] / s[0], s[2] / s[0]) for s in map(sums.get, path)]
+    before, (near, here, far) = [each[0], *each[:-1]], KERNEL
+    for p, a, b, c in zip(path, before, each, [*each[1:], each[-1]], strict=True):
+        sums[p][3] += (near * a[0] + here * b[0] + far * c[0]) * (1 + near * a[1] + here * b[1] + far * c[1])
+    score = {p: s[3] / s[0] for p, s in sums.items()}
+    least = LAMBDA * (sum(score[p] ** 2 for p in path) / len(path)) ** 0.5
+    told = [score[p] >= least for p in path]
+    return [told[k] for k in block]
+
+
+def _below(page: _Page, values: list[float]) -> list[float]:
+    """The sums of the elements' values over their subtrees, in place."""
+    parents = page.parents
+    for e in range(len(values) - 1, 0, -1):  # parents come before their children
+        values[parents[e]] += values[e]
+    return values
 
 
 def _drop_named(page: _Page) -> None:
-    """Marks elements as no article by their names: first names of listed words only, then those that contain one."""
+    """Marks elements as no article by their names: first names of listed words only and forms, then those that contain a word."""
     for level in (2, 1):
         if level not in page.named:
             continue
         nodes = [x for x in page.nodes if not page.out[x[0]] and not x[2].isspace()]
         if not nodes:
             return
-        values: dict[int, float] = {}
-        for (e, _, text), content in zip(nodes, _content(page, nodes), strict=True):
-            values[e] = values.get(e, 0) + len(text) * content
-        weight = _weights(page, values)
+        weight, marks = [0.0] * len(page.tags), [0] * len(page.tags)
+        for (e, _, text, n), content in zip(nodes, _content(page, nodes), strict=True):
+            weight[e] += len(text) * bool(content)
+            marks[e] += n
+        weight, marks = _below(page, weight), _below(page, marks) if "form" in page.tags else marks
         below = [False] * len(page.tags)  # a name of listed words only
         for e in range(1, len(page.tags)):
-            below[e] = below[page.parents[e]] or page.named[e] == 2
+            below[e] = below[page.parents[e]] or (page.named[e] == 2 and page.tags[e] != "form")
         articles = [e for e, tag in enumerate(page.tags) if tag in ("article", "main") and not page.out[e] and weight[e]]
         best = max(articles, key=lambda e: (not below[e], weight[e]), default=0)
         holders, e = set(), best
@@ -213,30 +217,16 @@ def _drop_named(page: _Page) -> None:
         for e in range(1, len(page.tags)):
             top = page.parents[e]
             inside[e] = inside[top] or e == best
-            share = FAIR if level == 1 and (inside[e] or not best) else HOLD
-            whole = weight[best] if inside[e] else weight[0]
-            page.out[e] = page.out[e] or page.out[top] or (page.named[e] == level and e not in holders and not weight[e] >= share * max(whole, 1))
+            if page.named[e] == level and e not in holders and not page.out[top]:
+                share = FAIR if level == 1 and (inside[e] or not best) else HOLD
+                whole = weight[best] if inside[e] else weight[0]
+                controls = page.tags[e] == "form" and not marks[e]
+                page.out[e] = page.out[e] or controls or not weight[e] >= share * max(whole, 1)
+            page.out[e] = page.out[e] or page.out[top]
 
 
-def main_text(html: str | None) -> str:
-    """The article's blocks in page order, joined by one space."""
-    if not html:
-        return ""
-    page = _Page(html)
-    _drop_named(page)
-    page.nodes = [x for x in page.nodes if not page.out[x[0]]]
-    nodes = [x for x in page.nodes if not x[2].isspace()]
-    if not nodes:
-        return ""
-    contents, texts, told, owners, told_paths = {}, {}, set(), set(), set()
-    for (e, block, text), content in zip(nodes, _content(page, nodes), strict=True):
-        contents[e] = contents.get(e, 0) + len(text) * content
-        if content:
-            told.add(block)
-            owners.add(page.wrapper(e))
-            told_paths.add(page.path(e))
-        texts[e] = texts.get(e, 0) + len(text) * (not page.headed[e])
-    weight, plain = _weights(page, contents), _weights(page, texts)
+def _container(page: _Page, weight: list[float], plain: list[float]) -> tuple[int, set[int]]:
+    """The smallest element that holds nearly all of the content, and what stands beside it with content of its own."""
     children: dict[int, list[int]] = {}
     for e in range(1, len(page.tags)):
         children.setdefault(page.parents[e], []).append(e)
@@ -247,17 +237,61 @@ def main_text(html: str | None) -> str:
             break
         beside.update(c for c in children[at] if c != down and weight[c] and page.tags[c] not in INLINE)
         at = down
-    if page.tags[at] in ("article", "main"):
-        beside, told = set(), set()
+    return at, set() if page.tags[at] in ("article", "main") else beside
+
+
+def main_text(html: str | None) -> str:
+    """The article's blocks in page order, joined by one space."""
+    if not html:
+        return ""
+    page = _Page(html)
+    _drop_named(page)
+    page.nodes = [x for x in page.nodes if not page.out[x[0]]]
+    nodes = [x for x in page.nodes if not x[2].isspace()]
+    content = list(map(bool, _content(page, nodes))) if nodes else []
+    if not any(content):
+        return ""
+    n = len(page.tags)
+    weight, plain, total, linked, marks = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
+    first, told = [len(nodes)] * n, set()
+    for k, ((e, block, text, m), c) in enumerate(zip(nodes, content, strict=True)):
+        size = len(text)
+        total[e] += size
+        marks[e] += m
+        first[e] = min(first[e], k)
+        if c:
+            weight[e] += size
+            told.add(block)
+        if not page.headed[e]:
+            plain[e] += size
+            linked[e] += size * page.linked[e]
+    for values in (weight, plain, total, linked, marks):
+        _below(page, values)
+    at, beside = _container(page, weight, plain)
     inside = {at} | beside
-    for e in range(1, len(page.tags)):
+    for e in range(1, n):
         if page.parents[e] in inside:
             inside.add(e)
-    # Within the container: what the ratios have chosen, and what its wrapper holds beside that.
-    chosen = lambda e: page.path(e) in told_paths or page.wrapper(e) in owners
+    links = _below(page, [int(t == "a" and total[e] > 0) for e, t in enumerate(page.tags)]) if linked[0] else []
+    for e in range(n - 1, 0, -1):
+        first[page.parents[e]] = min(first[page.parents[e]], first[e])
+    head = next((k for k, x in enumerate(nodes) if x[0] in inside and page.headed[x[0]]), len(nodes))
+    body = next((k for k in range(head + 1, len(nodes)) if content[k] and not page.headed[nodes[k][0]]), 0)
+
+    def boilerplate(e: int) -> bool:
+        if weight[e] or marks[e] or not linked[e] or page.tags[e] not in UNITS:
+            return False
+        signed = head < first[e] < body and links[e] < LINKS
+        return not signed and linked[e] >= (LIST_LINKED if links[e] >= LINKS else FEW_LINKED) * total[e]
+
+    dropped: set[int] = set()
+    if linked[0]:
+        for e in sorted(inside - {at}):
+            if page.parents[e] in dropped or boilerplate(e):
+                dropped.add(e)
     blocks: dict[int, list[str]] = {}
-    for e, block, text in page.nodes:
-        if (e in inside and chosen(e)) or block in told:
+    for e, block, text, _ in page.nodes:
+        if (e in inside and e not in dropped) or (block in told and page.tags[at] not in ("article", "main")):
             blocks.setdefault(block, []).append(text)
     return " ".join(t for x in blocks.values() if (t := " ".join("".join(x).split())))
 

@@ -79,3 +79,34 @@ def test_long_and_deep_pages(page, want):
     began = time.perf_counter()
     assert html_text.main_text(page) == want
     assert time.perf_counter() - began < 20
+
+
+#: Short blocks, headings, headers and lists of an article stay; only subtrees of links without content go.
+WHOLE = {
+    "correction": (f"<article><h1>T</h1>{STORY}<section><h2>Correction</h2><p>It was June.</p></section></article>", f"T {TEXT} Correction It was June."),
+    "byline": (f"<article><header><h1>HeadX</h1><div><p>By WriterY</p></div></header><div class=body>{STORY}</div></article>", f"HeadX By WriterY {TEXT}"),
+    "headline": (f"<main><div><h1>HeadX</h1></div><div>{STORY}</div></main>", f"HeadX {TEXT}"),
+    "linked headline": (f"<article><div><h1><a href=p>HeadX</a></h1></div>{STORY}</article>", f"HeadX {TEXT}"),
+    "linked author": (f"<article><h1>H</h1><div><a href=w>Writer Y</a></div><div>{STORY}</div></article>", f"H Writer Y {TEXT}"),
+    "author before": (f"<article><h1>H</h1><div>By <a href=w>Writer Y</a></div><div>{STORY}</div><div>Filed in <a href=t>Town</a></div></article>", f"H By Writer Y {TEXT} Filed in Town"),
+    "date": (f"<article><h1>H</h1><time>1 June</time><section>{STORY}</section><div>Updated 2 June</div></article>", f"H 1 June {TEXT} Updated 2 June"),
+    "figure": (f"<article>{STORY}<figure><img src=x><figcaption>A bridge</figcaption></figure></article>", f"{TEXT} A bridge"),
+    "list": (f"<article>{STORY}<div><ul><li>one</li><li><a href=x>two</a></li><li>three</li></ul></div></article>", f"{TEXT} one two three"),
+    "table": (f"<main>{STORY}<table><tr><th>Year<th>Rain<tr><td>1<td>2</table></main>", f"{TEXT} Year Rain 1 2"),
+    "quote": (f"<article>{STORY}<blockquote>So it goes</blockquote><div>Someone</div></article>", f"{TEXT} So it goes Someone"),
+    "sections": (f"<main><section><h2>A</h2>{STORY}</section><section><h2>B</h2><p>Short</p></section></main>", f"A {TEXT} B Short"),
+    "code": (f"<article>{STORY}<pre>x = 1</pre><div>Done</div></article>", f"{TEXT} x = 1 Done"),
+    "one form": (f"<body><form action=x><input type=hidden><div><h1>H</h1>{STORY}</div></form></body>", f"H {TEXT}"),
+    "form of controls": (f"<body><div>{STORY}</div><form><label>Name</label><input><select><option>a</select></form></body>", TEXT),
+    "related": (f"<article>{STORY}<section><h3>More</h3><ul>{LINKS}</ul></section></article>", TEXT),
+    "tags": (f"<article><h1>H</h1>{STORY}<div><a href=a>one</a> <a href=b>two</a> <a href=c>three</a></div></article>", f"H {TEXT}"),
+    "shares": (f"<article><h1>H</h1><div><a href=a>Post</a><a href=b>Send</a><a href=c>Pin</a></div><div>{STORY}</div></article>", f"H {TEXT}"),
+    "links of content": (f"<article>{STORY}<p>See <a href=x>the report</a></p><p><a href=y>The whole report</a></p></article>", f"{TEXT} See the report The whole report"),
+}
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_the_whole_article(name):
+    page, want = WHOLE[name]
+    assert html_text.main_text(page) == want
+    assert html_text.main_text(f"<body><nav><ul>{LINKS}</ul></nav>{page}<footer>End</footer></body>") == want
