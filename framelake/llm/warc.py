@@ -3,13 +3,14 @@
 Writing: a page whose payload another page with a larger page_id has too becomes a revisit record, every other
 page a response record. A response is an HTTP message with chunked framing; a message longer than the segment
 size becomes a first record with segment number 1 and continuation records that name it as their origin, the
-last with the total length. Records are written by Spark's text writer, whose line separator is the end of a
+last with the total length. A record's id holds its page and a number that was stored with its row, so a revisit names
+the response that was written. Records are written by Spark's text writer, whose line separator is the end of a
 WARC record, a bounded number to a compressed file.
 
 Reading: whole files are parsed record by record by their content lengths. Whole messages are decoded at once;
 only the parts of segmented ones are shuffled, grouped by their origin, ordered by segment number, checked for
-gaps and against the total length, and decoded. A revisit gets its payload's length from the response it
-refers to.
+gaps and against the total length, and decoded. A revisit is resolved by the id that it refers to: the response's
+page and payload length are its own, and one that refers to no response, or to one of another digest, is an error.
 
 Defined cases: null html is an empty payload, a null url leaves out the target. Rows that repeat a page_id and
 its payload are the same page: each is written, and of equal type. A null page_id is written without a number
@@ -23,7 +24,6 @@ import base64
 import gzip
 import hashlib
 import re
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from framelake.llm._shared import Scratch, shared_path
 
 SEGMENT, CHUNK, FILE, END = 8192, 4096, 16 << 20, "\r\n\r\n"
-_PARSED = "origin string, type string, page_id long, refers_to long, digest string, number int, total long, block binary, payload binary, payload_bytes long"
+_PARSED = "origin string, type string, page_id long, refers string, digest string, number int, total long, block binary, payload binary, payload_bytes long"
 
 
 def digest(payload: bytes) -> str:
@@ -71,14 +71,18 @@ def _record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return f"WARC/1.1\r\n{head}\r\n".encode() + block
 
 
-def records(page: int | None, url: str | None, payload: bytes, payload_digest: str, refers: str | None, date: str, segment: int, chunk: int) -> Iterator[bytes]:
-    """The records of a page: one, or a first and its continuations."""
-    name = f"urn:page:{'' if page is None else page}:{uuid.uuid4().hex}"
+def record_name(page: int | None, serial: int) -> str:
+    return f"urn:page:{'' if page is None else page}:{serial}"
+
+
+def records(page: int | None, url: str | None, payload: bytes, payload_digest: str, refers: str | None, date: str, segment: int, chunk: int, serial: int = 0) -> Iterator[bytes]:
+    """The records of a page: one, or a first and its continuations. refers: the name of the response that a revisit refers to."""
+    name = record_name(page, serial)
     common = [("WARC-Date", date), *([("WARC-Target-URI", re.sub(r"\s", "%20", url))] if url else []), ("WARC-Payload-Digest", f"sha1:{payload_digest}"), ("Content-Type", "application/http; msgtype=response")]
     first = [("WARC-Record-ID", f"<{name}>"), *common]
     start = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     if refers is not None:
-        yield _record([("WARC-Type", "revisit"), *first, ("WARC-Refers-To", f"<urn:page:{refers}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")], start + b"\r\n")
+        yield _record([("WARC-Type", "revisit"), *first, ("WARC-Refers-To", f"<{refers}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")], start + b"\r\n")
         return
     block = start + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(payload, chunk)
     if len(block) <= segment:
@@ -112,10 +116,11 @@ def _hashed(pages: DataFrame) -> DataFrame:
 def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", min_revisit: int = 0, segment: int = SEGMENT, chunk: int = CHUNK, per_file: int | None = None) -> None:
     """pages: page_id, url, html. Writes the archives below path."""
     scratch = Scratch(pages.sparkSession, "warc-payloads")
-    rows = scratch.cut(_hashed(pages), "rows")
-    last = rows.where(F.col("size") >= min_revisit).groupBy("digest").agg(F.max("page").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "last")
+    rows = scratch.cut(_hashed(pages).withColumn("serial", F.monotonically_increasing_id()), "rows")
+    last = rows.where(F.col("size") >= min_revisit).groupBy("digest").agg(F.max(F.struct("page", "serial")).alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "last")
     # Only groups of two or more meet here; the many copies of a group are on the side that AQE splits.
-    known = rows.join(last, "digest", "left").select("page", "url", "digest", "packed", F.when(~F.col("page").eqNullSafe(F.col("last")), F.col("last")).cast("string").alias("refers"))
+    other = F.col("last").isNotNull() & ~F.col("page").eqNullSafe(F.col("last.page"))
+    known = rows.join(last, "digest", "left").select("page", "serial", "url", "digest", "packed", F.when(other, F.col("last.page")).alias("last_page"), F.when(other, F.col("last.serial")).alias("last_serial"))
 
     def run(batches):
         import zstandard
@@ -123,8 +128,9 @@ def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z",
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out, size = [], 0
-            for page, url, name, packed, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for r in records(page, url, unpack(packed), name, refers, date, segment, chunk):
+            for page, serial, url, said, packed, last_page, last_serial in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                refers = None if last_serial is None else record_name(last_page, last_serial)
+                for r in records(page, url, unpack(packed), said, refers, date, segment, chunk, serial):
                     out.append(r)
                     size += len(r)
                     if size > FILE:
@@ -166,7 +172,7 @@ def _page(name: str | None) -> int | None:
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """page_id, record_type, refers_to, payload_digest, payload_bytes, payload: a row per record, segments joined.
 
-    A missing or repeated segment, a wrong total length, bad framing or a wrong digest is an error.
+    A missing or repeated segment, a wrong total length, bad framing, a wrong digest or a revisit of no response is an error.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
 
@@ -184,7 +190,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
                     said = fields.get("warc-payload-digest", "").removeprefix("sha1:")
                     if whole is not None and said != digest(whole):
                         raise ValueError(f"the payload of {own} has another digest")
-                    out.append((origin or own, kind, _page(own), _page(_name(fields.get("warc-refers-to"))), said, number, int(total) if total else None, block if number else None, whole if with_payload else None, None if whole is None else len(whole)))
+                    out.append((origin or own, kind, _page(own), _name(fields.get("warc-refers-to")), said, number, int(total) if total else None, block if number else None, whole if with_payload else None, None if whole is None else len(whole)))
                 for at in range(0, len(out), 512):
                     yield _batch(_PARSED, list(zip(*out[at : at + 512], strict=True)))
 
@@ -195,7 +201,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
         F.max(F.when(first, F.col("type"))).alias("type"), F.max(F.when(first, F.col("page_id"))).alias("page_id"), F.max("digest").alias("digest"),
         F.sort_array(F.collect_list(F.struct("number", "block"))).alias("parts"), F.max("total").alias("total"),
     )
-    schema = "page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
+    schema = "name string, page_id long, payload_digest string, payload_bytes long, payload binary"
 
     def assemble(batches):
         for batch in batches:
@@ -207,14 +213,20 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
                 payload = payload_of(message)
                 if r["digest"] != digest(payload):
                     raise ValueError(f"the payload of {r['origin']} has another digest")
-                yield _batch(schema, [(x,) for x in (r["page_id"], r["type"], None, r["digest"], len(payload), payload if with_payload else None)])
+                yield _batch(schema, [(x,) for x in (r["origin"], r["page_id"], r["digest"], len(payload), payload if with_payload else None)])
 
     whole = parsed.where("number = 0")
-    plain = whole.where("type = 'response'").select("page_id", F.col("type").alias("record_type"), "refers_to", F.col("digest").alias("payload_digest"), "payload_bytes", "payload")
+    plain = whole.where("type = 'response'").select(F.col("origin").alias("name"), "page_id", F.col("digest").alias("payload_digest"), "payload_bytes", "payload")
     responses = scratch.cut(plain.unionByName(joined.mapInArrow(assemble, schema)), "responses")
-    answered = responses.groupBy("payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"))
-    revisits = whole.where("type = 'revisit'").select("page_id", F.col("type").alias("record_type"), "refers_to", F.col("digest").alias("payload_digest")).join(answered, "payload_digest", "left")
-    return responses.unionByName(revisits.withColumn("payload", F.lit(None).cast("binary")))
+    repeats = scratch.cut(whole.where("type = 'revisit'").select("page_id", "refers", F.col("digest").alias("payload_digest")), "revisits")
+    scratch.drop("parsed")
+    known = responses.select(F.col("name").alias("refers"), F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("held"), "payload_bytes")
+    revisits = repeats.join(known, "refers", "left")
+    wrong = F.raise_error(F.concat(F.lit("no response of the same digest is named "), F.coalesce("refers", F.lit("by a revisit"))))
+    length = F.when(F.col("held") == F.col("payload_digest"), F.col("payload_bytes")).otherwise(wrong.cast("long"))
+    columns = ["page_id", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"]
+    told = revisits.select("page_id", F.lit("revisit").alias("record_type"), "refers_to", "payload_digest", length.alias("payload_bytes"), F.lit(None).cast("binary").alias("payload"))
+    return responses.select(F.col("page_id"), F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), "payload_digest", "payload_bytes", "payload").unionByName(told.select(*columns))
 
 
 def _batch(schema: str, columns: list[tuple]) -> pa.RecordBatch:

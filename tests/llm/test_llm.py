@@ -523,6 +523,23 @@ def test_most_pages_are_segmented(spark, data):
     assert max(len(gzip.decompress(r.content)) for r in spark.read.format("binaryFile").load(path + "-big").select("content").collect()) < 20 << 20
 
 
+def test_revisits_name_records(spark, data, tmp_path):
+    """Each WARC-Refers-To is the id of a response with the same digest; a dangling one is an error."""
+    path, pages = shared_path(spark, "warc"), spark.read.parquet(f"{data}/sf0.001/pages.parquet")
+    copies = [(7_000 + k, "u", "copied") for k in range(5)] + [(7_004, "v", "copied"), (None, None, "nobody"), (None, None, "nobody")]
+    warc.write_warc(pages.unionByName(spark.createDataFrame(copies, pages.schema)), path)
+    found = [fields for f in spark.read.format("binaryFile").load(path).select("content").collect() for fields, _ in warc.parse(f.content)]
+    names = [f["warc-record-id"] for f in found]
+    assert len(names) == len(set(names))
+    held = {f["warc-record-id"]: f["warc-payload-digest"] for f in found if f["warc-type"] == "response"}
+    revisits = [f for f in found if f["warc-type"] == "revisit"]
+    assert len(revisits) >= 4 and all(held[f["warc-refers-to"]] == f["warc-payload-digest"] for f in revisits)
+    out = [*warc.records(1, "u", b"x", warc.digest(b"x"), None, "d", 300, 100), *warc.records(2, "u", b"x", warc.digest(b"x"), "urn:page:9:0", "d", 300, 100)]
+    (tmp_path / "a.warc").write_bytes(b"".join(r + b"\r\n\r\n" for r in out))
+    with pytest.raises(Exception, match="no response of the same digest"):
+        warc.read_warc(spark, str(tmp_path)).collect()
+
+
 def test_small_payloads_are_all_responses(spark):
     df = spark.createDataFrame([(1, "u", "aa"), (2, "u", "aa"), (3, "u", "aaaa"), (4, "u", "aaaa")], "page_id long, url string, html string")
     assert [tuple(r)[3:] for r in warc.round_trip(df, min_revisit=3).orderBy("page_id").collect()] == [("response", None), ("response", None), ("revisit", 4), ("response", None)]
