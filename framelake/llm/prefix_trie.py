@@ -37,16 +37,20 @@ HASHES, LEAST_CELLS, MOST_CELLS, PIECE = 3, 1 << 16, 1 << 25, 1 << 16
 CHUNK = 1024
 
 
-def rebuilt(rows: DataFrame, shared: int = 20, heads: int = 4) -> DataFrame:
-    """conv, depth, t1, t2 (hashes of the turn), words: conversation c begins with the first h turns of conversation c - c % shared and goes on
-    with its own after its first h, h = crc32(c) % heads. Depth 0 stands for the conversation itself."""
+def numbered_turns(rows: DataFrame) -> DataFrame:
+    """conv, place (from 1), t1, t2 (hashes of role and text), words of each turn: all that is needed of the texts."""
     role, text = F.coalesce(F.col("role"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))
     slim = rows.where("conv_id IS NOT NULL").select(
         F.col("conv_id").cast("long").alias("conv"), "turn", F.xxhash64(F.lit(1), role, text).alias("t1"), F.xxhash64(F.lit(2), role, text).alias("t2"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("words"),
     )
     order = Window.partitionBy("conv").orderBy(F.col("turn").asc_nulls_first(), "t1", "t2")
-    numbered = slim.withColumn("place", F.row_number().over(order)).drop("turn")
+    return slim.withColumn("place", F.row_number().over(order)).drop("turn")
+
+
+def rebuilt(numbered: DataFrame, shared: int = 20, heads: int = 4) -> DataFrame:
+    """numbered: numbered_turns(). conv, depth, t1, t2, words: conversation c begins with the first h turns of conversation c - c % shared and goes on
+    with its own after its first h, h = crc32(c) % heads. Depth 0 stands for the conversation itself."""
     base, taken = F.col("conv") - F.col("conv") % shared, (F.crc32(F.col("conv").cast("string")) % heads).cast("int")
     own = numbered.where((base == F.col("conv")) | (F.col("place") > taken)).select("conv", F.lit(1).alias("source"), "place", "t1", "t2", "words")
     convs = numbered.where("place = 1").select("conv", base.alias("base"), taken.alias("taken"))
@@ -170,8 +174,8 @@ def prefix_trie(rows: DataFrame, shared: int = 20, heads: int = 4, most_cells: i
     rows: conv_id, turn, role, text. Conversations are rebuilt first, see rebuilt().
     """
     scratch, key, zero = Scratch(rows.sparkSession, "trie"), ["depth", "d1", "d2"], F.lit(0).cast("long")
-    turns = scratch.cut(rebuilt(rows, shared, heads), "turns")
-    every = scratch.cut(prefixes(turns), "prefixes")
+    turns = scratch.cut(numbered_turns(rows), "turns")
+    every = scratch.cut(prefixes(rebuilt(turns, shared, heads)), "prefixes")
     scratch.drop("turns")
     n = every.count()
     cells = min(max(1 << (4 * n).bit_length(), LEAST_CELLS), max(most_cells, LEAST_CELLS))
