@@ -4,14 +4,16 @@ A window is `width` consecutive words. A word is removed if a window that covers
 with a smaller doc_id. Windows reach their shard by their minimizer, the least hash among the word groups in the
 window, so equal windows always meet:
 
-1. Every row gives its distinct minimizers, written once. Those of one row only can't belong to a repeated
-   window; they are counted with partial aggregation and dropped by a join that AQE may split.
-2. Runs of windows with the same minimizer become segments (the words of the run). Minimizers that very many
-   rows have give a segment for each window, dealt out by the window's own hash. Equal segments of a batch are one,
-   with references to the rows that hold it: a piece is what a batch has for one shard.
-3. Each shard (a bounded number of minimizer hits) becomes an FM-index, written once and kept: the suffixes of its
+1. Every row gives its distinct minimizers with their windows and runs, written once. Those of one row only can't belong
+   to a repeated window; they are counted with partial aggregation and dropped by a join that AQE may split.
+2. Runs of windows with the same minimizer become segments (the words of the run). Minimizers that stand for more words
+   than a quarter of a shard, be it by many rows or by rows that repeat a template, give a segment for each window,
+   dealt out by the window's own hash. Equal segments of a batch are one, with references to the rows that hold it: a piece is
+   what a batch has for one shard. The number of shards follows from all these words, so a shard's are bounded.
+3. Each shard becomes an FM-index, written once and removed when all pieces have passed it: the suffixes of its
    distinct segments are sorted by `width` words, their Burrows-Wheeler transform is stored as a wavelet matrix of
-   packed bits, with the lengths that neighbours share and the least document of each repeated window.
+   packed bits, with the lengths that neighbours share and the least document of each repeated window. Intervals
+   are widened by packed bits for each length, with the nearest words of them that hold any.
 4. The pieces are streamed against their shard's index. Backward search computes matching statistics from the
    right: a match grows by one word to the left; where it can't, it's shortened on the right to the interval that
    encloses it, and goes on. Places whose match has `width` words are reported with the interval's least document.
@@ -43,8 +45,8 @@ from pyspark.sql import types as T
 from framelake.llm._shared import Scratch
 
 WIDTH, GROUP = 13, 5
-#: Rows beyond which a minimizer's windows are dealt out one by one, minimizer hits of a shard (each gives some 17 words, before equal segments become one), windows of a segment, bytes worked on at once, tasks over all shards (beyond that, a task takes its shards one after another).
-HOT, SHARD, RUN, BYTES, TASKS = 20_000, 15_000, 64, 1 << 20, 20_000
+#: Words of a shard (before equal segments become one); words of a minimizer beyond which its windows are dealt out one by one; windows of a segment, bytes worked on at once, segments of a piece's batch, tasks over all shards (beyond that, a task takes its shards one after another).
+SHARD, HOT, RUN, BYTES, PIECES_HELD, TASKS = 250_000, 60_000, 64, 1 << 20, 100_000, 20_000
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _SPACE = np.zeros(256, bool)
@@ -146,7 +148,7 @@ def _runs(of: np.ndarray, at: np.ndarray, least: np.ndarray) -> tuple[np.ndarray
 
 
 def minimizers(rows: DataFrame, width: int, group: int) -> DataFrame:
-    """rows: row, text. h, row for the distinct minimizers of each row."""
+    """rows: row, text. h, row, windows, runs for the distinct minimizers of each row."""
 
     def run(batches):
         for batch in batches:
@@ -155,14 +157,15 @@ def minimizers(rows: DataFrame, width: int, group: int) -> DataFrame:
                 at, least = words.windows(width, group)
                 if not len(at):
                     continue
-                first, _ = _runs(words.of, at, least)
+                first, end = _runs(words.of, at, least)
                 owner, h = words.of[at[first]], least[first]
                 order = np.lexsort((h, owner))
-                owner, h = owner[order], h[order]
-                new = np.append(True, (owner[1:] != owner[:-1]) | (h[1:] != h[:-1]))
-                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), batch.column(0).take(pa.array(owner[new] + k))], names=["h", "row"])
+                owner, h, size = owner[order], h[order], (end - first)[order]
+                new = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])))
+                windows, runs = np.add.reduceat(size, new), np.diff(np.append(new, len(h)))
+                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), batch.column(0).take(pa.array(owner[new] + k)), pa.array(windows), pa.array(runs)], names=["h", "row", "windows", "runs"])
 
-    return rows.mapInArrow(run, "h long, row long")
+    return rows.mapInArrow(run, "h long, row long, windows long, runs long")
 
 
 def _pack(data: bytes) -> bytes:
@@ -272,6 +275,9 @@ def pieces(rows: DataFrame, width: int, group: int, shards: int) -> DataFrame:
                     for x, n in [(s + j, 1) for j in range(b - a)] if split else [(s, b - a)]:
                         text = b" ".join(data[starts[x] : ends[x + n + width - 2]].split())
                         found.add(text, _own_key(text) if split else int(least[a]), ids[who + k], row[who + k], x - base[who])
+                if len(found.known) > PIECES_HELD:
+                    yield found.batch()
+                    found = _Pieces(shards)
             if found.known:
                 yield found.batch()
 
@@ -317,6 +323,50 @@ class WaveletMatrix:
         return places
 
 
+class Edges:
+    """Where neighbouring suffixes share less than d symbols, as packed bits for each d; the nearest such places on either side."""
+
+    def __init__(self, shared: np.ndarray, width: int):
+        """shared: of each place and the one before; 0 at both ends, which are edges of every length."""
+        n = len(shared)
+        edge = np.where((np.arange(n) == 0) | (np.arange(n) == n - 1), -1, shared).astype(np.int8)
+        self.bits = np.zeros((width + 1, n // 64 + 1), np.uint64)
+        for d in range(1, width + 1):
+            some = np.packbits(edge < d, bitorder="little")
+            self.bits[d].view(np.uint8)[: len(some)] = some
+        place, any_ = np.arange(self.bits.shape[1], dtype=np.int32), self.bits != 0
+        last = np.maximum.accumulate(np.where(any_, place, -1), axis=1)
+        self.before = np.concatenate([np.full((width + 1, 1), -1, np.int32), last[:, :-1]], axis=1)
+        following = np.minimum.accumulate(np.where(any_, place, len(place))[:, ::-1], axis=1)[:, ::-1]
+        self.after = np.concatenate([following[:, 1:], np.full((width + 1, 1), len(place), np.int32)], axis=1)
+        self.counts = np.append(0, np.cumsum(np.bitwise_count(self.bits[width]), dtype=np.int64))
+        self.width = width
+
+    def left(self, d: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The last edge of length d (1 or more) at or before place."""
+        word = place >> 6
+        x = self.bits[d, word] & (_BELOW[place & 63] | (np.uint64(1) << (place & 63).astype(np.uint64)))
+        none = np.flatnonzero(x == 0)
+        word[none] = self.before[d[none], word[none]]
+        x[none] = self.bits[d[none], word[none]]
+        for k in (1, 2, 4, 8, 16, 32):  # all bits up to the highest
+            x = x | (x >> np.uint64(k))
+        return word * 64 + np.bitwise_count(x) - 1
+
+    def right(self, d: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The first edge of length d (1 or more) at or behind place."""
+        word = place >> 6
+        x = self.bits[d, word] & ~_BELOW[place & 63]
+        none = np.flatnonzero(x == 0)
+        word[none] = self.after[d[none], word[none]]
+        x[none] = self.bits[d[none], word[none]]
+        return word * 64 + np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1))
+
+    def rank(self, place: np.ndarray) -> np.ndarray:
+        """Edges of the full width before place."""
+        return self.counts[place >> 6] + np.bitwise_count(self.bits[self.width, place >> 6] & _BELOW[place & 63])
+
+
 class FMIndex:
     """Backward search over texts of numbers above 0 and matching statistics up to `width`, with the least owner of each window's places."""
 
@@ -326,10 +376,7 @@ class FMIndex:
         symbols = np.arange(len(first) - 1)
         # rank() counts from the place to which the start of the sequence is mapped.
         self.shift = first[:-1] - tree.rank(symbols, np.zeros(len(symbols), np.int64))
-        edge = shared.copy()
-        edge[[0, -1]] = -1
-        self.edges = np.concatenate([np.flatnonzero(edge < d) + d * (self.n + 1) for d in range(1, width + 1)])
-        self.blocks = np.flatnonzero(edge < width)
+        self.edges = Edges(shared, width)
 
     @classmethod
     def build(cls, text: np.ndarray, owners: np.ndarray, width: int) -> FMIndex:
@@ -375,11 +422,8 @@ class FMIndex:
 
     def enclosing(self, low: np.ndarray, high: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of the first `length` symbols of the patterns with these intervals."""
-        base = length * (self.n + 1)
-        some = length > 0
-        left = np.searchsorted(self.edges, base + low, side="right") - 1
-        right = np.minimum(np.searchsorted(self.edges, base + high), len(self.edges) - 1)
-        return np.where(some, self.edges[left] - base, 0), np.where(some, self.edges[right] - base, self.n)
+        some, length = length > 0, np.maximum(length, 1)
+        return np.where(some, self.edges.left(length, low), 0), np.where(some, self.edges.right(length, high), self.n)
 
     def matching_statistics(self, text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each place of the parts of text from begin to end: symbols (up to `width`) from there on that the index holds in a row, and where the interval of this match starts.
@@ -416,7 +460,7 @@ class FMIndex:
 
     def least_owner(self, start: np.ndarray) -> np.ndarray:
         """Of matches of `width` symbols, by where their intervals start."""
-        return self.least[np.searchsorted(self.blocks, start, side="right") - 1]
+        return self.least[self.edges.rank(start)]
 
 
 def _numbered(parts: Iterable[bytes], number) -> tuple[np.ndarray, np.ndarray]:
@@ -528,10 +572,13 @@ def reports(found: DataFrame, answers: DataFrame, width: int) -> DataFrame:
     return both.select("piece", "named", "sizes", "docs", "of", "doc", "row", "start").mapInArrow(run, "doc_id long, row long, first int, end int")
 
 
-def shared_minimizers(least: DataFrame, hot: int) -> DataFrame:
-    """least: minimizers(). row, hits (h and whether very many rows have it) of the minimizers of two rows or more."""
-    shared = least.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", (F.col("n") > hot).alias("hot"))
-    return least.join(shared, "h").groupBy("row").agg(F.collect_list(F.struct("h", "hot")).alias("hits"))
+def shared_minimizers(least: DataFrame, width: int, hot: int) -> DataFrame:
+    """least: minimizers(). row, hits (h and whether it stands for more than `hot` words) of the minimizers of two rows or more, words that the row's segments get."""
+    words = lambda windows, runs: F.col(windows) + (width - 1) * F.col(runs)
+    sums = least.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum("windows").alias("all_windows"), F.sum("runs").alias("all_runs"))
+    shared = sums.where("n > 1").select("h", (words("all_windows", "all_runs") > hot).alias("hot"))
+    own = F.when(F.col("hot"), width * F.col("windows")).otherwise(words("windows", "runs"))
+    return least.join(shared, "h").groupBy("row").agg(F.collect_list(F.struct("h", "hot")).alias("hits"), F.sum(own).alias("words"))
 
 
 def covered_words(docs: DataFrame, width: int = WIDTH, group: int = GROUP, hot: int = HOT, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -540,9 +587,9 @@ def covered_words(docs: DataFrame, width: int = WIDTH, group: int = GROUP, hot:
     rows = docs.where(doc.isNotNull()).select(doc.alias("doc"), F.xxhash64(doc, text_col).alias("row"), F.col(text_col).alias("text"))
     scratch = Scratch(docs.sparkSession, "substrings")
     least = scratch.cut(minimizers(rows.select("row", "text"), width, group), "minimizers")
-    hits = scratch.cut(shared_minimizers(least, hot), "hits")
+    hits = scratch.cut(shared_minimizers(least, width, hot), "hits")
     scratch.drop("minimizers")
-    shards = -(-(hits.agg(F.sum(F.size("hits"))).first()[0] or 1) // shard)
+    shards = -(-(hits.agg(F.sum("words")).first()[0] or 1) // shard)
     chosen = packed(rows, "text").join(hits, "row").select("doc", "row", "text", "hits")
     found = scratch.cut(pieces(chosen, width, group, shards).withColumn("piece", F.monotonically_increasing_id()), "pieces")
     scratch.drop("hits")
@@ -602,7 +649,7 @@ def matches(docs: DataFrame, known: DataFrame, width: int = WIDTH, group: int =
     scratch = Scratch(docs.sparkSession, "matches")
     every = F.lit(None).cast("array<struct<h: bigint, hot: boolean>>")
     rows = lambda x: x.where(doc.isNotNull()).select(doc.alias("doc"), F.xxhash64(doc, text_col).alias("row"), F.col(text_col).alias("text"))
-    shards = -(-max(known.agg(F.sum(F.size(F.split(text_col, " ")))).first()[0] or 1, 1) // (4 * shard))
+    shards = -(-max(known.agg(F.sum(F.size(F.split(text_col, " ")))).first()[0] or 1, 1) // shard)
     index = scratch.cut(build_index(pieces(packed(rows(known), "text").withColumn("hits", every), width, group, shards), width, shards), "index")
     found = scratch.cut(pieces(packed(rows(docs), "text").withColumn("hits", every), width, group, shards).withColumn("piece", F.monotonically_increasing_id()), "pieces")
     return reports(found, scratch.cut(streamed(found, index, width, shards), "answers"), width)

@@ -162,7 +162,7 @@ def test_substrings(docs, texts):
     assert sum(r[2] for r in got) > 0
 
 
-@pytest.mark.parametrize("options", [{"hot": 2}, {"shard": 15}, {"group": 3}, {"width": 5, "group": 2}])
+@pytest.mark.parametrize("options", [{"hot": 2}, {"shard": 255}, {"hot": 500, "shard": 2000}, {"group": 3}, {"width": 5, "group": 2}])
 def test_substring_options(docs, texts, options):
     out = substring_dedup.without_repeats(docs.select("doc_id", "text"), **options)
     got = sorted((tuple(r) for r in out.select("doc_id", "__n_words", "__n_removed", "__kept_sha256").collect()), key=str)
@@ -219,6 +219,44 @@ def test_matching_statistics(symbols, width):
                     assert index.least_owner(start[b + i : b + i + 1])[0] == min(held(width))
 
 
+def test_shards_are_bounded(spark):
+    """Rows of one template share their minimizers window after window: their windows are dealt out, and no shard is much larger than asked for."""
+    rows = [(k, " ".join(f"level info service gateway request r{(i + k) % 400} s{i % 7} t1 u1" for i in range(555))) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    keyed = docs.select("doc_id", F.col("doc_id").alias("row"), "text")
+    least = substring_dedup.minimizers(keyed.select("row", "text"), 13, 5).cache()
+    hits = substring_dedup.shared_minimizers(least, 13, 60_000)
+    shard = 100_000
+    shards = -(-hits.agg(F.sum("words")).first()[0] // shard)
+    chosen = substring_dedup.packed(keyed.withColumnRenamed("doc_id", "doc"), "text").join(hits, "row").select("doc", "row", "text", "hits")
+    found = substring_dedup.pieces(chosen, 13, 5, shards)
+    unpacked = found.select("shard", "words").collect()
+    held, unpack = collections.Counter(), substring_dedup._unpack
+    import pyarrow as pa
+
+    for r, words in zip(unpacked, unpack(pa.array([bytes(r["words"]) for r in unpacked], pa.binary())), strict=True):
+        held[r["shard"]] += len(words.split())
+    assert least.groupBy("h").agg(F.sum("windows").alias("n")).agg(F.max("n")).first()[0] * 13 > 5 * shard
+    assert max(held.values()) < 2 * shard
+    some = docs.where("doc_id < 12")
+    got = sorted((tuple(r) for r in substring_dedup.without_repeats(some, hot=2_000, shard=20_000).select("doc_id", "__n_words", "__n_removed", "__kept_sha256").collect()), key=str)
+    assert got == kept_by_brute_force(rows[:12])
+
+
+@pytest.mark.parametrize("n", [1, 2, 63, 64, 65, 1000])
+def test_edges(n):
+    rng = np.random.default_rng(n)
+    shared = rng.choice([0, 1, 2, 3, 4, 4, 4, 4, 4, 4, 4], n + 1) if n < 1000 else np.full(n + 1, 4)
+    shared[[0, -1]] = 0
+    edges, edge = substring_dedup.Edges(shared, 4), np.where(np.isin(np.arange(n + 1), (0, n)), -1, shared)
+    place = np.arange(n + 1)
+    for d in range(1, 5):
+        at = np.flatnonzero(edge < d)
+        assert (edges.left(np.full(n + 1, d), place) == at[np.searchsorted(at, place, side="right") - 1]).all()
+        assert (edges.right(np.full(n + 1, d), place) == at[np.searchsorted(at, place)]).all()
+    assert (edges.rank(place) == np.searchsorted(np.flatnonzero(edge < 4), place)).all()
+
+
 def test_stream_against_an_index(spark, texts):
     """Other documents than those of the index; of a longer text only the words that it holds."""
     known = [(i, t) for i, t in texts if i % 2 == 0]
