@@ -170,7 +170,10 @@ class Mixtures:
         self._age(cells, cells * 0 - 1, min(n, history))
 
     def update(self, cells, depth, n: int, history: int = HISTORY):
-        """Frame n has these depths in these cells. Which are foreground: new modes and those of little weight. Depths within 1 are passed over."""
+        """Frame n has these depths in these cells. Which are foreground: new modes and those of little weight. Depths within 1 are passed over.
+
+        A cell's first mode is not spared by the ageing of the frame that brings it: in the first two frames it goes at once.
+        """
         import numpy as np
 
         found = np.zeros(len(cells), bool)
@@ -199,14 +202,25 @@ class Mixtures:
         self.remove(c[full], oldest)
         nearest[full] -= nearest[full] > oldest
         b = np.flatnonzero(new)
+        born = b[self.n[c[b]] == 0]
         behind = nearest[b] + ~(d[b] > self.m[c[b], nearest[b]])
         place[b] = np.where(self.n[c[b]] == 0, 0, np.minimum(self.n[c[b]], behind))
         self.insert(c[b], place[b])
         self.w[c[b], place[b]], self.m[c[b], place[b]], self.s[c[b], place[b]] = 2 * rate, d[b], SIGMA0**2
+        place[born] = -1
         self._age(c, place, frames)
         return found
 
 
+    def step(self, cells, seen, depth, n: int, history: int = HISTORY):
+        """update() for cells that were last looked at in frames `seen` (by cell; set to n): the frames between had no return there."""
+        late = cells[(seen[cells] < n - 1) & (self.n[cells] > 0)]
+        for k in range(int(seen[late].min()) + 1, n) if len(late) else ():
+            self.pass_by(late[seen[late] < k], k, history)
+        seen[cells] = n
+        return self.update(cells, depth, n, history)
+
+
 def motion_filter(image: DataFrame, depth: str = "depth", history: int = HISTORY) -> DataFrame:
     """image: frame, r, c, depth (0, null or no row without a return). Adds foreground to the rows of image.
 
@@ -236,12 +250,7 @@ def motion_filter(image: DataFrame, depth: str = "depth", history: int = HISTORY
             n, d, out = pdf["__n"].to_numpy(), pdf["__d"].to_numpy(float, na_value=0.0), np.zeros(len(pdf), bool)
             cuts = np.flatnonzero(np.append(True, n[1:] != n[:-1])).tolist()
             for a, b in zip(cuts, [*cuts[1:], len(n)], strict=True):
-                now, c = int(n[a]), at[a:b]
-                late = c[(seen[c] < now - 1) & (state.n[c] > 0)]
-                for k in range(int(seen[late].min()) + 1, now) if len(late) else ():
-                    state.pass_by(late[seen[late] < k], k, history)
-                out[a:b] = state.update(c, d[a:b], now, history)
-                seen[c] = now
+                out[a:b] = state.step(at[a:b], seen, d[a:b], int(n[a]), history)
             yield pd.DataFrame({"frame": pdf["frame"], "r": pdf["r"], "c": pdf["c"], depth: pdf["__d"], "foreground": out})
 
     return rows.mapInPandas(run, ", ".join(f"{n} {kinds[n]}" for n in ("frame", "r", "c", depth)) + ", foreground boolean")

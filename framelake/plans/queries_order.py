@@ -166,7 +166,7 @@ _MIXTURES = f"""WITH RECURSIVE {_CELLS}, img AS (SELECT frame, r, c, arg_min(dep
          THEN a[:-2] || [{{'w': (a[-1].w * a[-1].w + x[1].w * x[1].w) / (a[-1].w + x[1].w), 'm': (a[-1].m * a[-1].w + x[1].m * x[1].w) / (a[-1].w + x[1].w), 's': (a[-1].s * a[-1].w + x[1].s * x[1].w) / (a[-1].w + x[1].w)}}]
          ELSE a || x END)) END AS modes, foreground
    FROM (SELECT *, CASE WHEN kind = 'noise' THEN changed ELSE list_filter(list_transform(changed, lambda x, i: CASE WHEN i > place THEN {{'w': x.w * (h / (1e0 + h)), 'm': x.m, 's': x.s}} ELSE x END), lambda x, i: i <= place OR x.w >= 1e0 / h) END AS aged
-   FROM (SELECT *, CASE kind WHEN 'fit' THEN k WHEN 'new' THEN ins + 1 ELSE 0 END AS place, kind = 'new' OR (kind = 'fit' AND (1 - e) * modes[k].w + e < 0.2e0) AS foreground,
+   FROM (SELECT *, CASE kind WHEN 'fit' THEN k WHEN 'new' THEN CASE WHEN len(base) = 0 THEN 0 ELSE ins + 1 END ELSE 0 END AS place, kind = 'new' OR (kind = 'fit' AND (1 - e) * modes[k].w + e < 0.2e0) AS foreground,
        CASE kind WHEN 'fit' THEN list_transform(modes, lambda x, i: CASE WHEN i = k THEN {{'w': (1 - e) * x.w + e, 'm': (1 - e) * x.m + e * d, 's': greatest((1 - e) * x.s + e * near, 0.1e0 * 0.1e0)}} ELSE x END)
          WHEN 'new' THEN base[:ins] || [{{'w': 2 * e, 'm': d, 's': 0.2e0 * 0.2e0}}] || base[ins + 1:] ELSE modes END AS changed
    FROM (SELECT *, CASE WHEN len(base) = 0 THEN 0 ELSE least(len(base), CASE WHEN d > (CASE WHEN kb > len(base) THEN modes[k].m ELSE base[kb].m END) THEN kb - 1 ELSE kb END) END AS ins

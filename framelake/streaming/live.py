@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from framelake.operators.joins import calibrate
-from framelake.operators.lidar import HISTORY, Mixtures
+from framelake.operators.lidar import HISTORY, MAX_MODES, Mixtures
 from framelake.operators.stack import stack_average
 
 
@@ -73,38 +73,44 @@ def live_running_average(stream: DataFrame, n: int = 5, key: str = "series", ord
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         m, count = state.get if state.exists else (0.0, 0)
         rows = pd.concat(list(batches)).sort_values(order)
-        out = []
-        for x in rows[value].astype(float):
-            m = (m * count + x) / (count + 1) if count < n else (m * n + x) / (n + 1)
-            count += 1
-            out.append(m)
-        state.update((m, count))
+        x = rows[value].to_numpy(float)
+        w = np.minimum(count + np.arange(len(x)), n).astype(float)
+        # m -> (w * m + x) / (w + 1) by doubling: each row holds the map of the 1, 2, 4, ... rows up to it.
+        a, b, step = w / (w + 1), x / (w + 1), 1
+        while step < len(x):
+            a, b = np.append(a[:step], a[step:] * a[:-step]), np.append(b[:step], a[step:] * b[:-step] + b[step:])
+            step *= 2
+        out = np.where(a == 0, 0.0, a * m) + b
+        state.update((float(out[-1]) if len(out) else m, count + len(x)))
         yield pd.DataFrame({key: rows[key], order: rows[order], "avg": out})
 
     return _stateful(stream, key, run, f"{key} long, {order} long, avg double", "m double, n long")
 
 
-def live_motion_filter(stream: DataFrame, depth: str = "depth", count: str = "n", history: int = HISTORY) -> DataFrame:
-    """motion_filter with the modes of every cell as state. count: the number of the frame among those processed (1, 2, ...); a cell's frames
-    without a row age its modes when its next row comes."""
+def live_motion_filter(stream: DataFrame, depth: str = "depth", count: str = "n", history: int = HISTORY, rows_of: int = 16, columns_of: int = 16) -> DataFrame:
+    """motion_filter with the modes of blocks of cells as state: a call steps all cells of a block that have rows in a frame at once.
+
+    count: the number of the frame among those processed (1, 2, ...); a cell's frames without a row age its modes when its next row comes.
+    """
+    block = rows_of * columns_of
+    blocks = stream.withColumns({"__r": F.floor(F.col("r") / rows_of).cast("int"), "__c": F.floor(F.col("c") / columns_of).cast("int")})
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        modes, seen, here = Mixtures(1), 0, np.zeros(1, np.int64)
+        modes, seen = Mixtures(block), np.zeros(block, np.int64)
         if state.exists:
-            flat, seen = state.get
-            modes.n[0] = len(flat) // 3
-            for j in range(len(flat) // 3):
-                modes.w[0, j], modes.m[0, j], modes.s[0, j] = flat[3 * j : 3 * j + 3]
-        rows, out = pd.concat(list(batches)).sort_values(count), []
-        for n, d in zip(rows[count].astype(int), rows[depth].fillna(0.0).astype(float), strict=True):
-            for missed in range(seen + 1, n) if modes.n[0] else ():
-                modes.pass_by(here, missed, history)
-            out.append(bool(modes.update(here, np.array([d]), n, history)[0]))
-            seen = n
-        state.update(([float(x[0, j]) for j in range(modes.n[0]) for x in (modes.w, modes.m, modes.s)], seen))
-        yield pd.DataFrame({"frame": rows["frame"], "r": k[0], "c": k[1], "foreground": out})
-
-    return _stateful(stream, ["r", "c"], run, "frame long, r int, c int, foreground boolean", "modes array<double>, seen long")
+            held, seen = np.array(state.get[0]), np.array(state.get[1], np.int64)
+            modes.n[:] = held[:block]
+            modes.w, modes.m, modes.s = held[block:].reshape(3, block, MAX_MODES).copy()
+        rows = pd.concat(list(batches)).sort_values(count)
+        at = (rows["r"].to_numpy() - k[0] * rows_of) * columns_of + rows["c"].to_numpy() - k[1] * columns_of
+        n, d, out = rows[count].to_numpy(np.int64), rows[depth].fillna(0.0).to_numpy(float), np.zeros(len(rows), bool)
+        cuts = np.flatnonzero(np.append(True, n[1:] != n[:-1])).tolist() if len(n) else []
+        for a, b in zip(cuts, [*cuts[1:], len(n)], strict=True):
+            out[a:b] = modes.step(at[a:b], seen, d[a:b], int(n[a]), history)
+        state.update((np.concatenate([modes.n, modes.w.ravel(), modes.m.ravel(), modes.s.ravel()]).tolist(), seen.tolist()))
+        yield pd.DataFrame({"frame": rows["frame"], "r": rows["r"], "c": rows["c"], "foreground": out})
+
+    return _stateful(blocks, ["__r", "__c"], run, "frame long, r int, c int, foreground boolean", "modes array<double>, seen array<bigint>")
 
 
 def live_rotation_frames(stream: DataFrame, seam: int = 0) -> DataFrame:
@@ -112,12 +118,11 @@ def live_rotation_frames(stream: DataFrame, seam: int = 0) -> DataFrame:
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, frame = state.get if state.exists else (-1, 0)
-        rows, out = pd.concat(list(batches)).sort_values("pkt"), []
-        for a in (rows["azimuth"] - seam) % 36000:
-            frame += int(a < last)
-            last = int(a)
-            out.append(frame)
-        state.update((last, frame))
+        rows = pd.concat(list(batches)).sort_values("pkt")
+        angle = ((rows["azimuth"] - seam) % 36000).to_numpy(np.int64)
+        out = frame + np.cumsum(np.diff(angle, prepend=last) < 0)
+        if len(angle):
+            state.update((int(angle[-1]), int(out[-1])))
         yield pd.DataFrame({"sensor": k[0], "pkt": rows["pkt"], "frame": out})
 
     return _stateful(stream, "sensor", run, "sensor long, pkt long, frame long", "last long, frame long")

@@ -98,8 +98,9 @@ def plain_mixture(depths):
                     del modes[oldest]
                     near -= near > oldest
                     before = modes[near][1] if near < len(modes) else before
-                updated = min(len(modes), near if d > before else near + 1)
-                modes.insert(updated, [2 * e, d, 0.04])
+                place = min(len(modes), near if d > before else near + 1)
+                updated = place if modes else -1  # a first mode ages with the others
+                modes.insert(place, [2 * e, d, 0.04])
         for k in range(len(modes) - 1, updated, -1):
             modes[k][0] *= frames / (1 + frames)
             if modes[k][0] < 1 / frames:
@@ -115,15 +116,19 @@ def plain_mixture(depths):
 def test_mixture_by_hand():
     """Insert in front and behind, decay, removal, replacement, fusion."""
     m, one = lidar.Mixtures(1), np.zeros(1, np.int64)
-    assert m.update(one, np.array([10.0]), 1)[0] and m.n[0] == 1 and m.w[0, 0] == 1.0  # 2 / (1 + 1)
-    assert not m.update(one, np.array([10.2]), 2)[0] and m.m[0, 0] == pytest.approx(10 + 0.2 / 3)  # fits, heavy
-    assert m.update(one, np.array([40.0]), 3)[0] and m.m[0, :2].tolist() == pytest.approx([40.0, 10 + 0.2 / 3])  # more distant: in front
+    # One depth in five frames: N = 1 leaves 1 * 1/2 < 1, N = 2 leaves 2/3 * 2/3 < 1/2, N = 3 leaves 1/2 * 3/4 >= 1/3.
+    trace = [(bool(m.update(one, np.array([5.0]), n)[0]), int(m.n[0])) for n in range(1, 6)]
+    assert trace == [(True, 0), (True, 0), (True, 1), (False, 1), (False, 1)] and m.w[0, 0] == pytest.approx((0.375 * 0.8 + 0.2) * 5 / 6 + 1 / 6)
+    m = lidar.Mixtures(1)
+    assert m.update(one, np.array([10.0]), 3)[0] and m.n[0] == 1 and m.w[0, 0] == 0.375  # 2 / (3 + 1), aged once
+    assert not m.update(one, np.array([10.2]), 4)[0] and m.m[0, 0] == pytest.approx(10 + 0.2 / 5)  # fits, heavy
+    assert m.update(one, np.array([40.0]), 5)[0] and m.m[0, :2].tolist() == pytest.approx([40.0, 10 + 0.2 / 5])  # more distant: in front
     w = m.w[0, :2].copy()
-    m.pass_by(one, 4)
-    assert m.w[0, :2].tolist() == pytest.approx((w * 0.8).tolist())
-    m.update(one, np.array([0.5]), 5)
-    assert m.w[0, :2].tolist() == pytest.approx((w * 0.8).tolist())  # nearer than 1: nothing happens
-    for n in range(6, 700):
+    m.pass_by(one, 6)
+    assert m.w[0, :2].tolist() == pytest.approx((w * 6 / 7).tolist())
+    m.update(one, np.array([0.5]), 7)
+    assert m.w[0, :2].tolist() == pytest.approx((w * 6 / 7).tolist())  # nearer than 1: nothing happens
+    for n in range(8, 700):
         m.update(one, np.array([40.0]), n)
     assert m.n[0] == 1 and m.w[0, 0] > 0.8  # what lies behind is seen no more and goes
     m = lidar.Mixtures(1)
