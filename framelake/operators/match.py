@@ -2,58 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-BLOCK, PART, CELLS = 4096, 50_000, 1 << 22
-
-
-def _in_blocks(query: DataFrame, train: DataFrame, keep: Sequence[str], best: Callable, schema: str, block: int = BLOCK, part: int = PART) -> DataFrame:
-    """A stated query set against all train rows: blocks of queries meet parts of train rows, one pair of them at a time, and
-    only what best(queries, rows) leaves of a pair goes on. best: (pandas frames with id and keep) -> pandas frame of schema."""
-    n_blocks, n_parts = max(1, -(-query.count() // block)), max(1, -(-train.count() // part))
-    deal = lambda df, n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("long").alias(f"__{salt}")
-    every = lambda n, name: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias(f"__{name}")
-    q = query.select("id", *keep, deal(query, n_blocks, "b")).select("*", every(n_parts, "p"))
-    t = train.select("id", *keep, deal(train, n_parts, "p")).select("*", every(n_blocks, "b"))
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({x.split()[0]: [] for x in schema.split(", ")})
-        rows = max(1, CELLS // len(b))
-        return pd.concat([best(a.iloc[k : k + rows], b) for k in range(0, len(a), rows)])
-
-    return q.groupBy("__b", "__p").cogroup(t.groupBy("__b", "__p")).applyInPandas(run, schema)
-
-
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.array(column.tolist(), float)
-
-
-def _nearest(d: np.ndarray, a: pd.DataFrame, b: pd.DataFrame, limit: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of queries and rows with the least distance of the query, if it is within limit. A row isn't its own neighbour."""
-    d[a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]] = np.inf
-    least = d.min(axis=1, keepdims=True)
-    return np.nonzero((d == least) & (least <= limit))
+from framelake.operators.nearest import VoronoiIndex, hamming_nearest, l1_candidates
 
 
 def match_l1(query: DataFrame, train: DataFrame, max_dist: float = 0.5, vec: str = "desc_vec", digits: int = 9) -> DataFrame:
     """q, t, dist: the nearest train rows within max_dist of every query of the stated set; equally near ones too."""
-
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        x, y, d = _matrix(a[vec]), _matrix(b[vec]), np.zeros((len(a), len(b)))
-        for k in range(x.shape[1]):
-            d += np.abs(x[:, k, None] - y[None, :, k])
-        d = d.round(digits)
-        i, j = _nearest(d, a, b, max_dist)
-        return pd.DataFrame({"q": a["id"].to_numpy()[i], "t": b["id"].to_numpy()[j], "dist": d[i, j]})
-
-    near = _in_blocks(query, train, [vec], best, "q long, t long, dist double")
+    pairs = l1_candidates(query, train, max_dist, vec)
+    dist = F.aggregate(F.zip_with("qv", "tv", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, d: s + d)
+    near = pairs.withColumn("dist", dist).where(F.col("dist") <= F.col("reach") + 10.0**-digits).select("q", "t", F.round("dist", digits).alias("dist")).where(F.col("dist") <= max_dist)
     return near.withColumn("__r", F.rank().over(Window.partitionBy("q").orderBy("dist"))).where("__r = 1").drop("__r")
 
 
@@ -64,43 +25,17 @@ def sign_bits(vec: str) -> Column:
 
 def match_hamming(query: DataFrame, train: DataFrame, max_dist: int = 4, bits: str = "bits", tie: Sequence[str] = (), max_octaves: int | None = None) -> DataFrame:
     """q, t, dist: the nearest by differing bits among rows within max_dist (and max_octaves); ties by `tie` columns' differences, then the smaller t."""
-    keep = [bits, *dict.fromkeys([*tie, *(["octave"] if max_octaves is not None else [])])]
-    fields = "".join(f", d_{c} double" for c in tie)
-
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        d = np.bitwise_count(a[bits].to_numpy(np.int64).view(np.uint64)[:, None] ^ b[bits].to_numpy(np.int64).view(np.uint64)[None, :]).astype(float)
-        off = lambda c: np.abs(a[c].to_numpy(float)[:, None] - b[c].to_numpy(float)[None, :])
-        if max_octaves is not None:
-            d[off("octave") > max_octaves] = np.inf
-        i, j = _nearest(d, a, b, max_dist)
-        out = pd.DataFrame({"q": a["id"].to_numpy()[i], "t": b["id"].to_numpy()[j], "dist": d[i, j].astype(np.int32), **{f"d_{c}": np.abs(a[c].to_numpy(float)[i] - b[c].to_numpy(float)[j]) for c in tie}})
-        return out.sort_values(["q", "dist", *(f"d_{c}" for c in tie), "t"]).groupby("q", as_index=False).head(1)
-
-    near = _in_blocks(query, train, keep, best, f"q long, t long, dist int{fields}")
-    order = ["dist", *(f"d_{c}" for c in tie), "t"]
-    return near.withColumn("__r", F.row_number().over(Window.partitionBy("q").orderBy(*order))).where("__r = 1").select("q", "t", "dist")
+    found = hamming_nearest(query, train, max_dist, bits, tuple(tie), max_octaves)
+    return found.select("q", F.col("best.t").alias("t"), F.col("best.dist").alias("dist"))
 
 
 def match_knn_ratio(query: DataFrame, train: DataFrame, ratio: float | None = 0.8, vec: str = "desc_vec", digits: int = 9) -> DataFrame:
     """q, t, dist of the exact nearest neighbour of every query of the stated set, kept if dist < ratio * that of the second."""
-
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("id")  # of equal distances the smaller id comes first
-        x, y, d = _matrix(a[vec]), _matrix(b[vec]), np.zeros((len(a), len(b)))
-        for k in range(x.shape[1]):
-            d += (x[:, k, None] - y[None, :, k]) ** 2
-        d = d.round(digits)
-        d[a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]] = np.inf
-        two = np.argsort(d, axis=1, kind="stable")[:, :2]
-        i = np.repeat(np.arange(len(a)), two.shape[1])
-        out = pd.DataFrame({"q": a["id"].to_numpy()[i], "t": b["id"].to_numpy()[two.ravel()], "d2": d[i, two.ravel()]})
-        return out[np.isfinite(out["d2"])]
-
-    w = Window.partitionBy("q").orderBy("d2", "t")
-    near = _in_blocks(query, train, [vec], best, "q long, t long, d2 double")
-    near = near.withColumns({"__r": F.row_number().over(w), "__next": F.lead("d2").over(w)}).where("__r = 1")
-    kept = near if ratio is None else near.where(F.col("__next").isNull() | (F.sqrt("d2") < ratio * F.sqrt("__next")))
-    return kept.select("q", "t", F.sqrt("d2").alias("dist"))
+    near = VoronoiIndex(train, vec).nearest(query, vec, 1 if ratio is None else 2, digits)
+    if ratio is not None:
+        near = near.withColumn("__next", F.lead("d2").over(Window.partitionBy("q").orderBy("r")))
+        near = near.where(F.col("__next").isNull() | (F.sqrt("d2") < ratio * F.sqrt("__next")))
+    return near.where("r = 1").select("q", "t", F.sqrt("d2").alias("dist"))
 
 
 def triangle_descriptors(kp: DataFrame, min_side: float = 1.0) -> DataFrame:

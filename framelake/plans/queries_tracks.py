@@ -110,6 +110,20 @@ reg("match_hamming", "descriptors", lambda v: match.match_hamming(*(s.withColumn
 reg("match_knn_ratio", "descriptors", lambda v: rounded(match.match_knn_ratio(*_sides(v), ratio=0.99)),
     f"""WITH {_QT}, j AS (SELECT q.id AS q, t.id AS t, round({_L2}, 9) AS d FROM q, t WHERE q.id <> t.id), k AS (SELECT *, row_number() OVER w AS n, lead(d) OVER w AS d1 FROM j WINDOW w AS (PARTITION BY q ORDER BY d, t))
         SELECT q, t, round(sqrt(d), 6) AS dist FROM k WHERE n = 1 AND (d1 IS NULL OR sqrt(d) < 0.99e0 * sqrt(d1))""")
+# A ratio of 0.85 over descriptors of which a third have a scaled copy nearby
+
+
+def _coarse(v):
+    d = v("descriptors").select((F.col("id") * 2).alias("id"), F.col("desc_vec").cast("array<double>").alias("desc_vec"))
+    moved = d.where("id % 3 = 0").select((F.col("id") + 1).alias("id"), F.transform("desc_vec", lambda x: x * 0.75).alias("desc_vec"))
+    return d.unionByName(moved)
+
+
+_COARSE = """d AS (SELECT id * 2 AS id, list_transform(desc_vec, lambda x: CAST(x AS DOUBLE)) AS desc_vec FROM descriptors),
+ c AS (SELECT * FROM d UNION ALL SELECT id + 1, list_transform(desc_vec, lambda x: x * 0.75e0) FROM d WHERE id % 3 = 0)"""
+reg("match_knn_ratio_strict", "descriptors", lambda v: rounded(match.match_knn_ratio(_coarse(v).where("id % 50 = 0"), _coarse(v), ratio=0.85)),
+    f"""WITH {_COARSE}, j AS (SELECT q.id AS q, t.id AS t, round({_L2}, 9) AS d FROM c q, c t WHERE q.id % 50 = 0 AND q.id <> t.id), k AS (SELECT *, row_number() OVER w AS n, lead(d) OVER w AS d1 FROM j WINDOW w AS (PARTITION BY q ORDER BY d, t))
+        SELECT q, t, round(sqrt(d), 6) AS dist FROM k WHERE n = 1 AND (d1 IS NULL OR sqrt(d) < 0.85e0 * sqrt(d1))""")
 _MATCHES = f"mt AS (SELECT q, t FROM (SELECT q.id AS q, t.id AS t, round({_L2}, 9) AS d FROM q, t WHERE q.id <> t.id) QUALIFY row_number() OVER (PARTITION BY q ORDER BY d, t) = 1)"
 reg("unmatched", "descriptors", lambda v: match.unmatched(_sides(v)[1].select("id", "label"), match.match_knn_ratio(*_sides(v), ratio=None), "t"), f"WITH {_QT}, {_MATCHES} SELECT id, label FROM t WHERE id NOT IN (SELECT t FROM mt)")
 reg("matched", "descriptors", lambda v: match.matched(_sides(v)[1].select("id", "label"), match.match_knn_ratio(*_sides(v), ratio=None), "t"), f"WITH {_QT}, {_MATCHES} SELECT id, label FROM t WHERE id IN (SELECT t FROM mt)")

@@ -3,27 +3,13 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.sources.adapters import VIEWS, Views
-
-_local: dict[str, str] = {}
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; a temporary folder only for a local master without that setting."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.master.split("[")[0] != "local":  # local-cluster has executors of its own
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _local.setdefault("base", tempfile.mkdtemp(prefix="spark-framelake-"))
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
+from framelake.sources.storage import scratch
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of sf_dir as a stream of its files."""

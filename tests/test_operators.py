@@ -14,7 +14,7 @@ from framelake.functions import formula
 from framelake.functions import geometry as geo
 from framelake.functions import pixels as px
 from framelake.functions import scalar as sc
-from framelake.operators import joins, lidar, match, ordered, select, stack, stats, thresholds, topk, tracks
+from framelake.operators import joins, lidar, match, nearest, ordered, select, stack, stats, thresholds, topk, tracks
 from framelake.plans.chains import run_chain
 from framelake.sources import catalog as src
 from framelake.sources.adapters import Views
@@ -184,9 +184,9 @@ def test_parts_of_an_order(spark, chunk):
     assert [r[0] for r in rows(src.export_rows(track, float(chunk)), "I")] == list(range(60))
 
 
-@pytest.mark.parametrize(("block", "part"), [(4096, 50_000), (3, 7)])
-def test_matching_in_blocks(spark, monkeypatch, block, part):
-    monkeypatch.setattr(match._in_blocks, "__defaults__", (block, part))
+@pytest.mark.parametrize(("pivots", "part"), [(128, 20_000), (4, 3), (1, 1)])
+def test_matching_by_indexes(spark, monkeypatch, pivots, part):
+    monkeypatch.setattr(nearest.VoronoiIndex.__init__, "__defaults__", (pivots, part))
     rng = np.random.default_rng(11)
     vec, octave, size = rng.integers(0, 4, (40, 3)), rng.integers(0, 3, 40), rng.integers(0, 5, 40)
     d = spark.createDataFrame([(i, [float(x) for x in vec[i]], int(vec[i] @ (1, 8, 64)), int(octave[i]), int(size[i])) for i in range(40)], "id long, desc_vec array<double>, bits long, octave int, size int")
@@ -209,6 +209,54 @@ def test_matching_in_blocks(spark, monkeypatch, block, part):
     assert match.match_l1(q.limit(0), d).count() == 0 and match.match_knn_ratio(q, d.limit(0)).count() == 0
 
 
+def _clustered(spark, n=1500, groups=30):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(groups, 8))[rng.integers(0, groups, n)] + 0.01 * rng.normal(size=(n, 8))
+    return x, spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(n, None)], "id long, desc_vec array<double>")
+
+
+def test_pivots_rule_out_most_pairs(spark):
+    x, d = _clustered(spark)
+    q = d.where("id % 50 = 0")
+    assert nearest.l1_candidates(q, d, 0.5, "desc_vec").count() < 0.2 * 30 * 1500
+    l1 = np.abs(x[::50, None] - x[None]).sum(-1)
+    l1[np.arange(30), np.arange(0, 1500, 50)] = np.inf
+    assert rows(match.match_l1(q, d, 0.5), "q") == [(50 * i, int(l1[i].argmin()), pytest.approx(l1[i].min())) for i in range(30) if l1[i].min() <= 0.5]
+
+
+def test_cells_hold_each_row_once(spark):
+    """Rows are never copied; queries go to few of the cells, and the two nearest are exact, ratio or not."""
+    x, d = _clustered(spark)
+    index, q = nearest.VoronoiIndex(d, "desc_vec", 40, 20), d.where("id % 50 = 0")
+    assert index.table.count() == index.table.select("id").distinct().count() == 1500
+    cells = int((index.cells.rows > 0).sum())
+    reached = index.sent(nearest._rows(q, "desc_vec").withColumn("radius", F.lit(0.1)), 2, True).select("id", "cell").distinct().count()
+    assert cells > 10 and reached < 0.3 * 30 * cells
+    l2 = ((x[::50, None] - x[None]) ** 2).sum(-1)
+    l2[np.arange(30), np.arange(0, 1500, 50)] = np.inf
+    two = np.argsort(l2, axis=1)[:, :2]
+    got = rows(index.nearest(q, "desc_vec", 2).select("q", "r", "t"), "q", "r")
+    assert got == [(50 * i, k + 1, int(two[i, k])) for i in range(30) for k in range(2)]
+    plan = match.match_knn_ratio(q, d, 0.8)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_radius_grows_over_segments(spark):
+    """Copies, ties, and codes that differ in one segment only or in all; those beyond the limit have no match."""
+    rng = np.random.default_rng(9)
+    code = rng.integers(0, 2**63, 400)
+    code[100:200] = code[:100] ^ 1  # near copies
+    code[200:230] = code[0]  # copies
+    code[230:260] = code[1] ^ np.int64(0b1111111)  # seven bits of a segment
+    code[260:290] = code[2] ^ np.int64(0x0101010101010101)  # a bit of each byte
+    d = spark.createDataFrame([(i, int(c), i % 3) for i, c in enumerate(code)] + [(500, None, 1), (None, 5, 1)], "id long, bits long, octave int")
+    q = d.where("id < 300")
+    for limit, segments in ((9, 8), (9, 4), (3, 5)):
+        got = {r["q"]: (r["best"]["dist"], r["best"]["t"]) for r in nearest.hamming_nearest(q, d, limit, "bits", segments=segments).collect()}
+        want = {i: min((int(code[i] ^ code[j]).bit_count(), j) for j in range(400) if j != i) for i in range(300)}
+        assert got == {i: w for i, w in want.items() if w[0] <= limit}
+
+
 def test_random_functions(spark):
     d = formula.formula(formula.formula(spark.range(20_000), "rand(2, 5)", "u"), "noise(10, 3)", "g")
     r = d.agg(F.min("u"), F.max("u"), F.avg("u"), F.avg("g"), F.stddev("g")).first()
