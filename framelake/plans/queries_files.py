@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from framelake.operators import match
 from framelake.plans.base import reg, rounded
+from framelake.operators.ordered import number_rows
 from framelake.sources import catalog as src
+from framelake.sources import records
 from framelake.sources.adapters import Views
 from framelake.streaming.run import scratch
 
@@ -77,3 +79,27 @@ def _bad(v: Views) -> DataFrame:
 
 
 reg("read_bad_frames", "pixels badframes", _bad, "SELECT frame, count(*) AS n FROM pixels WHERE frame NOT IN (SELECT frame FROM badframes) GROUP BY frame")
+
+
+def _clouds(v: Views) -> DataFrame:
+    path = scratch(v.spark, "clouds")
+    p = v("lidar_points")
+    records.write_clouds(p.select("frame", "pid", F.col("azimuth").alias("x"), F.col("elevation").alias("y"), F.col("distance").alias("z"), F.col("intensity").alias("r")), path)
+    return rounded(records.read_clouds(v.spark, path), 4)
+
+
+reg("read_float_clouds", "lidar_points", _clouds,
+    """SELECT dense_rank() OVER (ORDER BY frame) - 1 AS frame, row_number() OVER (PARTITION BY frame ORDER BY pid) - 1 AS pid, round(CAST(CAST(azimuth AS FLOAT) AS DOUBLE), 4) AS x,
+       round(CAST(CAST(elevation AS FLOAT) AS DOUBLE), 4) AS y, round(CAST(CAST(distance AS FLOAT) AS DOUBLE), 4) AS z, round(CAST(CAST(intensity AS FLOAT) AS DOUBLE), 4) AS r FROM lidar_points""")
+
+
+def _records(v: Views) -> DataFrame:
+    path = scratch(v.spark, "records")
+    numbered = number_rows(v("track"), [], ["ts", "id"], F.floor(F.col("ts") / 86400)).select(F.col("__i").alias("id"), "ts", "lat", "lon", "alt", "roll", "pitch", "yaw", F.col("id").alias("numsats"))
+    records.write_records(numbered, path, 500)
+    return rounded(records.read_records(v.spark, path).select("id", "ts", "lat", "lon", "alt", "roll", "pitch", "yaw", "numsats", "vf"))
+
+
+reg("read_navigation_records", "track", _records,
+    """SELECT row_number() OVER (ORDER BY ts, id) - 1 AS id, CAST(ts AS DOUBLE) AS ts, round(lat, 6) AS lat, round(lon, 6) AS lon, round(alt, 6) AS alt, round(roll, 6) AS roll, round(pitch, 6) AS pitch,
+       round(yaw, 6) AS yaw, CAST(id AS DOUBLE) AS numsats, CAST(0 AS DOUBLE) AS vf FROM track""")

@@ -97,9 +97,9 @@ OXTS = ("lat", "lon", "alt", "roll", "pitch", "yaw", "vn", "ve", "vf", "vl", "vu
 
 def read_oxts(spark: SparkSession, data: str, timestamps: str) -> DataFrame:
     """A file with one record of numbers per frame, and the file of their times: id, ts and the fields; latitude and longitude in radians."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(data).select("_metadata.file_path", F.split(F.trim("value"), r"\s+").alias("f"))
+    rows = spark.read.option("pathGlobFilter", "*.txt").text(data, wholetext=True).select("_metadata.file_path", F.split(F.trim("value"), r"\s+").alias("f"))
     rows = rows.withColumn("id", F.row_number().over(Window.orderBy("file_path")).cast("long") - 1)  # a row per file
-    times = spark.read.option("wholetext", True).text(timestamps).select(F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")).alias("id", "t"))
+    times = spark.read.text(timestamps, wholetext=True).select(F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")).alias("id", "t"))
     times = times.select(F.col("id").cast("long").alias("id"), (F.unix_micros(F.to_timestamp(F.substring("t", 1, 26))) / 1e6).alias("ts"))
     fields = [F.get("f", k).cast("double").alias(n) for k, n in enumerate(OXTS)]
     out = rows.select("id", *fields).join(times, "id")
