@@ -273,14 +273,21 @@ def previous(df: DataFrame, by: Sequence[str], order: Sequence[str], values: Seq
     return _same(d, carried, [*by, "__part"]).withColumn(out, F.coalesce(within, "__carry")).drop("__part", "__carry")
 
 
-def running_total(df: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, part: Column, out: str) -> DataFrame:
-    """Adds out: the sum of value up to each row, within parts (see previous) and over the sums of the parts before."""
-    by = list(by)
-    d = df.withColumns({"__part": part, "__x": value})
+def running_totals(df: DataFrame, by: Sequence[str], order: Sequence[str], values: dict[str, Column], part: Column) -> DataFrame:
+    """Adds a column for each of values: its sum up to each row, within parts (see previous) and over the sums of the parts before."""
+    by, names = list(by), list(values)
+    d = df.withColumns({"__part": part, **{f"__x_{n}": x for n, x in values.items()}})
     over = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per part
-    base = d.groupBy(*by, "__part").agg(F.sum("__x").alias("__s")).select(*by, "__part", F.coalesce(F.sum("__s").over(over), F.lit(0)).alias("__base"))
-    within = F.sum("__x").over(Window.partitionBy(*by, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return _same(d.withColumn("__in", within), base, [*by, "__part"]).withColumn(out, F.col("__base") + F.col("__in")).drop("__in", "__base", "__x", "__part")
+    sums = d.groupBy(*by, "__part").agg(*(F.sum(f"__x_{n}").alias(f"__s_{n}") for n in names))
+    base = sums.select(*by, "__part", *(F.coalesce(F.sum(f"__s_{n}").over(over), F.lit(0)).alias(f"__base_{n}") for n in names))
+    up = Window.partitionBy(*by, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    d = _same(d.withColumns({f"__in_{n}": F.sum(f"__x_{n}").over(up) for n in names}), base, [*by, "__part"])
+    return d.withColumns({n: F.col(f"__base_{n}") + F.col(f"__in_{n}") for n in names}).drop("__part", *(f"__{k}_{n}" for n in names for k in ("in", "base", "x")))
+
+
+def running_total(df: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, part: Column, out: str) -> DataFrame:
+    """Adds out: the sum of value up to each row (see running_totals)."""
+    return running_totals(df, by, order, {out: value}, part)
 
 
 def number_rows(df: DataFrame, by: Sequence[str], order: Sequence[str], part: Column, out: str = "__i") -> DataFrame:

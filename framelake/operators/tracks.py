@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from framelake.functions.geometry import ecef_to_vehicle, geodesic_meters, vehicle_axes, vehicle_to_ecef
 from framelake.functions.scalar import angle_between, wrap_0_2pi, wrap_pi
-from framelake.operators.ordered import previous, running_total
+from framelake.operators.ordered import number_rows, previous, running_total, running_totals
+from framelake.sources.storage import cut
 
 ANGLES = ("lon", "roll", "pitch", "yaw")
 
@@ -108,16 +109,109 @@ def gpx_for_frame(frames: DataFrame, landmarks: DataFrame, track: DataFrame, buc
     return interpolate_track(clamped, track.withColumn("ts", F.col("ts").cast("double")), bucket=bucket, fields=("lat", "lon", "alt")).drop("ok")
 
 
-def ego_motion_compensate(points: DataFrame, track: DataFrame, target: DataFrame, step: float = 0.1, bucket: float = 86400.0) -> DataFrame:
-    """points: frame, pid, x, y, z, t in vehicle axes at their times. In the axes of the target pose (one row: lat, lon, alt, roll, pitch, yaw); points of one time step share the pose at its middle."""
+#: Times this near are one.
+NEAR = 1.1920929e-7
+POSE, SPEED = ("lat", "lon", "alt", "roll", "pitch", "yaw"), ("vf", "vl", "vu")
+
+
+def _about(axis: int, angle: Column) -> list[list[Column]]:
+    """The rotation about an axis (0: x, 1: y, 2: z)."""
+    s, c, one, zero = F.sin(angle), F.cos(angle), F.lit(1.0), F.lit(0.0)
+    return ([[one, zero, zero], [zero, c, -s], [zero, s, c]], [[c, zero, s], [zero, one, zero], [-s, zero, c]], [[c, -s, zero], [s, c, zero], [zero, zero, one]])[axis]
+
+
+def _times(a: list[list[Column]], b: list[list[Column]]) -> list[list[Column]]:
+    return [[sum((a[i][k] * b[k][j] for k in range(1, 3)), a[i][0] * b[0][j]) for j in range(len(b[0]))] for i in range(3)]
+
+
+def _rolled(roll: Column, pitch: Column, yaw: Column) -> list[list[Column]]:
+    """Rx(roll) Ry(pitch) Rz(yaw)."""
+    return _times(_times(_about(0, roll), _about(1, pitch)), _about(2, yaw))
+
+
+def _walked(groups: DataFrame, track: DataFrame, target: DataFrame, bucket: float) -> DataFrame:
+    """groups: ts and pose; with ox, oy, oz: the way from the group's time to the target's (__t_ columns), by trapezoids between records, in the axes of the group.
+
+    The rotation of a record against a group's axes is Rx(r - r0) Ry(p - p0) Rz(y - y0) = Rx(-r0) [Rx(r) Ry(p)] [Ry(-p0) Rz(-y0)] [Rz(y)]. Products of
+    the parts in brackets that hang on records alone, times the step, are 27 numbers a record whose running sums serve all groups.
+    """
+    one = track.groupBy("ts").agg(F.min(F.struct(*POSE, *SPEED)).alias("__f")).select(F.col("ts").cast("double").alias("ts"), "__f.*")
+    part = F.floor(F.col("ts") / bucket)
+    d = number_rows(previous(one, [], ["ts"], ["ts", "roll", "pitch", "yaw", *SPEED], part), [], ["ts"], part, "place")
+    half = 0.5 * (F.col("ts") - F.col("__before.ts"))
+    step = _times(_about(2, F.col("__before.yaw")), [[half * (F.col(f"__before.{n}") + F.col(n))] for n in SPEED])
+    turn = _times(_about(0, F.col("__before.roll")), _about(1, F.col("__before.pitch")))
+    terms = {f"w{9 * i + 3 * j + k}": F.coalesce(turn[i][j] * step[k][0], F.lit(0.0)) for i in range(3) for j in range(3) for k in range(3)}
+    known = cut(running_totals(d, [], ["ts"], terms, part).select("ts", "place", "roll", "pitch", "yaw", *SPEED, F.array(*terms).alias("sums")), "sums")
+    fields = ("place", "roll", "pitch", "yaw", *SPEED, "sums")
+    here = neighbours(groups, known, fields, bucket=bucket).withColumnsRenamed({"p1": "__u", "n1": "__a"})
+    there = neighbours(target.select(F.col("__t_ts").alias("ts")), known, fields, bucket=bucket, depth=2)
+    j = here.crossJoin(F.broadcast(there.select(F.col("p1").alias("__b"), F.col("n1").alias("__e"), F.col("n2").alias("__n")).limit(1)))  # one row
+    speed = lambda side: [F.col(f"{side}{n}") for n in SPEED]
+    way = lambda dt, v, w: [[0.5 * dt * (x + y)] for x, y in zip(v, w, strict=True)]
+    # Matrices and sums are columns of their own, so that each is computed once.
+    matrix = lambda name: [[F.col(f"__{name}{i}{k}") for k in range(3)] for i in range(3)]
+    stored = lambda name, m: {f"__{name}{i}{k}": m[i][k] for i in range(3) for k in range(3)}
+    turn_of = lambda side: _rolled(*(F.col(f"{side}{a}") - F.col(a) for a in ("roll", "pitch", "yaw")))
+    j = j.withColumns(stored("M", _times(_about(1, -F.col("pitch")), _about(2, -F.col("yaw")))) | stored("B", turn_of("__b.")) | stored("U", turn_of("__u.")) | stored("T", turn_of("__t_")))
+    forward = F.col("__t_ts") > F.col("ts")
+    first, last = F.when(forward, F.col("__a.sums")).otherwise(F.col("__n.sums")), F.when(forward, F.col("__b.sums")).otherwise(F.col("__u.sums"))
+    j = cut(j.withColumn("__d", F.zip_with(last, first, lambda x, y: x - y)), "moves")
+    middle = matrix("M")
+    inner = {f"__i{i}": sum((middle[m][k] * F.col("__d")[9 * i + 3 * m + k] for m in range(3) for k in range(3) if m or k), middle[0][0] * F.col("__d")[9 * i]) for i in range(3)}
+    j = j.withColumns(inner)
+    between = {f"__w{k}": r[0] for k, r in enumerate(_times(_about(0, -F.col("roll")), [[F.col(f"__i{i}")] for i in range(3)]))}
+    j = j.withColumns(between)
+    ts, te, own, end = F.col("ts"), F.col("__t_ts"), speed(""), speed("__t_")
+    direct = way(te - ts, own, end)
+    # Forward: to the first record, on to the last one before the target, and to the target.
+    from_b = _times(matrix("B"), way(te - F.col("__b.ts"), speed("__b."), end))
+    ahead = [x[0] + F.col(f"__w{k}") + y[0] for k, (x, y) in enumerate(zip(way(F.col("__a.ts") - ts, own, speed("__a.")), from_b, strict=True))]
+    # Backward: to the last record, back to the second one behind the target (the first is passed over), and to the target.
+    to_u, from_n = _times(matrix("U"), way(F.col("__u.ts") - ts, own, speed("__u."))), _times(matrix("T"), way(te - F.col("__n.ts"), speed("__n."), end))
+    back = [x[0] - F.col(f"__w{k}") + y[0] for k, (x, y) in enumerate(zip(to_u, from_n, strict=True))]
+    straight = [r[0] for r in _times(matrix("T"), direct)]
+    pick = lambda x, y, z, w: F.when(F.abs(te - ts) < NEAR, 0.0).when(forward, F.when(F.col("__a.ts") <= te, x).otherwise(y)).when(F.col("__u.place") > F.col("__e.place"), z).otherwise(w)
+    names = {n: pick(a, d0[0], b, s0) for n, a, d0, b, s0 in zip(("ox", "oy", "oz"), ahead, direct, back, straight, strict=True)}
+    return j.withColumns(names)
+
+
+def ego_motion_compensate(points: DataFrame, track: DataFrame, target: DataFrame, step: float = 0.1, bucket: float = 86400.0, method: str = "gps") -> DataFrame:
+    """points: frame, pid, x, y, z, t in vehicle axes at their times. In the axes of the target pose (one row: lat, lon, alt, roll, pitch, yaw); points of one time step share the pose at its middle.
+
+    method: "gps" by positions; "imu" by the differences of angles and the mean of both speeds (target and track also have ts, vf, vl, vu);
+    "imue" by the speeds of all records on the way; "none" leaves points as they are.
+    """
+    if method == "none":
+        return points.select("frame", "pid", "x", "y", "z", "t")
+    if method not in ("gps", "imu", "imue"):
+        raise ValueError(f"no method {method}")
+    fields = POSE if method == "gps" else (*POSE, *SPEED)
     grouped = points.withColumn("__g", F.floor(F.col("t") / step))
-    poses = interpolate_track(grouped.select("__g").distinct().withColumn("ts", (F.col("__g") + 0.5) * step), track.withColumn("ts", F.col("ts").cast("double")), bucket=bucket).drop("ok", "ts")
-    t = target.select(*(F.col(c).alias(f"__t_{c}") for c in ("lat", "lon", "alt", "roll", "pitch", "yaw")))
-    j = grouped.join(poses, "__g").crossJoin(F.broadcast(t))  # one row
-    e = vehicle_to_ecef(("x", "y", "z"), "lat", "lon", "alt", "roll", "pitch", "yaw")
-    j = j.withColumns({"__x": e[0], "__y": e[1], "__z": e[2]})
-    v = ecef_to_vehicle(("__x", "__y", "__z"), *(f"__t_{c}" for c in ("lat", "lon", "alt", "roll", "pitch", "yaw")))
-    return j.select("frame", "pid", v[0].alias("x"), v[1].alias("y"), v[2].alias("z"), "t")
+    asked = grouped.select("__g").distinct().withColumn("ts", (F.col("__g") + 0.5) * step)
+    poses = interpolate_track(asked, track.withColumn("ts", F.col("ts").cast("double")), bucket=bucket, fields=fields).drop("ok")
+    t = target.select(*(F.col(c).cast("double").alias(f"__t_{c}") for c in (*fields, *(("ts",) if method != "gps" else ()))))
+    if method == "gps":
+        j = grouped.join(poses.drop("ts"), "__g").crossJoin(F.broadcast(t))  # one row
+        e = vehicle_to_ecef(("x", "y", "z"), "lat", "lon", "alt", "roll", "pitch", "yaw")
+        j = j.withColumns({"__x": e[0], "__y": e[1], "__z": e[2]})
+        v = ecef_to_vehicle(("__x", "__y", "__z"), *(f"__t_{c}" for c in POSE))
+        return j.select("frame", "pid", v[0].alias("x"), v[1].alias("y"), v[2].alias("z"), "t")
+    poses = poses.crossJoin(F.broadcast(t))  # one row
+    turns = [F.col(a) - F.col(f"__t_{a}") for a in ("roll", "pitch", "yaw")]
+    if method == "imu":
+        shift = {f"o{n}": 0.5 * (F.col("ts") - F.col("__t_ts")) * (F.col(f"__t_{v}") + F.col(v)) for n, v in zip("xyz", SPEED, strict=True)}
+        moves, m = poses.withColumns(shift), vehicle_axes(*turns)
+        place = lambda p: [row[0] * p[0] + row[1] * p[1] + row[2] * p[2] + F.col(f"__o{n}") for row, n in zip(m, "xyz", strict=True)]
+    else:
+        moves, m = _walked(poses, track, target.select(F.col("ts").cast("double").alias("__t_ts")), bucket), _rolled(*turns)
+        place = lambda p: [r[0] for r in _times(m, [[c - F.col(f"__o{n}")] for c, n in zip(p, "xyz", strict=True)])]
+    near = F.abs(F.col("ts") - F.col("__t_ts")) < NEAR
+    new = {f"__m{i}{k}": F.when(near, float(i == k)).otherwise(x) for i, row in enumerate(m) for k, x in enumerate(row)}
+    moves = moves.withColumns(new).select("__g", *new, *(F.col(f"o{n}").alias(f"__o{n}") for n in "xyz"))
+    m = [[F.col(f"__m{i}{k}") for k in range(3)] for i in range(3)]
+    x, y, z = place([F.col("x"), F.col("y"), F.col("z")])
+    return grouped.join(moves, "__g").select("frame", "pid", x.alias("x"), y.alias("y"), z.alias("z"), "t")
 
 
 def integrate_velocity(track: DataFrame, by: Sequence[str] = (), ts: str = "ts", order: Sequence[str] = ("ts", "id"), bucket: float = 86400.0) -> DataFrame:

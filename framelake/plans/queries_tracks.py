@@ -91,6 +91,54 @@ _EGO = f"""WITH pt AS (SELECT frame, pid, distance * cos(elevation) * sin(azimut
  SELECT frame, pid, {', '.join('round(' + ' + '.join(f'({_OF_TARGET[j][k]}) * n{j}' for j in range(3)) + f', 2) AS {n}' for k, n in enumerate('xyz'))}, t FROM c, g"""
 reg("ego_motion_compensate", "lidar_points track", lambda v: rounded(_ego(v), 2), _EGO)
 
+
+def _imu(v, method: str):
+    x, y, z = geo.lidar_to_cartesian()
+    points = v("lidar_points").where("distance > 0").select("frame", "pid", x.alias("x"), y.alias("y"), z.alias("z"), (F.col("frame") * 86400 + F.col("t")).cast("double").alias("t"))
+    track = _moving(v).join(v("track").select("id", "lat", "lon", "alt"), "id")
+    target = track.where("id % 100 < 50").orderBy(F.abs(F.col("ts") - 1_000_000), "id").limit(1)
+    return tracks.ego_motion_compensate(points, track, target, step=3600.0, method=method)
+
+
+_NINE = (*_FIELDS, "vf", "vl", "vu")
+_ORDERED9 = _ORDERED.replace("track_queries q", "tq q")
+# Records (one a time), the groups' poses and the target
+_IMU = f"""WITH RECURSIVE pt AS (SELECT frame, pid, distance * cos(elevation) * sin(azimuth) AS x, distance * cos(elevation) * cos(azimuth) AS y, distance * sin(elevation) AS z, CAST(frame * 86400 + t AS DOUBLE) AS t FROM lidar_points WHERE distance > 0),
+ tk AS (SELECT *, alt / 100 AS vf, lat / 10 AS vl, 0.01e0 AS vu FROM track), one AS (SELECT ts, min((lat, lon, alt, roll, pitch, yaw, vf, vl, vu)) AS f FROM tk GROUP BY ts),
+ tq AS (SELECT DISTINCT floor(t / 3600) AS id, (floor(t / 3600) + 0.5e0) * 3600 AS ts FROM pt), {_ORDERED9}, ps AS (SELECT id, ts, {', '.join(_lerp(k, n, 13) for k, n in enumerate(_NINE, 1))} FROM sh),
+ g AS (SELECT * FROM tk WHERE id % 100 < 50 ORDER BY abs(ts - 1000000), id LIMIT 1),
+ rc AS (SELECT row_number() OVER (ORDER BY ts) AS k, CAST(ts AS DOUBLE) AS ts, f[4] AS roll, f[5] AS pitch, f[6] AS yaw, f[7] AS vf, f[8] AS vl, f[9] AS vu FROM one)"""
+
+
+def _axes(turn: str, order: str) -> list[list[str]]:
+    """Rows of a rotation by the differences roll, pitch, yaw (turn formats each); order "zyx": Rz Ry Rx, "xyz": Rx Ry Rz."""
+    a = {n: (f"sin({turn.format(n)})", f"cos({turn.format(n)})") for n in ("roll", "pitch", "yaw")}
+    (sr, cr), (sp, cp), (sy, cy) = a["roll"], a["pitch"], a["yaw"]
+    if order == "zyx":
+        return [[f"{cy}*{cp}", f"({cy}*{sp}*{sr}-{sy}*{cr})", f"({cy}*{sp}*{cr}+{sy}*{sr})"], [f"{sy}*{cp}", f"({sy}*{sp}*{sr}+{cy}*{cr})", f"({sy}*{sp}*{cr}-{cy}*{sr})"], [f"(-{sp})", f"{cp}*{sr}", f"{cp}*{cr}"]]
+    return [[f"{cp}*{cy}", f"(-{cp}*{sy})", sp], [f"({sr}*{sp}*{cy}+{cr}*{sy})", f"({cr}*{cy}-{sr}*{sp}*{sy})", f"(-{sr}*{cp})"], [f"({sr}*{sy}-{cr}*{sp}*{cy})", f"({cr}*{sp}*{sy}+{sr}*{cy})", f"{cr}*{cp}"]]
+
+
+_BY_IMU = _axes("(ps.{0} - g.{0})", "zyx")
+reg("ego_motion_imu", "lidar_points track", lambda v: rounded(_imu(v, "imu"), 2),
+    f"""{_IMU} SELECT frame, pid, {', '.join(f"round({row[0]} * x + {row[1]} * y + {row[2]} * z + 0.5e0 * (ps.ts - g.ts) * (g.{s} + ps.{s}), 2) AS {n}" for n, row, s in zip('xyz', _BY_IMU, ('vf', 'vl', 'vu'), strict=True))}, t
+        FROM pt JOIN ps ON ps.id = floor(pt.t / 3600), g""")
+reg("ego_motion_none", "lidar_points track", lambda v: rounded(_imu(v, "none"), 2), f"{_IMU} SELECT frame, pid, round(x, 2) AS x, round(y, 2) AS y, round(z, 2) AS z, t FROM pt")
+# Record by record from a group's time to the target's, forward or backward; w: where the way has come to.
+_STEP = [" + ".join(f"{row[k]} * 0.5e0 * dt * (a.{s} + b.{s})" for k, s in enumerate(("vf", "vl", "vu"))) for row in _axes("(CASE WHEN fwd THEN a.{0} ELSE b.{0} END - gp.{0})", "xyz")]
+_BACK = _axes("(ps.{0} - g.{0})", "xyz")
+reg("ego_motion_imue", "lidar_points track", lambda v: rounded(_imu(v, "imue"), 1),
+    f"""{_IMU}, gp AS (SELECT ps.id AS grp, ps.*, g.ts AS te, (SELECT count(*) FROM rc WHERE rc.ts <= ps.ts) AS u, (SELECT count(*) FROM rc, g WHERE rc.ts <= g.ts) AS nb FROM ps, g),
+        nodes AS (SELECT grp, 0 AS ord, ts, roll, pitch, yaw, vf, vl, vu FROM gp
+          UNION ALL SELECT grp, CASE WHEN gp.ts < te THEN rc.k - u ELSE u - rc.k + 1 END, rc.ts, rc.roll, rc.pitch, rc.yaw, rc.vf, rc.vl, rc.vu FROM gp JOIN rc ON (gp.ts < te AND rc.k > u AND rc.k <= nb) OR (gp.ts > te AND rc.k <= u AND rc.k > nb + 1)
+          UNION ALL SELECT grp, 1000000000, g.ts, g.roll, g.pitch, g.yaw, g.vf, g.vl, g.vu FROM gp, g WHERE gp.ts <> te),
+        legs AS (SELECT grp, ts AS t0, (roll, pitch, yaw, vf, vl, vu) AS f0, lead(ts) OVER w AS t1, lead((roll, pitch, yaw, vf, vl, vu)) OVER w AS f1 FROM nodes WINDOW w AS (PARTITION BY grp ORDER BY ord)),
+        way AS (SELECT gp.grp, {', '.join(f'sum({e}) AS o{k}' for k, e in enumerate(_STEP))}
+          FROM (SELECT grp, t1 - t0 AS dt, {{'roll': f0[1], 'pitch': f0[2], 'yaw': f0[3], 'vf': f0[4], 'vl': f0[5], 'vu': f0[6]}} AS a, {{'roll': f1[1], 'pitch': f1[2], 'yaw': f1[3], 'vf': f1[4], 'vl': f1[5], 'vu': f1[6]}} AS b FROM legs WHERE t1 IS NOT NULL) l
+          JOIN (SELECT *, ts < te AS fwd FROM gp) gp ON gp.grp = l.grp GROUP BY gp.grp)
+        SELECT frame, pid, {', '.join(f"round({row[0]} * (x - coalesce(o0, 0)) + {row[1]} * (y - coalesce(o1, 0)) + {row[2]} * (z - coalesce(o2, 0)), 1) AS {n}" for n, row in zip('xyz', _BACK, strict=True))}, t
+        FROM pt JOIN ps ON ps.id = floor(pt.t / 3600) LEFT JOIN way ON way.grp = ps.id, g""")
+
 # Matching
 
 
