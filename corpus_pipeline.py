@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from framelake.llm import exact_dedup, packing, quality_fm, simhash, substring_dedup
-from framelake.llm._shared import cut, table
+from framelake.llm._shared import Scratch, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage for the documents of sf_dir."""
-    docs = table(spark, sf_dir, "documents")
+    docs, scratch, before = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline"), ()
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        docs = scratch.cut(stage(spark, docs, sf_dir), name)
+        scratch.drop(*before)
+        before = (name,)
     return STAGES[-1][1](spark, docs, sf_dir)

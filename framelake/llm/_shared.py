@@ -53,6 +53,12 @@ def cut(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder of shared storage."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """Tables in the shared folder between the steps of an operator; those that no later step reads are removed."""
 
@@ -64,10 +70,8 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Nothing that is still to be computed may read these tables."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+            remove(self.spark, f"{self.base}/{name}")
 
 
 def text_or_empty(name: str = "text") -> Column:

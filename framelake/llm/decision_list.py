@@ -21,7 +21,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm._shared import SPACE, cut, text_or_empty
+from framelake.llm._shared import SPACE, Scratch, cut, text_or_empty
 
 #: Statistics that rules may test.
 TESTED = ("n_words", "word_length", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "mark_share")
@@ -146,7 +146,8 @@ def learn(labelled: DataFrame, bins: int = BINS, rules: int = RULES, conditions:
     binned = [sum((F.when(F.col(s) > v, 1).otherwise(0) for v in edges[s]), F.lit(0)).alias(f"b_{s}") for s in TESTED]
     grow = (F.pmod(F.xxhash64("doc_id"), F.lit(3)) != 0).alias("grow")
     keys = [f"b_{s}" for s in TESTED]
-    cells = cut(labelled.select(*binned, grow, "quality").groupBy(*keys, "grow").agg(F.count_if(F.col("quality") == 0).alias("bad"), F.count_if(F.col("quality") == 1).alias("good")), "cells")
+    scratch = Scratch(labelled.sparkSession, "rules")
+    cells = scratch.cut(labelled.select(*binned, grow, "quality").groupBy(*keys, "grow").agg(F.count_if(F.col("quality") == 0).alias("bad"), F.count_if(F.col("quality") == 1).alias("good")), "cells")
     left, out = F.lit(True), []
     while len(out) < rules:
         rule: list[Condition] = []
@@ -167,6 +168,7 @@ def learn(labelled: DataFrame, bins: int = BINS, rules: int = RULES, conditions:
             break
         out.append(tuple(rule[:kept]))
         left = left & ~prefixes[kept - 1]
+    scratch.drop("cells")
     return DecisionList(out)
 
 
@@ -174,5 +176,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the base counts, the tested shares, base_failed and kept for every row of docs."""
     stats = cut(statistics(docs), "statistics")
     known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    found = learn(cut(stats.where(~base_failed()).join(known, "doc_id"), "labelled"))
+    scratch = Scratch(docs.sparkSession, "labelled")
+    found = learn(scratch.cut(stats.where(~base_failed()).join(known, "doc_id"), "rows"))
+    scratch.drop("rows")
     return stats.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & found.verdict())

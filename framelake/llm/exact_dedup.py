@@ -27,7 +27,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm._shared import SPACE, Scratch, row_hash, shared_path, text_or_empty
+from framelake.llm._shared import SPACE, Scratch, remove, row_hash, shared_path, text_or_empty
 
 BATCHES, HOT_SHARE = 2, 1000
 
@@ -112,10 +112,12 @@ def publish(docs: DataFrame, index: DigestIndex | None = None, run: int | None =
     rows = scratch.cut(digests(docs, id_col, text_col).withColumn("part", F.pmod(F.xxhash64("row"), F.lit(batches))), "digests")
     number = index.next_run() if run is None else run
     for part in range(batches):
-        index.append(leaders(rows.where(F.col("part") == part)), number, part)
+        index.append(scratch.cut(leaders(rows.where(F.col("part") == part)), f"batch-{part}"), number, part)
+        scratch.drop(f"batch-{part}")
     known = scratch.cut(index.read(), "leaders")
     if own:
         index.detach()
+        remove(spark, index.path)
     return rows, known
 
 

@@ -20,6 +20,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def quality_base_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts that op2's rules are made of."""
+    return decision_list.statistics(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", decision_list.base_failed().alias("base_failed"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removed_words(table(spark, sf_dir, "documents"))
 
@@ -68,6 +73,7 @@ def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_quality_rules": op2_quality_rules,
+    "quality_base_statistics": quality_base_statistics,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_quality_fm": op5_quality_fm,
@@ -82,6 +88,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "quality_base_statistics": r"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS k, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT k, unnest(range(1, len(a) + 1)) AS i, unnest(a) AS word FROM (SELECT k, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS a FROM d)),
+        g AS (SELECT *, lead(word) OVER o AS second, lead(word, 2) OVER o AS third FROM w WINDOW o AS (PARTITION BY k ORDER BY i)),
+        r AS (SELECT k, i FROM g WHERE third IS NOT NULL QUALIFY count(*) OVER (PARTITION BY k, word, second, third) > 1),
+        n AS (SELECT k, count(DISTINCT i + j) AS n FROM r, range(3) t(j) GROUP BY k),
+        c AS (SELECT k, count(*) AS n, sum(length(word)) AS chars FROM w GROUP BY k),
+        l AS (SELECT k, unnest(string_split(text, chr(10))) AS line FROM d),
+        u AS (SELECT k, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY k),
+        s AS (
+            SELECT d.doc_id, coalesce(c.n, 0) AS n_words, coalesce(c.chars, 0)::BIGINT AS word_chars, length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+                   coalesce(u.n, 0) AS n_dup_lines, coalesce(n.n, 0) AS n_repeat_words
+            FROM d LEFT JOIN c USING (k) LEFT JOIN u USING (k) LEFT JOIN n USING (k))
+        SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s
+    """,
     "op4_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -123,7 +144,8 @@ ORACLE_SQL: dict[str, str] = {
             SELECT v.c, 0 AS source, t.p, t.role, t.text FROM convs v JOIN turns t ON t.c = v.base AND t.p <= v.h
             UNION ALL SELECT v.c, 1, t.p, t.role, t.text FROM convs v JOIN turns t ON t.c = v.c AND t.p > v.h),
         prefixes AS (
-            SELECT c, row_number() OVER w AS depth, string_agg(md5(role) || md5(text), ',') OVER w AS key, len(regexp_extract_all(text, '[^ 	-]+')) AS words
+            SELECT c, row_number() OVER w AS depth, string_agg(md5(role) || md5(text), ',') OVER w AS key, len(regexp_extract_all(text, '[^ 	-
+]+')) AS words
             FROM whole WINDOW w AS (PARTITION BY c ORDER BY source, p ROWS UNBOUNDED PRECEDING)
             UNION ALL SELECT c, 0, '', 0 FROM convs),
         sized AS (SELECT *, max(depth) OVER (PARTITION BY c) AS size, lag(key) OVER (PARTITION BY c ORDER BY depth) AS above FROM prefixes),
