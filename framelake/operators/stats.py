@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from framelake.functions.pixels import clip
 from framelake.operators.stack import mean
+from framelake.sources.storage import cut
 
 
 def _by(df: DataFrame, by: Sequence[str]):
@@ -52,9 +53,51 @@ def weighted_mean(df: DataFrame, by: Sequence[str] = ("frame",), value: str = "v
     return _by(df, by).agg(F.try_divide(F.sum(F.col(value) * F.col(weight)).cast("double"), F.sum(weight).cast("double")).alias("mean"))
 
 
+def _digits(v: Column) -> list[Column]:
+    """Two whole numbers that rise with v: sign, exponent and ten leading bits, then the next twenty bits."""
+    size = F.abs(v)
+    exponent = F.floor(F.log2(size))
+    scaled = (size / F.pow(F.lit(2.0), exponent) - 1) * 1024
+    sign, far = F.signum(v), F.lit(1 << 40)
+    first = F.when(F.isnan(v), far).when(size == float("inf"), sign * (far - 1)).when(v == 0, 0).otherwise(sign * (exponent * 1024 + F.floor(scaled) + 2_000_000))
+    second = F.when(F.isnan(v) | (size == float("inf")) | (v == 0), 0).otherwise(sign * F.floor((scaled - F.floor(scaled)) * (1 << 20)))
+    return [first.cast("long"), second.cast("long")]
+
+
 def frame_median(df: DataFrame, by: Sequence[str] = ("frame",), value: str = "v", valid: str | None = None) -> DataFrame:
-    """Exact; the mean of the two middle values of an even number."""
-    return _by(df, by).agg(F.percentile(valid_value(value, valid), 0.5).alias("median"))
+    """Exact; the mean of the two middle values of an even number, null without any. Distributed selection for groups of any size: counts by
+    leading digits tell which digits hold the middle, and only the values with these are looked at more closely."""
+    by = list(by)
+    first, second = _digits(F.col("__v"))
+    rows = df.select(*by, valid_value(value, valid).alias("__v")).withColumn("__d0", first)
+    counts = cut(_by(rows, [*by, "__d0"]).agg(F.count(F.lit(1)).alias("__n")), "digits")
+    known = counts.where(F.col("__d0").isNotNull())
+    total = _by(known, by).agg(F.sum("__n").alias("__all"))
+    ranks = F.array_distinct(F.array(F.floor((F.col("__all") - 1) / 2), F.floor(F.col("__all") / 2)))
+    wanted = cut(_held(known, total.select(*by, F.explode(ranks).alias("__rank")), by, "__d0"), "ranks")  # two rows a group at most
+    near = _meet(rows.where(F.col("__v").isNotNull()), wanted.select(*by, "__d0").distinct(), [*by, "__d0"])
+    near = cut(_by(near, [*by, "__d0", "__v"]).agg(F.count(F.lit(1)).alias("__n")).withColumn("__d1", second), "near")
+    wanted = cut(_held(near, wanted, [*by, "__d0"], "__d1"), "ranks")
+    last = _meet(near, wanted.select(*by, "__d0", "__d1").distinct(), [*by, "__d0", "__d1"])
+    found = _by(_held(last, wanted, [*by, "__d0", "__d1"], "__v"), by).agg(F.avg("__v").alias("median"))
+    return _meet(counts.select(*by).distinct(), found, by, "left") if by else found
+
+
+def _held(rows: DataFrame, wanted: DataFrame, keys: Sequence[str], digit: str) -> DataFrame:
+    """rows: keys, digit, __n; wanted: keys, __rank. The digits that hold the ranks, and the ranks counted from where they begin."""
+    counts = _by(rows, [*keys, digit]).agg(F.sum("__n").alias("__n"))
+    up = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(digit)  # a row per digit
+    ends = counts.withColumn("__end", F.sum("__n").over(up)).withColumn("__start", F.col("__end") - F.col("__n"))
+    held = _meet(ends, wanted, keys).where((F.col("__rank") >= F.col("__start")) & (F.col("__rank") < F.col("__end")))
+    return held.select(*keys, digit, (F.col("__rank") - F.col("__start")).alias("__rank"))
+
+
+def _meet(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Joined by keys that may be null."""
+    if not keys:
+        return a.crossJoin(b)  # b: two rows at most
+    b = b.withColumnsRenamed({k: f"{k}__b" for k in keys})
+    return a.join(b, [F.col(k).eqNullSafe(F.col(f"{k}__b")) for k in keys], how).drop(*(f"{k}__b" for k in keys))
 
 
 def mean_abs_dev(df: DataFrame, by: Sequence[str] = ("frame",), value: str = "v") -> DataFrame:

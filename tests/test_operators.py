@@ -257,6 +257,22 @@ def test_radius_grows_over_segments(spark):
         assert got == {i: w for i, w in want.items() if w[0] <= limit}
 
 
+def test_median_by_digits(spark):
+    """Of groups of odd and even size, with ties, signs, zeros, infinities and nulls, and over all rows."""
+    rng = np.random.default_rng(12)
+    groups = {
+        "odd": rng.normal(size=501).tolist(), "even": rng.normal(size=500).tolist(), "one": [3.0], "two": [1.0, 2.0], "powers": [2.0**k for k in range(-300, 300)], "ties": [5.0] * 40 + [7.0] * 40,
+        "signs": [-3.0, -2.0, -0.0, 0.0, 1e-310, 4.0], "inf": [float("-inf"), 1.0, float("inf")], "close": [1 + k * 2.0**-50 for k in range(99)], "nulls": [None, 1.0, None, 9.0], "none": [None], None: [1.0, 5.0],
+    }
+    d = spark.createDataFrame([(g, v) for g, x in groups.items() for v in x], "g string, v double")
+    got = {r["g"]: r["median"] for r in stats.frame_median(d, ("g",)).collect()}
+    plain = lambda x: float(np.median(x)) if x else None
+    assert got == {g: plain([v for v in x if v is not None]) for g, x in groups.items()}
+    every = [v for x in groups.values() for v in x if v is not None]
+    assert stats.frame_median(d, ()).first()[0] == plain(every)
+    assert stats.frame_median(d.limit(0), ("g",)).count() == 0
+
+
 def test_random_functions(spark):
     d = formula.formula(formula.formula(spark.range(20_000), "rand(2, 5)", "u"), "noise(10, 3)", "g")
     r = d.agg(F.min("u"), F.max("u"), F.avg("u"), F.avg("g"), F.stddev("g")).first()
