@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from framelake.functions import geometry as geo
-from framelake.operators import lidar, ordered, topk
+from framelake.operators import geodesic, lidar, ordered, topk
 from framelake.plans.base import r, reg, rounded
 
 _K = ("frame", "y", "x")
@@ -180,3 +180,21 @@ reg("motion_filter", "lidar_points", lambda v: lidar.motion_filter(lidar.range_i
 reg("motion_denoise", "lidar_points", lambda v: lidar.motion_denoise(lidar.range_image(_binned(v), ("depth",)).withColumn("foreground", F.col("depth") < 60), 2, 10.0, 2),
     f"""WITH {_CELLS}, img AS (SELECT frame, r, c, arg_min(depth, (distance, pid)) AS d FROM cells WHERE distance > 0 GROUP BY frame, r, c), fg AS (SELECT * FROM img WHERE d < 60)
         SELECT a.frame, a.r, a.c, count(*) AS n FROM fg a JOIN fg b ON a.frame = b.frame AND abs(a.r - b.r) <= 2 AND abs(a.c - b.c) <= 2 AND (a.r <> b.r OR a.c <> b.c) AND abs(a.d - b.d) <= 10 GROUP BY 1, 2, 3 HAVING count(*) >= 2""")
+
+
+# Geodesic morphology: a step spreads a frame's markers to their neighbours; frames in which nothing changed are done.
+def _spread(first: str, eight: bool) -> str:
+    side = "(abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1)" if eight else "(abs(a.y - b.y) + abs(a.x - b.x) <= 1)"
+    return f"""WITH RECURSIVE px AS (SELECT frame, y, x, CAST(v AS DOUBLE) AS v FROM pixels), {first},
+ st AS (SELECT 0 AS n, frame, y, x, lim, m, true AS moved FROM init
+   UNION ALL SELECT n + 1, frame, y, x, lim, new, bool_or(new <> m) OVER (PARTITION BY frame) FROM (
+     SELECT a.n, a.frame, a.y, a.x, a.lim, a.m, least(a.lim, max(b.m)) AS new FROM st a JOIN st b ON a.frame = b.frame AND {side} WHERE a.moved GROUP BY a.n, a.frame, a.y, a.x, a.lim, a.m))"""
+
+
+_ERODED = "er AS (SELECT frame, y, x, min(v) OVER (PARTITION BY frame, y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS e FROM {0})"
+_INIT = "init AS (SELECT p.frame, p.y, p.x, p.v AS lim, min(e) OVER (PARTITION BY p.frame, p.x ORDER BY p.y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS m FROM {0} p JOIN er USING (frame, y, x))"
+_MINUS = "mx AS (SELECT frame, y, x, -v AS v FROM px)"
+_HOLES = "tp AS (SELECT frame, max(v) AS top, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM px GROUP BY frame), init AS (SELECT frame, y, x, top - v AS lim, CASE WHEN y IN (y0, y1) OR x IN (x0, x1) THEN top - v ELSE 0 END AS m FROM px JOIN tp USING (frame))"
+reg("geo_open", "pixels", lambda v: rounded(geodesic.geo_open(v("pixels"), tile=32), 4), f"{_spread(f'{_ERODED.format("px")}, {_INIT.format("px")}', False)} SELECT frame, y, x, round(arg_max(m, n), 4) AS m FROM st GROUP BY 1, 2, 3")
+reg("geo_close", "pixels", lambda v: rounded(geodesic.geo_open(v("pixels"), eight=True, close=True, tile=32), 4), f"{_spread(f'{_MINUS}, {_ERODED.format("mx")}, {_INIT.format("mx")}', True)} SELECT frame, y, x, round(-arg_max(m, n), 4) AS m FROM st GROUP BY 1, 2, 3")
+reg("geo_fill_holes", "pixels", lambda v: rounded(geodesic.geo_fill_holes(v("pixels"), tile=32), 4), f"{_spread(_HOLES, False)} SELECT frame, y, x, round(top - arg_max(m, n), 4) AS m FROM st JOIN tp USING (frame) GROUP BY 1, 2, 3, top")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framelake.functions import geometry as geo
-from framelake.operators import joins, match, topk, tracks
+from framelake.operators import consensus, joins, match, topk, tracks
 from framelake.plans.base import reg, rounded
 
 _ONE = "one AS (SELECT ts, min((lat, lon, alt, roll, pitch, yaw)) AS f FROM track GROUP BY ts)"
@@ -227,3 +227,46 @@ reg("annotate_points", "keypoints point_labels", _annotated,
        hit AS (SELECT kp AS pid, 'quality' AS cmap, max(label) AS new FROM keypoints k JOIN b ON b.frame = k.frame AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AND response BETWEEN d0 AND d1 GROUP BY kp)
        SELECT coalesce(h.pid, l.pid) AS pid, coalesce(h.cmap, l.cmap) AS cmap, CAST(coalesce(nullif(l.label, 0), new, 0) AS INT) AS label FROM hit h FULL JOIN point_labels l ON h.pid = l.pid AND h.cmap = l.cmap""")
 reg("label_names", "point_labels", lambda v: joins.label_names(v("point_labels"), v("point_labels").select("cmap", "label").distinct().withColumn("name", F.concat_ws("-", "cmap", F.col("label").cast("string")))), "SELECT pid, cmap, label, cmap || '-' || label AS name FROM point_labels")
+
+
+# Fits of which three tenths of the pairs are wrong
+_MOVED = """kq AS (SELECT frame, kp, CAST(x AS DOUBLE) AS x0, CAST(y AS DOUBLE) AS y0, 0.9e0 * x - 0.2e0 * y + 30 + CASE WHEN kp % 10 < 3 THEN kp % 97 * 5 + 20 ELSE kp % 3 * 0.2e0 END AS x1,
+ 0.25e0 * x + 1.1e0 * y - 12 - CASE WHEN kp % 10 < 3 THEN kp % 89 * 4 + 25 ELSE kp % 5 * 0.1e0 END AS y1, (kp * 7919 + 13) % 10007 AS o FROM keypoints),
+ kr AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY o, kp) - 1 AS r FROM kq)"""
+
+
+def _moved(v):
+    wrong, k, x, y = F.col("kp") % 10 < 3, F.col("kp"), F.col("x").cast("double"), F.col("y").cast("double")
+    x1 = 0.9 * x - 0.2 * y + 30 + F.when(wrong, k % 97 * 5 + 20).otherwise(k % 3 * 0.2)
+    y1 = 0.25 * x + 1.1 * y - 12 - F.when(wrong, k % 89 * 4 + 25).otherwise(k % 5 * 0.1)
+    return v("keypoints").select("frame", "kp", x.alias("x0"), y.alias("y0"), x1.alias("x1"), y1.alias("y1"), ((k * 7919 + 13) % 10007).alias("o"))
+
+
+def _consensus(kind: str, threshold: float) -> str:
+    """The inliers of the best sample as table pr, by the same samples."""
+    n = consensus.NEEDS[kind]
+    rows = ", ".join(f"({k}, {', '.join(map(str, t))})" for k, t in enumerate(consensus.sampled(n)))
+    pick = " ".join(f"JOIN kr p{k} ON p{k}.r = s.i{k}" + (" AND p{0}.frame = p0.frame".format(k) if k else "") for k in range(n))
+    d = lambda c, k: f"(p{k}.{c} - p0.{c})"
+    if kind == "similarity":
+        size = f"nullif({d('x0', 1)} * {d('x0', 1)} + {d('y0', 1)} * {d('y0', 1)}, 0)"
+        a, b = f"({d('x0', 1)} * {d('x1', 1)} + {d('y0', 1)} * {d('y1', 1)}) / {size}", f"({d('x0', 1)} * {d('y1', 1)} - {d('y0', 1)} * {d('x1', 1)}) / {size}"
+        m = [[a, f"-({b})"], [b, a]]
+    else:
+        det = f"nullif({d('x0', 1)} * {d('y0', 2)} - {d('x0', 2)} * {d('y0', 1)}, 0)"
+        m = [[f"({d(c, 1)} * {d('y0', 2)} - {d(c, 2)} * {d('y0', 1)}) / {det}", f"({d(c, 2)} * {d('x0', 1)} - {d(c, 1)} * {d('x0', 2)}) / {det}"] for c in ("x1", "y1")]
+    off = "pow(a00 * x0 + a01 * y0 + x1_ - a00 * x0_ - a01 * y0_ - x1, 2) + pow(a10 * x0 + a11 * y0 + y1_ - a10 * x0_ - a11 * y0_ - y1, 2)"
+    return f"""{_MOVED}, sm(t, {', '.join(f'i{k}' for k in range(n))}) AS (VALUES {rows}),
+ md AS (SELECT p0.frame, s.t, {m[0][0]} AS a00, {m[0][1]} AS a01, {m[1][0]} AS a10, {m[1][1]} AS a11, p0.x0 AS x0_, p0.y0 AS y0_, p0.x1 AS x1_, p0.y1 AS y1_ FROM sm s {pick}),
+ sc AS (SELECT kq.frame, t, count(*) AS n, round(sum({off}), 6) AS e FROM kq JOIN md ON md.frame = kq.frame WHERE {off} <= {threshold * threshold} GROUP BY 1, 2),
+ bs AS (SELECT frame, t FROM sc QUALIFY row_number() OVER (PARTITION BY frame ORDER BY n DESC, e, t) = 1),
+ pr AS (SELECT kq.* FROM kq JOIN bs ON bs.frame = kq.frame JOIN md ON md.frame = kq.frame AND md.t = bs.t WHERE {off} <= {threshold * threshold})"""
+
+
+reg("consensus_similarity", "keypoints", lambda v: rounded(consensus.consensus_similarity(_moved(v), ["o", "kp"], threshold=40.0), 5),
+    f"""WITH {_consensus('similarity', 40.0)}, s AS (SELECT frame, {_COV('x0', 'x0')} + {_COV('y0', 'y0')} AS v, {_COV('x0', 'x1')} + {_COV('y0', 'y1')} AS p, {_COV('x0', 'y1')} - {_COV('y0', 'x1')} AS q, avg(x0) AS x0, avg(y0) AS y0, avg(x1) AS x1, avg(y1) AS y1 FROM pr GROUP BY frame), c AS (SELECT *, p / v AS a, q / v AS b FROM s)
+        SELECT frame, round(sqrt(a * a + b * b), 5) AS scale, round(atan2(b, a), 5) AS angle, round(x1 - a * x0 + b * y0, 5) AS tx, round(y1 - b * x0 - a * y0, 5) AS ty FROM c WHERE v > 0""")
+reg("consensus_affine", "keypoints", lambda v: rounded(consensus.consensus_affine(_moved(v), ["o", "kp"]), 5),
+    f"""WITH {_consensus('affine', 3.0)}, s AS (SELECT frame, {_COV('x0', 'x0')} AS xx, {_COV('x0', 'y0')} AS xy, {_COV('y0', 'y0')} AS yy, {', '.join(f"{_COV(a, b)} AS {a}{b}" for a in ('x0', 'y0') for b in ('x1', 'y1'))}, avg(x0) AS mx0, avg(y0) AS my0, avg(x1) AS mx1, avg(y1) AS my1 FROM pr GROUP BY frame),
+        e AS (SELECT *, xx * yy - xy * xy AS det FROM s), f AS (SELECT *, (x0x1 * yy - y0x1 * xy) / det AS a00, (y0x1 * xx - x0x1 * xy) / det AS a01, (x0y1 * yy - y0y1 * xy) / det AS a10, (y0y1 * xx - x0y1 * xy) / det AS a11 FROM e WHERE det <> 0)
+        SELECT frame, round(a00, 5) AS a00, round(a01, 5) AS a01, round(mx1 - a00 * mx0 - a01 * my0, 5) AS a02, round(a10, 5) AS a10, round(a11, 5) AS a11, round(my1 - a10 * mx0 - a11 * my0, 5) AS a12 FROM f""")

@@ -14,7 +14,7 @@ from framelake.functions import formula
 from framelake.functions import geometry as geo
 from framelake.functions import pixels as px
 from framelake.functions import scalar as sc
-from framelake.operators import joins, lidar, match, nearest, ordered, select, stack, stats, thresholds, topk, tracks
+from framelake.operators import consensus, geodesic, joins, lidar, match, nearest, ordered, select, stack, stats, thresholds, topk, tracks
 from framelake.plans.chains import run_chain
 from framelake.sources import catalog as src
 from framelake.sources.adapters import Views
@@ -257,6 +257,52 @@ def test_radius_grows_over_segments(spark):
         assert got == {i: w for i, w in want.items() if w[0] <= limit}
 
 
+@pytest.mark.parametrize("kind", ["similarity", "affine"])
+def test_fits_are_unmoved_by_outliers(spark, kind):
+    """Three tenths of the pairs are far off; the fit is that of the others alone. Groups without a sample have no row."""
+    rng = np.random.default_rng(3)
+    m = np.array([[0.9, -0.3, 5.0], [0.3, 0.9, -7.0]] if kind == "similarity" else [[1.2, -0.1, 5.0], [0.4, 0.8, -7.0]])
+    pairs = []
+    for g in (1, 2):
+        x = rng.uniform(0, 500, (200, 2))
+        y = x @ m[:, :2].T + m[:, 2] + rng.normal(0, 0.1, (200, 2))
+        wrong = np.arange(200) % 10 < 3
+        y[wrong] += rng.uniform(30, 300, (60, 2))
+        pairs += [(g, k, *map(float, a), *map(float, b), bool(w)) for k, (a, b, w) in enumerate(zip(x, y, wrong, strict=True))]
+    pairs += [(3, 0, 1.0, 1.0, 2.0, 2.0, False), (4, 0, 1.0, 1.0, 2.0, 2.0, False), (4, 1, 1.0, 1.0, 3.0, 2.0, False), (4, 2, 1.0, 1.0, 3.0, 2.0, False)]
+    d = spark.createDataFrame(pairs, "frame long, k long, x0 double, y0 double, x1 double, y1 double, wrong boolean")
+    found = consensus.inliers(d, kind, [F.xxhash64("k"), "k"])
+    assert {(r["frame"], r["k"]) for r in found.collect()} == {(g, k) for g in (1, 2) for k in range(200) if k % 10 >= 3}
+    fit = {"similarity": consensus.consensus_similarity, "affine": consensus.consensus_affine}[kind](d, [F.xxhash64("k"), "k"])
+    plain = {"similarity": match.estimate_similarity, "affine": match.estimate_affine}[kind](d.where("NOT wrong AND frame < 3"))
+    assert [tuple(r) for r in rows(fit, "frame")] == [tuple(pytest.approx(v) for v in r) for r in rows(plain, "frame")]
+
+
+@pytest.mark.parametrize("tile", [3, 128])
+def test_reconstruction_in_tiles(spark, tile):
+    """A winding way through many tiles, holes of one frame, missing cells: as by spreading over the whole grid."""
+    v = np.full((13, 13), 9.0)
+    for k in range(0, 13, 4):  # a way of low cells back and forth
+        v[k, :] = 1.0
+        v[k : k + 4, 12 if k % 8 == 0 else 0] = 1.0
+    v[6, 6] = 2.0  # a hole
+    cells = [(f, y, x, float(v[y, x]) + f) for f in range(2) for y in range(13) for x in range(13) if (f, y, x) != (1, 5, 5)]
+    d = spark.createDataFrame(cells, "frame long, y int, x int, v double")
+    for eight in (False, True):
+        got = {(r["frame"], r["y"], r["x"]): r["m"] for r in geodesic.geo_fill_holes(d, eight, tile).collect()}
+        for f in range(2):
+            own = {(y, x): 9 + f - c for g, y, x, c in cells if g == f}
+            m = {k: c if k[0] in (0, 12) or k[1] in (0, 12) else 0.0 for k, c in own.items()}
+            while True:
+                near = lambda k: [m[k[0] + i, k[1] + j] for i in (-1, 0, 1) for j in (-1, 0, 1) if (eight or not (i and j)) and (k[0] + i, k[1] + j) in m]  # noqa: E731, B023
+                new = {k: min(own[k], max(near(k))) for k in m}
+                if new == m:
+                    break
+                m = new
+            assert {k: got[f, *k] for k in own} == {k: 9 + f - c for k, c in m.items()}
+    assert got[0, 6, 6] == 9.0 and got[0, 0, 6] == 1.0
+
+
 def test_median_by_digits(spark):
     """Of groups of odd and even size, with ties, signs, zeros, infinities and nulls, and over all rows."""
     rng = np.random.default_rng(12)
