@@ -65,8 +65,7 @@ reg("windowed_rate_session", "firings", lambda v: _rate(v, kind="session", size=
 
 
 def _in_order(v: Views, view: str, order: str, f: Callable[[DataFrame], DataFrame], change: Callable[[DataFrame], DataFrame] = lambda d: d, width: int = 250_000) -> DataFrame:
-    stream, feed = replay_in_order(v.spark, v.sf_dir, view, order, change, width)
-    return finish(f(stream), feed=feed)
+    return finish(f(replay_in_order(v.spark, v.sf_dir, view, order, change, width)))
 
 
 reg("live_running_average", "signal", lambda v: rounded(_in_order(v, "signal", "ord", live.live_running_average, lambda d: d.select("series", "ord", F.col("v").cast("double").alias("v")))),

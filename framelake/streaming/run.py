@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,40 +32,55 @@ def replay(spark: SparkSession, sf_dir: str, view: str, change: Callable[[DataFr
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
 
 
-def replay_in_order(spark: SparkSession, sf_dir: str, view: str, order: str, change: Callable[[DataFrame], DataFrame] = lambda d: d, width: int = 250_000) -> tuple[DataFrame, Iterator[int]]:
-    """As replay, in parts of `width` of the order, so that a batch holds at most that many rows of a key. The files of a part come into the
-    stream's folder when the iterator is asked for it: the order of the parts doesn't hang on the times of files."""
+def replay_in_order(spark: SparkSession, sf_dir: str, view: str, order: str, change: Callable[[DataFrame], DataFrame] = lambda d: d, width: int = 250_000, key: str | None = None, files: int = 1) -> DataFrame:
+    """As replay, in parts of `width` of the order: a batch takes the files of a part, so it holds at most that many rows of a key.
+
+    A part is `files` files, dealt out by key. The times of files are set by their parts, and a stream takes files by time; the folder's file
+    system has to keep times that are set. If a part has fewer files, a batch may take the first of the next part too.
+    """
     path = scratch(spark, view)
     d = change(Views(spark, sf_dir)(view))
-    d.withColumn("__part", F.floor(F.col(order) / width).cast("long")).write.partitionBy("__part").parquet(f"{path}/parts")
+    dealt = F.pmod(F.xxhash64(key), F.lit(files)) if key else F.pmod(F.xxhash64(*d.columns), F.lit(files))
+    parted = d.withColumns({"__part": F.floor(F.col(order) / width).cast("long"), "__file": dealt if files > 1 else F.lit(0).cast("long")})
+    parted.repartition("__part", "__file").write.partitionBy("__part", "__file").parquet(path)
     jvm = spark.sparkContext._jvm
-    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(at(f"{path}/in"))
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(at) if s.isDirectory())  # a folder per part
+    first = jvm.java.lang.System.currentTimeMillis() - 1000 * len(parts)
+    for k, part in enumerate(parts):
+        found = fs.listFiles(jvm.org.apache.hadoop.fs.Path(at, f"__part={part}"), True)
+        while found.hasNext():
+            fs.setTimes(found.next().getPath(), first + 1000 * k, -1)
+    stream = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", files).option("maxFileAge", "36500d").option("recursiveFileLookup", "true")
+    return stream.parquet(path)
+
+
+def batch_sink(path: str, pick: Callable[[DataFrame], DataFrame] = lambda d: d) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: each batch is a folder by its number, written anew if the batch is tried again, so no row is there twice."""
+
+    def put(df: DataFrame, batch: int) -> None:
+        pick(df).write.mode("overwrite").parquet(f"{path}/__batch={batch}")
 
-    def feed() -> Iterator[int]:
-        for k in sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(at(f"{path}/parts")) if s.isDirectory()):
-            for i, s in enumerate(fs.listStatus(at(f"{path}/parts/__part={k}"))):
-                if s.getPath().getName().endswith(".parquet") and not fs.rename(s.getPath(), at(f"{path}/in/{k}-{i}.parquet")):
-                    raise OSError(f"{s.getPath()} can't be moved")
-            yield k
+    return put
 
-    return spark.readStream.schema(d.schema).parquet(f"{path}/in"), feed()
 
+def written(spark: SparkSession, path: str) -> DataFrame:
+    """What batch_sink() has written."""
+    return spark.read.parquet(path).drop("__batch")
 
-def finish(stream: DataFrame, mode: str = "append", pick: Callable[[DataFrame], DataFrame] = lambda d: d, feed: Iterator[int] | None = None) -> DataFrame:
-    """Run a stream over all there is and return what it has put out; in complete mode what it put out last. With feed, once for each of its parts, with the state kept between."""
+
+def finish(stream: DataFrame, mode: str = "append", pick: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+    """Run a stream over all there is and return what it has put out; in complete mode what it put out last."""
     spark = stream.sparkSession
-    path = scratch(spark, "stream")
-    if mode == "append":
-        def put(df: DataFrame, k: int) -> None:
-            pick(df).write.mode("append").parquet(f"{path}/out")
-    else:
-        def put(df: DataFrame, k: int) -> None:
-            pick(df).write.mode("overwrite").parquet(f"{path}/out")
-
-    ran = False
-    for _ in (0,) if feed is None else feed:
-        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
-        ran = True
-    return spark.read.parquet(f"{path}/out") if ran else pick(spark.createDataFrame([], stream.schema))
+    path, last = scratch(spark, "stream"), [-1]
+    put = batch_sink(f"{path}/out", pick)
+
+    def latest(df: DataFrame, batch: int) -> None:
+        put(df, batch)
+        last[0] = batch
+
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(latest).trigger(availableNow=True).start().awaitTermination()
+    if last[0] < 0:
+        return pick(spark.createDataFrame([], stream.schema))
+    return written(spark, f"{path}/out") if mode == "append" else spark.read.parquet(f"{path}/out/__batch={last[0]}")

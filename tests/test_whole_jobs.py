@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from framelake.operators import lidar, ordered
 from framelake.plans import catalog
-from framelake.sources.adapters import Views
+from framelake.sources.adapters import Views, with_views
 from framelake.streaming import live, run
 
 
@@ -45,13 +45,54 @@ def test_long_series_are_cut(spark):
 
 def test_streams_come_in_bounded_parts(spark, data):
     d, sizes = f"{data}/sf0.001", []
-    stream, feed = run.replay_in_order(spark, d, "firings", "pkt", width=100)
+    stream = run.replay_in_order(spark, d, "firings", "pkt", width=100)
 
     def pick(df):
         sizes.append(df.groupBy("sensor").count().agg(F.max("count")).first()[0])
         return df
 
-    got = run.finish(live.live_rotation_frames(stream, 9000), pick=pick, feed=feed)
+    got = run.finish(live.live_rotation_frames(stream, 9000), pick=pick)
     want = lidar.packet_frames(Views(spark, d)("firings"), seam=9000).select("sensor", "pkt", "frame")
     assert len(sizes) > 1 and max(sizes) <= 100
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_parts_of_several_files(spark, data):
+    """Files dealt out by key: still in order for each key, and a batch holds few rows of it."""
+    d, sizes = f"{data}/sf0.001", []
+    stream = run.replay_in_order(spark, d, "firings", "pkt", width=60, key="sensor", files=3)
+
+    def pick(df):
+        sizes.append(df.count())
+        return df
+
+    got = run.finish(live.live_rotation_frames(stream, 9000), pick=pick)
+    want = lidar.packet_frames(Views(spark, d)("firings"), seam=9000).select("sensor", "pkt", "frame")
+    assert len(sizes) > 1 and max(sizes) <= 2 * 3 * 60
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_batch_that_is_tried_again_is_there_once(spark, data, tmp_path):
+    stream = run.replay_in_order(spark, f"{data}/sf0.001", "firings", "pkt", width=100)
+    put, failed = run.batch_sink(str(tmp_path / "out")), []
+
+    def flaky(df, batch):
+        put(df, batch)
+        if batch == 1 and not failed:
+            failed.append(batch)
+            raise RuntimeError("after writing")
+
+    start = lambda: stream.writeStream.option("checkpointLocation", str(tmp_path / "state")).foreachBatch(flaky).trigger(availableNow=True).start()
+    with pytest.raises(Exception, match="after writing"):
+        start().awaitTermination()
+    start().awaitTermination()
+    assert failed == [1]
+    got, want = run.written(spark, str(tmp_path / "out")), Views(spark, f"{data}/sf0.001")("firings")
+    assert sorted(map(tuple, got.select("sensor", "pkt").collect())) == sorted(map(tuple, want.select("sensor", "pkt").collect()))
+
+
+def test_firings_are_numbered_in_parts(spark, data):
+    """The view's numbers by days are those of one window for each sensor."""
+    v = Views(spark, f"{data}/sf0.001")
+    plain = spark.sql(with_views("SELECT sensor, pkt, azimuth, toh FROM firings", "firings").replace("FROM events", f"FROM parquet.`{data}/sf0.001/events.parquet`"))
+    assert sorted(map(tuple, v("firings").select("sensor", "pkt", "azimuth", "toh").collect())) == sorted(map(tuple, plain.collect()))
