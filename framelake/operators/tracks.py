@@ -10,29 +10,52 @@ from pyspark.sql import types as T
 
 from framelake.functions.geometry import ecef_to_vehicle, geodesic_meters, vehicle_axes, vehicle_to_ecef
 from framelake.functions.scalar import angle_between, wrap_0_2pi, wrap_pi
-from framelake.operators.ordered import number_rows, previous, running_total, running_totals
+from framelake.operators.ordered import _same, number_rows, previous, running_total, running_totals
 from framelake.sources.storage import cut
 
 ANGLES = ("lon", "roll", "pitch", "yaw")
 
 
-def neighbours(queries: DataFrame, records: DataFrame, fields: Sequence[str], ts: str = "ts", by: Sequence[str] = (), bucket: float = 86400.0, depth: int = 1) -> DataFrame:
+#: Buckets of a track's records.
+BUCKETS = 256
+
+
+def _bucketed(queries: DataFrame, records: DataFrame, ts: str, by: Sequence[str], bucket: float | None, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Both with __k, a bucket of time that rises with it: of `bucket` seconds, or (None) between quantiles of each track's records, so that
+    a dense track fills no single one. The quantiles come from a sketch, an array for each track."""
+    if bucket is not None:
+        k = F.floor(F.col(ts) / bucket).cast("long")
+        return queries.withColumn("__k", k), records.withColumn("__k", k)
+    by, shares = list(by), [i / buckets for i in range(1, buckets)]
+    edges = records.groupBy(*by).agg(F.array_distinct(F.percentile_approx(F.col(ts).cast("double"), shares, 10 * buckets)).alias("__e"))
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(buckets.bit_length()))))
+    x = F.col(ts).cast("double")
+    # Edges at or below the time, by bisection; a track without records is one bucket.
+    place = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= F.size("__e")) & (F.get("__e", at + step - 1) <= x), at + step).otherwise(at))
+    out = []
+    for df in (queries, records):
+        known = _same(df, edges, by, "left") if by else df.crossJoin(F.broadcast(edges))  # one row
+        out.append(known.withColumn("__k", F.coalesce(F.when(F.col("__e").isNotNull(), place), F.lit(0)).cast("long")).drop("__e"))
+    return out[0], out[1]
+
+
+def neighbours(queries: DataFrame, records: DataFrame, fields: Sequence[str], ts: str = "ts", by: Sequence[str] = (), bucket: float | None = None, depth: int = 1, buckets: int = BUCKETS) -> DataFrame:
     """Each query with the last `depth` records at or before its time and the first `depth` records after it: p1, p2 and n1, n2 (structs of ts and fields, or null). depth is 1 or 2.
 
-    Records and queries meet in windows over (by, time bucket), never in one over all. A bucket's window also gets
+    Records and queries meet in windows over (by, time bucket), never in one over all; see _bucketed. A bucket's window also gets
     the records that come last before it and first after it, carried over from its neighbours; that carry is
     computed on one row per bucket.
     """
     by = list(by)
-    bucket_of = lambda c: F.floor(F.col(c) / bucket).cast("long")
-    rec = records.select(*by, bucket_of(ts).alias("__k"), F.struct(F.col(ts).alias("ts"), *fields).alias("__r"))
+    asked_at, rec = _bucketed(queries, records, ts, by, bucket, buckets)
+    rec = rec.select(*by, "__k", F.struct(F.col(ts).alias("ts"), *fields).alias("__r"))
     kind = T.ArrayType(rec.schema["__r"].dataType)
     none = F.array().cast(kind)
     # One row per bucket with its first and last records (at most `depth` of each leave the window below).
     w = Window.partitionBy(*by, "__k")
     ranked = rec.withColumns({"__i": F.row_number().over(w.orderBy("__r")), "__j": F.row_number().over(w.orderBy(F.col("__r").desc()))})
     ends = ranked.groupBy(*by, "__k").agg(F.array_sort(F.collect_list(F.when(F.col("__i") <= depth, F.col("__r")))).alias("__first"), F.array_sort(F.collect_list(F.when(F.col("__j") <= depth, F.col("__r")))).alias("__last"))
-    asked = queries.select(*by, bucket_of(ts).alias("__k")).distinct().withColumns({"__first": F.lit(None).cast(kind), "__last": F.lit(None).cast(kind)})
+    asked = asked_at.select(*by, "__k").distinct().withColumns({"__first": F.lit(None).cast(kind), "__last": F.lit(None).cast(kind)})
     buckets = ends.unionByName(asked).groupBy(*by, "__k").agg(F.coalesce(F.max("__first"), none).alias("__first"), F.coalesce(F.max("__last"), none).alias("__last"))
     over = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("__k")
     before, after = over.rowsBetween(Window.unboundedPreceding, -1), over.rowsBetween(1, Window.unboundedFollowing)
@@ -45,7 +68,7 @@ def neighbours(queries: DataFrame, records: DataFrame, fields: Sequence[str], ts
     row = F.struct(*queries.columns)
     row_type = queries.select(row.alias("q")).schema["q"].dataType
     events = rec.unionByName(carried).select(*by, "__k", F.col("__r.ts").cast("double").alias("__t"), F.lit(0).alias("__s"), "__r", F.lit(None).cast(row_type).alias("__q"))
-    points = queries.select(*by, bucket_of(ts).alias("__k"), F.col(ts).cast("double").alias("__t"), F.lit(1).alias("__s"), F.lit(None).cast(rec.schema["__r"].dataType).alias("__r"), row.alias("__q"))
+    points = asked_at.select(*by, "__k", F.col(ts).cast("double").alias("__t"), F.lit(1).alias("__s"), F.lit(None).cast(rec.schema["__r"].dataType).alias("__r"), row.alias("__q"))
     o = w.orderBy("__t", "__s", "__r")
     up, down = o.rowsBetween(Window.unboundedPreceding, 0), o.rowsBetween(0, Window.unboundedFollowing)
     both = events.unionByName(points)
@@ -59,7 +82,7 @@ def neighbours(queries: DataFrame, records: DataFrame, fields: Sequence[str], ts
     return both.withColumns(found).where("__s = 1").select("__q.*", *found)
 
 
-def interpolate_track(queries: DataFrame, track: DataFrame, ts: str = "ts", by: Sequence[str] = (), bucket: float = 86400.0, slack: float = 0.1, fields: Sequence[str] = ("lat", "lon", "alt", "roll", "pitch", "yaw")) -> DataFrame:
+def interpolate_track(queries: DataFrame, track: DataFrame, ts: str = "ts", by: Sequence[str] = (), bucket: float | None = None, slack: float = 0.1, fields: Sequence[str] = ("lat", "lon", "alt", "roll", "pitch", "yaw")) -> DataFrame:
     """Fields at a query's time: linear between its neighbours, angles by the shortest way; from the first or last two records beyond the ends. ok: not more than slack beyond."""
     # Records of one time are one; the one with the smallest values stands for them.
     one = track.groupBy(*by, ts).agg(F.min(F.struct(*fields)).alias("__f")).select(*by, ts, "__f.*")
@@ -78,7 +101,7 @@ def interpolate_track(queries: DataFrame, track: DataFrame, ts: str = "ts", by:
     return n.select(*queries.columns, *out, (beyond <= slack).alias("ok"))
 
 
-def nearest_record(queries: DataFrame, records: DataFrame, fields: Sequence[str], ts: str = "ts", by: Sequence[str] = (), bucket: float = 86400.0) -> DataFrame:
+def nearest_record(queries: DataFrame, records: DataFrame, fields: Sequence[str], ts: str = "ts", by: Sequence[str] = (), bucket: float | None = None) -> DataFrame:
     """The first record at or after a query's time; of records of one time that with the smallest fields."""
     one = records.groupBy(*by, ts).agg(F.min(F.struct(*fields)).alias("__f")).select(*by, ts, "__f.*")
     n = neighbours(queries, one, fields, ts, by, bucket)
@@ -91,7 +114,7 @@ def correct_track(track: DataFrame, roll: float = 0.0, pitch: float = 0.0, yaw:
     return track.withColumns({**moved, "ts": F.col("ts") + dt})
 
 
-def frame_times(frames: DataFrame, landmarks: DataFrame, bucket: float = 4096.0) -> DataFrame:
+def frame_times(frames: DataFrame, landmarks: DataFrame, bucket: float | None = None) -> DataFrame:
     """landmarks: frame, ts. The time of every frame (frame): linear between landmarks, by the end pairs beyond them."""
     n = neighbours(frames.withColumn("__f", F.col("frame").cast("double")), landmarks.select(F.col("frame").cast("double").alias("__f"), F.col("ts").cast("double").alias("time")), ("time",), "__f", (), bucket, depth=2)
     a = F.when(F.col("p1").isNull(), F.col("n1")).when(F.col("n1").isNull(), F.coalesce("p2", "p1")).otherwise(F.col("p1"))
@@ -101,7 +124,7 @@ def frame_times(frames: DataFrame, landmarks: DataFrame, bucket: float = 4096.0)
     return n.select(*frames.columns, (F.col("__a.time") + (F.col("__f") - F.col("__a.ts")) * slope).alias("ts"))
 
 
-def gpx_for_frame(frames: DataFrame, landmarks: DataFrame, track: DataFrame, bucket: float = 86400.0) -> DataFrame:
+def gpx_for_frame(frames: DataFrame, landmarks: DataFrame, track: DataFrame, bucket: float | None = None) -> DataFrame:
     """lat, lon and alt of every frame at its time; at the ends of the track its end points."""
     times = frame_times(frames, landmarks)
     ends = track.agg(F.min("ts").cast("double").alias("__t0"), F.max("ts").cast("double").alias("__t1"))
@@ -144,8 +167,8 @@ def _walked(groups: DataFrame, track: DataFrame, target: DataFrame, bucket: floa
     terms = {f"w{9 * i + 3 * j + k}": F.coalesce(turn[i][j] * step[k][0], F.lit(0.0)) for i in range(3) for j in range(3) for k in range(3)}
     known = cut(running_totals(d, [], ["ts"], terms, part).select("ts", "place", "roll", "pitch", "yaw", *SPEED, F.array(*terms).alias("sums")), "sums")
     fields = ("place", "roll", "pitch", "yaw", *SPEED, "sums")
-    here = neighbours(groups, known, fields, bucket=bucket).withColumnsRenamed({"p1": "__u", "n1": "__a"})
-    there = neighbours(target.select(F.col("__t_ts").alias("ts")), known, fields, bucket=bucket, depth=2)
+    here = neighbours(groups, known, fields).withColumnsRenamed({"p1": "__u", "n1": "__a"})
+    there = neighbours(target.select(F.col("__t_ts").alias("ts")), known, fields, depth=2)
     j = here.crossJoin(F.broadcast(there.select(F.col("p1").alias("__b"), F.col("n1").alias("__e"), F.col("n2").alias("__n")).limit(1)))  # one row
     speed = lambda side: [F.col(f"{side}{n}") for n in SPEED]
     way = lambda dt, v, w: [[0.5 * dt * (x + y)] for x, y in zip(v, w, strict=True)]
@@ -189,7 +212,7 @@ def ego_motion_compensate(points: DataFrame, track: DataFrame, target: DataFrame
     fields = POSE if method == "gps" else (*POSE, *SPEED)
     grouped = points.withColumn("__g", F.floor(F.col("t") / step))
     asked = grouped.select("__g").distinct().withColumn("ts", (F.col("__g") + 0.5) * step)
-    poses = interpolate_track(asked, track.withColumn("ts", F.col("ts").cast("double")), bucket=bucket, fields=fields).drop("ok")
+    poses = interpolate_track(asked, track.withColumn("ts", F.col("ts").cast("double")), fields=fields).drop("ok")
     t = target.select(*(F.col(c).cast("double").alias(f"__t_{c}") for c in (*fields, *(("ts",) if method != "gps" else ()))))
     if method == "gps":
         j = grouped.join(poses.drop("ts"), "__g").crossJoin(F.broadcast(t))  # one row

@@ -263,3 +263,18 @@ reg("formula_functions", "signal", lambda v: formula(v("signal").selectExpr("id"
     """WITH s AS (SELECT id, (CAST(v AS DOUBLE) - 50) / 7 AS a, CAST(id % 23 - 11 AS DOUBLE) / 3 AS b FROM signal)
        SELECT id, round(CASE WHEN b = 0 THEN 1 ELSE sin(b) / b END + exp(-b * b / 2) * (a - 2 * pi() * floor(a / (2 * pi()))) - (pi() - ((pi() - (b - a)) - 2 * pi() * floor((pi() - (b - a)) / (2 * pi())))) + greatest(a - b, 0e0) + (a * b + 2)
        + CASE WHEN b <> 0 THEN abs(a) * CASE WHEN b < 0 THEN -1 ELSE 1 END ELSE pow(2e0, b) END + (0.114e0 * a + 0.587e0 * b + 0.299e0), 6) AS out FROM s""")
+
+
+def _drawn(v):
+    """Random draws by seed and id, of which each frame's bounds and moments are known."""
+    d = formula(formula(v("samples").selectExpr("frame", "y", "x", "c", "v"), "rand(2, 5)", "u", 7), "noise(10, 3)", "g", 8)
+    again = formula(v("samples").selectExpr("frame", "y", "x", "c", "v").repartition(3, "x"), "rand(2, 5)", "u", 7)
+    same = again.groupBy("frame").agg(F.round(F.sum("u"), 6).alias("again"))
+    each = d.groupBy("frame").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if((F.col("u") >= 2) & (F.col("u") < 5)).alias("inside"), (F.abs(F.avg("u") - 3.5) < 0.7).alias("centred"), (F.abs(F.avg("g") - 10) < 2).alias("around"),
+        (F.abs(F.stddev_pop("g") - 3) < 1.5).alias("spread"), F.round(F.sum("u"), 6).alias("once"),
+    )
+    return each.join(same, "frame").select("frame", "n", "inside", "centred", "around", "spread", (F.abs(F.col("once") - F.col("again")) < 1e-3).alias("repeats"))
+
+
+reg("fn_random", "samples", _drawn, "SELECT frame, count(*) AS n, count(*) AS inside, true AS centred, true AS around, true AS spread, true AS repeats FROM samples GROUP BY frame")

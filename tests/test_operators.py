@@ -303,6 +303,22 @@ def test_reconstruction_in_tiles(spark, tile):
     assert got[0, 6, 6] == 9.0 and got[0, 0, 6] == 1.0
 
 
+def test_dense_tracks_fill_no_single_bucket(spark):
+    """Nearly all records of a track in one second: buckets between its quantiles hold a few each; the neighbours are those of wide buckets."""
+    rec = [(1, 1000 + k / 5000) for k in range(5000)] + [(1, 86_400.0 * k) for k in range(2, 60)] + [(2, 50.0 * k) for k in range(40)] + [(None, 3.0)]
+    records = spark.createDataFrame([(b, t, k) for k, (b, t) in enumerate(rec)], "track long, ts double, v long")
+    asked = [(1, 900.0), (1, 1000.5), (1, 1000.50005), (1, 999_999.0), (1, 9e9), (2, -5.0), (2, 60.0), (2, 1950.0), (3, 1.0), (None, 2.0)]
+    q = spark.createDataFrame([(b, t, k) for k, (b, t) in enumerate(asked)], "track long, ts double, id long")
+    _, held = tracks._bucketed(q, records, "ts", ["track"], None, 64)
+    assert held.groupBy("track", "__k").count().agg(F.max("count")).first()[0] <= 2 * 5058 / 64
+    assert held.where("track = 1").select("__k").distinct().count() >= 50
+    order = held.groupBy("track", "__k").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).where("track = 1").orderBy("__k").collect()
+    assert all(x["b"] < y["a"] for x, y in zip(order, order[1:], strict=False))
+    for depth in (1, 2):
+        plain, cut = (rows(tracks.neighbours(q, records, ["v"], by=["track"], bucket=b, depth=depth, buckets=64), "id") for b in (1e12, None))
+        assert plain == cut and len(cut) == len(asked)
+
+
 def test_median_by_digits(spark):
     """Of groups of odd and even size, with ties, signs, zeros, infinities and nulls, and over all rows."""
     rng = np.random.default_rng(12)
@@ -323,6 +339,10 @@ def test_random_functions(spark):
     d = formula.formula(formula.formula(spark.range(20_000), "rand(2, 5)", "u"), "noise(10, 3)", "g")
     r = d.agg(F.min("u"), F.max("u"), F.avg("u"), F.avg("g"), F.stddev("g")).first()
     assert 2 <= r[0] < 2.01 and 4.99 < r[1] < 5 and r[2] == pytest.approx(3.5, abs=0.05) and r[3] == pytest.approx(10, abs=0.15) and r[4] == pytest.approx(3, abs=0.15)
+    d = spark.range(1000).withColumn("k", F.col("id") * 2)
+    one, two, other = (rows(formula.formula(x, "rand(0, 1) + rand(0, 1)", "u", seed, ["id"]).select("id", "u"), "id") for x, seed in ((d, 1), (d.repartition(7, "k"), 1), (d, 2)))
+    assert one == two != other and len({u for _, u in one}) == 1000  # by seed and key, not by partition
+    assert np.corrcoef([u for _, u in one], [u for _, u in other])[0, 1] == pytest.approx(0, abs=0.12)
 
 
 def test_chain_goes_on_after_a_failing_step(spark, two_frames):
