@@ -117,13 +117,16 @@ def flat_field(df: DataFrame, by: Sequence[str] = PLACE, value: str = "v", valid
     return j.select(*by, F.when(F.col("__m") != 0, F.col("dark") / F.col("__m")).otherwise(1.0).alias("flat"))
 
 
-def hdr_blend(a: DataFrame, b: DataFrame, value: str = "v", saturation: float = 0.8) -> DataFrame:
-    """Two exposures (y, x, value in 0 to 1). The second is brought to the first by the mean log ratio of samples unsaturated in both; weights w0 = a, w1 = 1 - a, squared."""
-    j = a.select("y", "x", F.col(value).cast("double").alias("a")).join(b.select("y", "x", F.col(value).cast("double").alias("b")), ["y", "x"])
+def hdr_blend(a: DataFrame, b: DataFrame, value: str = "v", saturation: float = 0.8, by: Sequence[str] = ()) -> DataFrame:
+    """Two exposures (y, x, value in 0 to 1). The second is brought to the first by the mean log ratio of samples unsaturated in both; weights w0 = a, w1 = 1 - a, squared.
+    With `by` (columns of both) many pairs of exposures."""
+    keys = [*by, "y", "x"]
+    j = a.select(*keys, F.col(value).cast("double").alias("a")).join(b.select(*keys, F.col(value).cast("double").alias("b")), keys)
     both = (F.col("a") < saturation) & (F.col("b") < saturation) & (F.col("a") > 0) & (F.col("b") > 0)
-    offset = j.agg(F.coalesce(F.avg(F.when(both, F.ln("a") - F.ln("b"))), F.lit(0.0)).alias("__o"))
+    offset = j.groupBy(*by).agg(F.coalesce(F.avg(F.when(both, F.ln("a") - F.ln("b"))), F.lit(0.0)).alias("__o"))
     w0, w1 = F.col("a") * F.col("a"), (1 - F.col("a")) * (1 - F.col("a"))
-    return j.crossJoin(F.broadcast(offset)).select("y", "x", ((w0 * F.col("a") + w1 * F.col("b") * F.exp("__o")) / (w0 + w1)).alias("v"))  # one row
+    known = j.join(offset, list(by)) if by else j.crossJoin(F.broadcast(offset))  # one row
+    return known.select(*keys, ((w0 * F.col("a") + w1 * F.col("b") * F.exp("__o")) / (w0 + w1)).alias("v"))
 
 
 def voxel_accumulate(points: DataFrame, cell: float = 0.1, low: tuple[float, float, float] = (-500.0, -500.0, -10.0), high: tuple[float, float, float] = (500.0, 500.0, 20.0), values: Sequence[str] = ("r", "t")) -> DataFrame:

@@ -271,11 +271,11 @@ def radial_profile(df: DataFrame, cx: float, cy: float, scale: float = 1.0, by:
     return df.groupBy(*by, r.alias("r")).agg(mean(value).alias("mean"), F.count(value).alias("n"))
 
 
-def correlation(a: DataFrame, b: DataFrame, on: Sequence[str] = ("y", "x"), value: str = "v") -> DataFrame:
-    """Of two frames' samples at common places."""
+def correlation(a: DataFrame, b: DataFrame, on: Sequence[str] = ("y", "x"), value: str = "v", by: Sequence[str] = ()) -> DataFrame:
+    """Of two frames' samples at common places; with `by` (columns of both, among `on`) a row for each of many pairs of frames."""
     j = a.select(*on, F.col(value).cast("double").alias("a")).join(b.select(*on, F.col(value).cast("double").alias("b")), list(on))
     spread = F.stddev_pop("a") * F.stddev_pop("b")
-    return j.agg(F.count(F.lit(1)).alias("n"), F.when(spread > 0, F.covar_pop("a", "b") / spread).otherwise(0.0).alias("correlation"))
+    return j.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(spread > 0, F.covar_pop("a", "b") / spread).otherwise(0.0).alias("correlation"))
 
 
 def anscombe_params(df: DataFrame, bright: Column, dark: Column, value: str = "v", residual: str = "residual") -> DataFrame:

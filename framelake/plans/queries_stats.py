@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framelake.functions import pixels as px
-from framelake.operators import ordered, select, stack, stats, thresholds, topk
+from framelake.operators import ordered, regression, select, stack, stats, thresholds, topk
 from framelake.plans.base import r, reg, rounded
 
 _V = "CAST(v AS DOUBLE)"
@@ -154,3 +154,52 @@ reg("gradient_direction_histogram", "pixels", lambda v: rounded(stats.gradient_d
     """WITH g AS (SELECT frame, CAST(lead(v) OVER a - lag(v) OVER a AS DOUBLE) / 2 AS gx, CAST(lead(v) OVER b - lag(v) OVER b AS DOUBLE) / 2 AS gy FROM pixels WINDOW a AS (PARTITION BY frame, y ORDER BY x), b AS (PARTITION BY frame, x ORDER BY y)),
        d AS (SELECT frame, degrees(atan2(gy, gx)) + 45 AS a, sqrt(gx * gx + gy * gy) AS s FROM g WHERE gx IS NOT NULL AND gy IS NOT NULL) SELECT frame, CAST(floor((a - 180 * floor(a / 180)) * 2 + 1e-9) AS INT) % 360 AS bin, round(sum(s), 3) AS weight FROM d GROUP BY 1, 2""")
 reg("stacking_weights_mtf", "pixels", lambda v: stack.stack_average(v("pixels").select("y", "x", F.lit(0).alias("c"), px.to_unit_float("v", 16).alias("v"))).select("y", "x", r("mean").alias("mean"), "n"), "SELECT y, x, round(avg(CAST(v AS DOUBLE) / 65536), 6) AS mean, count(v) AS n FROM pixels GROUP BY y, x")
+
+
+# Each frame against the one after it
+
+
+def _next(v):
+    return v("pixels").where("valid"), v("pixels").where("valid").withColumn("frame", F.col("frame") - 1)
+
+
+reg("correlation_successive", "pixels", lambda v: rounded(stats.correlation(*_next(v), on=("frame", "y", "x"), by=("frame",)), 7),
+    """SELECT frame, count(*) AS n, round(CASE WHEN stddev_pop(CAST(a.v AS DOUBLE)) * stddev_pop(CAST(b.v AS DOUBLE)) > 0 THEN covar_pop(CAST(a.v AS DOUBLE), CAST(b.v AS DOUBLE)) / (stddev_pop(CAST(a.v AS DOUBLE)) * stddev_pop(CAST(b.v AS DOUBLE))) ELSE 0 END, 7) AS correlation
+       FROM (SELECT * FROM pixels WHERE valid) a JOIN (SELECT frame - 1 AS frame, y, x, v FROM pixels WHERE valid) b USING (frame, y, x) GROUP BY frame""")
+
+
+def _exposures(v):
+    p = v("pixels")
+    return p.select("frame", "y", "x", (F.col("v").cast("double") / 105000.0).alias("v")), p.select((F.col("frame") - 1).alias("frame"), "y", "x", (F.col("v").cast("double") / 120000.0).alias("v"))
+
+
+reg("hdr_blend_successive", "pixels", lambda v: rounded(stack.hdr_blend(*_exposures(v), by=("frame",))),
+    """WITH j AS (SELECT frame, y, x, CAST(p.v AS DOUBLE) / 105000e0 AS a, CAST(q.v AS DOUBLE) / 120000e0 AS b FROM pixels p JOIN (SELECT frame - 1 AS frame, y, x, v FROM pixels) q USING (frame, y, x)),
+       o AS (SELECT frame, coalesce(avg(ln(a) - ln(b)) FILTER (a < 0.8e0 AND b < 0.8e0 AND a > 0 AND b > 0), 0) AS o FROM j GROUP BY frame)
+       SELECT frame, y, x, round((a * a * a + (1 - a) * (1 - a) * b * exp(o)) / (a * a + (1 - a) * (1 - a)), 6) AS v FROM j JOIN o USING (frame)""")
+
+# Fits per key
+
+_LINE = "SELECT series, CAST(ord AS DOUBLE) AS x, CAST(v AS DOUBLE) AS y, CAST(id % 4 + 1 AS DOUBLE) AS w FROM signal"
+
+
+def _line(v):
+    return v("signal").select("series", F.col("ord").cast("double").alias("x"), F.col("v").cast("double").alias("y"), (F.col("id") % 4 + 1).alias("w"))
+
+
+reg("line_fit", "signal", lambda v: rounded(regression.line_fit(_line(v), weight="w"), 4),
+    f"""WITH d AS ({_LINE}), s AS (SELECT series, count(*) AS n, sum(w) AS sw, sum(w*x) AS sx, sum(w*y) AS sy, sum(w*x*x) AS sxx, sum(w*x*y) AS sxy, sum(w*y*y) AS syy FROM d GROUP BY series),
+        f AS (SELECT *, (sw*sxy - sx*sy) / (sw*sxx - sx*sx) AS slope FROM s WHERE n > 1 AND sw*sxx - sx*sx > 0), g AS (SELECT *, (sy - slope*sx) / sw AS shift FROM f), h AS (SELECT *, syy - slope*sxy - shift*sy AS rss, sw*syy - sy*sy AS tss FROM g)
+        SELECT series, round(shift, 4) AS shift, round(slope, 4) AS slope, round(greatest(rss, 0) / sw, 4) AS stdev2, round(CASE WHEN tss > 0 AND rss > 0 THEN 1 - rss*sw/tss ELSE 1 END, 4) AS r2, n FROM h""")
+reg("slope_fit", "signal", lambda v: rounded(regression.slope_fit(_line(v), weight="w"), 4),
+    f"""WITH d AS ({_LINE}), s AS (SELECT series, count(*) AS n, sum(w) AS sw, sum(w*w) AS sww, sum(w*x*x) AS sxx, sum(w*x*y) AS sxy, sum(w*y*y) AS syy FROM d GROUP BY series), f AS (SELECT *, sxy / sxx AS slope, sw - sww / sw AS free FROM s WHERE sxx > 0), g AS (SELECT *, syy - slope*sxy AS rss FROM f)
+        SELECT series, round(slope, 4) AS slope, round(CASE WHEN free > 0 AND rss > 0 THEN rss / free ELSE 0 END, 4) AS stdev2, round(CASE WHEN syy > 0 THEN slope*sxy/syy ELSE 1 END, 4) AS r2, n FROM g""")
+reg("two_factor_fit", "samples", lambda v: rounded(regression.two_factor_fit(v("samples").where("valid"), ("frame",), "y", "x", "v", "w"), 3),
+    """WITH s AS (SELECT frame, count(*) AS n, sum(w*y*y) AS pp, sum(w*y*x) AS pq, sum(w*x*x) AS qq, sum(w*y*b) AS pb, sum(w*x*b) AS qb FROM (SELECT frame, CAST(y AS DOUBLE) AS y, CAST(x AS DOUBLE) AS x, CAST(v AS DOUBLE) AS b, CAST(w AS DOUBLE) AS w FROM samples WHERE valid) GROUP BY frame)
+       SELECT frame, round((qq*pb - pq*qb) / (pp*qq - pq*pq), 3) AS a0, round((pp*qb - pq*pb) / (pp*qq - pq*pq), 3) AS a1, n FROM s WHERE pp*qq - pq*pq <> 0""")
+# The quadratic through moments about the mean, another way to the same fit
+reg("quadratic_fit", "samples", lambda v: rounded(regression.quadratic_fit(v("samples").where("valid"), ("frame",), "x", "v"), 2),
+    """WITH d AS (SELECT frame, CAST(x AS DOUBLE) AS x, CAST(v AS DOUBLE) AS y FROM samples WHERE valid), m AS (SELECT *, avg(x) OVER (PARTITION BY frame) AS mx FROM d),
+       c AS (SELECT frame, any_value(mx) AS mx, count(*) AS n, avg(y) AS my, avg(pow(x - mx, 2)) AS u2, avg(pow(x - mx, 3)) AS u3, avg(pow(x - mx, 4)) AS u4, avg((x - mx) * y) AS v1, avg(pow(x - mx, 2) * y) AS v2 FROM m GROUP BY frame),
+       e AS (SELECT *, u2 * (u4 - u2 * u2) - u3 * u3 AS det FROM c), f AS (SELECT *, (u2 * (v2 - u2 * my) - u3 * v1) / det AS q, ((u4 - u2 * u2) * v1 - u3 * (v2 - u2 * my)) / det AS l FROM e WHERE det > 0), g AS (SELECT *, my - q * u2 AS k FROM f)
+       SELECT frame, round(k - l * mx + q * mx * mx, 2) AS a0, round(l - 2 * q * mx, 2) AS a1, round(q, 2) AS a2, n FROM g""")

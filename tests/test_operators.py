@@ -14,7 +14,7 @@ from framelake.functions import formula
 from framelake.functions import geometry as geo
 from framelake.functions import pixels as px
 from framelake.functions import scalar as sc
-from framelake.operators import consensus, geodesic, joins, lidar, match, nearest, ordered, select, stack, stats, thresholds, topk, tracks
+from framelake.operators import consensus, geodesic, joins, lidar, match, nearest, ordered, regression, select, stack, stats, thresholds, topk, tracks
 from framelake.plans.chains import run_chain
 from framelake.sources import catalog as src
 from framelake.sources.adapters import Views
@@ -319,6 +319,28 @@ def test_dense_tracks_fill_no_single_bucket(spark):
         assert plain == cut and len(cut) == len(asked)
 
 
+def test_fits_per_key(spark):
+    """Against NumPy, weights and nulls included; keys that don't determine a fit have no row."""
+    rng = np.random.default_rng(4)
+    data = [(s, float(x), float(2 + 0.5 * x - 0.1 * x * x + e), float(w)) for s in (1, 2) for x, e, w in zip(rng.uniform(-5, 9, 60), rng.normal(0, 0.3, 60), rng.integers(1, 5, 60), strict=True)]
+    d = spark.createDataFrame([*data, (1, None, 3.0, 1.0), (2, 1.0, None, 1.0), (2, 1.0, 1.0, None), (3, 4.0, 5.0, 1.0), (4, 2.0, 1.0, 1.0), (4, 2.0, 3.0, 1.0)], "series long, x double, y double, w double")
+    line = {r["series"]: r for r in regression.line_fit(d, weight="w").collect()}
+    quad = {r["series"]: r for r in regression.quadratic_fit(d, weight="w").collect()}
+    slope = {r["series"]: r for r in regression.slope_fit(d, weight="w").collect()}
+    two = {r["series"]: r for r in regression.two_factor_fit(d.withColumn("x1", F.col("x") * F.col("x")), x0="x", x1="x1", weight="w").collect()}
+    assert set(line) == set(quad) == set(two) == {1, 2} and set(slope) == {1, 2, 3, 4} and slope[3]["slope"] == pytest.approx(1.25)
+    for s in (1, 2):
+        x, y, w = (np.array(c) for c in zip(*((x, y, w) for k, x, y, w in data if k == s), strict=True))
+        k = np.sqrt(w)
+        fit = lambda columns: np.linalg.lstsq(np.stack(columns, 1) * k[:, None], y * k, rcond=None)[0]  # noqa: E731, B023
+        one = np.ones_like(x)
+        assert (line[s]["shift"], line[s]["slope"]) == pytest.approx(tuple(fit([one, x]))) and line[s]["n"] == 60
+        rss = (w * (y - line[s]["shift"] - line[s]["slope"] * x) ** 2).sum()
+        assert line[s]["stdev2"] == pytest.approx(rss / w.sum()) and line[s]["r2"] == pytest.approx(1 - rss / (w * (y - np.average(y, weights=w)) ** 2).sum())
+        assert [quad[s][f"a{i}"] for i in range(3)] == pytest.approx(fit([one, x, x * x]).tolist())
+        assert slope[s]["slope"] == pytest.approx(fit([x])[0]) and (two[s]["a0"], two[s]["a1"]) == pytest.approx(tuple(fit([x, x * x])))
+
+
 def test_median_by_digits(spark):
     """Of groups of odd and even size, with ties, signs, zeros, infinities and nulls, and over all rows."""
     rng = np.random.default_rng(12)
