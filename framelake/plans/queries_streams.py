@@ -91,3 +91,22 @@ _CHAIN = """[{"step": "push", "name": "raw"}, {"step": "filter", "expr": "valid"
              {"step": "clip", "low": 5000.0, "high": 40000.0}, {"step": "average", "by": ["y", "x"]}]"""
 reg("processor_chain", "samples", lambda v: rounded(run_chain(v("samples"), _CHAIN), 5),
     "SELECT y, x, round(avg(least(greatest(CAST(v AS DOUBLE) / 3, 5000), 40000)), 5) AS mean, count(*) AS n FROM samples WHERE valid GROUP BY y, x")
+
+# A longer chain: edges of bright places against a stored average
+_EDGES = """[{"step": "Average", "by": ["y", "x"]}, {"step": "select", "exprs": ["y", "x", "mean AS v"]}, {"step": "push", "name": "average"}]"""
+_CALC = """[{"step": "filter", "expr": "valid"}, {"step": "Frame_Calc", "other": "average", "name": "subtract", "on": ["y", "x"]}, {"step": "pixel_func", "name": "abs"}, {"step": "no_such_column_step", "enabled": false},
+            {"step": "anscombe", "gain": 2.0, "out": "a"}, {"step": "gradient", "axis": "x", "value": "a", "out": "g"}, {"step": "local_variance", "r": 2, "axis": "y", "value": "a", "out": "var"},
+            {"step": "select_pixels", "expr": "v > 5000"}, {"step": "combine_selection", "mode": "AND", "new": "var > 100"}]"""
+
+
+def _edges(v: Views) -> DataFrame:
+    frames: dict[str, DataFrame] = {}
+    run_chain(v("samples"), _EDGES, frames)
+    out = run_chain(v("pixels"), _CALC, frames)
+    return out.groupBy("frame").agg(F.count(F.lit(1)).alias("n"), F.count_if("sel").alias("chosen"), r(F.avg("g"), 4).alias("g"), r(F.avg("var"), 3).alias("var"))
+
+
+reg("processor_chain_edges", "samples pixels", _edges,
+    f"""WITH av AS (SELECT y, x, {_MEAN} AS m FROM samples GROUP BY y, x), d AS (SELECT frame, y, x, abs(CAST(p.v AS DOUBLE) - m) AS v FROM pixels p JOIN av USING (y, x) WHERE valid),
+        a AS (SELECT *, 2 * sqrt(2 * v + 0.375e0) AS a FROM d), g AS (SELECT *, (lead(a) OVER w - lag(a) OVER w) / 2 AS g, var_pop(a) OVER (PARTITION BY frame, x ORDER BY y ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS var FROM a WINDOW w AS (PARTITION BY frame, y ORDER BY x))
+        SELECT frame, count(*) AS n, count(*) FILTER (v > 5000 AND var > 100) AS chosen, round(avg(g), 4) AS g, round(avg(var), 3) AS var FROM g GROUP BY frame""")

@@ -15,7 +15,7 @@ from framelake.functions import geometry as geo
 from framelake.functions import pixels as px
 from framelake.functions import scalar as sc
 from framelake.operators import consensus, geodesic, joins, lidar, match, nearest, ordered, regression, select, stack, stats, thresholds, topk, tracks
-from framelake.plans.chains import run_chain
+from framelake.plans.chains import STEPS, run_chain
 from framelake.sources import catalog as src
 from framelake.sources.adapters import Views
 
@@ -367,6 +367,31 @@ def test_random_functions(spark):
     assert np.corrcoef([u for _, u in one], [u for _, u in other])[0, 1] == pytest.approx(0, abs=0.12)
 
 
+def test_every_step_of_chains_runs(spark, caplog):
+    """Each by name, in any case, with the least it needs; none is left out."""
+    d = spark.createDataFrame([(f, y, x, float(f + y * x % 7), 1.0, True, 1.0 * x, 2.0 * y, 3.0, x, 0.5 * x, float(y)) for f in range(2) for y in range(6) for x in range(6)],
+                              "frame long, y int, x int, v double, w double, valid boolean, v0 double, v1 double, v2 double, ord int, dx double, dy double")
+    d = d.withColumns({"series": F.col("frame") * 10 + F.col("y"), "sharpness": F.col("v"), "azimuth": F.col("v0") / 10, "laser_ring": F.col("y"), "depth": F.col("v"), "sel": F.lit(True), "c": F.lit(0), "kp": F.col("x"), "response": F.col("v"), "q": F.col("v"), "label": F.col("y"), "area": F.col("x") + 4, "n": F.col("x"), "a": F.col("v0") + 1, "b": F.col("v1") + 1, "elongation": F.lit(1.0)})
+    needs = {
+        "push": {"name": "k"}, "pop": {"name": "kept"}, "filter": {"expr": "v > 1"}, "column": {"name": "z", "expr": "v + 1"}, "clip": {"low": 0, "high": 3}, "average": {"by": ["y", "x"]}, "threshold": {"limit": 2}, "combine_selection": {"mode": "OR", "new": "v > 2"},
+        "pixel_func": {"name": "sqrt"}, "math_expression": {"expr": "v + x"}, "frame_calc": {"other": "kept", "name": "add", "on": ["frame", "y", "x"]}, "merge": {"other": "kept"}, "select": {"exprs": ["frame", "v"]},
+        "neighbourhood_average": {"r": 1, "axis": "y"}, "gradient": {"axis": "y"}, "convolve_1d": {"kernel": [0.25, 0.5, 0.25]}, "lowpass": {"sigma": 1.0}, "dog": {"s1": 1.0, "s2": 2.0}, "highpass": {"sigma": 1.0}, "rolling_median": {"r": 1}, "median_hat": {"r": 1},
+        "median_outlier_replace": {"k": 3.0}, "morph": {"op": "open", "axes": ["x", "y"]}, "local_minmax": {"r": 1}, "local_peak": {"r": 1}, "local_variance": {"r": 1}, "frame_interval": {"by": ["y", "x"], "ts": "frame"}, "dropped_frames": {"by": ["y"], "index": "frame"},
+        "bad_rows": {"threshold": 1.0}, "select_pixels": {"expr": "v > 1"}, "line_profile": {"x0": 0, "y0": 0, "x1": 5, "y1": 5}, "point_expression": {"expr": "v + 1", "out": "z"}, "color_saturation": {"scale": 0.5}, "range_normalize": {"omin": 0, "omax": 1},
+        "normalize_mean_stdev": {"k": 1.0, "omin": 0, "omax": 1}, "flow_to_hsv": {"dx": "dx", "dy": "dy"}, "crop": {"x": 1, "y": 1, "width": 3, "height": 3}, "flip": {"width": 6, "height": 6}, "rotate90": {"width": 6, "height": 6}, "grid_downsample": {"k": 2},
+        "range_bin": {"resolution": 0.1}, "saturate": {"depth": "8u"}, "convert_depth": {"to": "8u"}, "to_unit_float": {"bpp": 8}, "pow_gamma": {"gamma": 2.0}, "extract_channel": {"mode": "max"}, "reduce_channels": {"kind": "avg"}, "color_diff": {"channel": 1}, "color_balance": {"alpha": 0.1},
+        "scale_channels": {"stretch": [1, 2, 3], "shift": [0, 0, 1]}, "convert_color": {"kind": "hsv"}, "desaturate_shadows": {"wmin": 0.1, "wmax": 0.5}, "histogram": {"minv": 0.0, "maxv": 8.0, "bins": 4}, "top_keypoints": {"n": 2}, "best_percent": {"p": 50},
+        "drop_parasitic_returns": {}, "clear_mask": {}, "interpolate_gaps": {}, "rank_frames": {},
+    }
+    failed = {}
+    for name in sorted(STEPS):
+        caplog.clear()
+        run_chain(d, [{"step": name.upper(), **needs.get(name, {})}], {"kept": d})
+        if caplog.records:
+            failed[name] = caplog.records[0].getMessage()[:200]
+    assert failed == {} and len(STEPS) > 75
+
+
 def test_chain_goes_on_after_a_failing_step(spark, two_frames):
     got = run_chain(two_frames, [{"step": "filter", "expr": "no_such_column > 1"}, {"step": "column", "name": "k", "expr": "v * 2"}, {"step": "pop", "name": "nothing"}])
     assert got.columns[-1] == "k" and got.count() == two_frames.count()
