@@ -4,10 +4,14 @@ Inputs of a score: hashed words of the whole text (logarithmic counts, scaled to
 its structure, and the table's n_chars. The pairwise part is computed in linear time,
 sum over f of ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2) / 2. The model is fitted on at most `sample` labelled
 rows, those with the smallest hash of their doc_id, and has a fixed size, so it can go to every executor.
+Scores are calibrated (Platt, "Probabilistic Outputs for Support Vector Machines", 1999): two machines, each fitted on
+half of the labelled rows, score the other half, and the logistic curve that fits these scores best is laid over the scores of
+the machine fitted on all. Otherwise few examples of one kind give scores too near to the middle.
 
 Defined cases: null and empty texts get the score of their (empty) inputs. A null n_chars counts as 0. Rows of
 labels with a null or another value than 0 and 1 are ignored; a doc_id labelled twice counts as 0 if one label
-is 0, a labelled doc_id that repeats is learnt from once (the row with the smallest hash). Without labels of both kinds every score is the share of label 1 (0.5 without any).
+is 0, a labelled doc_id that repeats is learnt from once (the row with the smallest hash). Without labels of both kinds
+every score is the share of label 1 (0.5 without any); with fewer than two of a kind scores aren't calibrated.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from framelake.llm._shared import small_batches
 
 SAMPLE, DIMENSIONS, RANK, THRESHOLD = 12_000, 1 << 13, 8, 0.3
 #: Structure statistics, after the hashed words.
-STATS = 14
+STATS = 15
 _SYMBOLS = b"#*$%&|<>"
 _UPPER, _DIGITS, _STOPS = bytes(range(65, 91)), b"0123456789", b".,;:!?"
 
@@ -55,25 +59,34 @@ def inputs(text: str | None, n_chars: float | None) -> tuple[np.ndarray, np.ndar
     lines = [x for x in data.split(b"\n") if x.split()]
     most = max(counts.values(), default=0)
     pairs = len(set(zip(words, words[1:], strict=False)))
+    again = sum(map(bytes.__eq__, words, words[1:]))  # words equal to the one before
     chars = 0 if n_chars is None or n_chars != n_chars else max(0, n_chars)
     stats = (1, log1p(n) / 10, log1p(chars) / 12, min(solid / max(n, 1), 30) / 10, share(_SYMBOLS), share(_UPPER), share(_DIGITS), share(_STOPS), 2 * share(b"!"), 2 * share(b"|"),
-             len(counts) / max(n, 1), most / max(n, 1), pairs / max(n - 1, 1), len(set(lines)) / max(len(lines), 1))
+             len(counts) / max(n, 1), most / max(n, 1), pairs / max(n - 1, 1), again / max(n - 1, 1), len(set(lines)) / max(len(lines), 1))
     return np.concatenate([slots, np.arange(DIMENSIONS, DIMENSIONS + STATS, dtype=np.int32)]), np.concatenate([values, np.array(stats, np.float32)])
 
 
+def _logistic(z):
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 @dataclass
 class Model:
     bias: float
     linear: np.ndarray
     factors: np.ndarray
+    slope: float = 1.0
+    shift: float = 0.0
 
-    def score(self, at: np.ndarray, x: np.ndarray) -> float:
+    def margin(self, at: np.ndarray, x: np.ndarray) -> float:
         v = self.factors[at]
-        z = self.bias + self.linear[at] @ x + 0.5 * (((x @ v) ** 2).sum() - ((x * x) @ (v * v)).sum())
-        return float(1 / (1 + np.exp(-min(max(z, -30.0), 30.0))))
+        return float(self.bias + self.linear[at] @ x + 0.5 * (((x @ v) ** 2).sum() - ((x * x) @ (v * v)).sum()))
 
+    def score(self, at: np.ndarray, x: np.ndarray) -> float:
+        return float(_logistic(self.slope * self.margin(at, x) + self.shift))
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 6, rate: float = 0.08, decay: float = 1e-5, batch: int = 64, seed: int = 1) -> Model:
+
+def _machine(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 10, rate: float = 0.08, decay: float = 1e-5, batch: int = 64, seed: int = 1) -> Model:
     """Logistic loss, AdaGrad over small batches."""
     rng = np.random.default_rng(seed)
     size = DIMENSIONS + STATS
@@ -95,7 +108,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 6, rate: f
             vx = v * x[:, None]
             total = np.add.reduceat(vx, starts)
             z = bias + np.add.reduceat(linear[at] * x, starts) + 0.5 * (total**2 - np.add.reduceat(vx**2, starts)).sum(axis=1)
-            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - np.array([r[2] for r in some])).astype(np.float32) / len(some)
+            error = (_logistic(z) - np.array([r[2] for r in some])).astype(np.float32) / len(some)
             step = (error[owner] * x)[:, None]
             used, back = np.unique(at, return_inverse=True)
             grad_l = np.bincount(back, step[:, 0], len(used)).astype(np.float32) + decay * linear[used]
@@ -110,6 +123,36 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 6, rate: f
     return Model(bias, linear, factors)
 
 
+def _curve(z: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
+    """Slope and shift of the logistic curve through (z, y), by Newton's method on Platt's smoothed targets."""
+    z, ones = np.clip(z, -30, 30), y.sum()
+    target = np.where(y == 1, (ones + 1) / (ones + 2), 1 / (len(y) - ones + 2))
+    both, at = np.stack([z, np.ones_like(z)]), np.array([1.0, 0.0])
+    for _ in range(steps):
+        p = _logistic(at @ both)
+        step = np.linalg.solve((both * (p * (1 - p))) @ both.T + 1e-3 * np.eye(2), both @ (target - p))
+        at = at + step
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(at[0]), float(at[1])
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> Model:
+    """The machine of all rows, its scores calibrated on those that machines of one half give the other."""
+    model, y = _machine(rows), np.array([r[2] for r in rows], np.int64)
+    if min(y.sum(), len(y) - y.sum()) < 2:
+        return model
+    dealt = np.empty(len(y), np.int64)
+    dealt[np.argsort(y, kind="stable")] = np.arange(len(y)) % 2  # each kind is in both halves
+    z = np.empty(len(y))
+    for half in (0, 1):
+        other = _machine([r for r, k in zip(rows, dealt, strict=True) if k != half])
+        for i in np.flatnonzero(dealt == half):
+            z[i] = other.margin(*rows[i][:2])
+    slope, shift = _curve(z, y)
+    return Model(model.bias, model.linear, model.factors, slope, shift) if slope > 0 else model
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """A fifth of the rows, by their id; never learnt from. A null id isn't held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))

@@ -395,6 +395,27 @@ def test_pairs_in_linear_time():
     assert m.score(at, x) == pytest.approx(1 / (1 + np.exp(-z)))
 
 
+def test_held_out_bad_texts_are_rejected(spark, data):
+    sf = f"{data}/sf0.01"
+    out = queries.op5_quality_fm(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out and quality = 0").collect()
+    assert out and np.mean([r.predicted for r in out]) <= 0.1
+
+
+def test_scores_are_calibrated():
+    """Few examples: the curve follows the shares, whatever the machine's margins are."""
+    rng = np.random.default_rng(4)
+    y = (rng.random(4000) < 0.7).astype(int)
+    z = rng.normal(0, 1, 4000) + 2 * y - 1  # log odds 2 z + log(7 / 3)
+    slope, shift = quality_fm._curve(z, y)
+    assert slope == pytest.approx(2, abs=0.2) and shift == pytest.approx(np.log(7 / 3), abs=0.2)
+    rows = [(np.array([0, k % 7 + 1], np.int32), np.array([1, 1], np.float32), int(k % 7 < 4)) for k in range(60)]
+    model = quality_fm.fit(rows)
+    assert model.slope > 0 and all((model.score(a, x) >= 0.3) == t for a, x, t in rows)
+    for some in ([], rows[:1], [r for r in rows if r[2]], [*[r for r in rows if r[2]], rows[4]]):
+        one = quality_fm.fit(some)
+        assert (one.slope, one.shift) == (1.0, 0.0) and 0 < one.score(*rows[0][:2]) < 1
+
+
 # 6 and 7
 
 
