@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framelake.functions import geometry as geo
-from framelake.operators import consensus, joins, match, topk, tracks
+from framelake.operators import consensus, joins, match, topk, tracks, warp
 from framelake.plans.base import reg, rounded
 
 _ONE = "one AS (SELECT ts, min((lat, lon, alt, roll, pitch, yaw)) AS f FROM track GROUP BY ts)"
@@ -270,3 +270,43 @@ reg("consensus_affine", "keypoints", lambda v: rounded(consensus.consensus_affin
     f"""WITH {_consensus('affine', 3.0)}, s AS (SELECT frame, {_COV('x0', 'x0')} AS xx, {_COV('x0', 'y0')} AS xy, {_COV('y0', 'y0')} AS yy, {', '.join(f"{_COV(a, b)} AS {a}{b}" for a in ('x0', 'y0') for b in ('x1', 'y1'))}, avg(x0) AS mx0, avg(y0) AS my0, avg(x1) AS mx1, avg(y1) AS my1 FROM pr GROUP BY frame),
         e AS (SELECT *, xx * yy - xy * xy AS det FROM s), f AS (SELECT *, (x0x1 * yy - y0x1 * xy) / det AS a00, (y0x1 * xx - x0x1 * xy) / det AS a01, (x0y1 * yy - y0y1 * xy) / det AS a10, (y0y1 * xx - x0y1 * xy) / det AS a11 FROM e WHERE det <> 0)
         SELECT frame, round(a00, 5) AS a00, round(a01, 5) AS a01, round(mx1 - a00 * mx0 - a01 * my0, 5) AS a02, round(a10, 5) AS a10, round(a11, 5) AS a11, round(my1 - a10 * mx0 - a11 * my0, 5) AS a12 FROM f""")
+
+
+# Curved fits: a bent transform of every point, one pair in eleven off
+_BENT = """wq AS (SELECT frame, CAST(x AS DOUBLE) AS x0, CAST(y AS DOUBLE) AS y0, 0.9e0 * x - 0.2e0 * y + 30 + 3e-4 * x * y + 2e-4 * x * x + kp % 7 * 0.3e0 + CASE WHEN kp % 11 = 0 THEN kp % 97 + 60 ELSE 0 END AS x1,
+ 0.25e0 * x + 1.1e0 * y - 12 - 2e-4 * x * y + 1e-4 * y * y - kp % 5 * 0.4e0 - CASE WHEN kp % 11 = 0 THEN kp % 89 + 80 ELSE 0 END AS y1 FROM keypoints)"""
+
+
+def _bent(v):
+    wrong, k, x, y = F.col("kp") % 11 == 0, F.col("kp"), F.col("x").cast("double"), F.col("y").cast("double")
+    x1 = 0.9 * x - 0.2 * y + 30 + 3e-4 * x * y + 2e-4 * x * x + k % 7 * 0.3 + F.when(wrong, k % 97 + 60).otherwise(0)
+    y1 = 0.25 * x + 1.1 * y - 12 - 2e-4 * x * y + 1e-4 * y * y - k % 5 * 0.4 - F.when(wrong, k % 89 + 80).otherwise(0)
+    return v("keypoints").select("frame", x.alias("x0"), y.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+
+
+def _warp(kind: str, passes: int, factor: float) -> str:
+    """Normal equations in centred coordinates, solved by elimination; errors of the pairs that are left, pass by pass."""
+    size = warp.TERMS[kind]
+    every, terms = range(size), ["px", "py", "1.0e0", "px * py", "px * px", "py * py"][:size]
+    parts = [_BENT, "wc AS (SELECT frame, avg(x0) AS mx, avg(y0) AS my, avg(x1) AS mu, avg(y1) AS mv, sqrt(var_pop(x0) + var_pop(y0)) AS s FROM wq GROUP BY frame)",
+             "p0 AS MATERIALIZED (SELECT frame, (x0 - mx) / s AS px, (y0 - my) / s AS py, x1 - mu AS pu, y1 - mv AS pv FROM wq JOIN wc USING (frame))"]
+    for k in range(passes):
+        sums = [f"sum({terms[i]} * {terms[j]}) AS m{i}{j}" for i in every for j in every] + [f"sum({terms[i]} * p{c}) AS {c}{i}" for c in "uv" for i in every]
+        parts.append(f"g{k}_0 AS MATERIALIZED (SELECT frame, count(*) AS n, {', '.join(sums)} FROM p{k} GROUP BY frame)")
+        for p in every:
+            row = [f"m{p}{j} / m{p}{p} AS m{p}{j}" for j in every] + [f"{c}{p} / m{p}{p} AS {c}{p}" for c in "uv"]
+            row += [f"{x} - m{i}{p} * {y} / m{p}{p} AS {x}" for i in every if i != p for x, y in [*((f"m{i}{j}", f"m{p}{j}") for j in every), (f"u{i}", f"u{p}"), (f"v{i}", f"v{p}")]]
+            parts.append(f"g{k}_{p + 1} AS MATERIALIZED (SELECT frame, n, {', '.join(row)} FROM g{k}_{p})")
+        off = " + ".join(f"pow({' + '.join(f'{c}{i} * {terms[i]}' for i in every)} - p{c}, 2)" for c in "uv")
+        parts.append(f"r{k} AS (SELECT frame, px, py, pu, pv, {off} AS off FROM p{k} JOIN g{k}_{size} USING (frame))")
+        parts.append(f"p{k + 1} AS MATERIALIZED (SELECT frame, px, py, pu, pv FROM r{k} QUALIFY off <= {factor * factor} * avg(off) OVER (PARTITION BY frame) / 2)")
+    out = []
+    for k, (c, middle) in enumerate((("u", "mu"), ("v", "mv"))):
+        x, y, one, xy, xx, yy = [f"{c}{i}" for i in every] + ["0"] * (6 - size)
+        whole = [f"{x} / s - {xy} * my / s / s - 2 * {xx} * mx / s / s", f"{y} / s - {xy} * mx / s / s - 2 * {yy} * my / s / s", f"{middle} + {one} - ({x} * mx + {y} * my) / s + ({xy} * mx * my + {xx} * mx * mx + {yy} * my * my) / s / s", f"{xy} / s / s", f"{xx} / s / s", f"{yy} / s / s"]
+        out += [f"round({w}, 6) AS a{k}{i}" for i, w in enumerate(whole[:size])]
+    return f"WITH {', '.join(parts)} SELECT frame, n, {', '.join(out)} FROM g{passes - 1}_{size} JOIN wc USING (frame)"
+
+
+reg("estimate_semi_quadratic", "keypoints", lambda v: rounded(warp.estimate_warp(_bent(v), "semi_quadratic", passes=3), 6), _warp("semi_quadratic", 3, 3.0))
+reg("estimate_quadratic", "keypoints", lambda v: rounded(warp.estimate_warp(_bent(v), "quadratic", passes=3), 6), _warp("quadratic", 3, 3.0))

@@ -14,7 +14,7 @@ from framelake.functions import formula
 from framelake.functions import geometry as geo
 from framelake.functions import pixels as px
 from framelake.functions import scalar as sc
-from framelake.operators import consensus, geodesic, joins, lidar, match, nearest, ordered, regression, select, stack, stats, thresholds, topk, tracks
+from framelake.operators import consensus, geodesic, joins, lidar, match, nearest, ordered, regression, select, stack, stats, thresholds, topk, tracks, warp
 from framelake.plans.chains import STEPS, run_chain
 from framelake.sources import catalog as src
 from framelake.sources.adapters import Views
@@ -549,3 +549,39 @@ def test_special_functions(spark):
     assert (got[0].n, got[1].n) == (math.nextafter(1.0, 2.0), math.nextafter(0.0, -1.0))
     assert got[0].e == math.erf(1.0) and got[1].j == pytest.approx(1.0) and got[1].k == -math.inf
     assert all(v is None or v != v for v in got[2])
+
+
+@pytest.mark.parametrize("kind", ["semi_quadratic", "quadratic"])
+def test_curved_fits_reject_outliers(spark, kind):
+    """As by least squares over all pairs, pass by pass; points in a line, few points and nulls."""
+    rng, size = np.random.default_rng(11), warp.TERMS[kind]
+    a = np.array([[0.9, -0.2, 30, 1e-4, 2e-5, -3e-5], [0.25, 1.1, -12, -2e-4, 1e-5, 4e-5]])[:, :size]
+    terms = lambda p: np.stack([p[:, 0], p[:, 1], np.ones(len(p)), p[:, 0] * p[:, 1], p[:, 0] ** 2, p[:, 1] ** 2][:size], axis=1)
+    pairs, want = [], {}
+    for g in (1, 2):
+        x = rng.uniform(0, 4000, (300, 2))
+        y = terms(x) @ a.T + rng.normal(0, 0.3, (300, 2))
+        if g == 2:
+            y[::12] += rng.uniform(50, 900, (25, 2))
+        pairs += [(g, *map(float, p), *map(float, q)) for p, q in zip(x, y, strict=True)]
+        left = np.ones(300, bool)
+        while True:
+            z = terms(x / 4000)
+            c = np.linalg.lstsq(z[left], y[left], rcond=None)[0]
+            off = ((z @ c - y) ** 2).sum(axis=1)
+            new = left & (off <= 9 * off[left].sum() / (2 * left.sum()))
+            if (new == left).all():
+                break
+            left = new
+        want[g] = left.sum(), c
+    pairs += [(3, float(k), 2.0 * k, 1.0, float(k)) for k in range(20)]  # a line
+    pairs += [(4, 1.0, 2.0, 3.0, 4.0), (5, None, 2.0, 3.0, 4.0), (1, 1.0, 2.0, None, 4.0), (1, float("nan"), 2.0, 3.0, 4.0), (1, 0.0, 0.0, float("inf"), 4.0)]
+    d = spark.createDataFrame(pairs, "frame long, x0 double, y0 double, x1 double, y1 double")
+    out = {r["frame"]: r for r in warp.estimate_warp(d, kind).collect()}
+    assert set(out) == {1, 2}
+    probe = rng.uniform(0, 4000, (50, 2))
+    for g, (n, c) in want.items():
+        got = np.array([[out[g][f"a{k}{i}"] for i in range(size)] for k in (0, 1)])
+        assert out[g]["n"] == n and np.allclose(terms(probe) @ got.T, terms(probe / 4000) @ c, atol=1e-6)
+    assert want[2][0] <= 275 and np.allclose(terms(probe) @ a.T, terms(probe / 4000) @ want[2][1], atol=0.3)
+    assert warp.estimate_warp(d.limit(0), kind).count() == 0
