@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from framelake.operators import lidar, ordered
+from framelake.operators import lidar, ordered, tracks
 from framelake.plans import catalog
 from framelake.sources.adapters import Views, with_views
 from framelake.streaming import live, run
@@ -96,3 +96,19 @@ def test_firings_are_numbered_in_parts(spark, data):
     v = Views(spark, f"{data}/sf0.001")
     plain = spark.sql(with_views("SELECT sensor, pkt, azimuth, toh FROM firings", "firings").replace("FROM events", f"FROM parquet.`{data}/sf0.001/events.parquet`"))
     assert sorted(map(tuple, v("firings").select("sensor", "pkt", "azimuth", "toh").collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_no_frame_ends_with_its_partition(spark):
+    """Such a frame is computed anew for each row, which is quadratic in a series; what comes after is found in the reversed order."""
+    d = spark.createDataFrame([(1, k, None if k % 3 else float(k * k)) for k in range(20)], "series long, ord long, v double")
+    filled = ordered.interpolate_gaps(d)
+    assert "unboundedfollowing" not in filled._jdf.queryExecution().toString().lower()
+    got = {r.ord: (r.filled, r.distance) for r in filled.collect()}
+    assert got[3] == (9.0, 0) and got[4] == (9.0 + 27 / 3, 1) and got[19] == (324.0, 1)
+    for depth in (1, 2):
+        near = tracks.neighbours(d.where("ord % 2 = 0").select(F.col("ord").alias("ts")), d.where("ord % 3 = 0").select(F.col("ord").alias("ts"), F.col("ord").alias("o")), ("o",), depth=depth, buckets=3)
+        assert "unboundedfollowing" not in near._jdf.queryExecution().toString().lower()
+        for r in near.collect():
+            want = [r.ts // 3 * 3, r.ts // 3 * 3 + 3] + [r.ts // 3 * 3 - 3, r.ts // 3 * 3 + 6] * (depth - 1)
+            names = ["p1", "n1", "p2", "n2"][: len(want)]
+            assert [r[n].o if r[n] else None for n in names] == [w if 0 <= w <= 18 else None for w in want]
