@@ -585,3 +585,18 @@ def test_curved_fits_reject_outliers(spark, kind):
         assert out[g]["n"] == n and np.allclose(terms(probe) @ got.T, terms(probe / 4000) @ c, atol=1e-6)
     assert want[2][0] <= 275 and np.allclose(terms(probe) @ a.T, terms(probe / 4000) @ want[2][1], atol=0.3)
     assert warp.estimate_warp(d.limit(0), kind).count() == 0
+
+
+def test_l1_leaves_parts_with_few_rows(spark):
+    """Of vectors that no pivot rules out only the nearest of each part go on, not all pairs; rows alike are dealt out and all found."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 16))
+    x[300:900] = x[300]
+    d = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, desc_vec array<double>")
+    q = d.where("id % 50 = 0 AND (id < 300 OR id >= 850)")
+    found = nearest.l1_nearest(q, d, 100.0, "desc_vec", 9, part=100)
+    l1 = np.abs(x[:, None] - x[None]).sum(-1)
+    np.fill_diagonal(l1, np.inf)
+    want = {(i, int(j)) for i in range(0, 1500, 50) if i < 300 or i >= 850 for j in np.flatnonzero(l1[i] <= l1[i].min() + 1e-9)}
+    assert found.where("q <> 850").count() <= 30 * 15 + 600 * 15
+    assert {r[:2] for r in rows(match.match_l1(q, d, 100.0))} == want and len(want) > 599
