@@ -200,7 +200,16 @@ reg("range_bin", "lidar_points", lambda v: geo.range_bin(v("lidar_points"), 2 *
 _N = f"({geo.EARTH_A!r}::DOUBLE / sqrt(1 - {geo.E2!r}::DOUBLE * sin(lat) * sin(lat)))"
 _X, _YY, _Z = f"({_N} + alt) * cos(lat) * cos(lon)", f"({_N} + alt) * cos(lat) * sin(lon)", f"({_N} * (1 - {geo.E2!r}::DOUBLE) + alt) * sin(lat)"
 reg("gps_to_ecef", "track", lambda v: v("track").select("id", *(r(e, 4).alias(n) for n, e in zip("xyz", geo.gps_to_ecef("lat", "lon", "alt"), strict=True))), f"SELECT id, round({_X}, 4) AS x, round({_YY}, 4) AS y, round({_Z}, 4) AS z FROM track")
-reg("ecef_to_gps", "track", lambda v: v("track").select("id", *(e.alias(n) for n, e in zip("xyz", geo.gps_to_ecef("lat", "lon", "alt"), strict=True))).select("id", *(r(e, d).alias(n) for n, d, e in zip(("lat", "lon", "alt"), (8, 8, 3), geo.ecef_to_gps("x", "y", "z"), strict=True))),
+
+
+def _there_and_back(v):
+    """Positions of the track from their earth-centred coordinates; longitudes by the turn that the track's have, as coordinates hold none."""
+    ecef = v("track").select("id", F.col("lon").alias("lon0"), *(e.alias(n) for n, e in zip("xyz", geo.gps_to_ecef("lat", "lon", "alt"), strict=True)))
+    back = ecef.select("id", "lon0", *(e.alias(n) for n, e in zip(("lat", "lon", "alt"), geo.ecef_to_gps("x", "y", "z"), strict=True)))
+    return back.select("id", r("lat", 8).alias("lat"), r(sc.same_turn("lon", "lon0"), 8).alias("lon"), r("alt", 3).alias("alt"))
+
+
+reg("ecef_to_gps", "track", _there_and_back,
     "SELECT id, round(lat, 8) AS lat, round(lon, 8) AS lon, round(alt, 3) AS alt FROM track")
 reg("enu_round_trip", "track", lambda v: v("track").select("id", *(r(e, 4).alias(n) for n, e in zip("enu", geo.ecef_to_enu(geo.enu_to_ecef((F.lit(1.5), F.lit(-2.5), F.lit(3.5)), geo.gps_to_ecef("lat", "lon", "alt"), "lat", "lon"), geo.gps_to_ecef("lat", "lon", "alt"), "lat", "lon"), strict=True))),
     "SELECT id, 1.5e0 AS e, -2.5e0 AS n, 3.5e0 AS u FROM track")
