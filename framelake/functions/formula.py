@@ -16,7 +16,7 @@ FUNCTIONS: dict[str, tuple[tuple[str, ...], str]] = {
     "sinc": (("x",), "CASE WHEN x = 0 THEN 1D ELSE sin(x) / x END"),
     "gexp": (("x",), "exp(-x * x / 2)"),
     "lwrap": (("a",), "pmod(a, 2 * pi())"),
-    "shortdist": (("a", "b"), "pi() - pmod(pi() - (b - a), 2 * pi())"),
+    "shortdist": (("a", "b"), "pi() - ((pi() - (b - a)) - 2 * pi() * floor((pi() - (b - a)) / (2 * pi())))"),
     "fdim": (("a", "b"), "greatest(a - b, 0D)"),
     "fma": (("x", "y", "z"), "x * y + z"),
     "copysign": (("x", "y"), "abs(x) * CASE WHEN y < 0 THEN -1 ELSE 1 END"),

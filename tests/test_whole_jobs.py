@@ -112,3 +112,21 @@ def test_no_frame_ends_with_its_partition(spark):
             want = [r.ts // 3 * 3, r.ts // 3 * 3 + 3] + [r.ts // 3 * 3 - 3, r.ts // 3 * 3 + 6] * (depth - 1)
             names = ["p1", "n1", "p2", "n2"][: len(want)]
             assert [r[n].o if r[n] else None for n in names] == [w if 0 <= w <= 18 else None for w in want]
+
+
+@pytest.mark.parametrize("name", ["ecef_to_gps", "interpolate_track", "gpx_for_frame", "ego_motion_compensate"])
+def test_half_turns_and_whole_turns_are_those_of_the_sql(spark, tmp_path, name):
+    """Records on opposite meridians (-26 and 154 degrees, a last digit off half a turn), and one at 1,005 degrees."""
+    import duckdb
+
+    rows = [(0, 0, 49, "signup", 3.0), (20, 300, 7, "click", 5.0), (30, 700, 8, "click", 6.0), (50, 1000, 229, "signup", 4.0), (70, 2000, 1080, "signup", 2.0)]
+    spark.createDataFrame(rows, "event_id long, s long, user_id long, event_type string, value double").selectExpr("event_id", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, s) AS ts", "user_id", "event_type", "value").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    con.execute(f"CREATE VIEW events AS SELECT * REPLACE (CAST(ts AS TIMESTAMP) AS ts) FROM '{tmp_path}/events.parquet/*.parquet'")
+    df = catalog.queries()[name](spark, str(tmp_path))
+    want = sorted(con.sql(f"SELECT {', '.join(df.columns)} FROM ({catalog.oracle_sql()[name]})").fetchall())
+    got = sorted(map(tuple, df.collect()))
+    assert len(got) == len(want) > 0
+    for a, b in zip(got, want, strict=True):
+        assert a == pytest.approx(b, rel=1e-9, abs=0.011)
