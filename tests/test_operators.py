@@ -600,3 +600,33 @@ def test_l1_leaves_parts_with_few_rows(spark):
     want = {(i, int(j)) for i in range(0, 1500, 50) if i < 300 or i >= 850 for j in np.flatnonzero(l1[i] <= l1[i].min() + 1e-9)}
     assert found.where("q <> 850").count() <= 30 * 15 + 600 * 15
     assert {r[:2] for r in rows(match.match_l1(q, d, 100.0))} == want and len(want) > 599
+
+
+def test_nearest_points_meet_few(spark, monkeypatch):
+    """Dense points: as by brute force, ties by the smaller pid, and a far query goes on to coarser grids. No join makes all pairs of a cell."""
+    rng = np.random.default_rng(3)
+    xy = rng.integers(0, 60, (4000, 2))
+    p = spark.createDataFrame([(int(i % 2), i, int(a), int(b)) for i, (a, b) in enumerate(xy)], "frame long, pid long, x long, y long")
+    asked = [(0, 1, 30.5, 30.5), (1, 2, 100.0, 59.0), (0, 3, 500.0, 0.0), (1, 4, -70.0, 10.0), (0, 5, 12.0, 12.0)]
+    q = spark.createDataFrame(asked, "frame long, qid long, x double, y double")
+    want = []
+    for f, k, x, y in asked:
+        d, i = min(((x - a) ** 2 + (y - b) ** 2, i) for i, (a, b) in enumerate(xy) if i % 2 == f)
+        if d <= 100.0**2:
+            want.append((f, k, i, pytest.approx(math.sqrt(d))))
+    sides = []
+    monkeypatch.setattr(match, "cut", lambda d, name, cut=match.cut: sides.append(name) or cut(d, name))
+    assert rows(match.nearest_point(p, q, 100.0), "qid") == want and len(want) == 4
+    assert sides.count("nearest") > 2
+
+
+def test_bessel_values_come_in_blocks(monkeypatch):
+    """Equal values are computed once, and a call's work does not go value by value."""
+    calls, sinh = [], np.sinh
+    monkeypatch.setattr(sc.np, "sinh", lambda u: calls.append(1) or sinh(u))
+    x = np.tile([0.0, -1.5, 2.5, 3.7, 12.0, 30.0, np.nan], 200)
+    for n in (0, 1):
+        first, second = sc.bessel(n, x)
+        alone = [sc.bessel(n, np.array([v])) for v in x[:7]]
+        assert np.allclose(first[:7], [a[0][0] for a in alone], atol=1e-12, equal_nan=True) and np.allclose(second[7:14], [a[1][0] for a in alone], atol=1e-12, equal_nan=True)
+    assert len(calls) < 30
