@@ -630,3 +630,18 @@ def test_bessel_values_come_in_blocks(monkeypatch):
         alone = [sc.bessel(n, np.array([v])) for v in x[:7]]
         assert np.allclose(first[:7], [a[0][0] for a in alone], atol=1e-12, equal_nan=True) and np.allclose(second[7:14], [a[1][0] for a in alone], atol=1e-12, equal_nan=True)
     assert len(calls) < 30
+
+
+def test_dense_boxes_meet_points_once(spark):
+    """Points of a full cell in several parts, most of them in hundreds of boxes: labels as by brute force, and no join of points with boxes."""
+    rng = np.random.default_rng(4)
+    xyd = rng.integers(0, 50, (600, 3))
+    lows, label, kind = rng.integers(-10, 40, (300, 3)), rng.integers(1, 6, 300), rng.integers(0, 3, 300)
+    p = spark.createDataFrame([(0, i, *map(int, r)) for i, r in enumerate(xyd)], "frame long, pid long, x long, y long, depth long")
+    names = ["a", "b", None]
+    b = spark.createDataFrame([(0, *map(int, lo[:2]), *(int(v) + 15 for v in lo[:2]), int(lo[2]), int(lo[2]) + 15, names[k], int(n)) for lo, k, n in zip(lows, kind, label, strict=True)], "frame long, x0 long, y0 long, x1 long, y1 long, depth0 long, depth1 long, cmap string, label int")
+    got = joins.annotate_points(p, b, spark.createDataFrame([], "pid long, cmap string, label int"), part=100)
+    holds = ((xyd[:, None] >= lows) & (xyd[:, None] <= lows + 15)).all(-1)
+    want = {(i, names[k], int(label[(kind == k) & holds[i]].max())) for i in range(600) for k in range(3) if (holds[i] & (kind == k)).any()}
+    assert set(rows(got)) == want
+    assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().toString()
