@@ -277,7 +277,7 @@ reg("formula_functions", "signal", lambda v: formula(v("signal").selectExpr("id"
 def _drawn(v):
     """Random draws by seed and id, of which each frame's bounds and moments are known."""
     d = formula(formula(v("samples").selectExpr("frame", "y", "x", "c", "v"), "rand(2, 5)", "u", 7), "noise(10, 3)", "g", 8)
-    again = formula(v("samples").selectExpr("frame", "y", "x", "c", "v").repartition(3, "x"), "rand(2, 5)", "u", 7)
+    again = formula(v("samples").selectExpr("frame", "y", "x", "c", "v").repartition("y", "x"), "rand(2, 5)", "u", 7)
     same = again.groupBy("frame").agg(F.round(F.sum("u"), 6).alias("again"))
     each = d.groupBy("frame").agg(
         F.count(F.lit(1)).alias("n"), F.count_if((F.col("u") >= 2) & (F.col("u") < 5)).alias("inside"), (F.abs(F.avg("u") - 3.5) < 0.7).alias("centred"), (F.abs(F.avg("g") - 10) < 2).alias("around"),
