@@ -18,6 +18,7 @@ from framelake.operators import consensus, geodesic, joins, lidar, match, neares
 from framelake.plans.chains import STEPS, run_chain
 from framelake.sources import catalog as src
 from framelake.sources.adapters import Views
+from framelake.sources.storage import cut
 
 
 def rows(df, *order):
@@ -303,6 +304,23 @@ def test_reconstruction_in_tiles(spark, tile):
     assert got[0, 6, 6] == 9.0 and got[0, 0, 6] == 1.0
 
 
+def test_reconstruction_goes_any_way_in_few_steps(spark, monkeypatch):
+    """A marker at the end of a line of 50 tiles reaches what lies before a cell without a limit; tables grow with the logarithm of the tiles."""
+    made = []
+
+    def counted(df, name):
+        made.append(name)
+        assert len(made) <= 5
+        return cut(df, name)
+
+    monkeypatch.setattr(geodesic, "cut", counted)
+    limit = [9.0 - x % 4 for x in range(150)]
+    cells = [(f, 0, x, 8.0 if x == 149 else float(x % 2), None if (f, x) == (1, 70) else limit[x]) for f in (0, 1, None) for x in range(150)]
+    d = spark.createDataFrame(cells, "frame long, y int, x int, marker double, limit double")
+    got = {(r["frame"], r["x"]): r["marker"] for r in geodesic.reconstruct(d, tile=3).collect()}
+    assert got == {(f, x): float(x < 70) if f == 1 and x <= 70 else 6.0 if x < 148 else 8.0 for f in (0, 1, None) for x in range(150)}
+
+
 def test_dense_tracks_fill_no_single_bucket(spark):
     """Nearly all records of a track in one second: buckets between its quantiles hold a few each; the neighbours are those of wide buckets."""
     rec = [(1, 1000 + k / 5000) for k in range(5000)] + [(1, 86_400.0 * k) for k in range(2, 60)] + [(2, 50.0 * k) for k in range(40)] + [(None, 3.0)]
