@@ -6,6 +6,7 @@ import math
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -258,6 +259,26 @@ def test_radius_grows_over_segments(spark):
         assert got == {i: w for i, w in want.items() if w[0] <= limit}
 
 
+def test_queries_that_go_to_all_cells_go_in_small_batches():
+    """3,000 queries with an open radius go to each of 128 cells: once each, and no batch holds more than a bounded number of them."""
+
+    class Given:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            x = np.random.default_rng(4).normal(size=(3000, 8))
+            columns = [pa.array(range(3000)), pa.array(x.tolist()), pa.array([math.inf] * 3000)]
+            return [b.select(["id", "cell"]) for b in run(iter([pa.RecordBatch.from_arrays(columns, names=["id", "v", "radius"])]))]
+
+    cells = nearest.Cells(np.random.default_rng(3).normal(size=(128, 8)))
+    cells.rows[:], cells.near[:], cells.far[:] = 10, 0, 9
+    first, again = (nearest._sent(Given(), cells, 1, second) for second in (False, True))
+    assert max(b.num_rows for b in first + again) <= 4096
+    sent = [pair for b in first + again for pair in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert len(sent) == len(set(sent)) == 3000 * 128
+
+
 @pytest.mark.parametrize("kind", ["similarity", "affine"])
 def test_fits_are_unmoved_by_outliers(spark, kind):
     """Three tenths of the pairs are far off; the fit is that of the others alone. Groups without a sample have no row."""
