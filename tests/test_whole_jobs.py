@@ -72,6 +72,27 @@ def test_parts_of_several_files(spark, data):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_parts_of_many_series_are_dealt_out(spark, data, tmp_path, monkeypatch):
+    """All series lie in the first parts: their rows are in many files, no one has more than the part of a series beyond its share."""
+    d, made = f"{data}/sf0.001", []
+
+    def scratch(session, name):
+        made.append(str(tmp_path / f"{name}{len(made)}"))
+        return made[-1]
+
+    monkeypatch.setattr(run, "scratch", scratch)
+    change = lambda df: df.select("series", "ord", F.col("v").cast("double").alias("v"))
+    stream = run.replay_in_order(spark, d, "signal", "ord", change, 30, key="series", files=None)
+    rows = change(Views(spark, d)("signal"))
+    files = spark.read.parquet(made[0]).groupBy(F.input_file_name().alias("f"), "__part").agg(F.count("*").alias("n"), F.countDistinct("series").alias("k")).collect()
+    assert sum(r.n for r in files) == rows.count() and len(files) > 2 * len({r["__part"] for r in files})
+    assert max(r.n for r in files) < max(rows.groupBy(F.floor(F.col("ord") / 30)).count().toPandas()["count"]) / 2
+    got = run.finish(live.live_running_average(stream)).collect()
+    want = ordered.running_average(rows).select("series", "ord", "avg").collect()
+    assert [r[:2] for r in sorted(got)] == [r[:2] for r in sorted(want)]
+    assert [r.avg for r in sorted(got)] == pytest.approx([r.avg for r in sorted(want)])
+
+
 def test_a_batch_that_is_tried_again_is_there_once(spark, data, tmp_path):
     stream = run.replay_in_order(spark, f"{data}/sf0.001", "firings", "pkt", width=100)
     put, failed = run.batch_sink(str(tmp_path / "out")), []
